@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import slices
+from logweave.llm.shared import Numbers, slices
 
 # The byte-level word pattern; White_Space is written out, since \s of this regex library also takes U+001C to U+001F.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 NO_RANK = np.iinfo(np.int64).max
@@ -70,7 +70,7 @@ class Coder:
 
     def forget(self) -> None:
         """Empty the table of known words."""
-        self.index: dict[str, int] = {t: k for k, t in enumerate(self.special)}
+        self.index = Numbers({t: k for k, t in enumerate(self.special)})
         self.flat = np.array(list(self.special.values()), np.int32)
         self.offset = np.arange(len(self.special) + 1, dtype=np.int64)
 
@@ -136,7 +136,7 @@ class Coder:
         places, bounds = [], [0]
         for text in texts:
             found = self.split(text)
-            places.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int64, len(found)))
+            places.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
             bounds.append(bounds[-1] + len(found))
         if len(index) > known:
             self.learn(list(index)[known:])

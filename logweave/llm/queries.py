@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, simhash
+from logweave.llm import bpe, decontaminate, rans, simhash
 from logweave.llm.shared import table
 
 
@@ -59,11 +59,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
         "op4_bpe": op4_bpe,
+        "op9_rans": op9_rans,
     }
 
 

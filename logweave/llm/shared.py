@@ -37,3 +37,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 24 << 20
 def held_out(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo `mod`, is 0. A null id counts as an empty text (crc32 0): held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == 0
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
