@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, html_text, rans, simhash
-from logweave.llm.shared import table
+from logweave.llm import bpe, decontaminate, html_text, rans, simhash, toxicity
+from logweave.llm.shared import held_out, table
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.tag(docs, field, carry=("doc_id",))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "evidence", "spans")
+
+
 def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
 
@@ -73,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
         "op4_bpe": op4_bpe,
+        "op6_toxicity": op6_toxicity,
         "op9_rans": op9_rans,
     }
 
