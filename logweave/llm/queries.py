@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, html_text, rans, simhash, toxicity
+from logweave.llm import bpe, decontaminate, digest, html_text, rans, simhash, toxicity
 from logweave.llm.shared import held_out, table
 
 
@@ -74,6 +74,10 @@ def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
 
 
+def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op6_toxicity": op6_toxicity,
         "op9_rans": op9_rans,
+        "op10_digest": op10_digest,
     }
 
 
