@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, class_lm, decontaminate, digest, html_text, rans, simhash, toxicity
+from logweave.llm import bpe, class_lm, decontaminate, digest, html_text, rans, resample, simhash, toxicity
 from logweave.llm.shared import held_out, table
 
 
@@ -74,6 +74,10 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op8_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
 
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op6_toxicity": op6_toxicity,
         "op7_class_lm": op7_class_lm,
+        "op8_resample": op8_resample,
         "op9_rans": op9_rans,
         "op10_digest": op10_digest,
     }
