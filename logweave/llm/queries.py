@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, class_lm, decontaminate, digest, html_text, rans, resample, simhash, toxicity
+from logweave.llm import bpe, class_lm, decontaminate, digest, html_text, rans, resample, secrets, simhash, toxicity
 from logweave.llm.shared import held_out, table
 
 
@@ -63,6 +63,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.fit(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), forest)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
         "op4_bpe": op4_bpe,
+        "op5_secrets": op5_secrets,
         "op6_toxicity": op6_toxicity,
         "op7_class_lm": op7_class_lm,
         "op8_resample": op8_resample,

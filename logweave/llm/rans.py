@@ -21,14 +21,15 @@ follow each other in the order of their texts' hashes. An empty table makes no b
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +45,6 @@ BLOCK = 1 << 17
 KNOWN_CHUNKS = 1 << 20
 STEPS = SEGMENT // LANES
 
-# str.split() also cuts at U+001C to U+001F, which are no White_Space.
-ODD = re.compile("[\x1c-\x1f]")
-GAP = re.compile("[\t-\r\x20\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
-
 FRAMES = "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>, total long, payload binary, checkpoints binary, crc long, ids_crc long"
 
 
@@ -133,7 +130,11 @@ def decode(frames: list[tuple[bytes, bytes, int]], table: Table) -> list[np.ndar
 
 class Words:
     """Encodes texts with the tokenizers library, chunk by chunk: no token of this vocabulary spans white space, so each
-    different chunk between white space is encoded once and its ids are gathered."""
+    different chunk between ASCII white space is encoded once and its ids are gathered.
+
+    A chunk of letters in normal form, with at most a full stop or comma behind, is what the library's own steps make of it: the word in
+    lower case, as byte letters, and the sign; both go to the library's model directly. Any other chunk goes through the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -141,30 +142,59 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.model = self.library.model
         self.size = self.library.get_vocab_size(with_added_tokens=True)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.index = Numbers()
         self.flat, self.offset = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of one word of the pattern, in lower case."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > KNOWN_CHUNKS:
+                self.words.clear()
+            found = self.words[word] = tuple(t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))
+        return found
+
+    def learn(self, chunks: list[str]) -> None:
+        ids: list[tuple[int, ...] | list[int] | None] = []
+        odd: list[int] = []
+        for k, c in enumerate(chunks):
+            sign = c[-1:] if c[-1:] in (".", ",") else ""
+            body = c[:-1] if sign else c
+            if body.isascii() and body.isalpha() or body.isalpha() and "\u03a3" not in body and "\u0130" not in body and is_normalized("NFC", body):
+                ids.append(self.word(body.lower()) + self.word(sign) if sign else self.word(body.lower()))
+            else:
+                ids.append(None)
+                odd.append(k)
+        for k in range(0, len(odd), 1 << 12):
+            part = odd[k : k + (1 << 12)]
+            for i, e in zip(part, self.library.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False), strict=True):
+                ids[i] = e.ids
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
+        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+
+    def chunks(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of each chunk of the texts, in order, and how many chunks each text has."""
         if len(self.index) > KNOWN_CHUNKS:
             self.forget()
-        index, known = self.index, len(self.index)
-        parts = [t.split() if not ODD.search(t) else [c for c in GAP.split(t) if c] for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        place = np.fromiter(map(index.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        if len(index) > known:
-            fresh = list(index)[known:]
-            for k in range(0, len(fresh), 1 << 14):
-                ids = [e.ids for e in self.library.encode_batch(fresh[k : k + (1 << 14)], add_special_tokens=False)]
-                self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32)])
-                self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum([len(x) for x in ids])])
-        return place, counts
-
-    def ids(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        parts = pc.ascii_split_whitespace(column)
+        coded = parts.flatten().dictionary_encode()
+        known = len(self.index)
+        number = np.fromiter(map(self.index.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        if len(self.index) > known:
+            self.learn(list(self.index)[known:])
+        return number[coded.indices.to_numpy()], pc.list_value_length(parts).to_numpy().astype(np.int64)
+
+    def ids(self, texts: pa.Array | list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by `end`, and the number of each."""
         place, counts = self.chunks(texts)
         size = self.offset[place + 1] - self.offset[place]
@@ -177,9 +207,9 @@ class Words:
         out[body] = self.flat[np.arange(run[-1]) + np.repeat(self.offset[place] - run[:-1], size)]
         return out, lengths
 
-    def counts(self, texts: list[str], end: int) -> np.ndarray:
+    def counts(self, texts: pa.Array | list[str], end: int) -> np.ndarray:
         place, _ = self.chunks(texts)
-        times = np.bincount(place, minlength=len(self.offset) - 1)
+        times = np.bincount(place, minlength=len(self.offset) - 1) if len(place) else np.zeros(len(self.offset) - 1, np.int64)
         found = np.bincount(self.flat, weights=np.repeat(times, np.diff(self.offset)), minlength=max(self.size, end + 1)).astype(np.int64)
         found[end] += len(texts)
         return found
@@ -195,8 +225,8 @@ def token_counts(docs: DataFrame, path: str, end: int = 2, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = tokenizer(path), np.zeros(0, np.int64)
-        for batch in slices(batches, "text", 8 << 20, 4096):
-            found = words.counts([t or "" for t in batch.column("text").to_pylist()], end)
+        for batch in slices(batches, "text", 16 << 20, 1 << 14):
+            found = words.counts(batch.column("text"), end)
             total = found if not len(total) else total + found
         here = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(total[here])], ["id", "n"])
@@ -230,7 +260,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2, id_col: str = "
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["shard", "block", "doc_ids", "n_tokens", "total", "payload", "checkpoints", "crc", "ids_crc"])
 
         for batch in slices(batches, "text", 1 << 20, 1024):
-            got, lengths = words.ids([t or "" for t in batch.column("text").to_pylist()], end)
+            got, lengths = words.ids(batch.column("text"), end)
             ids.append(got)
             sizes.append(lengths)
             docs_here += batch.column("doc_id").to_pylist()
