@@ -157,9 +157,25 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with the column `ids_col`, array<int>, the ids of each text. A column of that name is replaced."""
-    return _with(docs, path, text_col, ids_col, "array<int>", lambda c, texts, ids, bounds: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)))
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", same_col: str | None = None) -> DataFrame:
+    """docs with the column `ids_col`, array<int>, the ids of each text, and with `same_col` whether they decode to the text again. Columns of
+    these names are replaced."""
+    made = [ids_col, *([same_col] if same_col else [])]
+    own = [c for c in docs.columns if c not in made]
+    fields = [docs.schema[c] for c in own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(path)
+        for batch in slices(batches, "_text", 8 << 20, 4096):
+            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            ids, bounds = c.encode(texts)
+            cells = [*[batch.column(f"c{i}") for i in range(len(own))], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
+            if same_col:
+                cells.append(pa.array([c.decode(ids[a:b]) == t for a, b, t in zip(bounds[:-1], bounds[1:], texts, strict=True)]))
+            yield pa.RecordBatch.from_arrays(cells, [*own, *made])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{ids_col}` array<int>"] + [f"`{same_col}` boolean"] * bool(same_col))
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -196,17 +212,3 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     chosen = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _with(docs: DataFrame, path: str, text_col: str, name: str, kind: str, make) -> DataFrame:
-    own = [c for c in docs.columns if c != name]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
-        for batch in slices(batches, text_col, 8 << 20, 4096):
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            ids, bounds = c.encode(texts)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in own], make(c, texts, ids, bounds)], [*own, name])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name] + [f"`{name}` {kind}"])
-    return docs.mapInArrow(run, schema)
