@@ -21,6 +21,7 @@ follow each other in the order of their texts' hashes. An empty table makes no b
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import Numbers, slices
+from logweave.llm.shared import slices
 from logweave.session import Scratch
 
 BITS = 22
@@ -42,7 +43,7 @@ LOW = np.uint64(1 << 31)
 LANES = 32
 SEGMENT = 4096
 BLOCK = 1 << 17
-KNOWN_CHUNKS = 1 << 20
+KNOWN_CHUNKS, KNOWN_WORDS = 600_000, 1 << 17
 STEPS = SEGMENT // LANES
 
 FRAMES = "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>, total long, payload binary, checkpoints binary, crc long, ids_crc long"
@@ -151,19 +152,20 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.index = Numbers()
+        self.index: dict[str, int] = {}
         self.flat, self.offset = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of one word of the pattern, in lower case."""
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > KNOWN_CHUNKS:
+            if len(self.words) > KNOWN_WORDS:
                 self.words.clear()
             found = self.words[word] = tuple(t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))
         return found
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the chunks, number of each)."""
         ids: list[tuple[int, ...] | list[int] | None] = []
         odd: list[int] = []
         for k, c in enumerate(chunks):
@@ -178,68 +180,117 @@ class Words:
             part = odd[k : k + (1 << 12)]
             for i, e in zip(part, self.library.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False), strict=True):
                 ids[i] = e.ids
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def chunks(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each chunk of the texts, in order, and how many chunks each text has."""
-        if len(self.index) > KNOWN_CHUNKS:
-            self.forget()
+    def chunks(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the different chunks, their bounds, number of each chunk of the texts in order, how many chunks each text has).
+
+        The first KNOWN_CHUNKS chunks that a worker meets stay known; later ones are encoded once for each batch.
+        """
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         parts = pc.ascii_split_whitespace(column)
         coded = parts.flatten().dictionary_encode()
-        known = len(self.index)
-        number = np.fromiter(map(self.index.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        if len(self.index) > known:
-            self.learn(list(self.index)[known:])
-        return number[coded.indices.to_numpy()], pc.list_value_length(parts).to_numpy().astype(np.int64)
+        unique = coded.dictionary.to_pylist()
+        index, flat, offset = self.index, self.flat, self.offset
+        number = np.fromiter((-1 if k is None else k for k in map(index.get, unique)), np.int64, len(unique))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            words = [unique[k] for k in fresh.tolist()]
+            ids, sizes = self.learn(words)
+            number[fresh] = len(offset) - 1 + np.arange(len(fresh))
+            flat, offset = np.concatenate([flat, ids]), np.concatenate([offset, offset[-1] + np.cumsum(sizes)])
+            if len(index) < KNOWN_CHUNKS:
+                index.update(zip(words, number[fresh].tolist(), strict=True))
+                self.flat, self.offset = flat, offset
+        return flat, offset, number[coded.indices.to_numpy()], pc.list_value_length(parts).to_numpy().astype(np.int64)
 
     def ids(self, texts: pa.Array | list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by `end`, and the number of each."""
-        place, counts = self.chunks(texts)
-        size = self.offset[place + 1] - self.offset[place]
+        flat, offset, place, counts = self.chunks(texts)
+        size = (offset[1:] - offset[:-1])[place]
         run = np.concatenate([[0], np.cumsum(size)])
         ends = np.cumsum(counts)
         lengths = run[ends] - run[ends - counts] + 1
         out = np.full(int(lengths.sum()), end, np.int32)
         body = np.ones(len(out), bool)
         body[np.cumsum(lengths) - 1] = False
-        out[body] = self.flat[np.arange(run[-1]) + np.repeat(self.offset[place] - run[:-1], size)]
+        out[body] = flat[np.arange(run[-1]) + np.repeat(offset[place] - run[:-1], size)]
         return out, lengths
 
-    def counts(self, texts: pa.Array | list[str], end: int) -> np.ndarray:
-        place, _ = self.chunks(texts)
-        times = np.bincount(place, minlength=len(self.offset) - 1) if len(place) else np.zeros(len(self.offset) - 1, np.int64)
-        found = np.bincount(self.flat, weights=np.repeat(times, np.diff(self.offset)), minlength=max(self.size, end + 1)).astype(np.int64)
-        found[end] += len(texts)
-        return found
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Words:
     return Words(path)
 
 
-def token_counts(docs: DataFrame, path: str, end: int = 2, text_col: str = "text") -> dict[int, int]:
-    """How often each id occurs over all texts: one entry an id, so the vocabulary bounds it."""
+def raw_blocks(docs: DataFrame, path: str, end: int, id_col: str, text_col: str, shards: int | None) -> DataFrame:
+    """Texts in order, as ids in blocks: (shard, block, doc_ids, n_tokens, total, ids), ids as little-endian integers of 2 bytes where they fit, else 4."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, shard, block = tokenizer(path), TaskContext.get().partitionId(), 0
+        kind = "<u2" if max(words.size, end + 1) <= 1 << 16 else "<u4"
+        ids, sizes, here, held = [], [], [], 0
+
+        def cut() -> pa.RecordBatch:
+            values = [[shard], [block], [here], [np.concatenate(sizes)], [held], [np.concatenate(ids).astype(kind).tobytes()]]
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["shard", "block", "doc_ids", "n_tokens", "total", "ids"])
+
+        gc.disable()  # the tables of known words are millions of objects without cycles
+        try:
+            for batch in slices(batches, "text", 16 << 20, 1 << 14):
+                got, lengths = words.ids(batch.column("text"), end)
+                names, ends, first = batch.column("doc_id").to_pylist(), np.cumsum(lengths), 0
+                while first < len(names):  # documents up to the one that fills the block
+                    done = int(ends[first - 1]) if first else 0
+                    last = min(len(names), int(np.searchsorted(ends, done + BLOCK - held)) + 1)
+                    ids.append(got[done : ends[last - 1]])
+                    sizes.append(lengths[first:last])
+                    here += names[first:last]
+                    held += len(ids[-1])
+                    first = last
+                    if held >= BLOCK:
+                        yield cut()
+                        ids, sizes, here, held, block = [], [], [], 0, block + 1
+            if ids:
+                yield cut()
+        finally:
+            gc.enable()
+
+    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("tie", F.xxhash64("text"))
+    dealt = chosen.repartitionByRange(shards, "doc_id", "tie") if shards else chosen.repartitionByRange("doc_id", "tie")
+    return dealt.sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(run, "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>, total long, ids binary")
+
+
+def ids_of(block: bytes, total: int) -> np.ndarray:
+    return np.frombuffer(block, "<u2" if len(block) == 2 * total else "<u4")
+
+
+def token_counts(blocks: DataFrame) -> dict[int, int]:
+    """How often each id occurs over all blocks: one entry an id, so the vocabulary bounds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = tokenizer(path), np.zeros(0, np.int64)
-        for batch in slices(batches, "text", 16 << 20, 1 << 14):
-            found = words.counts(batch.column("text"), end)
-            total = found if not len(total) else total + found
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for block, n in zip(batch.column("ids"), batch.column("total").to_pylist(), strict=True):
+                found = np.bincount(ids_of(block.as_buffer(), n), minlength=len(total))
+                found[: len(total)] += total
+                total = found
         here = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(total[here])], ["id", "n"])
 
-    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("total", "ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in rows}
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> Table:
     """Write the ids of all texts in ascending order of their ids as a file set at `folder`; gives the frequency table, which
-    `folder`/table holds too."""
+    `folder`/table holds too. Texts are encoded once: their raw blocks are written to the shared folder, counted, and coded from there."""
     spark = docs.sparkSession
-    found = token_counts(docs, path, end, text_col)
+    scratch = Scratch(spark, "rans-raw")
+    raw_blocks(docs, path, end, id_col, text_col, shards).write.option("compression", "zstd").parquet(raw_path := scratch.path("raw"))
+    raw = spark.read.parquet(raw_path)
+    found = token_counts(raw)
     counts = np.zeros(max([*found, end]) + 1, np.int64)
     for k, n in found.items():
         counts[k] = n
@@ -248,32 +299,17 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2, id_col: str = "
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table, shard, block = tokenizer(path), shared.value, TaskContext.get().partitionId(), 0
-        ids, sizes, docs_here, held = [], [], [], 0
-
-        def frame() -> pa.RecordBatch:
-            flat = np.concatenate(ids)
-            payload, marks = encode(flat, table)
-            whole = flat.astype("<u4").tobytes()
-            values = [[shard], [block], [docs_here], [np.concatenate(sizes)], [len(flat)], [payload], [marks], [zlib.crc32(payload)], [zlib.crc32(whole)]]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["shard", "block", "doc_ids", "n_tokens", "total", "payload", "checkpoints", "crc", "ids_crc"])
-
-        for batch in slices(batches, "text", 1 << 20, 1024):
-            got, lengths = words.ids(batch.column("text"), end)
-            ids.append(got)
-            sizes.append(lengths)
-            docs_here += batch.column("doc_id").to_pylist()
-            held += len(got)
-            if held >= BLOCK:
-                yield frame()
-                ids, sizes, docs_here, held, block = [], [], [], 0, block + 1
-        if ids:
-            yield frame()
-
-    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = chosen.repartitionByRange(shards, "doc_id", "tie") if shards else chosen.repartitionByRange("doc_id", "tie")
-    dealt.sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(run, FRAMES).write.parquet(f"{folder}/blocks")
+        table = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                ids = ids_of(row.column("ids")[0].as_buffer(), row.column("total")[0].as_py())
+                payload, marks = encode(ids, table)
+                sums = [zlib.crc32(payload), zlib.crc32(ids.astype("<u4").tobytes())]
+                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in ("shard", "block", "doc_ids", "n_tokens", "total")], pa.array([payload], pa.binary()), pa.array([marks], pa.binary()), *[pa.array([x], pa.int64()) for x in sums]], ["shard", "block", "doc_ids", "n_tokens", "total", "payload", "checkpoints", "crc", "ids_crc"])
+
+    raw.select("shard", "block", "doc_ids", "n_tokens", "total", "ids").mapInArrow(run, FRAMES).write.parquet(f"{folder}/blocks")
+    scratch.drop()
     return table
 
 
