@@ -41,10 +41,11 @@ SHAPES = (
     r"\bAIza[A-Za-z0-9_-]{35}",
     r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
     r"(?<=://)[^\s/:@\"'<>]{1,64}:[^\s/@\"'<>]{3,128}(?=@)",
-    r"(?<=(?:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key|access-key|auth_key|credential|bearer)\s{0,3}[=:]{1,2}>?\s{0,3}[\"'`]?)[^\s\"'`,;<>(){}\[\]|]{6,256}",
     r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,256}={0,2}(?![A-Za-z0-9+/=_-])",
 )
-PATTERN = "(?i:" + SHAPES[10] + ")|" + "|".join(s for k, s in enumerate(SHAPES) if k != 10)
+# A value after a name: what stands before the value is matched too, and then taken off; a look behind would be tried at every character.
+ASSIGNED = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]key|auth_key|credential|bearer)\s{0,3}[=:]{1,2}>?\s{0,3}[\"'`]?"
+PATTERN = ASSIGNED + r"[^\s\"'`,;<>(){}\[\]|]{6,256}|" + "|".join(SHAPES)
 
 # Words that candidates and their surroundings are held against.
 DICTIONARY = tuple(
@@ -63,16 +64,23 @@ def found(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+def value(match: Column) -> Column:
+    """The candidate in a match: without the name and the assignment before it."""
+    return F.regexp_replace(match, "^" + ASSIGNED, "")
+
+
 def spots(p: Column, m: Column) -> Column:
-    """Offsets and surroundings of the matches: piece 0, match 0, piece 1, match 1, ... make up the text."""
+    """Offsets and surroundings of the candidates: piece 0, match 0, piece 1, match 1, ... make up the text."""
     empty = F.array().cast("array<struct<start:int,before:string,candidate:string,after:string>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, k: Column) -> Column:
-        before, here, after = F.get(p, k), F.get(m, k), F.coalesce(F.get(p, k + 1), F.lit(""))
+        before, whole, after = F.get(p, k), F.get(m, k), F.coalesce(F.get(p, k + 1), F.lit(""))
+        here = value(whole)
+        name = F.left(whole, F.length(whole) - F.length(here))
         at = acc["at"] + F.length(before)
-        one = F.struct(at.cast("int").alias("start"), F.right(before, F.lit(CONTEXT)).alias("before"), here.alias("candidate"), F.left(after, F.lit(CONTEXT)).alias("after"))
-        return F.struct((at + F.length(here)).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        one = F.struct((at + F.length(name)).cast("int").alias("start"), F.right(F.concat(F.right(before, F.lit(CONTEXT)), name), F.lit(CONTEXT)).alias("before"), here.alias("candidate"), F.left(after, F.lit(CONTEXT)).alias("after"))
+        return F.struct((at + F.length(whole)).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.aggregate(F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>")), start, step)["out"]
 
@@ -203,7 +211,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
     own = docs.columns
     has = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(PATTERN)
     rows = judged(docs.where(has), forest, text_col, path_col, F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("_row"))
-    verdict = F.transform("_found", lambda f: F.when(f["chance"] >= threshold, F.lit(mark)).otherwise(f["candidate"]))
+    verdict = F.zip_with("_found", "_m", lambda f, m: F.when(f["chance"] >= threshold, F.concat(F.left(m, F.length(m) - f["length"]), F.lit(mark))).otherwise(m))
     text = F.array_join(F.flatten(F.zip_with("_p", verdict, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
     rows = rows.withColumn("_text", text).withColumn("_any", F.exists("_found", lambda f: f["chance"] >= threshold))
 
