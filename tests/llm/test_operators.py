@@ -1,0 +1,446 @@
+"""The operators against brute-force versions, and on odd input."""
+
+import hashlib
+import math
+import random
+import re
+import unicodedata
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from logweave.llm import bpe, class_lm, decontaminate, digest, html_text, rans, resample, secrets, simhash, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, _row string"
+WORDS = "the of and to in ship tree river stone light cloud paper glass table chair lamp".split()
+
+
+def documents(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, None, None, None, "clash", "clash") for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+ODD = [None, "", "   ", "a", "x " * 30_000, "é ﬁ ẞ", "same text", "same text"]
+
+
+# ------------------------------------------------------------------ 1
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>one<p>two", "one\n\ntwo"), ("<script>x<p>y", ""), ("<p>a < b", "a < b"),
+        ("<body><nav><a href=/>Home</a></nav><div class='ad'>Buy</div><article><h1>T</h1><p><b>T &eacute;.<br><p>Long \n text&nbsp;here.</p></article><footer>&copy;</footer></body>", "T\n\nT é.\n\nLong text here."),
+        ("<main><article><header><h1>T</h1>by me</header><section><p>One two three four five.</p></section><section><p>Six.</p></section><div id='comments'><p>Nice and very long reader comment indeed, so dense.</p></div></article></main><aside>s</aside><form>f</form>", "T\n\nOne two three four five.\n\nSix."),
+        ("<body><div class=cookie-notice>We use cookies</div><div><p>First long paragraph of the page.</p><p>Second long paragraph of it.</p></div><div><a href=a>l</a> <a href=b>m</a></div></body>", "First long paragraph of the page.\n\nSecond long paragraph of it."),
+    ],
+)
+def test_html(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_deep_and_broken(spark):
+    assert html_text.main_text("<div>" * 50_000 + "x") == "x"
+    rows = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None)], "page_id long, url string, html string, text int")
+    assert sorted(map(tuple, html_text.extract(rows).collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
+    assert html_text.extract(rows.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ 2
+
+
+def brute_hits(text, items, window=10):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    ws, hit, names = split(text), set(), set()
+    for name, t in items:
+        iw = split(t)
+        n = min(window, len(iw))
+        for k in range(len(iw) - n + 1 if n else 0):
+            for p in range(len(ws) - n + 1):
+                if ws[p : p + n] == iw[k : k + n]:
+                    hit |= set(range(p, p + n))
+                    names.add(name)
+    return len(ws), len(hit), sorted(names)
+
+
+@pytest.mark.parametrize("block_words", [7, 2_000_000])
+def test_decontamination_against_brute_force(spark, monkeypatch, block_words):
+    rng = random.Random(1)
+    items = [(f"i{k}", sentence(rng, rng.choice([0, 3, 9, 10, 11, 25]))) for k in range(12)] + [("i3", "The River, stone!"), ("n", None), ("é", "über Éa ß")]
+    texts = [sentence(rng, 40) for _ in range(10)] + [f"{sentence(rng, 5)} {rng.choice(items[:12])[1].upper()} {sentence(rng, 5)}" for _ in range(20)] + ODD + ["x über Éa ß"]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (block_words,))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.find(docs, bench).collect()}
+    want = {k: brute_hits(t, items) for k, t in enumerate(texts)}
+    assert got == want
+    kept = decontaminate.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, w in want.items() if not w[1]}
+
+
+def test_longest_match_and_empty_benchmark(spark):
+    bench = spark.createDataFrame([("a", " ".join(f"w{k}" for k in range(30)))], "item_id string, text string")
+    row = decontaminate.find(documents(spark, ["x y " + " ".join(f"w{k}" for k in range(5, 20)) + " z"]), bench).first()
+    assert (row["longest"], row["longest_item"], row["longest_at"], row["n_hit"]) == (15, "a", 2, 15)
+    none = decontaminate.find(documents(spark, ODD), bench.limit(0)).collect()
+    assert len(none) == len(ODD) and all(r["n_hit"] == 0 for r in none)
+
+
+# ------------------------------------------------------------------ 3
+
+
+def brute_fingerprint(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(ws[k : k + 3]) for k in range(len(ws) - 2)] or ([" ".join(ws)] if ws else [])
+    ones = Counter(b for s in shingles for b in range(64) if xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1)
+    return sum(1 << b for b, n in ones.items() if 2 * n > len(shingles))
+
+
+def brute_components(prints):
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_against_brute_force(spark):
+    rng = random.Random(2)
+    base = [sentence(rng, 300) for _ in range(8)]
+    texts = base + [t.replace(" the ", f" {w} ", 1) for t in base for w in ("river", "lamp", "of")] + ODD
+    prints = {k: brute_fingerprint(t) for k, t in enumerate(texts)}
+    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(documents(spark, texts)).collect()}
+    components = brute_components(prints)
+    assert got == {k: (prints[k], components[k]) for k in prints}
+    kept = simhash.drop_near_duplicates(documents(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components.values())) and kept.columns == documents(spark, []).columns
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2])
+def test_links_by_distance(spark, distance):
+    rng = random.Random(3)
+    prints = {0}
+    for _ in range(60):
+        prints.add(rng.choice(sorted(prints)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64) if rng.random() < 0.5 else 0))
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
+    from logweave.operators.graph import connected_components
+    from logweave.session import Scratch
+
+    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), distance)
+    assert all((r["src"] ^ r["dst"]) % (1 << 64) and ((r["src"] ^ r["dst"]) % (1 << 64)).bit_count() <= distance for r in links.collect())
+    got = {}
+    for r in connected_components(links, Scratch(spark)).collect():
+        got.setdefault(r["root"], set()).add(r["node"])
+    left, want = set(signed), []
+    while left:
+        group, edge = set(), [left.pop()]
+        while edge:
+            p = edge.pop()
+            group.add(p)
+            near = {q for q in left if ((p ^ q) % (1 << 64)).bit_count() <= distance}
+            left -= near
+            edge += near
+        want.append(group)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want if len(g) > 1)
+
+
+def test_drop_with_null_and_repeated_ids(spark):
+    texts = ["alpha beta gamma delta"] * 3 + ["only here with no id at all"] * 2 + ["alpha beta gamma delta"]
+    kept = simhash.drop_near_duplicates(documents(spark, texts, [7, 7, 9, None, None, None])).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(7, texts[0]), (None, texts[3])])
+    assert simhash.drop_near_duplicates(documents(spark, [])).count() == 0
+
+
+# ------------------------------------------------------------------ 4 and 9
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("word_bpe_49k.json")
+TEXT = st.text(st.one_of(st.sampled_from(list(" \n\t'aAeEsStT.,09é́ßΣσ日　 ")), st.characters(exclude_categories=["Cs"])), max_size=80)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(TEXT, st.sampled_from(["<|endoftext|>", "a<|endoftext|> b", "aaaa aaaaaaa", "don't we'LL"])), max_size=6))
+def test_bpe_is_the_library(texts):
+    library, coder = Tokenizer.from_file(BPE), bpe.coder(BPE)
+    ids, bounds = coder.encode(texts)
+    for k, t in enumerate(texts):
+        own, want = ids[bounds[k] : bounds[k + 1]], library.encode(t, add_special_tokens=False).ids
+        assert own.tolist() == want and coder.decode(own) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_on_rows(spark):
+    library = Tokenizer.from_file(BPE)
+    got = {r["doc_id"]: r for r in bpe.digests(documents(spark, ODD), BPE).collect()}
+    for k, t in enumerate(ODD):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (got[k]["n_tokens"], got[k]["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    coded = bpe.encode(documents(spark, ODD), BPE, same_col="decodes")
+    assert all(r["decodes"] for r in coded.collect())
+    assert [r["text"] for r in bpe.decode(coded.drop("text"), BPE).orderBy("doc_id").collect()] == [t or "" for t in ODD]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(TEXT, st.sampled_from(["<|startoftext|> a<|endoftext|>b", "ΑΣ. İ, ﬁ."])), max_size=6))
+def test_words_are_the_library(texts):
+    library, words = Tokenizer.from_file(PIECES), rans.tokenizer(PIECES)
+    ids, sizes = words.ids(texts, 2)
+    ends = np.cumsum(sizes)
+    for k, t in enumerate(texts):
+        assert ids[ends[k] - sizes[k] : ends[k]].tolist() == [*library.encode(t, add_special_tokens=False).ids, 2]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 20_000), min_size=1, max_size=4), st.integers(1, 50_000), st.integers(0, 1000))
+def test_rans_round_trip(sizes, symbols, seed):
+    rng = np.random.default_rng(seed)
+    parts = [np.minimum(rng.geometric(0.01, n), symbols) - 1 for n in sizes]
+    table = rans.Table(np.bincount(np.concatenate(parts), minlength=symbols))
+    assert int(table.freq.sum()) == 1 << rans.BITS
+    frames = [(*rans.encode(p, table), len(p)) for p in parts]
+    assert all(np.array_equal(a, b) for a, b in zip(rans.decode(frames, table), parts, strict=True))
+
+
+def test_rans_files(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [sentence(rng, rng.randrange(400)) for _ in range(300)] + ODD
+    ids = [5 * k - 40 for k in range(len(texts))]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = documents(spark, [texts[k] for k in order], [ids[k] for k in order])
+    rans.write(docs, str(tmp_path / "set"), PIECES, shards=5)
+    rows = rans.read(spark, str(tmp_path / "set"), keep_ids=True).orderBy("start").collect()
+    library, start = Tokenizer.from_file(PIECES), 0
+    for r, i, t in zip(rows, ids, texts, strict=True):
+        want = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (i, start, len(want), want)
+        assert r["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+        start += len(want)
+    assert rans.round_trip(documents(spark, []), PIECES).count() == 0
+
+
+def test_damage_is_found(spark, tmp_path):
+    rans.write(documents(spark, ["some words here"] * 3), str(tmp_path / "set"), PIECES)
+    bad = spark.read.parquet(str(tmp_path / "set" / "blocks")).withColumn("payload", F.concat("payload", F.lit(b"\0")))
+    bad.write.parquet(str(tmp_path / "bad" / "blocks"))
+    spark.read.parquet(str(tmp_path / "set" / "table")).write.parquet(str(tmp_path / "bad" / "table"))
+    with pytest.raises(Exception, match="damaged block"):
+        rans.read(spark, str(tmp_path / "bad")).collect()
+
+
+# ------------------------------------------------------------------ 5
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.fit(secrets.labelled_findings(spark))
+
+
+def test_forest_separates_unseen_findings(spark, forest):
+    unseen = secrets.labelled_findings(spark, 8000).where("true").withColumn("n", F.monotonically_increasing_id()).orderBy(F.rand(1)).limit(1500)
+    rows = unseen.select("label", F.struct(*secrets.features(F.col("path"), F.col("before"), F.col("candidate"), F.col("after"))).alias("f"))
+    rows = rows.select("label", F.expr(forest.sql("f")).alias("chance"), "f").collect()
+    assert np.mean([(r["chance"] >= 0.5) == bool(r["label"]) for r in rows]) > 0.97
+    assert all(abs(forest.chance(r["f"].asDict()) - r["chance"]) < 1e-9 for r in rows[:100])
+
+
+SECRET = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+
+
+def test_scan_and_redact(spark, forest):
+    texts = [f'x é token = "{SECRET}" y', f"commit {SECRET[::-1]} done", 'password = "your_password_here"', f'a="1" secret: {SECRET[:32]} and token="{SECRET}"', *ODD]
+    docs = documents(spark, texts)
+    found = secrets.scan(docs, forest).collect()
+    for r in found:
+        assert texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["candidate"]
+    assert {r["doc_id"] for r in found if r["secret"]} == {0, 3}
+    out = {r["doc_id"]: r for r in secrets.redact(docs, forest, size_col="n_chars").collect()}
+    assert out[0]["text"] == 'x é token = "[SECRET]" y' and out[0]["n_chars"] == len(out[0]["text"])
+    assert out[3]["text"] == 'a="1" secret: [SECRET] and token="[SECRET]"'
+    assert all(out[k]["text"] == texts[k] for k in range(len(texts)) if k not in (0, 3))
+    assert secrets.scan(docs.limit(0), forest).count() == 0
+
+
+# ------------------------------------------------------------------ 6
+
+
+def toxic_corpus(rng, n):
+    rows = []
+    for k in range(n):
+        y = k % 5 == 0
+        ws = [rng.choice(WORDS) for _ in range(60)]
+        for _ in range(3 if y else 0):
+            ws.insert(rng.randrange(len(ws)), rng.choice(["dreck", "vile", "rotten"]))
+        rows.append((k, " ".join(ws), int(y)))
+    return rows
+
+
+def test_toxicity(spark):
+    rows = toxic_corpus(random.Random(6), 500)
+    docs = documents(spark, [t for _, t, _ in rows] + ODD, [*range(500), 1000, 1001, 1002, 1003, 1004, 1005, None, None])
+    labels = spark.createDataFrame([(k, y, 1) for k, _, y in rows] + [(None, 1, 1), (99_999, 1, 1), (3, None, 1)], "doc_id long, toxic int, quality int")
+    field = toxicity.fit(docs, labels)
+    found = {r["doc_id"]: r for r in toxicity.tag(docs, field, carry=("doc_id",)).collect()}
+    test = [(k, y) for k, _, y in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([(found[k]["score"] >= 0.5) == bool(y) for k, y in test]) > 0.97
+    for k, t, y in rows[:50]:
+        marked = [t[s["start"] : s["end"]] for s in found[k]["spans"]]
+        assert all(set(m.split()) <= {"dreck", "vile", "rotten"} for m in marked) and bool(marked) == bool(y)
+    assert all(0 <= r["score"] <= 1 for r in found.values()) and found[1001]["score"] < 0.5
+    kept = toxicity.remove_toxic(docs, field)
+    assert kept.columns == docs.columns and kept.count() < docs.count()
+    blank = toxicity.fit(docs, labels.limit(0))
+    assert all(r["score"] < 1e-9 for r in toxicity.tag(docs, blank).collect())
+
+
+def test_marginals_are_exact():
+    rng = np.random.default_rng(7)
+    field = toxicity.Field(np.zeros(1 << toxicity.BUCKETS), rng.normal(size=(2, 2)), np.zeros(4))
+    sizes = np.array([0, 1, 5, 63, 64, 65, 200, 0, 300])
+    p = rng.normal(size=sizes.sum())
+    got, at, m = field.marginals(p, sizes), 0, np.exp(field.move)
+    for n in sizes:
+        forward, a = [], np.ones(2)
+        for t in range(n):
+            a = (a @ m) * [1, math.exp(p[at + t])]
+            a /= a.sum()
+            forward.append(a)
+        b = np.ones(2)
+        for t in range(n - 1, -1, -1):
+            both = forward[t] * b
+            assert abs(both[1] / both.sum() - got[at + t]) < 1e-9
+            b = m @ (b * [1, math.exp(p[at + t])])
+            b /= b.sum()
+        at += n
+
+
+# ------------------------------------------------------------------ 7
+
+
+@pytest.mark.parametrize("head", [5, 1 << 18])
+def test_class_lm(spark, head):
+    rng = random.Random(8)
+    left, right = WORDS[:8], WORDS[8:]
+    texts = [" ".join(rng.choice(left if k % 2 else right) for k in range(rng.randrange(60))) for _ in range(200)] + ODD
+    ids = [*range(len(texts) - 1), None]
+    train = [t for i, t in zip(ids, texts, strict=True) if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    count = Counter(w for t in train for w in (t or "").encode().lower().split())
+    total, distinct = sum(count.values()) + len(train), len(count) + 1
+    rows = {r["doc_id"]: r for r in class_lm.score(documents(spark, texts, ids), head=head, classes=2).collect()}
+    for i, t in zip(ids, texts, strict=True):
+        ws = (t or "").encode().lower().split()
+        base = sum(math.log10((c + 0.1) / (total + 0.1 * (distinct + 1))) for c in [*(count[w] for w in ws), len(train)])
+        r = rows[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws) + 1, sum(count[w] > 0 for w in ws) + 1, total)
+        assert abs(r["base_score"] - base) < 1e-6
+    held = [r for r in rows.values() if r["held_out"] and 2 < r["n_tokens"] < 100]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert class_lm.score(documents(spark, [])).count() == 0
+
+
+def test_exchange_finds_the_two_classes():
+    pairs = np.zeros((9, 9))
+    for a in range(8):
+        for b in range(8):
+            pairs[a, b] = 10 if (a < 4) != (b < 4) else 0
+    own = class_lm.exchange(pairs, 2)
+    assert len(set(own[:4])) == 1 and len(set(own[4:])) == 1 and own[0] != own[7]
+
+
+def test_model_is_a_distribution():
+    words = [w.encode() for w in WORDS]
+    model = class_lm.Classes({w: k % 2 for k, w in enumerate(words[:6])}, 2)
+    cls = model.of(words + [b"\xff\xfe", b""])
+    assert cls[:6].tolist() == [0, 1, 0, 1, 0, 1] and all(2 <= c < 4 for c in cls[6:])
+
+
+# ------------------------------------------------------------------ 8
+
+
+def test_resampling(spark):
+    rng = random.Random(9)
+    good = [sentence(rng, 50) for _ in range(150)]
+    junk = [" ".join(rng.choice(["zz", "qq%%", "###"]) for _ in range(50)) for _ in range(50)]
+    docs = documents(spark, good + junk + ODD)
+    labels = spark.createDataFrame([(k, int(k < 150)) for k in range(0, 200, 2)] + [(None, 1), (1, None)], "doc_id long, quality int")
+    rows = {r["doc_id"]: r for r in resample.resample(docs, labels, k=150).collect()}
+    assert sum(r["selected"] for r in rows.values()) == 150
+    assert sum(rows[k]["selected"] for k in range(150, 200)) == 0
+    again = {r["doc_id"]: r["key"] for r in resample.resample(docs.repartition(3), labels, k=150).collect()}
+    assert all(abs(again[k] - r["key"]) < 1e-9 for k, r in rows.items())
+    assert resample.resample(docs.limit(0), labels).count() == 0
+    assert all(r["log_weight"] == 0 for r in resample.resample(docs, labels.limit(0)).collect())
+
+
+@pytest.mark.parametrize("k", [1, 2, 17, 99, 100])
+def test_kth_largest(spark, k):
+    rng = random.Random(k)
+    values = [rng.choice([rng.gauss(0, 1000), 3.0, 7.5]) for _ in range(100)]
+    df = spark.createDataFrame([(v,) for v in values], "key double")
+    assert resample.kth_largest(df, "key", k, parts=8) == sorted(values, reverse=True)[k - 1]
+
+
+# ------------------------------------------------------------------ 10
+
+
+def canon(t):
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())
+    return re.sub(r"\s+", " ", folded).strip(" ")
+
+
+def printed(t):
+    b = canon(t).encode()
+    return f"{xxhash.xxh64_intdigest(b, 42):016x}{xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(b'logweave', 42)):016x}"
+
+
+@pytest.mark.parametrize("rows_a_bucket", [3, 2048])
+def test_digest_against_brute_force(spark, monkeypatch, rows_a_bucket):
+    monkeypatch.setattr(digest, "BUCKET_ROWS", rows_a_bucket)
+    rng = random.Random(10)
+    texts = [sentence(rng, rng.randrange(1, 20)) for _ in range(30)] + ODD + ["SAME  text", "STRASSE", "straße"]
+    ids = sorted(rng.sample(range(-1000, 100_000), len(texts)), reverse=True)
+    got = {r["doc_id"]: r for r in digest.edits(documents(spark, texts, ids)).collect()}
+    assert len(got) == len(texts)
+    for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
+        t, after = t or "", texts[(k + 1) % len(texts)] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), printed(t), printed(edited))
+        assert (r["near_edited"], r["near_next"]) == (float(canon(t) == canon(edited)), float(canon(t) == canon(after)))
+
+
+def test_digest_groups(spark):
+    rows = digest.groups(documents(spark, ["Same  Text", "same text", "STRASSE", "straße", "other", None, ""])).collect()
+    assert {r["doc_id"]: (r["copies"], r["first_id"]) for r in rows} == {0: (2, 0), 1: (2, 0), 2: (2, 2), 3: (2, 2), 4: (1, 4), 5: (2, 5), 6: (2, 5)}
+    assert digest.edits(documents(spark, [])).count() == 0
+    assert digest.edits(documents(spark, ["a b c", "a b c", "x"], [None, 4, 4])).count() == 3
+
+
+def test_bucket_bounds(spark):
+    for n in (3, 300, 700):
+        bounds = list(range(0, 10 * n, 10))
+        rows = spark.range(-5, 10 * n + 5, 7).select("id", digest.bucket_of(F.col("id"), bounds).alias("b")).collect()
+        assert all(r["b"] == sum(x <= r["id"] for x in bounds) for r in rows)
