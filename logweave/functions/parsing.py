@@ -55,7 +55,10 @@ def routed(event: Column) -> Column:
 
 def timestamp(text: Column, lenient: bool = False) -> Column:
     """Whole seconds of the five accepted forms, in UTC; null for others. lenient also takes Z, zone offsets after T, and commas before milliseconds."""
-    t = strip(text)
+    return let(strip(text), lambda t: _timestamp(t, lenient))
+
+
+def _timestamp(t: Column, lenient: bool) -> Column:
     whole = F.regexp_replace(F.regexp_replace(t, "T", " "), r"[.,]\d+", "")
     plain = r"^\d{4}-\d{1,2}-\d{1,2}(?:T|\s+)\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?$"
     zoned = r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}\s+(?:Z|[+-]\d{2}:?\d{2})$"
@@ -71,6 +74,11 @@ def timestamp(text: Column, lenient: bool = False) -> Column:
     return at.otherwise(F.lit(None).cast("timestamp"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fields(at: Column, severity: Column, message: Column, host: Column | None = None, attributes: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(at.alias("event_ts"), severity.alias("severity"), message.alias("message"), (none if host is None else host).alias("host"), (F.create_map().cast(Map) if attributes is None else attributes.cast(Map)).alias("attributes"))
@@ -79,9 +87,11 @@ def fields(at: Column, severity: Column, message: Column, host: Column | None =
 def parse_json(raw: Column, lenient: bool = False) -> Column:
     """Null where the event is no JSON object. Empty, zero, false and null values count as missing, as do empty lists and objects."""
     text = one_line(raw)
-    value = F.try_parse_json(text)
-    entries = F.from_json(text, Map)
+    both = F.struct(F.try_parse_json(text).alias("value"), F.from_json(text, Map).alias("entries"), text.alias("text"))
+    return let(both, lambda b: _json_fields(b["value"], b["entries"], b["text"], lenient))
+
 
+def _json_fields(value: Column, entries: Column, text: Column, lenient: bool) -> Column:
     def get(key: str) -> Column:
         found = F.try_variant_get(value, f"$['{key}']", "variant")
         literal = F.to_json(found)
@@ -97,16 +107,20 @@ def parse_json(raw: Column, lenient: bool = False) -> Column:
     at, taken_at = first("timestamp", "time", "@timestamp")
     level, taken_level = first("level", "severity", "status")
     text_of, taken_text = first("message", "msg")
-    taken = F.concat(taken_at, taken_level, taken_text)
-    rest = F.map_filter(entries, lambda k, v: ~F.array_contains(taken, k))
-    level = F.upper(strip(F.coalesce(level, F.lit("INFO"))))
-    message = strip(F.coalesce(text_of, F.to_json(rest)))
-    return F.when(value.isNotNull() & text.startswith("{") & entries.isNotNull(), fields(timestamp(at, lenient), lookup(C.NUMERIC_LEVELS, level, level), message, None, rest))
+    found = F.struct(at.alias("at"), F.upper(strip(F.coalesce(level, F.lit("INFO")))).alias("level"), text_of.alias("text"), F.concat(taken_at, taken_level, taken_text).alias("taken"))
+
+    def build(f: Column) -> Column:
+        rest = F.map_filter(entries, lambda k, v: ~F.array_contains(f["taken"], k))
+        return fields(timestamp(f["at"], lenient), lookup(C.NUMERIC_LEVELS, f["level"], f["level"]), strip(F.coalesce(f["text"], F.to_json(rest))), None, rest)
+
+    return F.when(value.isNotNull() & text.startswith("{") & entries.isNotNull(), let(found, build))
 
 
 def parse_syslog(raw: Column, lenient: bool = False) -> Column:
-    text = one_line(raw)
+    return let(one_line(raw), lambda text: _syslog_fields(text, lenient))
 
+
+def _syslog_fields(text: Column, lenient: bool) -> Column:
     def build(pattern: str, priority: Column, default: Column | None = None) -> Column:
         p = "(?s)" + pattern
         code = F.pmod(priority, F.lit(8)) if default is None else F.coalesce(F.pmod(priority, F.lit(8)), default)
@@ -120,7 +134,11 @@ def parse_syslog(raw: Column, lenient: bool = False) -> Column:
 
 
 def parse_access(raw: Column, lenient: bool = False) -> Column:
-    text, p = one_line(raw), "(?s)" + C.ACCESS_LOG
+    return let(one_line(raw), lambda text: _access_fields(text, lenient))
+
+
+def _access_fields(text: Column, lenient: bool) -> Column:
+    p = "(?s)" + C.ACCESS_LOG
     status = F.regexp_extract(text, p, 4).try_cast("int")
     level = F.when(status >= 500, "ERROR").when(status >= 400, "WARNING").otherwise("INFO")
     message = F.concat(strip(F.regexp_extract(text, p, 3)), F.lit(" (HTTP "), status.cast("string"), F.lit(")"))
@@ -129,22 +147,31 @@ def parse_access(raw: Column, lenient: bool = False) -> Column:
 
 
 def parse_structured(raw: Column, lenient: bool = False) -> Column:
-    text, p = one_line(raw), "(?s)" + C.BRACKETED
+    return let(one_line(raw), lambda text: F.coalesce(_access_fields(text, lenient), _bracket_fields(text, lenient)))
+
+
+def _bracket_fields(text: Column, lenient: bool) -> Column:
+    p = "(?s)" + C.BRACKETED
     rest = F.regexp_extract(text, p, 3)
     at = F.regexp_replace(F.regexp_extract(text, p, 1), r"^[\[\] ]+|[\[\] ]+$", "")
-    generic = F.when(text.rlike(p), fields(timestamp(at, lenient), F.upper(F.coalesce(group(text, p, 2), F.lit("INFO"))), F.when(rest == "", text).otherwise(strip(rest))))
-    return F.coalesce(parse_access(raw, lenient), generic)
+    return F.when(text.rlike(p), fields(timestamp(at, lenient), F.upper(F.coalesce(group(text, p, 2), F.lit("INFO"))), F.when(rest == "", text).otherwise(strip(rest))))
 
 
 def parse_kv(raw: Column, lenient: bool = False) -> Column:
     """Last key wins; numbers are written as they are inferred (leading zeros and quotes go)."""
-    text, p = one_line(raw), "(?s)" + C.KEY_VALUE
+    p = "(?s)" + C.KEY_VALUE
     clean = lambda v: F.regexp_replace(v, "^[\"']+|[\"']+$", "")
     number = lambda v: F.when(v.rlike(r"^\d+$"), F.regexp_replace(v, "^0+(?=.)", "")).otherwise(v)
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("v"))
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["k"] == e["k"]))
-    entries = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"].alias("key"), number(clean(e["v"])).alias("value"))))
 
+    def entries(text: Column) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("v"))
+        last = lambda found: F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["k"] == e["k"]))
+        return F.map_from_entries(F.transform(let(pairs, last), lambda e: F.struct(e["k"].alias("key"), number(clean(e["v"])).alias("value"))))
+
+    return let(one_line(raw), lambda text: let(entries(text), lambda found: _kv_fields(text, found, lenient)))
+
+
+def _kv_fields(text: Column, entries: Column, lenient: bool) -> Column:
     def get(key: str) -> Column:
         v = F.try_element_at(entries, F.lit(key))
         return F.when((v == "") | v.try_cast("double").eqNullSafe(F.lit(0.0)), None).otherwise(v)
@@ -155,7 +182,8 @@ def parse_kv(raw: Column, lenient: bool = False) -> Column:
     gone = F.concat(taken("timestamp", "time"), taken("level", "severity"), taken("msg", "message"))
     level = F.coalesce(get("level"), get("severity"), group(text, C.KV_BRACKET_LEVEL, 1), F.lit("INFO"))
     message = F.coalesce(get("msg"), get("message"), after_dash(text))
-    return fields(timestamp(F.coalesce(get("timestamp"), get("time")), lenient), F.regexp_replace(F.upper(level), "^[\"' ]+|[\"' ]+$", ""), F.regexp_replace(message, "^[\"' ]+|[\"' ]+$", ""), None, F.map_filter(entries, lambda k, v: ~F.array_contains(gone, k)))
+    trimmed = lambda v: F.regexp_replace(v, "^[\"' ]+|[\"' ]+$", "")
+    return fields(timestamp(F.coalesce(get("timestamp"), get("time")), lenient), trimmed(F.upper(level)), trimmed(message), None, let(gone, lambda g: F.map_filter(entries, lambda k, v: ~F.array_contains(g, k))))
 
 
 def after_dash(text: Column) -> Column:
@@ -163,7 +191,10 @@ def after_dash(text: Column) -> Column:
 
 
 def parse_plain(raw: Column, lenient: bool = False) -> Column:
-    text = one_line(raw)
+    return let(one_line(raw), lambda text: _plain_fields(text, lenient))
+
+
+def _plain_fields(text: Column, lenient: bool) -> Column:
     return fields(timestamp(F.regexp_extract(text, C.LEADING_DATE, 1), lenient), F.upper(F.coalesce(group(text, C.BRACKET_LEVEL, 1), F.lit("INFO"))), strip(after_dash(text)))
 
 
@@ -189,11 +220,11 @@ def parse(events: DataFrame, event_col: str = "event", order: tuple[str, ...] =
     now = F.current_timestamp() if ingest is None else ingest
     rows = events.where(strip(e) != "").withColumn("_source", routed(e))
     parsed = F.when(F.col("_source") == "json", parse_json(e, lenient)).when(F.col("_source") == "syslog", parse_syslog(e, lenient)).when(F.col("_source") == "structured_text", parse_structured(e, lenient)).when(F.col("_source") == "kv", parse_kv(e, lenient)).otherwise(parse_plain(e, lenient))
-    rows = rows.withColumn("_parsed", parsed).withColumn("_fields", F.coalesce("_parsed", parse_plain(e, lenient)))
-    f = lambda name: F.col(f"_fields.{name}")
+    rows = rows.withColumn("_out", let(parsed, lambda p: F.struct(F.coalesce(p, parse_plain(e, lenient)).alias("fields"), p.isNull().alias("fallback"))))
+    f = lambda name: F.col(f"_out.fields.{name}")
     service = F.coalesce(*[F.nullif(F.try_element_at(f("attributes"), F.lit(k)), F.lit("")) for k in C.SERVICE_KEYS])
     return rows.select(
         *order, event_id(*[F.col(c) for c in order], e).alias("event_id"), F.coalesce(f("event_ts"), now).alias("event_ts"), f("event_ts").isNotNull().alias("event_ts_parsed"),
         upgraded(f("severity"), e).alias("severity"), F.coalesce(F.nullif(f("message"), F.lit("")), e).alias("message"), F.col("_source").alias("source"), service.alias("service"), f("host").alias("host"), e.alias("raw"), f("attributes").alias("attributes"),
-        (F.col("_parsed").isNull() | (~F.col("_source").isin("json", "syslog", "kv", "plain_text") & ~F.col("_parsed").isNotNull())).alias("parser_fallback"),
+        F.col("_out.fallback").alias("parser_fallback"),
     )
