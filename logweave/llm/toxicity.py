@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ NOTHING = "\0"
 
 
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+    return list(map(intern, TOKEN.findall(text.lower()))) if text else []
 
 
 def bucket(kind: str, word: str) -> int:
@@ -168,30 +169,29 @@ def shape(evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def seeds(texts: list[list[str]], toxic: list[int], least: int = 4, share: float = 0.8, nats: float = 12.0) -> set[str]:
     """Words of which at least `share` of the different surroundings are in toxic documents, more than the documents' sizes explain by
-    `nats` of log-likelihood, with `least` different words before, after, and documents."""
-    inside: dict[str, set[tuple[str, str]]] = defaultdict(set)
-    outside: dict[str, set[tuple[str, str]]] = defaultdict(set)
-    total = [0, 0]
+    `nats` of log-likelihood, with `least` different words before, after, and documents, and in no fewer toxic documents than others."""
+    total, spread = [0, 0], (Counter(), Counter())
     for ws, y in zip(texts, toxic, strict=True):
-        padded = [NOTHING, *ws, NOTHING]
         total[y] += len(ws)
-        into = inside if y else outside
-        for before, w, after in zip(padded, ws, padded[2:], strict=False):
-            into[w].add((before, after))
+        spread[y].update(set(ws))
     if not total[1]:
         return set()
-    spread = Counter()
+    around: tuple[dict, dict] = ({}, {})
+    for w, n in spread[1].items():
+        if n >= least and n >= spread[0][w]:
+            around[0][w], around[1][w] = set(), set()
     for ws, y in zip(texts, toxic, strict=True):
-        if y:
-            spread.update(set(ws))
+        padded = [NOTHING, *ws, NOTHING]
+        for before, w, after in zip(padded, ws, padded[2:], strict=False):
+            if w in around[y]:
+                around[y][w].add((before, after))
     expected = min(total[1] / (total[0] + total[1]), 1 - 1e-6)
     chosen = set()
-    for w, around in inside.items():
-        n, other = len(around), len(outside.get(w, ()))
-        befores, afters = len({a for a, _ in around}), len({b for _, b in around})
+    for w, inside in around[1].items():
+        n, other = len(inside), len(around[0][w])
         part = n / (n + other)
         gain = n * np.log(part / expected) + (other * np.log((1 - part) / (1 - expected)) if other else 0.0)
-        if min(befores, afters, spread[w]) >= least and part >= share and gain >= nats:
+        if min(len({a for a, _ in inside}), len({b for _, b in inside})) >= least and part >= share and gain >= nats:
             chosen.add(w)
     return chosen
 
@@ -220,8 +220,7 @@ def train(texts: list[str | None], toxic: list[int], rate: float | None = None,
     np.add.at(pair, (np.zeros(len(ends), int), tag[first].astype(int)), 1)
     # Transitions in closed form from the tags' counts; the observation weights then by L-BFGS on the pseudo-exact likelihood.
     move = np.log((pair + 0.5) / (pair + 0.5).sum(axis=1, keepdims=True))
-    used, flat = np.unique(where, return_inverse=True)
-    flat = flat.reshape(where.shape).astype(np.int32)
+    flat = where.astype(np.int32)
     del where
     field = Field(np.zeros(1 << BUCKETS), move, np.zeros(4))
     weight = 1.0 / len(place)
@@ -234,11 +233,10 @@ def train(texts: list[str | None], toxic: list[int], rate: float | None = None,
         gradient = sum(np.bincount(flat[:, k], weights=gap, minlength=len(v)) for k in range(flat.shape[1])) * weight + 2 * l2 * weight * v
         return loss, gradient
 
-    v = lbfgs(value, np.zeros(len(used)), rounds)
-    w = np.zeros(1 << BUCKETS)
-    w[used] = v
-    field = Field(w, move, np.zeros(4))
-    evidence, all_sizes, _ = field.evidence(docs)
+    field = Field(lbfgs(value, np.zeros(1 << BUCKETS), rounds), move, np.zeros(4))
+    del flat, place, tag
+    parts = [field.evidence(docs[k : k + 256])[:2] for k in range(0, len(docs), 256)]
+    evidence, all_sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
     y = np.array(toxic, float)
     rate = y.mean() if rate is None else rate
     weights = np.where(y > 0, rate / max(1e-9, y.mean()), (1 - rate) / max(1e-9, 1 - y.mean()))
