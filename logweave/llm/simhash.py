@@ -104,7 +104,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = scratch.keep(found.groupBy(F.col("component_id").alias("_stay")).agg(F.count(F.when(F.col("doc_id") == F.col("component_id"), 1)).alias("_times")), "ids")
     named = ids.where("_stay is not null")
     own = docs.columns
-    kept = docs.join(named.withColumnRenamed("_stay", "_key"), F.col(id_col).cast("long") == F.col("_key")).drop("_key")
+    # One plan at every size: rows go to their id's partition once, whether or not the ids would fit a broadcast today.
+    kept = docs.join(named.withColumnRenamed("_stay", "_key").hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_key")).drop("_key")
     single = kept.where("_times = 1").select(own)
     pick = lambda df, *keys: df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in own]), F.xxhash64(F.col(f"`{text_col}`"))).alias("_row")).select("_row.*")
     repeated = pick(kept.where("_times > 1"), F.col(id_col))
