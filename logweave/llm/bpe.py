@@ -29,7 +29,7 @@ SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B),
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 NO_RANK = np.iinfo(np.int64).max
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 400_000
 
 
 def byte_letters() -> dict[str, int]:

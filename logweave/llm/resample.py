@@ -33,6 +33,7 @@ from logweave.session import Scratch
 
 BUCKETS = 10_000
 TARGET = 50_000
+KNOWN = 400_000
 FEATURE = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[^\w\s]|_")
 
 
@@ -48,7 +49,7 @@ class Hashed:
 
     def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(buckets of all features, text of each): words first, then pairs."""
-        if len(self.index) > 1 << 20:
+        if len(self.index) > KNOWN:
             self.forget()
         docs = [FEATURE.findall(t.lower()) if t else [] for t in texts]
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))

@@ -41,6 +41,7 @@ SAMPLE = 3_000
 PIECE = 256
 BUCKETS = 18
 STEP = 64
+KNOWN = 400_000
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 NOTHING = "\0"
 
@@ -78,7 +79,7 @@ class Field:
 
     def scores(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Potentials of all tokens of all documents in one array, and the documents' sizes."""
-        if len(self.index) > 1 << 20:
+        if len(self.index) > KNOWN:
             self._start()
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         known, index = len(self.index), self.index
