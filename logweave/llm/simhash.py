@@ -20,7 +20,7 @@ An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -94,34 +94,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of docs of which one for each component stays: that with the smallest id.
+def rooted(prints: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, fp, root) for each row of prints: root is the fingerprint that stands for the component."""
+    labels = connected_components(edges, scratch)
+    return prints.select("doc_id", "fp").join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
 
-    Of rows that repeat the id that stays, one stays. Of a component whose ids are all null, one row stays. All columns are kept.
+def one_of_each(docs: DataFrame, found: DataFrame, prints_of: Callable[[DataFrame, str], DataFrame], scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs of which one stays for each component of `found` (doc_id, fp, root): that with the smallest id, then the least fingerprint.
+
+    A row is known by its id where no other row has it. Rows whose id is null or repeated are known by id and fingerprint,
+    which `prints_of(rows, id column)` makes again for these rows alone.
     """
-    scratch = Scratch(docs.sparkSession, "simhash-drop")
-    found = near_duplicates(docs, id_col, text_col, width, distance)
-    ids = scratch.keep(found.groupBy(F.col("component_id").alias("_stay")).agg(F.count(F.when(F.col("doc_id") == F.col("component_id"), 1)).alias("_times")), "ids")
-    named = ids.where("_stay is not null")
     own = docs.columns
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "fp")).alias("m")
+    stay = scratch.keep(found.groupBy("root").agg(first).select("m.doc_id", "m.fp"), "stay")
+    rows = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
+    named = scratch.keep(rows.join(stay.where("doc_id is not null").select("doc_id").distinct(), "doc_id").withColumnRenamed("doc_id", "_key"), "named")
     # One plan at every size: rows go to their id's partition once, whether or not the ids would fit a broadcast today.
-    kept = docs.join(named.withColumnRenamed("_stay", "_key").hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_key")).drop("_key")
-    single = kept.where("_times = 1").select(own)
-    pick = lambda df, *keys: df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in own]), F.xxhash64(F.col(f"`{text_col}`"))).alias("_row")).select("_row.*")
-    repeated = pick(kept.where("_times > 1"), F.col(id_col))
-    out = single.unionByName(repeated)
-    if docs.where(F.col(id_col).isNull()).limit(1).count():
-        bare = near_duplicates_of_null_ids(docs, found, scratch, id_col, text_col, width)
-        out = out.unionByName(pick(bare, "_fp").select(own))
-    return out
-
-
-def near_duplicates_of_null_ids(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows without an id whose component has no id at all, with _fp, the least fingerprint that stands for the component."""
-    bare = found.where("component_id is null").select("fp").distinct()
-    labels = connected_components(links(bare, 2), scratch)
-    roots = bare.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.col("fp").alias("_own"), F.coalesce("root", "fp").alias("_fp"))
-    texts = docs.where(F.col(id_col).isNull()).select("*", F.monotonically_increasing_id().alias("_at"))
-    texts = scratch.keep(texts, "bare")
-    own = fingerprints(texts, "_at", text_col, width).select(F.col("doc_id").alias("_at"), F.col("fp").alias("_own"))
-    return texts.join(own, "_at").join(roots, "_own")
+    kept = docs.join(named.hint("shuffle_hash"), F.col(f"`{id_col}`").cast("long") == F.col("_key")).drop("_key")
+    out = kept.where("_times = 1").select(own)
+    if named.where("_times > 1").isEmpty() and stay.where("doc_id is null").isEmpty():
+        return out
+    shared = kept.where("_times > 1").select(own).unionByName(docs.where(F.col(f"`{id_col}`").cast("long").isNull()))
+    shared = scratch.keep(shared.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.monotonically_increasing_id().alias("_at")), "shared")
+    made = prints_of(shared.select("_at", F.col("_text").alias(text_col)), "_at").select(F.col("doc_id").alias("_at"), "fp")
+    marked = shared.join(made, "_at").join(stay.withColumnRenamed("fp", "_fp"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("fp") == F.col("_fp")))
+    chosen = marked.groupBy("_id", "fp").agg(F.min_by("_row", F.struct(F.xxhash64("_text"), "_at")).alias("_row"))
+    return out.unionByName(chosen.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(own)]))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of docs of which one stays for each component of fingerprints within `distance` bits. All columns are kept."""
+    scratch = Scratch(docs.sparkSession, "simhash-drop")
+    prints_of = lambda rows, key: fingerprints(rows, key, text_col, width)
+    prints = scratch.keep(prints_of(docs, id_col), "prints")
+    found = scratch.keep(rooted(prints, links(prints.select("fp").distinct(), distance), scratch), "rooted")
+    return one_of_each(docs, found, prints_of, scratch, id_col, text_col)
