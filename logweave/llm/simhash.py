@@ -20,6 +20,7 @@ An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -29,11 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import slices
+from logweave.llm.shared import slices, utf8
 from logweave.operators.graph import connected_components
 from logweave.session import Scratch
 
 PIECE = 1 << 18
+COMMON = 100_000
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -131,3 +133,106 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = scratch.keep(prints_of(docs, id_col), "prints")
     found = scratch.keep(rooted(prints, links(prints.select("fp").distinct(), distance), scratch), "rooted")
     return one_of_each(docs, found, prints_of, scratch, id_col, text_col)
+
+
+def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """The different XXH64 of a text's word shingles, ascending; words as for `fingerprint`."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64))
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool = True) -> DataFrame:
+    """(doc_id, fp, set): fp is a hash of the set of shingles; one row for each row of docs. Without `whole`, sets are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            sets = [shingles(t, width) for t in utf8(batch.column("text"))]
+            prints = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+            columns = [batch.column("doc_id"), pa.array(prints)]
+            if whole:
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "set"][: len(columns)])
+
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fp long" + (", set array<long>" if whole else ""))
+
+
+def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """(shingle, fp, n, pos): the shingles of which two sets of at least `similarity` share one; pos counts in the order `common` last, then by hash."""
+    shared = sets.sparkSession.sparkContext.broadcast(np.sort(common))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, met = shared.value, set()
+        for batch in batches:
+            taken, parts = [], []
+            for fp, s in zip(batch.column("fp").to_pylist(), batch.column("set"), strict=True):
+                if fp in met:  # a copy: its entries are there
+                    continue
+                if len(met) < PIECE:
+                    met.add(fp)
+                s = s.values.to_numpy()
+                part = s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+                if len(last):
+                    at = np.searchsorted(last, s)
+                    late = last[np.minimum(at, len(last) - 1)] == s
+                    part = np.concatenate([s[~late], s[late]])[: len(part)]
+                if len(s):
+                    taken.append((fp, len(s), len(part)))
+                    parts.append(part)
+            if taken:
+                fps, sizes, n = (np.array(x) for x in zip(*taken, strict=True))
+                pos = np.concatenate([np.arange(k) for k in n])
+                columns = [np.concatenate(parts), np.repeat(fps, n), np.repeat(sizes, n), pos]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shingle", "fp", "n", "pos"])
+
+    return sets.select("fp", "set").mapInArrow(run, "shingle long, fp long, n long, pos long")
+
+
+def common_shingles(sets: DataFrame, similarity: float) -> np.ndarray:
+    """Shingles that stand in many sets, counted on a sixteenth of them. They only set the order of shingles, so any choice gives the same pairs."""
+    some = prefixes(sets.where("pmod(xxhash64(fp), 16) = 0"), similarity, np.zeros(0, np.int64)).groupBy("shingle").agg(F.approx_count_distinct("fp").alias("times"))
+    return some.where("times >= 8").orderBy(F.col("times").desc(), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy()
+
+
+def similar_links(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(src, dst): all pairs of fingerprints of sets with a Jaccard similarity of at least `similarity`, but for pairs in the same component already.
+
+    Prefix filter: in any fixed order of all shingles, two such sets share one of their first n - ceil(similarity * n) + 1. Pairs meet at shared
+    prefix shingles, pass bounds from sizes and positions, and are verified by their whole sets. The members of a shingle and size
+    band are verified against one of them first; then only pairs whose components still differ are made, so that a large group of near copies is no square.
+    """
+    share = similarity / (1 + similarity)
+    met = prefixes(sets, similarity, common_shingles(sets, similarity)).select("*", F.expr("min(fp) over (partition by shingle)").alias("lo"), F.expr("max(fp) over (partition by shingle)").alias("hi"))
+    live = scratch.keep(met.where("lo != hi").drop("lo", "hi").dropDuplicates(["shingle", "fp"]).withColumn("band", F.floor(F.log("n") / math.log(1 / similarity)) if similarity < 1 else F.col("n")), "live")
+    bound = f"least(n, m) >= {similarity!r} * greatest(n, m) - 1e-6 and 1 + least(n - pos, m - other) - 1 >= {share!r} * (n + m) - 1e-6"
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.keep(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), name)
+        ends = pairs.select(F.col("src").alias("fp")).unionByName(pairs.select(F.col("dst").alias("fp"))).distinct()
+        needed = scratch.keep(sets.select("fp", "set").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set")), "needed")
+        both = pairs.join(needed.select(F.col("fp").alias("src"), F.col("set").alias("a")), "src").join(needed.select(F.col("fp").alias("dst"), F.col("set").alias("b")), "dst")
+        both = both.withColumn("inside", F.size(F.array_intersect("a", "b")))
+        return scratch.keep(both.where(F.col("inside") >= similarity * (F.size("a") + F.size("b") - F.col("inside")) - 1e-9).select("src", "dst"), "links")
+
+    star = live.select(F.col("fp").alias("src"), "n", "pos", F.expr("min(struct(fp, n, pos)) over (partition by shingle, band)").alias("c"))
+    star = star.select("src", "n", "pos", F.col("c.fp").alias("dst"), F.col("c.n").alias("m"), F.col("c.pos").alias("other")).where("src != dst").where(bound)
+    near = verified(star, "star")
+    roots = connected_components(near, scratch)
+    live = scratch.keep(live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "live-rooted")
+    one = live.select("shingle", F.col("fp").alias("src"), "n", "pos", "root")
+    two = live.select("shingle", F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("pos").alias("other"), F.col("root").alias("far"))
+    return near.unionByName(verified(one.join(two, "shingle").where("root < far").where(bound), "cross"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs of which one stays for each component of texts whose shingle sets have a Jaccard similarity of at least `similarity`.
+
+    All such pairs are found (see `similar_links`). Texts without words are alike. All columns are kept.
+    """
+    scratch = Scratch(docs.sparkSession, "similar-drop")
+    sets = scratch.keep(shingle_sets(docs, id_col, text_col, width), "sets")
+    found = scratch.keep(rooted(sets, similar_links(sets, similarity, scratch), scratch), "rooted")
+    return one_of_each(docs, found, lambda rows, key: shingle_sets(rows, key, text_col, width, whole=False), scratch, id_col, text_col)

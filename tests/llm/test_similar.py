@@ -1,16 +1,79 @@
-"""Near duplicates where rows repeat an id."""
+"""Near duplicates of the pipeline's stage against brute-force Jaccard, and rows that repeat an id."""
 
+import random
 from collections import Counter
 
+import corpus_pipeline
 from logweave.llm import simhash
-from test_operators import documents
+from test_operators import ODD, documents
+
+
+def brute_shingles(text, width=5):
+    ws = (text or "").lower().split()
+    return {tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))} if ws else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def brute_kept(texts, pair=alike):
+    sets = [brute_shingles(t) for t in texts]
+    left, kept = set(range(len(texts))), []
+    while left:
+        group, edge = set(), [left.pop()]
+        while edge:
+            k = edge.pop()
+            group.add(k)
+            near = {j for j in left if pair(sets[k], sets[j])}
+            left -= near
+            edge += near
+        kept.append(min(group))
+    return sorted(kept)
+
+
+def near_copies(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(400)]
+    licence = [rng.choice(vocabulary) for _ in range(80)]
+    texts = []
+    for k in range(30):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([6, 40, 120, 400]))] + licence * (k % 3 == 0)
+        for _ in range(8):
+            near = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 30)):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            texts.append(" ".join(near[: len(near) - rng.randrange(1 + len(near) // 8)]))
+    rng.shuffle(texts)
+    return texts + ODD
+
+
+def test_stage_against_brute_force_jaccard(spark, monkeypatch):
+    texts = near_copies(5)
+    want = brute_kept(texts)
+    assert len({t for t in texts if t}) > len(want) + 30
+    kept = corpus_pipeline.clean_duplicates(spark, documents(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == documents(spark, []).columns
+    # The order of shingles changes no result.
+    monkeypatch.setattr(simhash, "common_shingles", lambda sets, similarity: simhash.prefixes(sets, 0.0, simhash.np.zeros(0, simhash.np.int64)).where("pmod(shingle, 3) = 0").select("shingle").distinct().toArrow().column(0).to_numpy())
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(documents(spark, texts)).collect()) == want
+
+
+def test_chains_and_links_are_verified(spark):
+    rng = random.Random(6)
+    words = [f"v{k}" for k in range(260)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 160, 7)]
+    rng.shuffle(texts)
+    assert [r["doc_id"] for r in simhash.drop_similar(documents(spark, texts)).collect()] == brute_kept(texts)
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 160, 30)]
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(documents(spark, texts)).collect()) == brute_kept(texts) == list(range(len(texts)))
 
 
 def test_repeated_ids_keep_a_row_of_each_component(spark):
     texts = ["one two three four five six", "quite another text with no word shared", "one two three four five six", "a third text that only id nine holds", "one two three four five six", "quite another text with no word shared"]
     ids = [7, 7, 7, 9, 8, 3]
     want = Counter([(7, texts[0]), (9, texts[3]), (3, texts[1])])
-    for drop in (simhash.drop_near_duplicates,):
+    for drop in (simhash.drop_near_duplicates, simhash.drop_similar):
         assert Counter((r["doc_id"], r["text"]) for r in drop(documents(spark, texts, ids)).collect()) == want
         assert Counter((r["doc_id"], r["text"]) for r in drop(documents(spark, texts[:2], [7, 7])).collect()) == Counter([(7, texts[0]), (7, texts[1])])
         assert Counter((r["doc_id"], r["text"]) for r in drop(documents(spark, texts[:4], [None, None, None, 9])).collect()) == Counter([(None, texts[0]), (None, texts[1]), (9, texts[3])])
