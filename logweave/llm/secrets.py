@@ -39,13 +39,13 @@ SHAPES = (
     r"\bxox[abposr]-[A-Za-z0-9-]{10,}",
     r"\b(?:sk|pk|rk)[_-](?:live|test|ant|proj)?[_-]?[A-Za-z0-9_-]{16,}",
     r"\bAIza[A-Za-z0-9_-]{35}",
-    r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
-    r"(?<=://)[^\s/:@\"'<>]{1,64}:[^\s/@\"'<>]{3,128}(?=@)",
-    r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,256}={0,2}(?![A-Za-z0-9+/=_-])",
+    r"\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+",
+    r"(?<=://)[^\s/:@\"'<>]++:[^\s/@\"'<>]{3,}+(?=@)",
+    r"(?<![A-Za-z0-9+/=_-])(?!(?<=:)//[^\s/:@\"'<>]++:[^\s/@\"'<>]{3,}+@)[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])",
 )
 # A value after a name: what stands before the value is matched too, and then taken off; a look behind would be tried at every character.
 ASSIGNED = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]key|auth_key|credential|bearer)\s{0,3}[=:]{1,2}>?\s{0,3}[\"'`]?"
-PATTERN = ASSIGNED + r"[^\s\"'`,;<>(){}\[\]|]{6,256}|" + "|".join(SHAPES)
+PATTERN = ASSIGNED + r"[^\s\"'`,;<>(){}\[\]|]{6,}+|" + "|".join(SHAPES)
 
 # Words that candidates and their surroundings are held against.
 DICTIONARY = tuple(
