@@ -170,29 +170,37 @@ def shape(evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def seeds(texts: list[list[str]], toxic: list[int], least: int = 4, share: float = 0.8, nats: float = 12.0) -> set[str]:
     """Words of which at least `share` of the different surroundings are in toxic documents, more than the documents' sizes explain by
-    `nats` of log-likelihood, with `least` different words before, after, and documents, and in no fewer toxic documents than others."""
-    total, spread = [0, 0], (Counter(), Counter())
+    `nats` of log-likelihood, with `least` different words before, after, and toxic documents."""
+    total, spread = [0, 0], Counter()
     for ws, y in zip(texts, toxic, strict=True):
         total[y] += len(ws)
-        spread[y].update(set(ws))
+        if y:
+            spread.update(set(ws))
     if not total[1]:
         return set()
+    # Toxic surroundings first; a word goes as soon as its clean ones are too many, so that common words hold little memory.
+    number = Numbers()
     around: tuple[dict, dict] = ({}, {})
-    for w, n in spread[1].items():
-        if n >= least and n >= spread[0][w]:
+    for w, n in spread.items():
+        if n >= least:
             around[0][w], around[1][w] = set(), set()
-    for ws, y in zip(texts, toxic, strict=True):
-        padded = [NOTHING, *ws, NOTHING]
-        for before, w, after in zip(padded, ws, padded[2:], strict=False):
-            if w in around[y]:
-                around[y][w].add((before, after))
+    for y in (1, 0):
+        for ws, label in zip(texts, toxic, strict=True):
+            if label != y:
+                continue
+            padded = [NOTHING, *ws, NOTHING]
+            for before, w, after in zip(padded, ws, padded[2:], strict=False):
+                if w in around[y]:
+                    around[y][w].add(number[before] << 32 | number[after])
+                    if not y and len(around[1][w]) < share * (len(around[0][w]) + len(around[1][w])) - 1e-9:
+                        del around[0][w], around[1][w]
     expected = min(total[1] / (total[0] + total[1]), 1 - 1e-6)
     chosen = set()
     for w, inside in around[1].items():
         n, other = len(inside), len(around[0][w])
         part = n / (n + other)
         gain = n * np.log(part / expected) + (other * np.log((1 - part) / (1 - expected)) if other else 0.0)
-        if min(len({a for a, _ in inside}), len({b for _, b in inside})) >= least and part >= share and gain >= nats:
+        if min(len({p >> 32 for p in inside}), len({p & 0xFFFFFFFF for p in inside})) >= least and part >= share and gain >= nats:
             chosen.add(w)
     return chosen
 
