@@ -161,7 +161,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole:
 
 
 def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
-    """(shingle, fp, n, pos): the shingles of which two sets of at least `similarity` share one; pos counts in the order `common` last, then by hash."""
+    """(shingle, fp, n): the first shingles of each set in the order `common` last, then by hash, of which two sets of at least `similarity` share one."""
     shared = sets.sparkSession.sparkContext.broadcast(np.sort(common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +184,10 @@ def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFram
                     parts.append(part)
             if taken:
                 fps, sizes, n = (np.array(x) for x in zip(*taken, strict=True))
-                pos = np.concatenate([np.arange(k) for k in n])
-                columns = [np.concatenate(parts), np.repeat(fps, n), np.repeat(sizes, n), pos]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shingle", "fp", "n", "pos"])
+                columns = [np.concatenate(parts), np.repeat(fps, n), np.repeat(sizes, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shingle", "fp", "n"])
 
-    return sets.select("fp", "set").mapInArrow(run, "shingle long, fp long, n long, pos long")
+    return sets.select("fp", "set").mapInArrow(run, "shingle long, fp long, n long")
 
 
 def common_shingles(sets: DataFrame, similarity: float) -> np.ndarray:
@@ -201,13 +200,17 @@ def similar_links(sets: DataFrame, similarity: float, scratch: Scratch) -> DataF
     """(src, dst): all pairs of fingerprints of sets with a Jaccard similarity of at least `similarity`, but for pairs in the same component already.
 
     Prefix filter: in any fixed order of all shingles, two such sets share one of their first n - ceil(similarity * n) + 1. Pairs meet at shared
-    prefix shingles, pass bounds from sizes and positions, and are verified by their whole sets. The members of a shingle and size
-    band are verified against one of them first; then only pairs whose components still differ are made, so that a large group of near copies is no square.
+    prefix shingles, pass bounds from their sizes and the number of those, and are verified by their whole sets. Each set is verified
+    against one that it meets most in its size band first; then only pairs whose components still differ are made, so that a large group of near copies is no square.
     """
     share = similarity / (1 + similarity)
     met = prefixes(sets, similarity, common_shingles(sets, similarity)).select("*", F.expr("min(fp) over (partition by shingle)").alias("lo"), F.expr("max(fp) over (partition by shingle)").alias("hi"))
-    live = scratch.keep(met.where("lo != hi").drop("lo", "hi").dropDuplicates(["shingle", "fp"]).withColumn("band", F.floor(F.log("n") / math.log(1 / similarity)) if similarity < 1 else F.col("n")), "live")
-    bound = f"least(n, m) >= {similarity!r} * greatest(n, m) - 1e-6 and 1 + least(n - pos, m - other) - 1 >= {share!r} * (n + m) - 1e-6"
+    live = scratch.keep(met.where("lo != hi").select("shingle", "fp", "n").dropDuplicates(["shingle", "fp"]), "live")
+
+    def likely(rows: DataFrame) -> DataFrame:
+        """Pairs that can be alike: what is shared lies in both prefixes, or behind the prefix that ends first."""
+        rows = rows.where(f"least(n, m) >= {similarity!r} * greatest(n, m) - 1e-6").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("m").alias("m"))
+        return rows.where(f"times + ceil({similarity!r}D * greatest(n, m) - 1e-9) - 1 >= {share!r} * (n + m) - 1e-6")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), name)
@@ -217,14 +220,18 @@ def similar_links(sets: DataFrame, similarity: float, scratch: Scratch) -> DataF
         both = both.withColumn("inside", F.size(F.array_intersect("a", "b")))
         return scratch.keep(both.where(F.col("inside") >= similarity * (F.size("a") + F.size("b") - F.col("inside")) - 1e-9).select("src", "dst"), "links")
 
-    star = live.select(F.col("fp").alias("src"), "n", "pos", F.expr("min(struct(fp, n, pos)) over (partition by shingle, band)").alias("c"))
-    star = star.select("src", "n", "pos", F.col("c.fp").alias("dst"), F.col("c.n").alias("m"), F.col("c.pos").alias("other")).where("src != dst").where(bound)
+    # Bands of sizes that may be alike, and the same shifted by half a band, so that members beside a bound share one of the two.
+    step = math.log(1 / similarity) if similarity < 1 else 1e-9
+    bands = live.withColumn("band", F.explode(F.array(F.floor(F.log("n") / step) * 2, F.floor(F.log("n") / step + 0.5) * 2 + 1)))
+    star = bands.select("shingle", F.col("fp").alias("src"), "n", F.expr("min(struct(fp, n)) over (partition by shingle, band)").alias("c"))
+    star = star.select("shingle", "src", "n", F.col("c.fp").alias("dst"), F.col("c.n").alias("m")).where("src != dst").distinct()
+    star = likely(star).groupBy("src").agg(F.max(F.struct("times", "dst")).alias("c")).select("src", F.col("c.dst").alias("dst"))
     near = verified(star, "star")
     roots = connected_components(near, scratch)
     live = scratch.keep(live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "live-rooted")
-    one = live.select("shingle", F.col("fp").alias("src"), "n", "pos", "root")
-    two = live.select("shingle", F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("pos").alias("other"), F.col("root").alias("far"))
-    return near.unionByName(verified(one.join(two, "shingle").where("root < far").where(bound), "cross"))
+    one = live.select("shingle", F.col("fp").alias("src"), "n", "root")
+    two = live.select("shingle", F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("root").alias("far"))
+    return near.unionByName(verified(likely(one.join(two, "shingle").where("root < far")), "cross"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
