@@ -2,8 +2,8 @@
 
 Canonical text: Unicode normalisation (NFKC), full case folding, normalisation again, white space runs as one space, ends
 trimmed. Fingerprint: two chained XXH64 of the canonical text, 128 bits as 32 hex digits. Texts with equal
-canonical text have equal fingerprints; inside equal fingerprints the canonical bytes are compared, so that a collision
-never makes two texts one.
+canonical text have equal fingerprints; `likeness` compares the canonical bytes of two texts with equal
+fingerprints, and `groups` tells texts apart by fingerprint and SHA-512. op10_digest compares pairs of texts and groups no rows.
 
 The normalisation and folding are static methods of ICU, which Spark carries for its collations, called by the SQL
 function `reflect`; they run in the JVM, row by row, like any built-in function.
@@ -38,10 +38,8 @@ def fingerprint(canonical_text: Column) -> Column:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with fingerprint, copies (rows with the same canonical text) and first_id (the smallest id among them).
 
-    Buckets of equal fingerprints are counted without their texts first; only for buckets of several rows are canonical bytes
-    compared: each row against the least canonical text of its bucket, by the fingerprint and a SHA-512 of the bytes, which stands
-    for them in the shuffle. Rows that differ from each other in a bucket are separate groups. Both aggregations are partial before
-    the shuffle, so a group with a third of all rows is a few rows a task.
+    Rows are grouped by the fingerprint and a SHA-512 of the canonical bytes, which stands for them in the shuffle; the bytes themselves
+    are not compared. The aggregation is partial before the shuffle, so a group with a third of all rows is a few rows a task.
     """
     own = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), canonical(F.col(f"`{text_col}`")).alias("_canon"))
