@@ -1,14 +1,12 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates by one-bit neighbourhoods of whole fingerprints, and near duplicates by shingle sets.
 
 Fingerprint: 64 bits over the XXH64 (seed 42) of every word shingle, repeats included. Links: fingerprints that
 differ in at most `distance` (0 to 2) bits.
 
-Index: the fingerprint is cut into two segments of 32 bits. A fingerprint enters the table of each segment under every
-value in the radius-1 Hamming ball of that segment, completed by its other segment as it is. Two
-fingerprints within two bits always meet in a table entry: with both bits in one segment, at the value between
-them in that segment's table; with one bit in each, at the value that has the first's one and the second's other
-segment. An entry holds at most 65 different fingerprints, however large a group of copies is, because the other
-segment is part of the key; so no bucket is hot, nothing is capped and no pairs within a group are made: each member
+Index: this is no multi-index hashing; there are no segment tables. One table is keyed by the whole 64 bits, and a fingerprint
+enters it under itself and under each of the 64 values one bit away. Two fingerprints within two bits always meet in an
+entry: at the value between them. It goes no further than two bits. An entry holds at most 65 different fingerprints, however large a group of copies is, because the key is the
+whole value; so no bucket is hot, nothing is capped and no pairs within a group are made: each member
 is verified against the least member of its entry by its complete distance, which links the entry's members, all
 within two bits of each other.
 
