@@ -6,8 +6,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from llm_helpers import SECRET, brute_components, brute_fingerprint, brute_hits, sentence, toxic_corpus
 from logweave.llm import toxicity
-from test_operators import SECRET, brute_components, brute_fingerprint, brute_hits, sentence, toxic_corpus
 
 
 def write(spark, path, name, rows, schema):

@@ -5,8 +5,8 @@ import string
 
 import pytest
 
+from llm_helpers import documents
 from logweave.llm import secrets
-from test_operators import documents
 
 
 @pytest.mark.parametrize("size", [300, 1000, 100_000])

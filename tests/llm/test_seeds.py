@@ -2,8 +2,8 @@
 
 import random
 
+from llm_helpers import toxic_corpus
 from logweave.llm import toxicity
-from test_operators import toxic_corpus
 
 
 def test_clean_copies_cannot_outvote():

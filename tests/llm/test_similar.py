@@ -4,8 +4,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from llm_helpers import ODD, documents
 from logweave.llm import simhash
-from test_operators import ODD, documents
 
 
 def brute_shingles(text, width=5):
