@@ -1,9 +1,10 @@
 """Secret scans in DataFrame functions only: candidates by patterns, false positives removed by a random forest.
 
 Candidates are strings that may be credentials: tokens of known shape, quoted or bare values after a name such as token or password,
-private key blocks, credentials in a URL, and long runs of base64 or hex signs. They are found in whole texts by one pattern;
-texts are cut at the matches, so that a candidate's offset, the text before it and the text after it are known without
-a second search.
+private key blocks, credentials in a URL, and long runs of base64 or hex signs, all of any length. They are found in whole texts by one pattern
+in one pass: matches are set between marks, and the text is cut there, so that a candidate's offset, the text before it and the
+text after it are known without a second search. A text goes through the pattern only if it has one of the strings without which
+there is no match (`possible`); these are looked up far faster than a pattern runs.
 
 Features of a candidate: its length, shares of digits, upper-case letters and signs, distinct characters, character transitions (changes between
 lower case, upper case, digits and signs; vowels next to consonants; repeats), dictionary coverage (share of
@@ -21,6 +22,8 @@ repeated findings. Very long texts are scanned whole. Null ids pass. An empty ta
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 TREES, DEPTH, FINDINGS = 30, 5, 4000
 CONTEXT = 60
+CHUNK = 256
+MARK = "\ufdd0"  # a code point that is no character
 
 # Shapes of credentials, in the order in which they are tried.
 SHAPES = (
@@ -56,12 +61,25 @@ EXAMPLES = r"(?i)(?:example|sample|dummy|fake|placeholder|changeme|change_me|you
 DIGESTS = r"(?i)(?:sha-?\d*|md5|crc|checksum|digest|commit|revision|etag|integrity|uuid|guid|hash|fingerprint|version|build|trace|span|request)[\s_-]{0,3}(?:id)?\W{0,4}$"
 
 
-def pieces(text: Column) -> Column:
-    return F.split(text, PATTERN, -1)
+# Strings of which every match of PATTERN has one, in lower case and as they are; other matches have 32 signs in a row.
+PARTS = ("private key", "glpat-", "xox", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "://", "token", "secret", "password", "passwd", "pwd", "api", "access", "auth_key", "credential", "bearer")
+EXACT = ("AKIA", "ASIA", "AGPA", "AIDA", "eyJ")
+LONG = r"[A-Za-z0-9+/_-]{32}"
+
+
+def possible(text: Column) -> Column:
+    """Whether a text can have a candidate; false only where PATTERN has no match."""
+    lower = F.lower(text)
+    tests = [F.contains(text, F.lit(x)) for x in EXACT] + [F.contains(lower, F.lit(x)) for x in PARTS] + [text.rlike(LONG)]
+    return reduce(lambda a, b: a | b, tests)
 
 
-def found(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+def cut(text: Column) -> Column:
+    """Piece 0, match 0, piece 1, match 1, ..., last piece: together the text. Texts that hold the mark itself are searched twice instead."""
+    marked = F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    pieces, found = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    twice = F.slice(F.flatten(F.zip_with(pieces, found, lambda p, m: F.array(p, m))), F.lit(1), 2 * F.size(pieces) - 1)
+    return F.when(~possible(text), F.array(text)).when(F.contains(text, F.lit(MARK)), twice).otherwise(marked)
 
 
 def value(match: Column) -> Column:
@@ -69,20 +87,25 @@ def value(match: Column) -> Column:
     return F.regexp_replace(match, "^" + ASSIGNED, "")
 
 
-def spots(p: Column, m: Column) -> Column:
-    """Offsets and surroundings of the candidates: piece 0, match 0, piece 1, match 1, ... make up the text."""
+def spots(parts: Column) -> Column:
+    """Offsets and surroundings of the candidates of a text that is cut as `cut` does, CHUNK of them at a time."""
     empty = F.array().cast("array<struct<start:int,before:string,candidate:string,after:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    number = F.floor(F.size(parts) / 2).cast("int")
 
     def step(acc: Column, k: Column) -> Column:
-        before, whole, after = F.get(p, k), F.get(m, k), F.coalesce(F.get(p, k + 1), F.lit(""))
+        before, whole, after = F.get(parts, 2 * k), F.get(parts, 2 * k + 1), F.get(parts, 2 * k + 2)
         here = value(whole)
         name = F.left(whole, F.length(whole) - F.length(here))
         at = acc["at"] + F.length(before)
         one = F.struct((at + F.length(name)).cast("int").alias("start"), F.right(F.concat(F.right(before, F.lit(CONTEXT)), name), F.lit(CONTEXT)).alias("before"), here.alias("candidate"), F.left(after, F.lit(CONTEXT)).alias("after"))
         return F.struct((at + F.length(whole)).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>")), start, step)["out"]
+    def chunk(acc: Column, first: Column) -> Column:
+        inner = F.aggregate(F.sequence(first, F.least(first + CHUNK, number) - 1), F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], i["out"]).alias("out")))[0]
+
+    firsts = F.when(number > 0, F.sequence(F.lit(0), number - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(firsts, F.struct(F.lit(0).alias("at"), empty.alias("out")), chunk)["out"]
 
 
 FEATURES = ("size", "digits", "uppers", "signs", "distinct", "turns", "vowels", "repeats", "covered", "path_test", "path_config", "name_before", "example_near", "digest_before", "assigned", "shape")
@@ -117,8 +140,9 @@ def features(path: Column, before: Column, c: Column, after: Column) -> list[Col
     return [F.coalesce(made[k], F.lit(0.0)).alias(k) for k in FEATURES]
 
 
-def labelled_findings(spark: SparkSession, number: int = FINDINGS) -> DataFrame:
-    """`number` labelled findings by rule: (path, before, candidate, after, label); half of them are credentials."""
+def labelled_findings(spark: SparkSession, number: int = FINDINGS, first: int = 0) -> DataFrame:
+    """`number` labelled findings by rule: (path, before, candidate, after, label); half of them are credentials. `first`: where to begin;
+    findings of other beginnings are others."""
     i = F.col("id")
     pick = lambda k, *choices: F.get(F.array(*[F.lit(x) for x in choices]), F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(choices))).cast("int"))
     hexed = lambda k: F.sha2(F.concat(i.cast("string"), F.lit(f"/{k}")), 256)
@@ -126,7 +150,7 @@ def labelled_findings(spark: SparkSession, number: int = FINDINGS) -> DataFrame:
     base = lambda k: F.regexp_replace(F.base64(F.unhex(F.concat(hexed(k), hexed(k + 1)))), "[+/=\\s]", "")
     word = lambda k: pick(k, *DICTIONARY)
     kind = F.pmod(i, F.lit(16))
-    prose = pick(1, "set ", "the line ", "with ", "und ", "de la ", "and then ", "value ", "export ", "")
+    prose = pick(1, "set ", "the line ", "with ", "for this ", "or else ", "and then ", "value ", "export ", "")
     named = F.concat(prose, pick(2, "token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "client_secret", "pwd", "bearer"), pick(3, " = ", "=", ": ", ":"), pick(4, '"', "'", ""))
     plain = F.concat(prose, pick(5, "see ", "in ", "commit ", "sha256: ", "md5 = ", "checksum: ", "id: ", "file ", "build-", "etag: ", "revision ", "/static/js/"))
     candidate = (
@@ -148,9 +172,9 @@ def labelled_findings(spark: SparkSession, number: int = FINDINGS) -> DataFrame:
         .otherwise(F.repeat(pick(60, "-", "=", "_", "a", "ab", "abc", "x0"), 20))
     )
     before = F.when((kind < 8) & ~kind.isin(2, 3), named).when(kind.isin(2, 3), pick(61, "key ", "use ", "token=", "", "= ")).when(kind.isin(11), named).when(kind.isin(9, 10, 14), F.when(F.pmod(F.xxhash64(i, F.lit(62)), F.lit(3)) == 0, named).otherwise(plain)).otherwise(plain)
-    path = F.when(kind < 8, pick(63, "config/app.yml", "src/main.py", ".env", "src7", "deploy/prod.ini", "web", "src12")).otherwise(pick(64, "tests/test_app.py", "docs/readme.md", "src/main.py", "src7", "package-lock.json", "web", "src12", "examples/demo.js"))
+    path = F.when(kind < 8, pick(63, "config/app.yml", "src/main.py", ".env", "page.html", "deploy/prod.ini", "", "lib/util.go")).otherwise(pick(64, "tests/test_app.py", "docs/readme.md", "src/main.py", "page.html", "package-lock.json", "", "lib/util.go", "examples/demo.js"))
     after = pick(65, '" and more text', "\n", "' // keep", " in the log", ",", '"', "")
-    return spark.range(number).select(path.alias("path"), before.alias("before"), candidate.alias("candidate"), after.alias("after"), (kind < 8).cast("double").alias("label"))
+    return spark.range(first, first + number).select(path.alias("path"), before.alias("before"), candidate.alias("candidate"), after.alias("after"), (kind < 8).cast("double").alias("label"))
 
 
 class Forest:
@@ -191,36 +215,41 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
 
 
 def judged(docs: DataFrame, forest: Forest, text_col: str, path_col: str, *keep: Column) -> DataFrame:
-    """keep, the pieces _p and matches _m of the text, and _found: array of start, length, candidate and chance."""
+    """keep, the text's parts _cut (see `cut`) and _found: array of start, length, candidate and chance."""
     text, path = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit(""))
-    rows = docs.select(*keep, path.alias("_path"), pieces(text).alias("_p"), found(text).alias("_m"))
-    rows = rows.withColumn("_s", spots(F.col("_p"), F.col("_m")))
+    rows = docs.select(*keep, path.alias("_path"), cut(text).alias("_cut"))
+    rows = rows.withColumn("_s", spots(F.col("_cut")))
     rows = rows.withColumn("_f", F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["candidate"].alias("candidate"), *features(F.col("_path"), s["before"], s["candidate"], s["after"]))))
     return rows.withColumn("_found", F.expr(f"transform(_f, f -> named_struct('start', f.start, 'length', length(f.candidate), 'candidate', f.candidate, 'chance', {forest.sql('f')}))")).drop("_path", "_s", "_f")
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, length, candidate, chance, secret): every candidate, its offset in code points, and whether the forest takes it for a secret."""
-    hit = docs.where(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(PATTERN))
-    rows = judged(hit, forest, text_col, path_col, F.col(f"`{id_col}`").alias("doc_id")).select("doc_id", F.explode("_found").alias("f"))
+    maybe = docs.where(possible(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    rows = judged(maybe, forest, text_col, path_col, F.col(f"`{id_col}`").alias("doc_id")).select("doc_id", F.explode("_found").alias("f"))
     return rows.select("doc_id", "f.start", "f.length", "f.candidate", "f.chance", (F.col("f.chance") >= threshold).alias("secret"))
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source", threshold: float = 0.5, mark: str = "[SECRET]", size_col: str | None = None) -> DataFrame:
-    """docs with every secret in the text replaced by `mark`; all rows and columns stay. size_col: a column that is set to the text's length where it changes."""
+    """docs with every secret in the text replaced by `mark`; all rows and columns stay, and each row is read once. size_col: a column
+    that is set to the text's length where it changes."""
     own = docs.columns
-    has = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(PATTERN)
-    rows = judged(docs.where(has), forest, text_col, path_col, F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("_row"))
-    verdict = F.zip_with("_found", "_m", lambda f, m: F.when(f["chance"] >= threshold, F.concat(F.left(m, F.length(m) - f["length"]), F.lit(mark))).otherwise(m))
-    text = F.array_join(F.flatten(F.zip_with("_p", verdict, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-    rows = rows.withColumn("_text", text).withColumn("_any", F.exists("_found", lambda f: f["chance"] >= threshold))
+    rows = judged(docs, forest, text_col, path_col, F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("_row"))
+
+    def part(p: Column, i: Column) -> Column:
+        """A part as it stays: pieces, at even places, as they are."""
+        one = F.get(F.col("_found"), F.floor(i / 2).cast("int"))
+        return F.when((i % 2 == 1) & (one["chance"] >= threshold), F.concat(F.left(p, F.length(p) - one["length"]), F.lit(mark))).otherwise(p)
+
+    rows = rows.withColumn("_any", F.exists("_found", lambda f: f["chance"] >= threshold))
+    rows = rows.withColumn("_text", F.when(F.col("_any"), F.array_join(F.transform("_cut", part), "")))
 
     def column(i: int, c: str) -> Column:
         old = F.col(f"_row.c{i}")
         if c == text_col:
-            return F.when(F.col("_any"), F.col("_text")).otherwise(old).alias(c)
+            return F.coalesce("_text", old).alias(c)
         if c == size_col:
             return F.when(F.col("_any"), F.length("_text").cast(docs.schema[c].dataType)).otherwise(old).alias(c)
         return old.alias(c)
 
-    return rows.select(*[column(i, c) for i, c in enumerate(own)]).unionByName(docs.where(~has))
+    return rows.select(*[column(i, c) for i, c in enumerate(own)])

@@ -208,7 +208,10 @@ def forest(spark):
 
 
 def test_forest_separates_unseen_findings(spark, forest):
-    unseen = secrets.labelled_findings(spark, 8000).where("true").withColumn("n", F.monotonically_increasing_id()).orderBy(F.rand(1)).limit(1500)
+    unseen = secrets.labelled_findings(spark, 1500, first=secrets.FINDINGS)
+    seen = secrets.labelled_findings(spark)
+    again = unseen.join(seen, ["before", "candidate", "after", "path"], "left_semi").where("label = 1")
+    assert again.count() == 0
     rows = unseen.select("label", F.struct(*secrets.features(F.col("path"), F.col("before"), F.col("candidate"), F.col("after"))).alias("f"))
     rows = rows.select("label", F.expr(forest.sql("f")).alias("chance"), "f").collect()
     assert np.mean([(r["chance"] >= 0.5) == bool(r["label"]) for r in rows]) > 0.97
@@ -229,6 +232,37 @@ def test_scan_and_redact(spark, forest):
     assert secrets.scan(docs.limit(0), forest).count() == 0
 
 
+def test_candidates_against_brute_force(spark, forest):
+    rng = random.Random(12)
+    names = ["token", "Secret", "PASSWORD", "passwd", "pwd", "api_key", "apikey", "ACCESS-KEY", "auth_key", "credential", "Bearer", "monkey"]
+    run = lambda n: "".join(rng.choice("abcXYZ019_-+/") for _ in range(n))
+    shapes = [lambda: f"{rng.choice(names)}{rng.choice([' = ', ':', '=>', ' '])}{rng.choice(['', chr(34)])}{run(rng.randrange(3, 300))}", lambda: run(rng.choice([31, 32, 33, 400])), lambda: "AKIA" + "Q1" * 8, lambda: "ghp_" + "a1" * 18, lambda: "xoxb-" + "1a" * 6, lambda: "sk_live_" + "Zz9" * 6]
+    shapes += [lambda: f"https://me:{run(9)}@host/x", lambda: "eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 5, lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 9 + "\n-----END RSA PRIVATE KEY-----", lambda: sentence(rng, 3), lambda: "\ufdd0", lambda: "é日 🙂"]
+    texts = [rng.choice([" ", "\n", ", "]).join(rng.choice(shapes)() for _ in range(rng.randrange(8))) for _ in range(150)] + [" ".join(f"token={k:06d}" for k in range(700))] + ODD
+    pattern = re.compile(secrets.PATTERN, re.A)
+    bare = re.compile(secrets.ASSIGNED, re.A)
+    want = Counter()
+    for k, t in enumerate(texts):
+        for m in pattern.finditer(t or ""):
+            name = bare.match(m[0])
+            start = m.start() + (name.end() if name else 0)
+            want[k, start, m[0][name.end() if name else 0 :]] += 1
+    docs = documents(spark, texts)
+    found = secrets.scan(docs, forest).collect()
+    assert Counter((r["doc_id"], r["start"], r["candidate"]) for r in found) == want and len(want) > 900
+    judged = {}
+    for r in found:
+        judged.setdefault(r["doc_id"], []).append(r)
+    for r in secrets.redact(docs, forest).collect():
+        t = texts[r["doc_id"]]
+        for f in sorted(judged.get(r["doc_id"], []), key=lambda f: -f["start"]):
+            if f["secret"]:
+                t = t[: f["start"]] + "[SECRET]" + t[f["start"] + f["length"] :]
+        assert r["text"] == t
+    twice = documents(spark, ["token=abcdef1234XYZ987"] * 3, [None, 5, 5])
+    assert secrets.scan(twice, forest).count() == 3 and secrets.redact(twice, forest).count() == 3
+
+
 # ------------------------------------------------------------------ 6
 
 
