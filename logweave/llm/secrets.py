@@ -61,8 +61,8 @@ EXAMPLES = r"(?i)(?:example|sample|dummy|fake|placeholder|changeme|change_me|you
 DIGESTS = r"(?i)(?:sha-?\d*|md5|crc|checksum|digest|commit|revision|etag|integrity|uuid|guid|hash|fingerprint|version|build|trace|span|request)[\s_-]{0,3}(?:id)?\W{0,4}$"
 
 
-# Strings of which every match of PATTERN has one, in lower case and as they are; other matches have 32 signs in a row.
-PARTS = ("private key", "glpat-", "xox", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "://", "token", "secret", "password", "passwd", "pwd", "api", "access", "auth_key", "credential", "bearer")
+# Strings of which every match of PATTERN has one, in lower case and as they are; other matches are logins in URLs, or have 32 signs in a row.
+PARTS = ("private key", "glpat-", "xox", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "access-key", "auth_key", "credential", "bearer")
 EXACT = ("AKIA", "ASIA", "AGPA", "AIDA", "eyJ")
 LONG = r"[A-Za-z0-9+/_-]{32}"
 
@@ -70,7 +70,7 @@ LONG = r"[A-Za-z0-9+/_-]{32}"
 def possible(text: Column) -> Column:
     """Whether a text can have a candidate; false only where PATTERN has no match."""
     lower = F.lower(text)
-    tests = [F.contains(text, F.lit(x)) for x in EXACT] + [F.contains(lower, F.lit(x)) for x in PARTS] + [text.rlike(LONG)]
+    tests = [F.contains(text, F.lit("://")) & F.contains(text, F.lit("@"))] + [F.contains(text, F.lit(x)) for x in EXACT] + [F.contains(lower, F.lit(x)) for x in PARTS] + [text.rlike(LONG)]
     return reduce(lambda a, b: a | b, tests)
 
 

@@ -1,14 +1,17 @@
-"""SimHash near-duplicates by one-bit neighbourhoods of whole fingerprints, and near duplicates by shingle sets.
+"""SimHash near-duplicates by multi-index hashing, and near duplicates by shingle sets.
 
 Fingerprint: 64 bits over the XXH64 (seed 42) of every word shingle, repeats included. Links: fingerprints that
 differ in at most `distance` (0 to 2) bits.
 
-Index: this is no multi-index hashing; there are no segment tables. One table is keyed by the whole 64 bits, and a fingerprint
-enters it under itself and under each of the 64 values one bit away. Two fingerprints within two bits always meet in an
-entry: at the value between them. It goes no further than two bits. An entry holds at most 65 different fingerprints, however large a group of copies is, because the key is the
-whole value; so no bucket is hot, nothing is capped and no pairs within a group are made: each member
-is verified against the least member of its entry by its complete distance, which links the entry's members, all
-within two bits of each other.
+Index (Norouzi, Punjani and Fleet 2012): a fingerprint is cut into two segments of 32 bits, and each segment has a table from its value to the
+fingerprints that have it. If two fingerprints are within 2 bits, then they are within 1 bit in the first segment or alike in the
+second (within 1 bit: alike in one of the two). So each fingerprint enumerates a ball of 1 bit around its first segment and of 0 bits
+around its second, fetches what the tables hold there, and is verified against each by the complete distance. Of two values a bit
+apart only the one with the bit set looks for the other.
+
+Hot entries: a table entry of more than HOT fingerprints is not fetched, since pairs within it would be a square. All fingerprints that ask for such
+an entry, or are in it, instead meet under every value that is at most 1 bit away from them, whole: two within 2 bits meet at the value between them. Such an entry holds
+at most 65 fingerprints, all within two bits of each other, so it is enough to link each to the least. Both ways are exact; nothing is capped.
 
 Cases: a null or blank text has no words and gets fingerprint zero, linked like any other. Fewer words than a
 shingle: the whole sequence is one shingle. Copies share a fingerprint and so a component. A null id is kept as a
@@ -34,6 +37,7 @@ from logweave.session import Scratch
 
 PIECE = 1 << 18
 COMMON = 100_000
+HOT = 64
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -66,20 +70,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(reps: DataFrame, distance: int = 2) -> DataFrame:
+def tables(reps: DataFrame) -> DataFrame:
+    """(place, fp): the entry of each fingerprint in the table of each of its two segments."""
+    return reps.select("fp", F.explode(F.expr("array(struct(0 as segment, shiftrightunsigned(fp, 32) as value), struct(1 as segment, fp & 4294967295L as value))")).alias("place"))
+
+
+def balls(reps: DataFrame, distance: int) -> DataFrame:
+    """(place, fp): where each fingerprint looks for others: within 1 bit of its first segment (at distance 2) and at its second.
+
+    Of neighbouring values, the one with the bit set asks."""
+    first = "shiftrightunsigned(fp, 32)"
+    ball = f"transform(filter(sequence(0, 31), i -> {first} & shiftleft(1L, i) != 0), i -> struct(0 as segment, {first} ^ shiftleft(1L, i) as value))" if distance == 2 else "cast(array() as array<struct<segment:int,value:bigint>>)"
+    return reps.select("fp", F.explode(F.expr(f"concat(array(struct(0 as segment, {first} as value), struct(1 as segment, fp & 4294967295L as value)), {ball})")).alias("place"))
+
+
+def fetched(reps: DataFrame, distance: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """((fp, members): what each fingerprint fetches from entries of up to `hot` members; (fp): those that meet larger entries)."""
+    entries, asked = tables(reps), balls(reps, distance)
+    large = entries.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("place")
+    small = entries.join(large, "place", "left_anti").groupBy("place").agg(F.collect_list("fp").alias("members"))
+    return asked.join(small, "place").select("fp", "members"), asked.join(large, "place", "left_semi").select("fp").distinct()
+
+
+def links(reps: DataFrame, distance: int = 2, hot: int = HOT) -> DataFrame:
     """(src, dst): fingerprints of `reps` (column fp, distinct) in the same component are joined by these links."""
     if distance not in (0, 1, 2):
         raise ValueError("distance is 0, 1 or 2")
     if not distance:
         return reps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0)
-    balls = "transform(sequence({0}, {1}), i -> fp ^ shiftleft(1L, i))"
-    entries = reps.select("fp", F.explode(F.expr(f"concat(array(fp), {balls.format(0, 31)}, {balls.format(32, 63)})")).alias("entry"))
+    fetch, meet = fetched(reps, distance, hot)
+    pairs = fetch.select(F.col("fp").alias("src"), F.explode(F.expr(f"filter(members, m -> m != fp and bit_count(m ^ fp) <= {distance})")).alias("dst"))
+    around = "transform(sequence({0}, {1}), i -> fp ^ shiftleft(1L, i))"
+    entries = meet.select("fp", F.explode(F.expr(f"concat(array(fp), {around.format(0, 31)}, {around.format(32, 63)})")).alias("entry"))
     if distance == 1:  # an entry's members may be two bits apart: the entry itself must be a member
-        pairs = entries.join(reps.select(F.col("fp").alias("dst")), F.col("entry") == F.col("dst")).select(F.col("fp").alias("src"), "dst")
+        near = entries.join(meet.select(F.col("fp").alias("dst")), F.col("entry") == F.col("dst")).select(F.col("fp").alias("src"), "dst")
     else:
-        shared = entries.select(F.col("fp").alias("src"), F.expr("min(fp) over (partition by entry)").alias("dst"))
-        pairs = shared
-    return pairs.where((F.col("src") != F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance))
+        near = entries.select(F.col("fp").alias("src"), F.expr("min(fp) over (partition by entry)").alias("dst"))
+    return pairs.unionByName(near.where((F.col("src") != F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:

@@ -87,8 +87,9 @@ def test_simhash_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components.values())) and kept.columns == documents(spark, []).columns
 
 
+@pytest.mark.parametrize("hot", [0, 3, 64])
 @pytest.mark.parametrize("distance", [0, 1, 2])
-def test_links_by_distance(spark, distance):
+def test_links_by_distance(spark, distance, hot):
     rng = random.Random(3)
     prints = {0}
     for _ in range(60):
@@ -97,7 +98,7 @@ def test_links_by_distance(spark, distance):
     from logweave.operators.graph import connected_components
     from logweave.session import Scratch
 
-    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), distance)
+    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), distance, hot)
     assert all((r["src"] ^ r["dst"]) % (1 << 64) and ((r["src"] ^ r["dst"]) % (1 << 64)).bit_count() <= distance for r in links.collect())
     got = {}
     for r in connected_components(links, Scratch(spark)).collect():
@@ -115,6 +116,17 @@ def test_links_by_distance(spark, distance):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want if len(g) > 1)
 
 
+def test_fetched_candidates_are_verified(spark):
+    prints = [0x0000000F_00000001, 0x0000F00F_00000001, 0x0000000F_00000F01, 0x0000000E_00000F01, 0x0000000E_00000001, 0x00F0000F_00000003]
+    reps = spark.createDataFrame([(p,) for p in prints], "fp long")
+    fetch, meet = simhash.fetched(reps, 2)
+    candidates = {frozenset((r["fp"], m)) for r in fetch.collect() for m in r["members"] if m != r["fp"]}
+    true = {frozenset((a, b)) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 2}
+    assert true < candidates and meet.count() == 0
+    assert {frozenset((r["src"], r["dst"])) for r in simhash.links(reps, 2).collect()} == true
+    assert {r["fp"] for r in simhash.fetched(reps, 2, hot=1)[1].collect()} == set(prints[:5])  # the last one is alone wherever it looks
+
+
 def test_drop_with_null_and_repeated_ids(spark):
     texts = ["alpha beta gamma delta"] * 3 + ["only here with no id at all"] * 2 + ["alpha beta gamma delta"]
     kept = simhash.drop_near_duplicates(documents(spark, texts, [7, 7, 9, None, None, None])).collect()
@@ -312,19 +324,46 @@ def test_marginals_are_exact():
 def test_class_lm(spark, head):
     rng = random.Random(8)
     left, right = WORDS[:8], WORDS[8:]
-    texts = [" ".join(rng.choice(left if k % 2 else right) for k in range(rng.randrange(60))) for _ in range(200)] + ODD
-    ids = [*range(len(texts) - 1), None]
+    texts = [" ".join(rng.choice(left if k % 2 else right) for k in range(rng.randrange(60))) for _ in range(200)] + [" ".join(["y" * 500, "Z9!", "q" * 64] * 3)] * 9 + ODD
+    ids = [*range(len(texts) - 2), None, 7]
     train = [t for i, t in zip(ids, texts, strict=True) if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
-    count = Counter(w for t in train for w in (t or "").encode().lower().split())
+    split = lambda t: (t or "").encode().lower().split()
+    count = Counter(w for t in train for w in split(t))
     total, distinct = sum(count.values()) + len(train), len(count) + 1
-    rows = {r["doc_id"]: r for r in class_lm.score(documents(spark, texts, ids), head=head, classes=2).collect()}
+    fitted = []
+    rows = class_lm.score(documents(spark, texts, ids), head=head, core=4, classes=2, fitted=fitted).collect()
+    known, model = fitted
+    number = {w: k for k, w in enumerate(known.words)}
+    assert (len(number) == len(count)) == (head > 5)
+
+    def place(w):
+        k = number.get(class_lm.short(w))
+        return (0, int(model.cls[k])) if k is not None else (1, int(model.cls[len(number) + class_lm.shape(class_lm.short(w))]))
+
+    pairs, tokens, different = Counter(), Counter(), Counter()
+    for t in train:
+        cs = [2, *(place(w)[1] for w in split(t)), 2]
+        pairs.update(zip(cs[:-1], cs[1:], strict=True))
+    for w, n in count.items():
+        tokens[place(w)] += n
+        different[place(w)] += 1
+    after, before = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        before[a] += n
+        after[b] += n
+    step = lambda a, b: math.log10((pairs[a, b] + 10 * (after[b] + 1) / (sum(after.values()) + 3)) / (before[a] + 10))
+    want = Counter()
     for i, t in zip(ids, texts, strict=True):
-        ws = (t or "").encode().lower().split()
+        ws = split(t)
         base = sum(math.log10((c + 0.1) / (total + 0.1 * (distinct + 1))) for c in [*(count[w] for w in ws), len(train)])
-        r = rows[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws) + 1, sum(count[w] > 0 for w in ws) + 1, total)
-        assert abs(r["base_score"] - base) < 1e-6
-    held = [r for r in rows.values() if r["held_out"] and 2 < r["n_tokens"] < 100]
+        own, c = 0.0, 2
+        for w in ws:
+            kind, k = place(w)
+            own += step(c, k) + math.log10((tokens[kind, k] + 1) / (tokens[0, k] + tokens[1, k] + 2)) + math.log10((count[w] + 0.1) / (tokens[kind, k] + 0.1 * (different[kind, k] + 1)))
+            c = k
+        want[i, len(ws) + 1, sum(count[w] > 0 for w in ws) + 1, total, round(base, 5), round(own + step(c, 2), 5)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in rows) == want
+    held = [r for r in rows if r["held_out"] and 2 < r["n_tokens"] < 100]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert class_lm.score(documents(spark, [])).count() == 0
 
@@ -338,11 +377,43 @@ def test_exchange_finds_the_two_classes():
     assert len(set(own[:4])) == 1 and len(set(own[4:])) == 1 and own[0] != own[7]
 
 
-def test_model_is_a_distribution():
-    words = [w.encode() for w in WORDS]
-    model = class_lm.Classes({w: k % 2 for k, w in enumerate(words[:6])}, 2)
-    cls = model.of(words + [b"\xff\xfe", b""])
-    assert cls[:6].tolist() == [0, 1, 0, 1, 0, 1] and all(2 <= c < 4 for c in cls[6:])
+def test_gains_are_differences_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    pairs, own = rng.integers(0, 9, (12, 12)), rng.integers(0, 4, 12)
+
+    def table(own):
+        hot = np.zeros((12, 4))
+        hot[np.arange(12), own] = 1
+        return hot.T @ pairs @ hot, pairs @ hot, pairs.T @ hot
+
+    t, to, since = table(own)
+    both = np.diagonal(pairs).astype(float)
+    to[np.arange(12), own] -= both
+    since[np.arange(12), own] -= both
+    gain = class_lm.gains(t, own, to, since, both)
+    for w in range(12):
+        for k in range(4):
+            moved = own.copy()
+            moved[w] = k
+            assert abs(class_lm.likelihood(table(moved)[0]) - class_lm.likelihood(t) - (gain[w, k] - gain[w, own[w]])) < 1e-6
+
+
+def test_rounds_over_all_words_raise_the_likelihood(spark):
+    rng = random.Random(13)
+    groups = [[f"{c}{k}" for k in range(12)] for c in "abcd"]
+    texts = [[rng.randrange(12) + 12 * (k % 4) for k in range(40)] for _ in range(150)]
+    assert len(groups) == 4
+    coded = spark.createDataFrame([(t,) for t in texts] + [([],)], "ids array<int>")
+    from logweave.session import Scratch
+
+    def level(rounds):
+        cls = class_lm.cluster(coded, 48, 6, 4, rounds, Scratch(spark))
+        return class_lm.likelihood(class_lm.class_pairs(coded, np.minimum(cls, 4), 6)), cls
+
+    scores = [level(k)[0] for k in (1, 2, 5)]
+    assert scores == sorted(scores)
+    cls = level(5)[1]
+    assert sum(len(set(cls[12 * g : 12 * g + 12].tolist())) for g in range(4)) <= 6
 
 
 # ------------------------------------------------------------------ 8
