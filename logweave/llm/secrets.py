@@ -69,9 +69,9 @@ LONG = r"[A-Za-z0-9+/_-]{32}"
 
 def possible(text: Column) -> Column:
     """Whether a text can have a candidate; false only where PATTERN has no match."""
-    lower = F.lower(text)
-    tests = [F.contains(text, F.lit("://")) & F.contains(text, F.lit("@"))] + [F.contains(text, F.lit(x)) for x in EXACT] + [F.contains(lower, F.lit(x)) for x in PARTS] + [text.rlike(LONG)]
-    return reduce(lambda a, b: a | b, tests)
+    either = lambda tests: reduce(lambda a, b: a | b, tests)
+    named = F.exists(F.array(F.lower(text)), lambda lower: either([F.contains(lower, F.lit(x)) for x in PARTS]))  # lower case is made once
+    return (F.contains(text, F.lit("://")) & F.contains(text, F.lit("@"))) | either([F.contains(text, F.lit(x)) for x in EXACT]) | named | text.rlike(LONG)
 
 
 def cut(text: Column) -> Column:

@@ -3,18 +3,18 @@
 Labels are given for documents; labelled tokens are derived from them. Over the training documents, a word is evidence of toxicity when it
 occurs in many different surroundings in toxic documents and hardly in others: its surroundings (words before and after)
 are counted once each, so that groups of copies count as one text. Tokens of such words in toxic documents are tagged
-toxic, all others clean. On these the field is trained: two tags, tag transitions, and for each token the hashed
-features word, word before, word after, prefix and suffix of the word; L2-regularised, by L-BFGS on the exact
-log-likelihood (forward-backward).
+toxic, all others clean. On these the field is trained: two tags, the four potentials of tag transitions (before the first token stands the clean tag), and
+for each token the hashed features word, word before, word after, prefix and suffix of the word; all of them by L-BFGS on the L2-regularised exact
+log-likelihood of whole chains (forward-backward).
 
 Scoring: forward-backward over every whole text gives each token's marginal of being toxic. The document's evidence
 is the sum of -log(1 - marginal) over its tokens, that is, of the chance that no token is toxic; a logistic curve fitted on
 the training documents turns this and its share of the words into the score. Offending offsets are the runs of tokens
 with a marginal of at least 1/2, in code points of the text.
 
-Bounds: training takes at most SAMPLE labelled documents with their whole texts, up to a third of them toxic ones (of each
-kind those with the least hash of their id); the curve weighs both kinds by their numbers among all labelled training documents. For
-training, chains are cut after PIECE words. The model has 2^BUCKETS weights, so its broadcast has a fixed size. Scoring covers all
+Bounds of the classifier's sample: at most SAMPLE labelled documents, up to a third of them toxic ones (of each
+kind those with the least hash of their id), and of these, in the same order, whole texts of at most SAMPLE_BYTES together (a text that does not fit is left out); the curve weighs
+both kinds by their numbers among all labelled training documents. The model has 2^BUCKETS weights, so its broadcast has a fixed size. Scoring covers all
 rows and whole texts.
 
 Cases: a null or wordless text has no tokens: evidence 0, and the score that the curve gives it. Labels that are null, or whose ids
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from sys import intern
 
@@ -36,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.shared import Numbers, held_out, slices
+from logweave.session import Scratch
 
 SAMPLE = 3_000
-PIECE = 256
+SAMPLE_BYTES = 12 << 20
 BUCKETS = 18
 STEP = 64
 KNOWN = 400_000
@@ -96,192 +96,168 @@ class Field:
         return own + left + right, sizes
 
     def marginals(self, potential: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Each token's chance of the toxic tag. Documents are cut into pieces of STEP tokens; the pieces' transfer matrices
-        are multiplied along each document, and all pieces then run forward and backward side by side."""
-        total = int(sizes.sum())
-        if not total:
-            return np.zeros(0)
-        pieces = -(-sizes // STEP)
-        n = int(pieces.sum())
-        doc = np.repeat(np.arange(len(sizes)), pieces)
-        nth = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = (np.cumsum(sizes) - sizes)[doc] + nth * STEP
-        size = np.minimum(STEP, sizes[doc] - nth * STEP)
-        at = begin[:, None] + np.arange(STEP)
-        here = np.arange(STEP) < size[:, None]
-        p = np.where(here, potential[np.minimum(at, total - 1)], 0.0)
-        toxic = np.exp(np.clip(p, -30, 30))
-        m = np.exp(self.move)
-        whole = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
-        for t in range(STEP):
-            moved = whole @ m
-            moved[:, :, 1] *= toxic[:, t, None]
-            moved /= moved.sum(axis=(1, 2), keepdims=True)
-            whole = np.where(here[:, t, None, None], moved, whole)
-        ahead, behind = np.ones((n, 2)), np.ones((n, 2))
-        length = int(pieces.max())
-        starts = np.cumsum(pieces) - pieces
-        for k in range(1, length):
-            live = np.flatnonzero(pieces > k)
-            i = starts[live] + k
-            v = np.einsum("na,nab->nb", ahead[i - 1], whole[i - 1])
-            ahead[i] = v / v.sum(axis=1, keepdims=True)
-            j = starts[live] + pieces[live] - 1 - k
-            v = np.einsum("nab,nb->na", whole[j + 1], behind[j + 1])
-            behind[j] = v / v.sum(axis=1, keepdims=True)
-        forward = np.zeros((n, STEP, 2))
-        a = ahead
-        for t in range(STEP):
-            moved = a @ m
-            moved[:, 1] *= toxic[:, t]
-            moved /= moved.sum(axis=1, keepdims=True)
-            a = np.where(here[:, t, None], moved, a)
-            forward[:, t] = a
-        out = np.zeros((n, STEP))
-        b = behind
-        for t in range(STEP - 1, -1, -1):
-            both = forward[:, t] * b
-            out[:, t] = both[:, 1] / both.sum(axis=1)
-            v = b.copy()
-            v[:, 1] *= toxic[:, t]
-            v = v @ m.T
-            v /= v.sum(axis=1, keepdims=True)
-            b = np.where(here[:, t, None], v, b)
-        found = np.zeros(total)
-        found[at[here]] = out[here]
-        return found
+        """Each token's chance of the toxic tag."""
+        return forward_backward(potential, sizes, self.move)[0]
 
     def evidence(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(evidence by document, sizes, marginals)."""
         potential, sizes = self.scores(docs)
         marginal = self.marginals(potential, sizes)
-        ends = np.cumsum(sizes)
-        run = np.concatenate([[0.0], np.cumsum(-np.log1p(-np.minimum(marginal, 1 - 1e-9)))])
-        return np.maximum(0.0, run[ends] - run[ends - sizes]), sizes, marginal
+        return by_document(marginal, sizes), sizes, marginal
 
     def score(self, evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(shape(evidence, sizes) @ self.curve, -40, 40)))
 
 
+def by_document(marginal: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    run = np.concatenate([[0.0], np.cumsum(-np.log1p(-np.minimum(marginal, 1 - 1e-9)))])
+    return np.maximum(0.0, run[ends] - run[ends - sizes])
+
+
 def shape(evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     strength = -np.expm1(-evidence)
     return np.stack([np.ones(len(evidence)), strength, np.log1p(evidence), np.log1p(100 * evidence / np.maximum(1, sizes))], axis=1)
 
 
-def seeds(texts: list[list[str]], toxic: list[int], least: int = 4, share: float = 0.8, nats: float = 12.0) -> set[str]:
-    """Words of which at least `share` of the different surroundings are in toxic documents, more than the documents' sizes explain by
-    `nats` of log-likelihood, with `least` different words before, after, and toxic documents."""
-    total, spread = [0, 0], Counter()
-    for ws, y in zip(texts, toxic, strict=True):
-        total[y] += len(ws)
-        if y:
-            spread.update(set(ws))
-    if not total[1]:
-        return set()
-    # Toxic surroundings first; a word goes as soon as its clean ones are too many, so that common words hold little memory.
-    number = Numbers()
-    around: tuple[dict, dict] = ({}, {})
-    for w, n in spread.items():
-        if n >= least:
-            around[0][w], around[1][w] = set(), set()
-    for y in (1, 0):
-        for ws, label in zip(texts, toxic, strict=True):
-            if label != y:
-                continue
-            padded = [NOTHING, *ws, NOTHING]
-            for before, w, after in zip(padded, ws, padded[2:], strict=False):
-                if w in around[y]:
-                    around[y][w].add(number[before] << 32 | number[after])
-                    if not y and len(around[1][w]) < share * (len(around[0][w]) + len(around[1][w])) - 1e-9:
-                        del around[0][w], around[1][w]
-    expected = min(total[1] / (total[0] + total[1]), 1 - 1e-6)
-    chosen = set()
-    for w, inside in around[1].items():
-        n, other = len(inside), len(around[0][w])
-        part = n / (n + other)
-        gain = n * np.log(part / expected) + (other * np.log((1 - part) / (1 - expected)) if other else 0.0)
-        if min(len({p >> 32 for p in inside}), len({p & 0xFFFFFFFF for p in inside})) >= least and part >= share and gain >= nats:
-            chosen.add(w)
-    return chosen
+def forward_backward(potential: np.ndarray, sizes: np.ndarray, move: np.ndarray, expect: bool = False) -> tuple[np.ndarray, float, np.ndarray]:
+    """(chance of the toxic tag by token, sum of the log partition functions, expected transitions if asked for) of all chains.
+
+    Chains are cut into pieces of STEP tokens; the pieces' transfer matrices are multiplied along each chain, from the clean tag before its
+    first token, and all pieces then run forward and backward side by side. Nothing is lost at the cuts."""
+    total, expected = int(sizes.sum()), np.zeros((2, 2))
+    if not total:
+        return np.zeros(0), 0.0, expected
+    pieces = -(-sizes // STEP)
+    n = int(pieces.sum())
+    doc = np.repeat(np.arange(len(sizes)), pieces)
+    nth = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = (np.cumsum(sizes) - sizes)[doc] + nth * STEP
+    size = np.minimum(STEP, sizes[doc] - nth * STEP)
+    at = begin[:, None] + np.arange(STEP)
+    here = np.arange(STEP) < size[:, None]
+    toxic = np.exp(np.clip(np.where(here, potential[np.minimum(at, total - 1)], 0.0), -30, 30))
+    m = np.exp(np.clip(move, -30, 30))
+    whole = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+    for t in range(STEP if pieces.max() > 1 else 0):
+        moved = whole @ m
+        moved[:, :, 1] *= toxic[:, t, None]
+        moved /= moved.sum(axis=(1, 2), keepdims=True)
+        whole = np.where(here[:, t, None, None], moved, whole)
+    ahead, behind = np.tile([1.0, 0.0], (n, 1)), np.ones((n, 2))
+    starts = np.cumsum(pieces) - pieces
+    for k in range(1, int(pieces.max())):
+        live = np.flatnonzero(pieces > k)
+        i = starts[live] + k
+        v = np.einsum("na,nab->nb", ahead[i - 1], whole[i - 1])
+        ahead[i] = v / v.sum(axis=1, keepdims=True)
+        j = starts[live] + pieces[live] - 1 - k
+        v = np.einsum("nab,nb->na", whole[j + 1], behind[j + 1])
+        behind[j] = v / v.sum(axis=1, keepdims=True)
+    forward = np.zeros((STEP + 1, n, 2))
+    forward[0], log_z = ahead, 0.0
+    for t in range(STEP):
+        moved = forward[t] @ m
+        moved[:, 1] *= toxic[:, t]
+        norm = moved.sum(axis=1, keepdims=True)
+        log_z += float(np.log(norm[here[:, t]]).sum())
+        forward[t + 1] = np.where(here[:, t, None], moved / norm, forward[t])
+    out = np.zeros((n, STEP))
+    b = behind
+    for t in range(STEP - 1, -1, -1):
+        both = forward[t + 1] * b
+        out[:, t] = both[:, 1] / both.sum(axis=1)
+        v = b.copy()
+        v[:, 1] *= toxic[:, t]
+        if expect:
+            pair = forward[t][:, :, None] * m * v[:, None, :]
+            expected += (pair / pair.sum(axis=(1, 2), keepdims=True))[here[:, t]].sum(axis=0)
+        v = v @ m.T
+        v /= v.sum(axis=1, keepdims=True)
+        b = np.where(here[:, t, None], v, b)
+    found = np.zeros(total)
+    found[at[here]] = out[here]
+    return found, log_z, expected
+
+
+def evident(place: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, words: int, least: int = 4, share: float = 0.8, nats: float = 12.0) -> np.ndarray:
+    """Whether each word (numbers below `words`, document after document) is evidence: at least `share` of its different surroundings are in toxic
+    documents, more than the documents' sizes explain by `nats` of log-likelihood, with `least` different words before, after, and toxic documents."""
+    label = np.repeat(toxic.astype(bool), sizes)
+    if not label.any():
+        return np.zeros(words, bool)
+    ends = np.cumsum(sizes)[sizes > 0]
+    first = np.zeros(len(place), bool)
+    first[ends - sizes[sizes > 0]] = True
+    before, after = np.where(first, words, np.roll(place, 1)), np.where(np.roll(first, -1), words, np.roll(place, -1))
+
+    def different(which: np.ndarray, *near: np.ndarray) -> np.ndarray:
+        """By word: how many different values of `near` its tokens have, among those of `which`."""
+        key, of = place[which], np.arange(words)
+        for x in near:
+            pairs, key = np.unique(key * (int(x.max()) + 1) + x[which], return_inverse=True)
+            of = of[pairs // (int(x.max()) + 1)]
+        return np.bincount(of, minlength=words)
+
+    n, other = (different(which, before, after) for which in (label, ~label))
+    wide = np.minimum(np.minimum(different(label, before), different(label, after)), different(label, np.repeat(np.arange(len(sizes)), sizes)))
+    expected = min(label.mean(), 1 - 1e-6)
+    part = n / np.maximum(1, n + other)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = n * np.log(part / expected) + np.where(other > 0, other * np.log((1 - part) / (1 - expected)), 0.0)
+    return (wide >= least) & (part >= share) & (gain >= nats)
 
 
 def train(texts: list[str | None], toxic: list[int], rate: float | None = None, l2: float = 0.05, rounds: int = 30) -> Field:
     """Fit the field and the document curve. rate: share of toxic ones among the documents that the texts stand for."""
-    docs = [tokens(t) for t in texts]
-    marks = seeds(docs, toxic)
-    if not marks:
-        return Field(np.zeros(1 << BUCKETS), np.zeros((2, 2)), np.array([-40.0, 0, 0, 0]))
-    pieces = [(d[k : k + PIECE], y) for d, y in zip(docs, toxic, strict=True) for k in range(0, len(d), PIECE)]
-    docs_in = [d for d, _ in pieces]
-    sizes = np.fromiter(map(len, docs_in), np.int64, len(docs_in))
     index = Numbers()
-    place = np.fromiter((index[w] for d in docs_in for w in d), np.int64, int(sizes.sum()))
-    table = np.array([features(w) for w in index], np.int32)
-    ends = np.cumsum(sizes)
-    first = np.zeros(len(place), bool)
-    first[ends - sizes] = True
-    last = np.roll(first, -1)
-    where = np.concatenate([table[place][:, :3], np.where(first, bucket("b", NOTHING), np.roll(table[place, 3], 1))[:, None], np.where(last, bucket("a", NOTHING), np.roll(table[place, 4], -1))[:, None]], axis=1)
-    marked = np.array([w in marks for w in index])
-    tag = marked[place] & np.repeat(np.array([bool(y) for _, y in pieces]), sizes)
-    pair = np.zeros((2, 2))
-    np.add.at(pair, (tag[:-1][~first[1:]].astype(int), tag[1:][~first[1:]].astype(int)), 1)
-    np.add.at(pair, (np.zeros(len(ends), int), tag[first].astype(int)), 1)
-    # Transitions in closed form from the tags' counts; the observation weights then by L-BFGS on the pseudo-exact likelihood.
-    move = np.log((pair + 0.5) / (pair + 0.5).sum(axis=1, keepdims=True))
-    flat = where.astype(np.int32)
-    del where
-    field = Field(np.zeros(1 << BUCKETS), move, np.zeros(4))
-    weight = 1.0 / len(place)
-
-    def value(v: np.ndarray) -> tuple[float, np.ndarray]:
-        potential = sum(v[flat[:, k]] for k in range(flat.shape[1]))
-        chance, log_z = forward_backward(field, potential, sizes)
-        loss = weight * (log_z - potential[tag].sum()) + l2 * weight * float(v @ v)
-        gap = chance - tag
-        gradient = sum(np.bincount(flat[:, k], weights=gap, minlength=len(v)) for k in range(flat.shape[1])) * weight + 2 * l2 * weight * v
-        return loss, gradient
-
-    field = Field(lbfgs(value, np.zeros(1 << BUCKETS), rounds), move, np.zeros(4))
-    del flat, place, tag
-    parts = [field.evidence(docs[k : k + 256])[:2] for k in range(0, len(docs), 256)]
-    evidence, all_sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    docs = [np.fromiter(map(index.__getitem__, tokens(t)), np.int32) for t in texts]
+    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+    place = np.concatenate([*docs, np.zeros(0, np.int32)])
+    del docs
     y = np.array(toxic, float)
+    marked = evident(place.astype(np.int64), sizes, y, len(index))
+    if not marked.any():
+        return Field(np.zeros(1 << BUCKETS), np.zeros((2, 2)), np.array([-40.0, 0, 0, 0]))
+    table = np.array([features(w) for w in index], np.int32)
+    del index
+    chains = chain_features(place, sizes, table)
+    tag = marked[place] & np.repeat(y > 0, sizes)
+    best = lbfgs(lambda v: loss(v, chains, sizes, tag, l2), np.zeros((1 << BUCKETS) + 4), rounds)
+    field = Field(best[:-4], best[-4:].reshape(2, 2), np.zeros(4))
+    weights = best[:-4]
+    chance = forward_backward(sum(weights[f] for f in chains), sizes, field.move)[0]
+    evidence = by_document(chance, sizes)
     rate = y.mean() if rate is None else rate
-    weights = np.where(y > 0, rate / max(1e-9, y.mean()), (1 - rate) / max(1e-9, 1 - y.mean()))
-    field.curve = logistic(shape(evidence, all_sizes), y, weights)
+    share = np.where(y > 0, rate / max(1e-9, y.mean()), (1 - rate) / max(1e-9, 1 - y.mean()))
+    field.curve = logistic(shape(evidence, sizes), y, share)
     return field
 
 
-def forward_backward(field: Field, potential: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, float]:
-    """(marginals, sum of the log partition functions) for training: one step of all documents at a time, longest first."""
-    order = np.argsort(-sizes, kind="stable")
-    begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    m, toxic = np.exp(field.move), np.exp(np.clip(potential, -30, 30))
-    longest = int(size[0])
-    count = np.searchsorted(-size, -np.arange(longest), side="left")
-    forward = np.zeros((len(potential), 2))
-    a, log_z = np.tile([1.0, 0.0], (len(size), 1)), 0.0  # before the first token: clean
-    for t in range(longest):
-        k = count[t]
-        v = a[:k] @ m
-        v[:, 1] *= toxic[begin[:k] + t]
-        s = v.sum(axis=1, keepdims=True)
-        log_z += float(np.log(s).sum())
-        a = v / s
-        forward[begin[:k] + t] = a
-    out = np.zeros(len(potential))
-    b = np.ones((len(size), 2))
-    for t in range(longest - 1, -1, -1):
-        k = count[t]
-        i = begin[:k] + t
-        both = forward[i] * b[:k]
-        out[i] = both[:, 1] / both.sum(axis=1)
-        v = b[:k].copy()
-        v[:, 1] *= toxic[i]
-        v = v @ m.T
-        b[:k] = v / v.sum(axis=1, keepdims=True)
-    return out, log_z
+def chain_features(place: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+    """The five feature buckets of every token; table: the buckets of each word, as `features` gives them."""
+    first = np.zeros(len(place), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    before = np.where(first, np.int32(bucket("b", NOTHING)), np.roll(table[place, 3], 1))
+    after = np.where(np.roll(first, -1), np.int32(bucket("a", NOTHING)), np.roll(table[place, 4], -1))
+    return [*(table[place, k] for k in range(3)), before, after]
+
+
+def loss(v: np.ndarray, chains: list[np.ndarray], sizes: np.ndarray, tag: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the tags, regularised, and its gradient; v: the weights of the buckets, then the transitions."""
+    w, move = v[:-4], v[-4:].reshape(2, 2)
+    weight = 1.0 / max(1, len(tag))
+    potential = sum(w[f] for f in chains)
+    chance, log_z, expected = forward_backward(potential, sizes, move, expect=True)
+    seen = np.zeros((2, 2))
+    first = np.zeros(len(tag), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    before = np.where(first, False, np.roll(tag, 1))
+    np.add.at(seen, (before.astype(int), tag.astype(int)), 1)
+    value = weight * (log_z - potential[tag].sum() - (seen * move).sum() + l2 * float(v @ v))
+    gap = chance - tag
+    slope = sum(np.bincount(f, weights=gap, minlength=len(w)) for f in chains)
+    return value, weight * (np.concatenate([slope, (expected - seen).reshape(-1)]) + 2 * l2 * v)
 
 
 def lbfgs(value, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
@@ -337,7 +313,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = of("_y > 0", sample // 3).unionByName(of("_y <= 0", sample - sample // 3))
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     joined = texts.join(F.broadcast(chosen), "_id")  # at most `sample` rows of two numbers
-    rows = joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")).collect()
+    rows = Scratch(docs.sparkSession, "toxicity").keep(joined.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")), "sample")
+    fit_in, left = [], SAMPLE_BYTES
+    for r in rows.select("_id", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("_id"), "_id").collect():  # at most `sample` rows of two numbers
+        if r["n"] <= left:
+            fit_in.append(r["_id"])
+            left -= r["n"]
+    rows = rows.where(F.col("_id").isin(fit_in)).collect() if fit_in else []  # at most SAMPLE_BYTES of text
     rows.sort(key=lambda r: str(r["_id"]))
     rate = numbers.get(True, 0) / max(1, sum(numbers.values()))
     return train([r["_text"] for r in rows], [int(r["_y"] > 0) for r in rows], rate)

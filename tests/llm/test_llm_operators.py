@@ -298,23 +298,53 @@ def test_toxicity(spark):
 
 def test_marginals_are_exact():
     rng = np.random.default_rng(7)
-    field = toxicity.Field(np.zeros(1 << toxicity.BUCKETS), rng.normal(size=(2, 2)), np.zeros(4))
+    move = rng.normal(size=(2, 2))
     sizes = np.array([0, 1, 5, 63, 64, 65, 200, 0, 300])
     p = rng.normal(size=sizes.sum())
-    got, at, m = field.marginals(p, sizes), 0, np.exp(field.move)
+    got, log_z, expected = toxicity.forward_backward(p, sizes, move, expect=True)
+    at, m, want_z, want_pairs = 0, np.exp(move), 0.0, np.zeros((2, 2))
     for n in sizes:
-        forward, a = [], np.ones(2)
+        forward = [np.array([1.0, 0.0])]  # the clean tag stands before the first token, in training and in scoring
         for t in range(n):
-            a = (a @ m) * [1, math.exp(p[at + t])]
-            a /= a.sum()
-            forward.append(a)
+            a = (forward[-1] @ m) * [1, math.exp(p[at + t])]
+            want_z += math.log(a.sum())
+            forward.append(a / a.sum())
         b = np.ones(2)
         for t in range(n - 1, -1, -1):
-            both = forward[t] * b
+            both = forward[t + 1] * b
             assert abs(both[1] / both.sum() - got[at + t]) < 1e-9
+            pair = forward[t][:, None] * m * (b * [1, math.exp(p[at + t])])[None, :]
+            want_pairs += pair / pair.sum()
             b = m @ (b * [1, math.exp(p[at + t])])
             b /= b.sum()
         at += n
+    assert abs(log_z - want_z) < 1e-6 and np.allclose(expected, want_pairs)
+
+
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(8)
+    p, move = rng.normal(size=6), rng.normal(size=(2, 2))
+    weights = {}
+    for code in range(64):
+        tags = [code >> k & 1 for k in range(6)]
+        weights[code] = math.exp(sum(move[a, b] for a, b in zip([0, *tags], tags, strict=False)) + sum(x for x, y in zip(p, tags, strict=True) if y))
+    found, log_z, _ = toxicity.forward_backward(p, np.array([6]), move)
+    assert abs(math.log(sum(weights.values())) - log_z) < 1e-9
+    for k in range(6):
+        assert abs(sum(w for code, w in weights.items() if code >> k & 1) / sum(weights.values()) - found[k]) < 1e-9
+
+
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(9)
+    sizes, buckets = np.array([3, 0, 70, 1]), 12
+    chains = [rng.integers(0, buckets, sizes.sum()) for _ in range(5)]
+    tag, v = rng.random(sizes.sum()) < 0.3, rng.normal(size=buckets + 4) / 2
+    _, slope = toxicity.loss(v, chains, sizes, tag, 0.05)
+    for k in range(len(v)):
+        step = np.zeros(len(v))
+        step[k] = 1e-5
+        ahead, behind = (toxicity.loss(v + x, chains, sizes, tag, 0.05)[0] for x in (step, -step))
+        assert abs((ahead - behind) / 2e-5 - slope[k]) < 1e-7
 
 
 # ------------------------------------------------------------------ 7
