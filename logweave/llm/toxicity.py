@@ -129,54 +129,64 @@ def forward_backward(potential: np.ndarray, sizes: np.ndarray, move: np.ndarray,
     if not total:
         return np.zeros(0), 0.0, expected
     pieces = -(-sizes // STEP)
-    n = int(pieces.sum())
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     doc = np.repeat(np.arange(len(sizes)), pieces)
-    nth = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = (np.cumsum(sizes) - sizes)[doc] + nth * STEP
     size = np.minimum(STEP, sizes[doc] - nth * STEP)
-    at = begin[:, None] + np.arange(STEP)
-    here = np.arange(STEP) < size[:, None]
-    toxic = np.exp(np.clip(np.where(here, potential[np.minimum(at, total - 1)], 0.0), -30, 30))
+    order = np.argsort(-size, kind="stable")  # longest first: at each step the live pieces are the first ones
+    rank = np.argsort(order)
+    begin, size = ((np.cumsum(sizes) - sizes)[doc] + nth * STEP)[order], size[order]
+    live = np.searchsorted(-size, -np.arange(STEP), side="left")
+    steps = int(size[0])
+    toxic = np.exp(np.clip(potential, -30, 30))
     m = np.exp(np.clip(move, -30, 30))
-    whole = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
-    for t in range(STEP if pieces.max() > 1 else 0):
-        moved = whole @ m
-        moved[:, :, 1] *= toxic[:, t, None]
-        moved /= moved.sum(axis=(1, 2), keepdims=True)
-        whole = np.where(here[:, t, None, None], moved, whole)
-    ahead, behind = np.tile([1.0, 0.0], (n, 1)), np.ones((n, 2))
-    starts = np.cumsum(pieces) - pieces
-    for k in range(1, int(pieces.max())):
-        live = np.flatnonzero(pieces > k)
-        i = starts[live] + k
-        v = np.einsum("na,nab->nb", ahead[i - 1], whole[i - 1])
-        ahead[i] = v / v.sum(axis=1, keepdims=True)
-        j = starts[live] + pieces[live] - 1 - k
-        v = np.einsum("nab,nb->na", whole[j + 1], behind[j + 1])
-        behind[j] = v / v.sum(axis=1, keepdims=True)
-    forward = np.zeros((STEP + 1, n, 2))
-    forward[0], log_z = ahead, 0.0
-    for t in range(STEP):
-        moved = forward[t] @ m
-        moved[:, 1] *= toxic[:, t]
-        norm = moved.sum(axis=1, keepdims=True)
-        log_z += float(np.log(norm[here[:, t]]).sum())
-        forward[t + 1] = np.where(here[:, t, None], moved / norm, forward[t])
-    out = np.zeros((n, STEP))
-    b = behind
-    for t in range(STEP - 1, -1, -1):
-        both = forward[t + 1] * b
-        out[:, t] = both[:, 1] / both.sum(axis=1)
-        v = b.copy()
-        v[:, 1] *= toxic[:, t]
-        if expect:
-            pair = forward[t][:, :, None] * m * v[:, None, :]
-            expected += (pair / pair.sum(axis=(1, 2), keepdims=True))[here[:, t]].sum(axis=0)
-        v = v @ m.T
-        v /= v.sum(axis=1, keepdims=True)
-        b = np.where(here[:, t, None], v, b)
+
+    def forth(a: np.ndarray, b: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One step of the live pieces: weights of both tags, and their sum."""
+        c, d = a * m[0, 0] + b * m[1, 0], (a * m[0, 1] + b * m[1, 1]) * toxic[begin[: live[t]] + t]
+        s = c + d
+        return c / s, d / s, s
+
+    ahead, behind = np.tile([1.0, 0.0], (len(size), 1)), np.ones((len(size), 2))
+    if pieces.max() > 1:
+        whole = np.zeros((len(size), 2, 2))
+        scale = np.ones((len(size), 2))
+        for start in (0, 1):
+            a, b, log = np.full(len(size), 1.0 - start), np.full(len(size), float(start)), np.zeros(len(size))
+            for t in range(steps):
+                k = live[t]
+                a[:k], b[:k], s = forth(a[:k], b[:k], t)
+                log[:k] += np.log(s)
+            whole[:, start, 0], whole[:, start, 1], scale[:, start] = a, b, log
+        whole *= np.exp(scale - scale.max(axis=1, keepdims=True))[:, :, None]
+        starts = np.cumsum(pieces) - pieces
+        for k in range(1, int(pieces.max())):
+            long = np.flatnonzero(pieces > k)
+            i, j = starts[long] + k, starts[long] + pieces[long] - 1 - k
+            v = np.einsum("na,nab->nb", ahead[rank[i - 1]], whole[rank[i - 1]])
+            ahead[rank[i]] = v / v.sum(axis=1, keepdims=True)
+            v = np.einsum("nab,nb->na", whole[rank[j + 1]], behind[rank[j + 1]])
+            behind[rank[j]] = v / v.sum(axis=1, keepdims=True)
+    forward, log_z = [(ahead[:, 0].copy(), ahead[:, 1].copy())], 0.0
+    for t in range(steps):
+        k = live[t]
+        a, b, s = forth(forward[t][0][:k], forward[t][1][:k], t)
+        log_z += float(np.log(s).sum())
+        forward.append((a, b))
     found = np.zeros(total)
-    found[at[here]] = out[here]
+    x, y = behind[:, 0].copy(), behind[:, 1].copy()
+    for t in range(steps - 1, -1, -1):
+        k = live[t]
+        (a, b), u, v = forward[t + 1], x[:k], y[:k]
+        found[begin[:k] + t] = b * v / (a * u + b * v)
+        v = v * toxic[begin[:k] + t]
+        if expect:
+            p, q = forward[t][0][:k], forward[t][1][:k]
+            four = [[p * m[0, 0] * u, p * m[0, 1] * v], [q * m[1, 0] * u, q * m[1, 1] * v]]
+            s = four[0][0] + four[0][1] + four[1][0] + four[1][1]
+            expected += [[(z / s).sum() for z in row] for row in four]
+        c, d = u * m[0, 0] + v * m[0, 1], u * m[1, 0] + v * m[1, 1]
+        s = c + d
+        x[:k], y[:k] = c / s, d / s
     return found, log_z, expected
 
 
@@ -249,11 +259,10 @@ def loss(v: np.ndarray, chains: list[np.ndarray], sizes: np.ndarray, tag: np.nda
     weight = 1.0 / max(1, len(tag))
     potential = sum(w[f] for f in chains)
     chance, log_z, expected = forward_backward(potential, sizes, move, expect=True)
-    seen = np.zeros((2, 2))
     first = np.zeros(len(tag), bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     before = np.where(first, False, np.roll(tag, 1))
-    np.add.at(seen, (before.astype(int), tag.astype(int)), 1)
+    seen = np.bincount(2 * before + tag, minlength=4).reshape(2, 2)
     value = weight * (log_z - potential[tag].sum() - (seen * move).sum() + l2 * float(v @ v))
     gap = chance - tag
     slope = sum(np.bincount(f, weights=gap, minlength=len(w)) for f in chains)
