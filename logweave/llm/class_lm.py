@@ -230,6 +230,16 @@ def shapes_of(rare: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens, words
 
 
+def few(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most about `most` word numbers (one row at least), to bound memory."""
+    for batch in batches:
+        bounds, start = batch.column("ids").offsets.to_numpy(), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(word numbers, whether each begins a text, whether each ends one) of batches with the column ids."""
     for batch in batches:
@@ -249,7 +259,7 @@ def core_pairs(coded: DataFrame, core: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n * n, np.int64)
-        for ids, first, _ in numbered(batches):
+        for ids, first, _ in numbered(few(batches)):
             k = np.minimum(ids, core).astype(np.int64)
             total += np.bincount((k[:-1] * n + k[1:])[~first[1:]], minlength=n * n)
         here = np.flatnonzero(total)
@@ -271,14 +281,14 @@ def neighbours(coded: DataFrame, cls: np.ndarray, number: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, chunks * cells), np.int32)
         of = shared.value
-        for ids, first, last in numbered(batches):
+        for ids, first, last in numbered(few(batches)):
             if not len(ids):
                 continue
             c = of[ids].astype(np.int64)
             for side, step, edge in ((0, -1, last), (1, 1, first)):
                 near = np.where(edge, number - 1, np.roll(c, step))  # beside the ends of a text stands the end token, of the last class
                 near[(np.roll(ids, step) == ids) & ~edge] = number
-                total[side] += np.bincount(ids * width + near, minlength=chunks * cells).astype(np.int32)
+                np.add.at(total[side], ids * width + near, np.int32(1))
         for k in range(chunks):
             part = total[:, k * cells : (k + 1) * cells].reshape(-1)
             here = np.flatnonzero(part)
@@ -403,7 +413,7 @@ def class_pairs(coded: DataFrame, cls: np.ndarray, number: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(number * number, np.int64)
-        for batch in batches:
+        for batch in few(batches):
             total[end * number + end] += int((pa.compute.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False) == 0).sum())
             for ids, first, last in numbered(iter([batch])):
                 c = shared.value[ids].astype(np.int64)
@@ -476,7 +486,7 @@ def score(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             sizes = batch.column("n_tokens").to_numpy() - 1
             owner = np.repeat(np.arange(batch.num_rows), sizes)
             for ids, begins, ends in numbered(iter([batch])):
