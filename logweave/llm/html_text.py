@@ -1,18 +1,20 @@
 """Main text of web pages by composite text density.
 
-A page is read into a DOM (tags that HTML closes by itself are closed; scripts, styles and other raw text are skipped).
-Nodes that are no article text by their element, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) are cut off. Every other node gets its composite density: characters per tag, adjusted
-for link text, after Sun, Song and Liao (2011),
+A page is read into a DOM by the rules of HTML for tags, attributes, comments and elements that close by themselves; scripts, styles and other raw text are skipped.
+Every node gets its composite density: characters per tag, adjusted for link text, after Sun, Song and Liao (2011),
 
     density = C/T * log(C/LC * T/LT) to the base ln(C/N * LC + LCb/Cb * C + e)
 
 with C characters, T tags, LC link characters, LT link tags, N characters outside links, and b for the body; 0 counts as 1 in
 divisions. On a page without links the base's logarithm is 0; there the factor is log(C * T) + 1. The density sum of
-a node is the sum over its children, text directly in it counting as one child. The subtree of the largest sum is the main
+a node is the sum over its children, text directly in it (outside links) counting as one child of as many characters per tag. The subtree of the largest sum is the main
 content; the least density on the path from the body to it is the threshold, and what lies outside it but reaches the threshold is
-content too, by its own largest sum. Where the chosen subtree lies in an <article> or <main> element, all of that is
-content: a page's short blocks are not lost.
+content too, by its own largest sum.
+
+Two rules stand beside the density. What a page itself names as no article text is cut before: by element (nav, footer, aside, the page's header, controls), by role, by
+hidden or aria-hidden, or by a class or id whose words say so (menu, sidebar, cookie notice, advert, comments; `article-header` or `no-ad` do not). A form is cut too, unless it is
+the page: it has paragraphs or an article, and more than half of the text. And short blocks are not lost: where the chosen subtree lies in an <article> or <main>
+element, all of that is content, and so are headings and paragraphs beside the path to the subtree of which less than half is links.
 
 Blocks are in page order, joined by an empty line; white space inside a block is one space. Tables, lists and headings are blocks;
 <br> is white space.
@@ -27,6 +29,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,33 +40,43 @@ from logweave.llm.shared import slices
 
 # Fixed values of HTML: elements without content, of raw text, and of blocks; what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes select object video audio canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes select object video audio canvas annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
-# Elements, roles and words of class or id that are never article text.
-DROPPED = frozenset("nav footer aside form button head dialog menu label input fieldset".split()) | RAW
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+
+# Elements and roles that are never article text, and controls that are none in a form.
+DROPPED = frozenset("nav footer aside button head dialog menu input fieldset".split()) | RAW
+CONTROLS = frozenset("label legend output meter progress datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar notice notices notification cookie cookies consent gdpr banner alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget comment comments commentlist disqus responses replies reply pagination pager toolbar skip print-only hidden".split()
+# Words of classes and ids. A name goes if one of the first begins or ends it, or if all its words are marks or places; a kept word keeps it.
+STRONG = frozenset(
+    "sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar advert adverts advertisement advertising adbox sponsor sponsored cookie cookies consent gdpr popup modal newsletter subscribe subscription sharing commentlist comments disqus responses replies pagination pager toolbar".split()
 )
+WEAK = frozenset("ad ads adv promo promotion side header notice notices notification banner alert overlay signup login share social related recommended widget comment reply skip hidden".split())
+PLACES = frozenset("site page left right top bottom box block list area section wrapper wrap container bar item items link links global primary secondary inner outer text message icons buttons panel form unit slot".split())
+KEPT = frozenset("article main no not non without".split())
 REMARKS = frozenset("comment comments commentlist disqus responses replies reply".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>", re.S)
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+SHUT = re.compile(r"[\s/]*>")
+ASKED = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 PARTS = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "up", "kids", "off", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "picked")
+    __slots__ = ("name", "up", "block", "kids", "off", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "picked")
 
     def __init__(self, name: str, up: Node | None, off: bool = False):
         self.name, self.up, self.off = name, up, off
+        self.block: Node | None = self if name in BLOCK or up is None else up.block  # the nearest block, itself included
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -71,9 +84,23 @@ class Node:
         self.picked = False
 
 
-def boilerplate(name: str, attributes: str, node: Node) -> bool:
+def named(value: str, remarks: bool) -> bool:
+    """Whether a class or id attribute names something that is no article text; with `remarks`, only readers' comments are looked for."""
+    for name in value.lower().split():
+        words = [w for w in PARTS.split(name) if w]
+        if not words or not KEPT.isdisjoint(words):
+            continue
+        if remarks:
+            if REMARKS.issuperset(words):
+                return True
+        elif words[0] in STRONG or words[-1] in STRONG or (all(w in WEAK or w in PLACES for w in words) and not WEAK.isdisjoint(words)):
+            return True
+    return False
+
+
+def boilerplate(name: str, attributes: dict[str, str], node: Node, in_form: bool) -> bool:
     """Whether an opening tag begins something that is never article text."""
-    if name in DROPPED:
+    if name in DROPPED or (in_form and name in CONTROLS):
         return True
     if name == "header":  # an article's own header may hold its headings
         while node is not None and node.name not in ("article", "main"):
@@ -81,105 +108,150 @@ def boilerplate(name: str, attributes: str, node: Node) -> bool:
         return node is None
     if not attributes or name in ("html", "body"):
         return False
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "role":
-            if value.strip() in ROLES:
-                return True
-        elif key == "hidden":
-            return True
-        elif key == "aria-hidden":
-            if value == "true":
-                return True
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").strip().lower() in ROLES:
+        return True
+    remarks = name in ("article", "main")
+    return any(named(attributes[k], remarks) for k in ("class", "id") if k in attributes)
+
+
+def tag_at(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes that count of the tag whose name ends at `at`, and where the tag ends; -1: it never does."""
+    found: dict[str, str] = {}
+    while True:
+        end = SHUT.match(page, at)
+        if end:
+            return found, end.end()
+        m = ATTRIBUTE.match(page, at)
+        if m is None:
+            return found, -1
+        name = m[1].lower()
+        if name in ASKED and name not in found:
+            found[name] = m[2] or m[3] or m[4] or ""
+        at = m.end()
+
+
+class Tree:
+    """Builds the DOM. How many elements of a name are open, in all and inline within each block, is counted, so that an end tag without its element costs nothing."""
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("html", None)
+        self.open: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]  # by open block
+
+    def enter(self, node: Node) -> None:
+        self.node = node
+        self.open[node.name] += 1
+        if node.name in BLOCK:
+            self.inline.append(Counter())
         else:
-            marks = set(PARTS.split(value))
-            if marks & (REMARKS if name in ("article", "main") else MARKS):
-                return True
-    return False
+            self.inline[-1][node.name] += 1
+
+    def leave(self, above: Node) -> None:
+        """Close everything up to and with `above`."""
+        while True:
+            node, self.node = self.node, self.node.up
+            self.open[node.name] -= 1
+            if node.name in BLOCK:
+                self.inline.pop()
+            else:
+                self.inline[-1][node.name] -= 1
+            if node is above:
+                return
+
+    def end(self, name: str) -> None:
+        """An end tag closes the nearest such element; one of an inline element does not close blocks."""
+        if not (self.open[name] if name in BLOCK else self.inline[-1][name]):
+            return
+        above = self.node
+        while above.name != name:
+            above = above.up
+        self.leave(above)
+
+    def begin(self, name: str) -> None:
+        """What a start tag closes: an open paragraph before a block, and the elements that it cannot be in."""
+        if name in BLOCK and self.node.block.name == "p":
+            self.leave(self.node.block)
+        if any(self.open[k] for k in CLOSES.get(name, ())):
+            above, found = self.node, None
+            while above.up is not None and above.name not in SCOPE[name]:
+                if above.name in CLOSES[name]:
+                    found = above
+                above = above.up
+            if found is not None:
+                self.leave(found)
 
 
 def parse(page: str) -> Node:
     """The page's DOM; boilerplate nodes are marked off."""
-    root = Node("html", None)
-    node, at, size = root, 0, len(page)
-    raw: str | None = None
+    tree, at, size = Tree(), 0, len(page)
+    endless: set[str] = set()  # raw elements of which no end follows any more
+    body = False
     while at < size:
         mark = page.find("<", at)
         if mark < 0:
-            node.kids.append(page[at:])
+            tree.node.kids.append(page[at:])
             break
-        m = TAG.match(page, mark) or LOOSE.match(page, mark)
-        if m is None:  # a bare <
-            node.kids.append(page[at : mark + 1])
-            at = mark + 1
-            continue
         if mark > at:
-            node.kids.append(page[at:mark])
-        at = m.end()
-        if not m[2]:
+            tree.node.kids.append(page[at:mark])
+        m = OPEN.match(page, mark)
+        if m is None:
+            skipped = COMMENT.match(page, mark)
+            if skipped is None:  # a bare <
+                tree.node.kids.append("<")
+            at = skipped.end() if skipped else mark + 1
             continue
         name = m[2].lower()
+        attributes, at = tag_at(page, m.end())
+        if at < 0:  # broken off inside a tag
+            break
         if m[1]:
-            node = close(node, name)
+            tree.end(name)
             continue
-        if not m[4]:  # broken off inside a tag
-            break
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
             if end:
                 at = end.end()
-            elif name in ("svg", "math", "noscript", "object", "video", "audio", "canvas", "select"):
-                pass  # never closed: only the tag goes
-            else:
+            elif name in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template"):
                 break
+            else:
+                endless.add(name)  # never closed: only the tag goes
             continue
-        if name in ("html", "body", "head") and name == "html":
-            continue
-        if name == "body" and any(isinstance(k, Node) and k.name == "body" for k in root.kids):
+        if name == "html" or (name == "body" and body):
             continue
-        if name in BLOCK:
-            node = close_paragraph(node)
-        if name in CLOSES:
-            node = close_first(node, CLOSES[name], SCOPE[name])
+        body |= name == "body"
+        tree.begin(name)
         if name == "br":
-            node.kids.append(" ")
+            tree.node.kids.append(" ")
             continue
-        made = Node(name, node, boilerplate(name, m[3], node))
-        node.kids.append(made)
+        made = Node(name, tree.node, boilerplate(name, attributes, tree.node, tree.open["form"] > 0))
+        tree.node.kids.append(made)
         if name == "head":
             end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
             if end:
                 at = end.end() if end[0][1] == "/" else end.start()
-            continue
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            node = made
-    return root
-
-
-def close(node: Node, name: str) -> Node:
-    """Where parsing goes on after </name>: above the nearest such element; nowhere else if there is none."""
-    above = node
-    while above is not None and above.name != name:
-        if name not in BLOCK and above.name in BLOCK:  # an inline end tag doesn't close blocks
-            return node
-        above = above.up
-    return node if above is None or above.up is None else above.up
+        elif name not in VOID:
+            tree.enter(made)
+    return tree.root
 
 
-def close_paragraph(node: Node) -> Node:
-    above = node
-    while above is not None and above.name not in BLOCK:
-        above = above.up
-    return above.up if above is not None and above.name == "p" else node
-
-
-def close_first(node: Node, names: set[str], scope: set[str]) -> Node:
-    above, found = node, None
-    while above is not None and above.name not in scope:
-        if above.name in names:
-            found = above
-        above = above.up
-    return found.up if found is not None and above is not None and found.up is not None else node
+def cut_forms(body: Node) -> None:
+    """Mark forms off, but for one that is the page: with paragraphs or an article, and more than half of the characters."""
+    forms, size, prose = [], {}, set()
+    order, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        if node.name == "form":
+            forms.append(node)
+        stack.extend(k for k in node.kids if isinstance(k, Node) and not k.off)
+    if not forms:
+        return
+    for node in reversed(order):
+        size[id(node)] = sum(len(k.strip()) if isinstance(k, str) else size.get(id(k), 0) for k in node.kids)
+        if node.name in ("p", "article", "main") or any(id(k) in prose for k in node.kids):
+            prose.add(id(node))
+    for node in forms:
+        node.off = id(node) not in prose or 2 * size[id(node)] <= size[id(body)]
 
 
 def measure(body: Node) -> list[Node]:
@@ -193,14 +265,14 @@ def measure(body: Node) -> list[Node]:
         for k in node.kids:
             if isinstance(k, Node) and not k.off:
                 stack.append((k, link or k.name == "a"))
-    own: list[list[int]] = []
+    own: list[int] = []
     for node, link in zip(reversed(order), reversed(links), strict=True):
         direct = sum(len(k) - k.count(" ") for k in map(str.strip, (k for k in node.kids if isinstance(k, str))))
         node.chars += direct
         if link:
             node.link_chars += direct
             node.link_tags += 1
-        own.append([direct])
+        own.append(0 if link else direct)
         up = node.up
         if up is not None and node is not body:
             up.chars += node.chars
@@ -208,9 +280,9 @@ def measure(body: Node) -> list[Node]:
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
     share = body.link_chars / max(1, body.chars)
-    for node, (direct,) in zip(reversed(order), own, strict=True):
+    for node, direct in zip(reversed(order), own, strict=True):
         node.density = density(node, share)
-        node.total += direct if direct and node.tags == 0 else 0.0
+        node.total += direct
         best = node
         for k in node.kids:
             if isinstance(k, Node) and not k.off and k.best.total > best.total:
@@ -249,6 +321,8 @@ def choose(body: Node) -> None:
                 continue
             if id(k) in inside:
                 stack.append(k)
+            elif k.name in TEXTS and 2 * k.link_chars < k.chars:
+                k.picked = True
             elif k.density >= least and k.chars:
                 found = k.best if k.best.total > 0 else k
                 above = found
@@ -296,6 +370,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     body = next((k for k in root.kids if isinstance(k, Node) and k.name == "body"), root)
+    cut_forms(body)
     measure(body)
     choose(body)
     return "\n\n".join(blocks(body))

@@ -38,6 +38,84 @@ def test_html(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "A rather long paragraph of plain words stands here, so that it is dense."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><p title=it's>One is here.</p><p>{LONG}</p><p>Two isn't it.</p></body>", f"One is here.\n\n{LONG}\n\nTwo isn't it."),
+        (f'<article><p title="the hidden valley">Valley.</p><p data-id="comment">Data.</p><p>{LONG}</p></article>', f"Valley.\n\nData.\n\n{LONG}"),
+        (f'<div class="no-ad side-by-side"><h1 class="article-header">Head</h1><p>{LONG}</p></div>', f"Head\n\n{LONG}"),
+        (f'<body><form id=f action=/><input name=q><label>Search</label><div><h1>T</h1><p>{LONG}</p></div></form></body>', f"T\n\n{LONG}"),
+        (f'<body><div><p>{LONG}</p></div><form><p>Your name <input></p></form></body>', LONG),
+        (f"<article><p>{LONG} So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", f"{LONG} So x=2 holds."),
+        (f"<article><!--><p>{LONG}</p><!---><p>B.</p><!-- c --><p>C.</p></article>", f"{LONG}\n\nB.\n\nC."),
+        (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><p>One line.</p><ul><li><a href=x>other page</a></li></ul></body>", f"{LONG}\n\n{LONG}\n\nOne line."),
+        (f'<main><p>{LONG}</p><div class="cookie-notice">We use them.</div><div class="post-comments">x</div><section id="sidebar-left">y</section><div hidden>z</div></main>', LONG),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a\n\nb\n\nc\n\nd"), ("<p>x</ >y<i>z</b></i></p>", "xyz"), ("<form><p>only a form</p></form>", "only a form"), ("<form><input>only a form</form>", ""),
+    ],
+)
+def test_html_attributes_forms_and_comments(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_densities_by_brute_force():
+    rng = random.Random(21)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<a href=x>{sentence(rng, rng.randrange(1, 4))}</a>" if rng.random() < 0.3 else sentence(rng, rng.randrange(1, 30))
+        return f"<{(n := rng.choice(['div', 'section', 'span']))}>" + "".join(grow(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{n}>"
+
+    def facts(node, link):
+        """Characters, tags, link characters, link tags: counted again for every node, by walking all below it."""
+        c = t = lc = lt = 0
+        for k in node.kids:
+            if isinstance(k, str):
+                n = len(k.strip()) - k.strip().count(" ")
+                c, lc = c + n, lc + n * link
+            else:
+                inner = facts(k, link or k.name == "a")
+                c, t, lc, lt = c + inner[0], t + inner[1] + 1, lc + inner[2], lt + inner[3]
+        return c, t, lc, lt + link
+
+    for _ in range(40):
+        body = html_text.parse("<body>" + grow(5) + "</body>").kids[0]
+        html_text.measure(body)
+        C, _, LC, _ = facts(body, False)
+
+        def density(node, link, C=C, LC=LC):
+            c, t, lc, lt = facts(node, link)
+            if not c:
+                return 0.0
+            t, lt = max(1, t), max(1, lt)
+            base = math.log(c / max(1, c - lc) * lc + LC / max(1, C) * c + math.e)
+            ratio = math.log(c / max(1, lc) * t / lt)
+            return c / t * max(0.0, ratio) / math.log(base) if base > 1 + 1e-9 else c / t * max(0.0, ratio + 1)
+
+        nodes, stack = [], [(body, False)]
+        while stack:
+            node, link = stack.pop()
+            nodes.append((node, link))
+            stack += [(k, link or k.name == "a") for k in node.kids if not isinstance(k, str)]
+        sums = {}
+        for node, link in nodes:
+            text = sum(len(k.strip()) - k.strip().count(" ") for k in node.kids if isinstance(k, str))
+            sums[id(node)] = (0 if link else text) + sum(density(k, link or k.name == "a") for k in node.kids if not isinstance(k, str))
+            assert abs(node.density - density(node, link)) < 1e-6 and abs(node.total - sums[id(node)]) < 1e-6
+        assert abs(body.best.total - max(sums.values())) < 1e-6
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for page in ("<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<svg>" * 20_000 + "x" * 100_000, "<p>" + "<b>" * 20_000 + "<div></div>" * 20_000, "<a b='" * 3000 + "x" * 100_000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 5
+
+
 def test_html_deep_and_broken(spark):
     assert html_text.main_text("<div>" * 50_000 + "x") == "x"
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None)], "page_id long, url string, html string, text int")
