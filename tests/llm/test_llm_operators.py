@@ -581,14 +581,37 @@ def test_digest_against_brute_force(spark, monkeypatch, rows_a_bucket):
 
 
 def test_digest_groups(spark):
-    rows = digest.groups(documents(spark, ["Same  Text", "same text", "STRASSE", "straße", "other", None, ""])).collect()
-    assert {r["doc_id"]: (r["copies"], r["first_id"]) for r in rows} == {0: (2, 0), 1: (2, 0), 2: (2, 2), 3: (2, 2), 4: (1, 4), 5: (2, 5), 6: (2, 5)}
-    assert digest.edits(documents(spark, [])).count() == 0
-    assert digest.edits(documents(spark, ["a b c", "a b c", "x"], [None, 4, 4])).count() == 3
+    texts = ["Same  Text", "same text", "STRASSE", "straße", "other", None, ""]
+    want = {0: (2, 0), 1: (2, 0), 2: (2, 2), 3: (2, 2), 4: (1, 4), 5: (2, 5), 6: (2, 5)}
+    assert {r["doc_id"]: (r["copies"], r["first_id"]) for r in digest.groups(documents(spark, texts)).collect()} == want
+    assert {r["doc_id"]: (r["copies"], r["first_id"]) for r in digest.edits(documents(spark, texts)).collect()} == want
+    assert digest.edits(documents(spark, [])).count() == 0 and digest.groups(documents(spark, [])).count() == 0
+
+
+def test_bytes_part_texts_of_one_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(digest, "fingerprint", lambda c: F.lpad(F.substring(c, 1, 1), 32, "0"))  # all texts of one first letter collide
+    rows = digest.groups(documents(spark, ["ab", "AB", "ac", "b", "ab", "ad"])).collect()
+    assert {r["doc_id"]: (r["copies"], r["first_id"]) for r in rows} == {0: (3, 0), 1: (3, 0), 2: (1, 2), 3: (1, 3), 4: (3, 0), 5: (1, 5)}
+
+
+@pytest.mark.parametrize("rows_a_bucket", [2, 2048])
+def test_digest_of_null_and_repeated_ids(spark, monkeypatch, rows_a_bucket):
+    monkeypatch.setattr(digest, "BUCKET_ROWS", rows_a_bucket)
+    rng = random.Random(14)
+    rows = [(rng.choice([None, None, 4, 4, 9, -3, 0]), sentence(rng, rng.randrange(1, 6))) for _ in range(60)] + [(4, "twice"), (4, "twice"), (None, None)]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    number = lambda t: (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), number(r[1]), r[1] or ""))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        want[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest(), sum(canon(x) == canon(t) for _, x in rows)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["copies"]) for r in digest.edits(docs).collect()) == want
 
 
 def test_bucket_bounds(spark):
     for n in (3, 300, 700):
-        bounds = list(range(0, 10 * n, 10))
-        rows = spark.range(-5, 10 * n + 5, 7).select("id", digest.bucket_of(F.col("id"), bounds).alias("b")).collect()
-        assert all(r["b"] == sum(x <= r["id"] for x in bounds) for r in rows)
+        bounds = [(k > 0, 10 * k, -k) for k in range(n)]
+        rows = spark.range(-5, 10 * n + 5, 7).select("id", F.struct((F.col("id") > 0).alias("p"), F.col("id").alias("i"), F.lit(-3).cast("long").alias("h")).alias("key"))
+        for r in rows.select("id", digest.bucket_of(F.col("key"), bounds).alias("b")).collect():
+            assert r["b"] == sum(x <= (r["id"] > 0, r["id"], -3) for x in bounds)
