@@ -5,13 +5,16 @@ together: their symbols lie in one flat array, and in each round every word's lo
 the sorted pair keys, is merged at all its places, until no word has a pair left. A document's ids are
 gathered from its words' ids. The vocabulary file is a parameter and is read where the tasks run; it has a fixed size.
 
-Cases: a null text counts as empty: no ids, empty text. Special strings of the vocabulary in a text give their own ids. Very long words take as
-many rounds as they need. Null ids, repeated rows and extra columns pass through as they are; an empty table gives no rows.
+Words of over LONG bytes (runs of signs without white space) would need a round over all their symbols for each different rank. Their symbols are chained
+instead, and a round looks only at the places of its rank, which are known, and at their neighbours: the work is in proportion to the word.
+
+Cases: a null text counts as empty: no ids, empty text. Special strings of the vocabulary in a text give their own ids. Very long words are taken whole. Null ids, repeated rows and extra columns pass through as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +32,7 @@ SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B),
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 NO_RANK = np.iinfo(np.int64).max
+LONG = 256
 KNOWN_WORDS = 400_000
 
 
@@ -108,14 +112,69 @@ class Coder:
         turn = np.argsort(owner, kind="stable")
         return symbol[turn], np.bincount(owner, minlength=len(words))
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of pairs of symbols; a negative right symbol is none."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((right >= 0) & (self.keys[at] == key), self.rank[at], NO_RANK)
+
+    def merge_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same as `merge`, for long words: the places of each rank are kept, and only those beside a merge are ranked again."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n = int(sizes.sum())
+        symbol = np.append(self.byte_id[np.frombuffer(b"".join(words), np.uint8)], -1).astype(np.int32)  # the last place is no symbol
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        ends = np.cumsum(sizes)
+        after[ends - 1], before[ends - sizes] = n, n
+        after[n] = n
+        rank = np.append(self.ranks(symbol[:n], symbol[after[:n]]), NO_RANK)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < NO_RANK]
+            if not len(places):
+                return
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            found, first = np.unique(rank[places], return_index=True)
+            for r, part in zip(found.tolist(), np.split(places, first[1:]), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(part)
+
+        if n:
+            wait(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[rank[places] == r]
+            if not len(places):
+                continue
+            at = np.arange(len(places))
+            begin = np.concatenate([[True], after[places[:-1]] != places[1:]])  # of overlapping places in a row, every other one, from the left
+            places = places[(at - np.maximum.accumulate(np.where(begin, at, 0))) % 2 == 0]
+            gone = after[places]
+            symbol[places] = self.merged[r]
+            symbol[gone], rank[gone] = -1, NO_RANK
+            after[places] = after[gone]
+            before[after[places]] = places
+            near = np.unique(np.concatenate([places, before[places]]))
+            near = near[near < n]
+            rank[near] = self.ranks(symbol[near], symbol[after[near]])
+            wait(near)
+        stays = symbol[:n] >= 0
+        return symbol[:n][stays].astype(np.int64), np.bincount(np.repeat(np.arange(len(words)), sizes)[stays], minlength=len(words))
+
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet, a bounded number of bytes at a time."""
         part, size = [], 0
         for k, w in enumerate(words):
             part.append(w.encode())
             size += len(part[-1])
-            if size >= 1 << 22 or k == len(words) - 1:
-                ids, counts = self.merge(part)
+            if size >= 1 << 22 or k == len(words) - 1 or (len(part[-1]) > LONG) != (len(words[k + 1].encode()) > LONG):
+                ids, counts = (self.merge_long if len(part[-1]) > LONG else self.merge)(part)
                 self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
                 self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(counts)])
                 part, size = [], 0

@@ -7,9 +7,9 @@ longest verbatim match in the shard, and, where that reaches a window's length,
 window. Words that no benchmark item has cannot be in a match: they are left out of the array, as are runs
 of other words too short for a window.
 
-The benchmark reaches the tasks in blocks of at most BLOCK_WORDS words, each a broadcast of its own: a larger
-benchmark makes more blocks, which each shard is searched for in turn. Nothing is joined, so passages that many
-documents share cost their places only.
+The benchmark is read one partition at a time and made into blocks of at most BLOCK_WORDS words, or one item. One block is a broadcast, and the texts are searched in one pass, without any
+join, so passages that many documents share cost their places only. Where there are more blocks, the rows are written once with a key and searched for one block after the other, each broadcast
+gone before the next is made: driver and tasks never hold more than one. What the blocks find in a row is then put together by the key.
 
 Cases: a null text has no words; such a document is clean, such an item has no windows. Items of fewer words than a
 window are one window; items without words none. Rows of one item_id count as one item; a null item_id counts as the
@@ -19,7 +19,7 @@ empty string. Repeated documents give repeated rows; null ids are kept. Empty ta
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.shared import slices, utf8
+from logweave.session import Scratch
 
 BLOCK_WORDS = 2_000_000
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
-SPANS = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, longest int, longest_item string, longest_at int"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -56,19 +56,20 @@ class Block:
         self.window = np.where(self.left >= size, size, 0)  # 0: no window begins here
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> list[Block]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark's rows, read one partition at a time, in blocks of bounded size."""
-    made, held, size = [], [], 0
+    held, size = [], 0
     for row in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text")).toLocalIterator():
         found = words((row["text"] or "").encode())
         if not found:
             continue
         if held and size + len(found) > block_words:
-            made.append(Block(held, window))
+            yield Block(held, window)
             held, size = [], 0
         held.append((row["id"], found))
         size += len(found)
-    return [*made, Block(held, window)] if held else made
+    if held:
+        yield Block(held, window)
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -155,59 +156,105 @@ def scan(texts: list[list[bytes]], block: Block) -> tuple[np.ndarray, ...]:
     return place, place + block.window[window], block.item[window], agree, block.at[window], longest, where
 
 
+Found = tuple[list[tuple[int, int]], set[str], tuple[int, str | None, int | None]]
+
+
+def searched(texts: list[list[bytes]], block: Block) -> dict[int, Found]:
+    """By text that has any: hit spans, items, and the longest match (words, item, place)."""
+    base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])  # each document ends with a 0
+    out: dict[int, Found] = {}
+    start, end, item, agree, _, _, _ = scan(texts, block)
+    if not len(start):
+        return out
+    doc = np.searchsorted(base, start, side="right") - 1
+    rank = np.lexsort((start, -agree, doc))
+    for k in rank[np.concatenate([[True], doc[rank][1:] != doc[rank][:-1]])].tolist():
+        d = int(doc[k])
+        out[d] = ([], set(), (int(agree[k]), block.names[int(item[k])], int(start[k] - base[d])))
+    for d, i in map(divmod, np.unique(doc * len(block.names) + item).tolist(), repeat(len(block.names))):
+        out[d][1].add(block.names[i])
+    for d, a, b in np.unique(np.stack([doc, start - base[doc], end - base[doc]]), axis=1).T.tolist():
+        out[d][0].append((a, b))
+    return out
+
+
+def columns(found: list[Found | None]) -> list[pa.Array]:
+    """n_hit, spans, items and the longest match as columns."""
+    merged = [union(f[0]) if f else [] for f in found]
+    best = [f[2] if f else (0, None, None) for f in found]
+    return [
+        pa.array([sum(b - a for a, b in m) for m in merged], pa.int64()),
+        pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        pa.array([sorted(f[1]) if f else [] for f in found], pa.list_(pa.string())),
+        pa.array([b[0] for b in best], pa.int32()),
+        pa.array([b[1] for b in best], pa.string()),
+        pa.array([b[2] for b in best], pa.int32()),
+    ]
+
+
+PART = "n_hit long, spans array<struct<start:int,end:int>>, items array<string>, longest int, longest_item string, longest_at int"
+PARTS = ["n_hit", "spans", "items", "longest", "longest_item", "longest_at"]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id (and the columns of `carry`), n_words, n_hit, the hit spans [start, end) in words, the ids of the items that
     have a window there, and the longest verbatim match: its words, its item and its place."""
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text, window)]
+    stream = blocks(benchmark, item_col, item_text, window)
+    first, second = next(stream, None), next(stream, None)
     chosen = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in carry])
-    kinds = [chosen.schema["_id"], *[chosen.schema[c] for c in carry]]
-    names = ["doc_id", *carry]
-    schema = ", ".join([f"`{n}` {k.dataType.simpleString()}" for n, k in zip(names, kinds, strict=True)] + [SPANS])
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    if second is not None:
+        return find_by_blocks(chosen, chain([first, second], stream), carry)
+    shared = spark.sparkContext.broadcast(first)
+    schema = ", ".join([f"`{n}` {chosen.schema[c].dataType.simpleString()}" for n, c in (("doc_id", "_id"), *((c, c) for c in carry))] + ["n_words long", PART])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 12 << 20, 8192):
             texts = [words(t) for t in utf8(batch.column("_text"))]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            base = np.concatenate([[0], np.cumsum(sizes + 1)])  # each document ends with a 0
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            best: list[tuple[int, str | None, int | None]] = [(0, None, None)] * len(texts)
-            for held in shared:
-                block = held.value
-                start, end, item, agree, _, _, _ = scan(texts, block)
-                doc = np.searchsorted(base, start, side="right") - 1
-                for d, i in map(divmod, np.unique(doc * len(block.names) + item).tolist(), repeat(len(block.names))):
-                    items[d].add(block.names[i])
-                edges = np.unique(np.stack([doc, start - base[doc], end - base[doc]]), axis=1) if len(doc) else np.zeros((3, 0), np.int64)
-                for d, a, b in edges.T.tolist():
-                    spans[d].append((a, b))
-                rank = np.lexsort((start, -agree, doc)) if len(doc) else np.zeros(0, np.int64)
-                lead = rank[np.concatenate([[True], doc[rank][1:] != doc[rank][:-1]])] if len(rank) else rank
-                for k in lead.tolist():
-                    d = int(doc[k])
-                    if agree[k] > best[d][0]:
-                        best[d] = (int(agree[k]), block.names[int(item[k])], int(start[k] - base[d]))
-            merged = [union(s) for s in spans]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_id"),
-                    *[batch.column(c) for c in carry],
-                    pa.array(sizes),
-                    pa.array([sum(b - a for a, b in m) for m in merged], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], span_type),
-                    pa.array([sorted(s) for s in items], pa.list_(pa.string())),
-                    pa.array([b[0] for b in best], pa.int32()),
-                    pa.array([b[1] for b in best], pa.string()),
-                    pa.array([b[2] for b in best], pa.int32()),
-                ],
-                [*names, "n_words", "n_hit", "spans", "items", "longest", "longest_item", "longest_at"],
-            )
+            found = searched(texts, shared.value) if shared.value else {}
+            cells = [batch.column("_id"), *[batch.column(c) for c in carry], pa.array(map(len, texts), pa.int64()), *columns([found.get(k) for k in range(len(texts))])]
+            yield pa.RecordBatch.from_arrays(cells, ["doc_id", *carry, "n_words", *PARTS])
 
     return chosen.mapInArrow(run, schema)
 
 
+def find_by_blocks(chosen: DataFrame, stream: Iterator[Block], carry: tuple[str, ...]) -> DataFrame:
+    """The same for a benchmark of several blocks: one pass over the written rows for each."""
+    scratch = Scratch(chosen.sparkSession, "decontaminate")
+    rows = scratch.keep(chosen.withColumn("_key", F.monotonically_increasing_id()), "rows")
+    parts = []
+    for number, block in enumerate(stream):
+        shared = chosen.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "_text", 12 << 20, 8192):
+                found = searched([words(t) for t in utf8(batch.column("_text"))], shared.value)
+                which = sorted(found)
+                yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(which, pa.int64())), *columns([found[k] for k in which])], ["_key", *PARTS])
+
+        part = scratch.keep(rows.select("_key", "_text").mapInArrow(run, f"_key long, {PART}"), "part")
+        parts.append(part.withColumn("_block", F.lit(number)))
+        shared.destroy()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_block", *PARTS))).alias("_parts"))  # at most one for each block
+    joined = rows.join(found, "_key", "left").select("_id", "_text", *[F.col(f"`{c}`") for c in carry], "_parts")
+    schema = ", ".join([f"`{n}` {joined.schema[c].dataType.simpleString()}" for n, c in (("doc_id", "_id"), *((c, c) for c in carry))] + ["n_words long", PART])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 12 << 20, 8192):
+            sizes = [len(words(t)) for t in utf8(batch.column("_text"))]
+            made: list[Found | None] = []
+            for several in batch.column("_parts").to_pylist():
+                spans = [(s["start"], s["end"]) for p in several or [] for s in p["spans"]]
+                best = max(several, key=lambda p: (p["longest"], -p["_block"])) if several else None
+                made.append((spans, {i for p in several for i in p["items"]}, (best["longest"], best["longest_item"], best["longest_at"])) if several else None)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *[batch.column(c) for c in carry], pa.array(sizes, pa.int64()), *columns(made)], ["doc_id", *carry, "n_words", *PARTS])
+
+    return joined.mapInArrow(together, schema)
+
+
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):

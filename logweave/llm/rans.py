@@ -22,6 +22,7 @@ follow each other in the order of their texts' hashes. An empty table makes no b
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -129,9 +130,23 @@ def decode(frames: list[tuple[bytes, bytes, int]], table: Table) -> list[np.ndar
     return found
 
 
+# What a tokenizer file must be for `Words` to cut texts at white space and to make the steps for plain words itself.
+FILE_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Words:
-    """Encodes texts with the tokenizers library, chunk by chunk: no token of this vocabulary spans white space, so each
-    different chunk between ASCII white space is encoded once and its ids are gathered.
+    """Encodes texts with the tokenizers library, chunk by chunk: the file's steps are looked at when it is loaded, and where they are FILE_STEPS, with
+    no added token that has or takes white space, no token spans white space, so each
+    different chunk between ASCII white space is encoded once and its ids are gathered. Any other file's texts go through the library whole.
 
     A chunk of letters in normal form, with at most a full stop or comma behind, is what the library's own steps make of it: the word in
     lower case, as byte letters, and the sign; both go to the library's model directly. Any other chunk goes through the whole library.
@@ -143,6 +158,8 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        spec = json.loads(self.library.to_str())
+        self.by_chunks = {k: spec[k] for k in FILE_STEPS} == FILE_STEPS and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"])
         self.model = self.library.model
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -206,6 +223,9 @@ class Words:
 
     def ids(self, texts: pa.Array | list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by `end`, and the number of each."""
+        if not self.by_chunks:
+            whole = [e.ids for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts) for e in self.library.encode_batch_fast([t or ""], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable((*w, end) for w in whole), np.int32), np.fromiter((len(w) + 1 for w in whole), np.int64, len(whole))
         flat, offset, place, counts = self.chunks(texts)
         size = (offset[1:] - offset[:-1])[place]
         run = np.concatenate([[0], np.cumsum(size)])
@@ -353,7 +373,7 @@ def read(spark, folder: str, keep_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cells, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cells)])
 
     wanted = blocks.select("shard", "block", "doc_ids", "n_tokens", "total", "payload", "checkpoints", "crc", "ids_crc")
-    return wanted.join(F.broadcast(in_shard) if _small(sums) else in_shard, ["shard", "block"]).mapInArrow(run, schema)
+    return wanted.join(in_shard, ["shard", "block"]).mapInArrow(run, schema)  # Spark sends the offsets, some bytes a block, to all tasks where they are small
 
 
 def _before():
@@ -362,11 +382,6 @@ def _before():
     return Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _small(sums: DataFrame, rows: int = 100_000) -> bool:
-    """Few enough blocks (24 bytes each) to send their offsets to every task."""
-    return sums.limit(rows + 1).count() <= rows
-
-
 def round_trip(docs: DataFrame, path: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write docs to a file set in the shared folder and read it back."""
     scratch = Scratch(docs.sparkSession, "rans")

@@ -1,7 +1,7 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k (Xie et al. 2023).
 
 Features of a text: its words and pairs of words (runs of letters, digits and apostrophes, or single other signs, lower-cased),
-hashed into BUCKETS buckets; pairs of a word with itself share one bucket. Target model: bucket frequencies over documents labelled good; raw model: over all documents.
+hashed into BUCKETS buckets. Target model: bucket frequencies over documents labelled good; raw model: over all documents.
 A document's log weight is the sum over its features of the log ratio of the two models; `score` is its mean by
 feature. Its key is the log weight plus Gumbel noise drawn from a hash of the id, the text and the seed, so every run and every retry draws the same; the k
 largest keys are a sample without replacement in proportion to the weights, and are marked as selected.
@@ -61,7 +61,6 @@ class Hashed:
         owner = np.repeat(np.arange(len(docs)), sizes)
         same = owner[:-1] == owner[1:]
         two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F))[same] >> np.uint64(20)
-        two[(place[:-1] == place[1:])[same]] = 0  # a word after itself is one feature, whatever the word
         return np.concatenate([one % self.buckets, two % self.buckets]).astype(np.int64), np.concatenate([owner, owner[:-1][same]])
 
 
@@ -138,8 +137,9 @@ def select(weighed: DataFrame, k: int) -> DataFrame:
         return weighed.withColumn("selected", F.lit(False))
     edge = kth_largest(weighed, "key", k)
     sure = weighed.where(F.col("key") > edge).count()
-    at = weighed.where(F.col("key") == edge).select("doc_id", "tie").withColumn("nth", F.row_number().over(Window.orderBy(F.col("doc_id").asc_nulls_last(), "tie")))  # rows that share the k-th key
-    last = at.where(F.col("nth") == k - sure).first()
+    at = weighed.where(F.col("key") == edge).groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n"))  # what shares the k-th key; rows alike in id and text are one
+    at = at.withColumn("nth", F.sum("n").over(Window.orderBy(F.col("doc_id").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, 0)))
+    last = at.where(F.col("nth") >= k - sure).orderBy("nth").first()
     above = F.col("key") > edge
     if last is None:
         return weighed.withColumn("selected", F.col("key") >= edge)

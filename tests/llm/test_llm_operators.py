@@ -142,6 +142,17 @@ def test_decontamination_against_brute_force(spark, monkeypatch, block_words):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, w in want.items() if not w[1]}
 
 
+def test_decontamination_of_null_and_repeated_ids(spark, monkeypatch):
+    items = [("a", "one two three four five six seven eight nine ten eleven"), (None, "short item")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(None, "x " + items[0][1]), (4, "a short item here"), (4, "nothing"), (4, None), (None, "nothing")]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    for size in (1, 1000):
+        monkeypatch.setattr(decontaminate.blocks, "__defaults__", (size,))
+        got = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontaminate.find(docs, bench).collect())
+        assert got == Counter([(None, 12, 11, ("a",)), (4, 4, 2, ("",)), (4, 1, 0, ()), (4, 0, 0, ()), (None, 1, 0, ())])
+
+
 def test_longest_match_and_empty_benchmark(spark):
     bench = spark.createDataFrame([("a", " ".join(f"w{k}" for k in range(30)))], "item_id string, text string")
     row = decontaminate.find(documents(spark, ["x y " + " ".join(f"w{k}" for k in range(5, 20)) + " z"]), bench).first()
@@ -229,6 +240,19 @@ def test_bpe_is_the_library(texts):
         assert own.tolist() == want and coder.decode(own) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_long_words(spark, monkeypatch):
+    library, coder = Tokenizer.from_file(BPE), bpe.coder(BPE)
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC") for _ in range(n)) for n in (300, 5000, 60_000)] + ["a" * 1001, "ab" * 700, "é" * 500, "thethe" * 300, "x"]
+    for w in (*words, " ".join(words)):
+        ids, _ = coder.encode([w])
+        assert ids.tolist() == library.encode(w, add_special_tokens=False).ids
+    short = [w.encode() for w in ("the", "aaaa", "aaaaa", "international", "é", "zzzzzzzzz", "unbelievable")]
+    assert [x.tolist() for x in coder.merge_long(short)] == [x.tolist() for x in coder.merge(short)]
+    docs = documents(spark, ["same text", None, "same text"], [None, 3, 3])
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in bpe.digests(docs, BPE).collect()) == Counter([(None, 2), (3, 0), (3, 2)])
+
+
 def test_bpe_on_rows(spark):
     library = Tokenizer.from_file(BPE)
     got = {r["doc_id"]: r for r in bpe.digests(documents(spark, ODD), BPE).collect()}
@@ -280,6 +304,16 @@ def test_rans_files(spark, tmp_path):
     assert rans.round_trip(documents(spark, []), PIECES).count() == 0
 
 
+def test_another_vocabulary_goes_through_the_library(spark):
+    library, words = Tokenizer.from_file(BPE), rans.tokenizer(BPE)
+    assert not words.by_chunks and rans.tokenizer(PIECES).by_chunks
+    texts = ["Two  words, here\n", "", "<|endoftext|> x"]
+    ids, sizes = words.ids(texts, 2)
+    assert ids.tolist() == [i for t in texts for i in [*library.encode(t, add_special_tokens=False).ids, 2]] and sizes.sum() == len(ids)
+    docs = documents(spark, ["b", "a", None, "a"], [None, 7, 7, None])
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rans.round_trip(docs, PIECES).collect()) == Counter([(None, 2), (7, 2), (7, 1), (None, 2)])
+
+
 def test_damage_is_found(spark, tmp_path):
     rans.write(documents(spark, ["some words here"] * 3), str(tmp_path / "set"), PIECES)
     bad = spark.read.parquet(str(tmp_path / "set" / "blocks")).withColumn("payload", F.concat("payload", F.lit(b"\0")))
