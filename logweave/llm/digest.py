@@ -26,6 +26,7 @@ from logweave.session import Scratch
 BUCKET_ROWS = 2048
 MOST_BUCKETS = 1 << 16
 SAMPLED = 16
+SIEVE = 1 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -48,7 +49,11 @@ def buckets(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     prints: a row with the fingerprint of each row of docs. The texts of such buckets are grouped by their bytes."""
     several = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), canonical(F.col(f"`{text_col}`")).alias("_canon"))
-    inside = texts.withColumn("fingerprint", fingerprint(F.col("_canon"))).join(several, "fingerprint", "left_semi")
+    # Most texts have no copy; they are held back by a hash of the fingerprint before texts are shuffled: at most SIEVE integers go to every task.
+    slot = F.pmod(F.hash("fingerprint"), F.lit(SIEVE)).alias("slot")
+    sieve = several.select(slot).distinct()
+    likely = texts.withColumn("fingerprint", fingerprint(F.col("_canon"))).withColumn("slot", slot).join(F.broadcast(sieve), "slot", "left_semi").drop("slot")
+    inside = likely.join(several, "fingerprint", "left_semi")
     same = inside.groupBy("fingerprint", "_canon").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("first_id"))
     named = same.select("fingerprint", digest(F.col("_canon")).alias("name"), "copies", "first_id")
     clash = F.assert_true(F.count(F.lit(1)) == 1, F.lit("two texts share fingerprint and SHA-512"))
