@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logweave import constants as C
 
 Map = "map<string,string>"
+SPACES = " \t\n\x0b\f\r"
 
 
 def any_of(column: Column, patterns) -> Column:
@@ -23,11 +24,11 @@ def lookup(table: dict, key: Column, default: Column) -> Column:
 
 def one_line(raw: Column) -> Column:
     """Trimmed, line feeds as spaces, carriage returns dropped."""
-    return F.regexp_replace(F.translate(F.regexp_replace(raw, r"^\s+|\s+$", ""), "\n\r", " "), "\r", "")
+    return F.translate(strip(raw), "\n\r", " ")
 
 
 def strip(column: Column) -> Column:
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
+    return F.btrim(column, F.lit(SPACES))
 
 
 def group(column: Column, pattern: str, k: int) -> Column:
@@ -37,7 +38,10 @@ def group(column: Column, pattern: str, k: int) -> Column:
 
 def detect(event: Column) -> Column:
     """json, syslog, structured_text, kv or plain_text; null for blank events."""
-    e = strip(event)
+    return let(strip(event), _format)
+
+
+def _format(e: Column) -> Column:
     return (
         F.when(e == "", F.lit(None))
         .when(e.startswith("{") & F.try_parse_json(e).isNotNull(), "json")
@@ -50,7 +54,7 @@ def detect(event: Column) -> Column:
 
 def routed(event: Column) -> Column:
     """The format that parsing takes: anything that begins with a brace is json without a look at its validity."""
-    return F.when(strip(event).startswith("{"), "json").otherwise(detect(event))
+    return let(strip(event), lambda e: F.when(e.startswith("{"), "json").otherwise(_format(e)))
 
 
 def timestamp(text: Column, lenient: bool = False) -> Column:
@@ -92,28 +96,29 @@ def parse_json(raw: Column, lenient: bool = False) -> Column:
 
 
 def _json_fields(value: Column, entries: Column, text: Column, lenient: bool) -> Column:
+    keys = {"at": ("timestamp", "time", "@timestamp"), "level": ("level", "severity", "status"), "text": ("message", "msg")}
+
     def get(key: str) -> Column:
-        found = F.try_variant_get(value, f"$['{key}']", "variant")
-        literal = F.to_json(found)
-        return F.when(literal.isin("null", '""', "0", "0.0", "-0.0", "false", "[]", "{}"), None).otherwise(F.coalesce(F.try_variant_get(value, f"$['{key}']", "string"), literal))
+        missing = ("null", '""', "0", "0.0", "-0.0", "false", "[]", "{}")
+        found = lambda v: let(F.to_json(v), lambda literal: F.when(~literal.isin(*missing), F.coalesce(F.try_variant_get(v, "$", "string"), literal)))
+        return let(F.try_variant_get(value, f"$['{key}']", "variant"), found)
 
-    def first(*keys: str) -> tuple[Column, Column]:
+    def first(values: Column, names: tuple[str, ...]) -> tuple[Column, Column]:
         """The first value that counts, and the keys that looking for it has taken out."""
-        taken = F.array(*[F.lit(keys[0])])
-        for k, key in enumerate(keys[1:], 1):
-            taken = F.when(F.coalesce(*[get(x) for x in keys[:k]]).isNull(), F.concat(taken, F.array(F.lit(key)))).otherwise(taken)
-        return F.coalesce(*[get(k) for k in keys]), taken
-
-    at, taken_at = first("timestamp", "time", "@timestamp")
-    level, taken_level = first("level", "severity", "status")
-    text_of, taken_text = first("message", "msg")
-    found = F.struct(at.alias("at"), F.upper(strip(F.coalesce(level, F.lit("INFO")))).alias("level"), text_of.alias("text"), F.concat(taken_at, taken_level, taken_text).alias("taken"))
+        of = [values[n] for n in names]
+        taken = F.array(*map(F.lit, names))
+        for k in range(len(names) - 1, 0, -1):
+            taken = F.when(F.coalesce(*of[:k]).isNotNull(), F.array(*map(F.lit, names[:k]))).otherwise(taken)
+        return F.coalesce(*of), taken
 
-    def build(f: Column) -> Column:
-        rest = F.map_filter(entries, lambda k, v: ~F.array_contains(f["taken"], k))
-        return fields(timestamp(f["at"], lenient), lookup(C.NUMERIC_LEVELS, f["level"], f["level"]), strip(F.coalesce(f["text"], F.to_json(rest))), None, rest)
+    def build(values: Column) -> Column:
+        (at, gone_at), (level, gone_level), (message, gone_text) = (first(values, names) for names in keys.values())
+        rest = let(F.concat(gone_at, gone_level, gone_text), lambda gone: F.map_filter(entries, lambda k, v: ~F.array_contains(gone, k)))
+        named = let(F.upper(strip(F.coalesce(level, F.lit("INFO")))), lambda x: lookup(C.NUMERIC_LEVELS, x, x))
+        return let(rest, lambda r: fields(timestamp(at, lenient), named, strip(F.coalesce(message, F.to_json(r))), None, r))
 
-    return F.when(value.isNotNull() & text.startswith("{") & entries.isNotNull(), let(found, build))
+    values = F.struct(*[get(k).alias(k) for names in keys.values() for k in names])
+    return F.when(value.isNotNull() & text.startswith("{") & entries.isNotNull(), let(values, build))
 
 
 def parse_syslog(raw: Column, lenient: bool = False) -> Column:
@@ -200,9 +205,9 @@ def _plain_fields(text: Column, lenient: bool) -> Column:
 
 def upgraded(severity: Column, raw: Column) -> Column:
     """INFO becomes the level in brackets, or ERROR where the event speaks of a failure."""
-    words = reduce(lambda a, b: a | b, (F.lower(raw).contains(w) for w in C.UPGRADE_WORDS))
-    level = F.upper(severity)
-    return F.when((level == "INFO") & raw.rlike(C.UPGRADE_LEVEL), F.upper(F.regexp_extract(raw, C.UPGRADE_LEVEL, 1))).when((level == "INFO") & words, "ERROR").otherwise(level)
+    words = let(F.lower(raw), lambda text: reduce(lambda a, b: a | b, (text.contains(w) for w in C.UPGRADE_WORDS)))
+    found = lambda level: F.when(~level.eqNullSafe("INFO"), level).when(raw.rlike(C.UPGRADE_LEVEL), F.upper(F.regexp_extract(raw, C.UPGRADE_LEVEL, 1))).when(words, "ERROR").otherwise(level)
+    return let(F.upper(severity), found)
 
 
 def event_id(*parts: Column) -> Column:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from logweave import constants as C
 
+#: The characters that Unicode counts as white space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def clean(message: Column) -> Column:
     """White space runs as one space, quotes dropped."""
-    return F.translate(F.regexp_replace(F.regexp_replace(message, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "), "\"'", "")
+    return F.translate(F.regexp_replace(F.btrim(message, F.lit(SPACES)), f"[{SPACES}]+", " "), "\"'", "")
 
 
 def hide_attributes(message: Column, attributes: Column) -> Column:

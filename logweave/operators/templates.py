@@ -1,7 +1,8 @@
-"""Online template mining (Drain, He et al. 2017), parallel by token count.
+"""Online template mining (Drain, He et al. 2017), parallel by leaf of the tree.
 
-The tree's first level is the number of tokens, so clusters never cross groups of equal token count. Equal prepared messages are counted before mining: a group's
-size is the number of its different messages. The order of arrival inside a group decides; it is the first arrival of each message.
+The tree's first level is the number of tokens, the next ones are leading tokens; clusters never cross leaves. Which leaf a message goes to is found for all messages at once: a
+node takes its first CHILDREN different keys in the order of their first arrival, all others share its wildcard. Equal prepared messages are counted before mining: a leaf's
+size is the number of its different messages. The order of arrival inside a leaf decides; it is the first arrival of each message.
 """
 
 from __future__ import annotations
@@ -13,19 +14,20 @@ from pyspark.sql import functions as F
 from logweave.functions.signal import confidence, prepared, template_id, unprotect
 
 WILD = "<*>"
+CHILDREN = 100
 
 
 class Miner:
     """One tree: depth levels in all, of which the first is the token count and depth - 2 are leading tokens."""
 
-    def __init__(self, similarity: float = 0.5, depth: int = 4, children: int = 100):
+    def __init__(self, similarity: float = 0.5, depth: int = 4, children: int = CHILDREN):
         self.similarity, self.levels, self.children = min(0.95, max(0.10, similarity)), min(10, max(2, depth)) - 2, children
         self.root: dict = {}
 
     def leaf(self, tokens: list[str]) -> list[list]:
         node = self.root.setdefault(len(tokens), {})
         for token in tokens[: self.levels]:
-            key = WILD if any(c.isdigit() for c in token) else token
+            key = WILD if any(c.isdecimal() for c in token) else token
             if key not in node and len(node) >= self.children:
                 key = WILD
             node = node.setdefault(key, {})
@@ -47,20 +49,28 @@ class Miner:
         return best
 
 
-def mine(events: DataFrame, message: str = "message", attributes: str | None = "attributes", order: tuple[str, ...] = ("event_ts", "event_id"), similarity: float = 0.5, depth: int = 4) -> DataFrame:
+def mine(events: DataFrame, message: str = "message", attributes: str | None = "attributes", order: tuple[str, ...] = ("event_ts", "event_id"), similarity: float = 0.5, depth: int = 4, children: int = CHILDREN) -> DataFrame:
     """events with template, template_id, cluster_size and confidence. Every event gets its message's template after all messages of its kind have been
     seen, and the final size of the cluster."""
     rows = events.withColumn("_text", prepared(F.col(message), F.col(attributes) if attributes else None))
     distinct = rows.groupBy("_text").agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_times")).withColumn("_tokens", F.filter(F.split("_text", " "), lambda t: t != "")).withColumn("_n", F.size("_tokens"))
-    distinct = distinct.withColumn("_rank", F.row_number().over(Window.partitionBy("_n").orderBy("_first", "_text"))).drop("_first")
+    path = ["_n"]
+    for level in range(min(10, max(2, depth)) - 2):  # the leaf, one level after the other
+        token = F.get("_tokens", F.lit(level))
+        distinct = distinct.withColumn("_key", F.when(token.rlike(r"\p{Nd}"), WILD).otherwise(token))
+        met = distinct.groupBy(*path, "_key").agg(F.min(F.struct("_first", "_text")).alias("_met"))
+        late = met.withColumn("_nth", F.row_number().over(Window.partitionBy(*path).orderBy("_met"))).where(F.col("_nth") > children).select(*path, "_key", F.lit(True).alias("_late"))
+        distinct = distinct.join(late, [*path, "_key"], "left").withColumn(f"_key{level}", F.coalesce(F.when(F.col("_late"), WILD).otherwise(F.col("_key")), F.lit(""))).drop("_late", "_key")
+        path.append(f"_key{level}")
+    distinct = distinct.withColumn("_rank", F.row_number().over(Window.partitionBy(*path).orderBy("_first", "_text"))).drop("_first")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        miner = Miner(similarity, depth)
+        miner = Miner(similarity, 2)  # all of one leaf
         pdf = pdf.sort_values("_rank")
         found = [miner.add(list(tokens), int(times)) for tokens, times in zip(pdf["_tokens"], pdf["_times"], strict=True)]
         return pd.DataFrame({"_text": pdf["_text"], "template": [" ".join(c[0]) for c in found], "cluster_size": [c[1] for c in found]})
 
-    mined = distinct.groupBy("_n").applyInPandas(run, "_text string, template string, cluster_size long").withColumn("template", unprotect(F.col("template")))
+    mined = distinct.groupBy(*path).applyInPandas(run, "_text string, template string, cluster_size long").withColumn("template", unprotect(F.col("template")))
     out = rows.join(mined, "_text").drop("_text")
     return out.withColumns({"template_id": template_id(F.col("template")), "confidence": confidence(F.col("template"), F.col("cluster_size"))})
 

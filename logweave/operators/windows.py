@@ -30,28 +30,42 @@ def anchored_windows(rows: DataFrame, source: str = "source", ts: str = "event_t
     """rows with window_start: a window opens at the first row, takes rows up to `seconds` later (inclusive) and at most `most` of them, and the next one
     opens at the row after.
 
-    A row more than `seconds` after the row before it opens a window whatever came before; so rows between such gaps are
-    folded on their own, group by group. A group is as long as a source never pauses for `seconds`.
+    Only times and their numbers of rows are folded, not rows: rows are counted by time, a time's rows are in at most two windows (the open one until it is full, then one that begins at this
+    time), and this table goes back to the rows by their time. A row more than `seconds` after the row before it opens a window whatever came before; so the times between such
+    pauses, which show in a table of occupied time spans, are folded on their own. Such a group is as long as a source never pauses for `seconds`.
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    base = rows.withColumn("_at", at)
-    ordered = Window.partitionBy(source).orderBy("_at", order)
-    gap = F.when(F.col("_at") - F.lag("_at").over(ordered) > seconds * 1_000_000, F.col("_at"))
-    base = base.withColumn("_group", F.coalesce(F.last(gap, ignorenulls=True).over(ordered), F.lit(-(1 << 62))))
+    step = seconds * 1_000_000
+    base = rows.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    counts = base.groupBy(source, "_at").agg(F.count(F.lit(1)).alias("_n")).withColumn("_span", F.floor(F.col("_at") / step))
+    spans = counts.groupBy(source, "_span").agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    ordered = Window.partitionBy(source).orderBy("_span")
+    gap = F.when(F.col("_low") - F.lag("_high").over(ordered) > step, F.col("_low"))
+    spans = spans.withColumn("_group", F.coalesce(F.last(gap, ignorenulls=True).over(ordered), F.lit(-(1 << 62)))).select(F.col(source).alias("_source"), F.col("_span").alias("_place"), "_group")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", order], kind="stable")
-        starts, start, held = [], None, 0
-        for t in pdf["_at"]:
-            if start is None or t > start + seconds * 1_000_000 or held >= most:
+        pdf = pdf.sort_values("_at")
+        starts, first, start, held = [], [], None, 0
+        for t, n in zip(pdf["_at"].tolist(), pdf["_n"].tolist(), strict=True):
+            if start is None or t > start + step or held >= most:
                 start, held = t, 0
-            held += 1
+            fits = min(n, most - held)
             starts.append(start)
-        return pdf.assign(_start=starts)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", _start long"
-    folded = base.groupBy(source, "_group").applyInPandas(fold, schema)
-    return folded.withColumn("window_start", F.timestamp_micros("_start")).drop("_at", "_group", "_start")
+            first.append(fits)
+            held += fits
+            if n > fits:
+                start, held = t, (n - fits - 1) % most + 1
+        return pdf[[source, "_at", "_n"]].assign(_start=starts, _first=first)
+
+    kind = base.schema[source].dataType.simpleString()
+    grouped = counts.join(spans, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_span") == F.col("_place"))).drop("_source", "_place")
+    folded = grouped.groupBy(source, "_group").applyInPandas(fold, f"`{source}` {kind}, _at long, _n long, _start long, _first long")
+    folded = folded.select(F.col(source).alias("_source"), F.col("_at").alias("_time"), "_n", "_start", "_first")
+    joined = base.join(folded, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_time")))
+    # Only where a window fills up within a time do its rows have to be ordered; all others are spread.
+    joined = joined.withColumn("_salt", F.when(F.col("_first") == F.col("_n"), F.pmod(F.xxhash64(order), F.lit(256))).otherwise(F.lit(-1)))
+    rank = F.row_number().over(Window.partitionBy(source, "_at", "_salt").orderBy(order))
+    start = F.when((F.col("_salt") == -1) & (rank > F.col("_first")), F.col("_at")).otherwise(F.col("_start"))
+    return joined.withColumn("window_start", F.timestamp_micros(start)).select(*rows.columns, "window_start")
 
 
 def tumbling_windows(rows: DataFrame, ts: str = "event_ts", seconds: int = 300) -> DataFrame:

@@ -81,9 +81,10 @@ def test_trailing_count_against_brute_force(spark):
     assert got == {i: sum(t == u and 0 <= (s - x).total_seconds() <= 60 for _, u, x in rows) for i, t, s in rows}
 
 
-def test_anchored_windows_against_fold(spark):
+@pytest.mark.parametrize("span", [40, 5000, 90_000])
+def test_anchored_windows_against_fold(spark, span):
     random.seed(4)
-    rows = [(k, "s", at(random.randrange(5000))) for k in range(200)]
+    rows = [(k, "s", at(random.randrange(span))) for k in range(200)]
     got = {r["event_id"]: r["window_start"] for r in windows.anchored_windows(spark.createDataFrame(rows, "event_id long, source string, event_ts timestamp"), most=5).collect()}
     start, held = None, 0
     for i, _, t in sorted(rows, key=lambda r: (r[2], r[0])):
@@ -99,12 +100,13 @@ def test_overflow_cap(spark):
     assert len(found) == 10 and {r["state_key"]: r["count"] for r in found}["__overflow__"] == 21
 
 
-def test_drain_against_single_tree(spark):
+@pytest.mark.parametrize("children", [2, 100])
+def test_drain_against_single_tree(spark, children):
     random.seed(5)
     texts = [f"{random.choice(['open', 'close', 'read'])} file {random.choice(['a', 'b', 'x1'])} by {random.choice(['ann', 'bob', 'cyd'])}" + " now" * random.randrange(2) for _ in range(200)]
     df = spark.createDataFrame([(k, at(k), t) for k, t in enumerate(texts)], "event_id long, event_ts timestamp, message string")
-    got = {r["event_id"]: (r["template"], r["cluster_size"]) for r in templates.mine(df, attributes=None).collect()}
-    miner, first, clusters = templates.Miner(), {}, {}
+    got = {r["event_id"]: (r["template"], r["cluster_size"]) for r in templates.mine(df, attributes=None, children=children).collect()}
+    miner, first, clusters = templates.Miner(children=children), {}, {}
     for t in texts:
         first.setdefault(t, len(first))
     for t in first:
