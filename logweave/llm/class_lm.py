@@ -36,6 +36,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ ROUNDS = 4
 CHUNK = 1 << 10
 MU = 10.0
 ADD = 0.1
-KNOWN = 400_000
+KNOWN = 100_000
 
 
 def short(word: bytes) -> bytes:
@@ -142,36 +143,30 @@ class Head:
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         self.words, self.counts = words, counts
-        self._start()
+        self.index: Numbers | None = None
 
     def __getstate__(self):
-        return {"words": self.words, "counts": self.counts}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._start()
-
-    def _start(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.forget()
+        return {"words": self.words, "counts": self.counts, "index": None}
 
     def forget(self) -> None:
-        self.index, self.met, self.ids = Numbers(), [], np.zeros(0, np.int32)
+        """Know the words of the head only: their place is their number."""
+        self.index, self.others, self.ids = Numbers(zip(self.words, range(len(self.words)), strict=True)), [], np.arange(len(self.words), dtype=np.int32)
+
+    def word(self, place: int) -> bytes:
+        return self.words[place] if place < len(self.words) else self.others[place - len(self.words)]
 
     def take(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of each word among those met, number of each, sizes of the documents): a word's number is its rank in the head, or `len(words)` and its shape."""
-        if not self.number:
-            self.number = {w: k for k, w in enumerate(self.words)}
-        if len(self.index) > KNOWN:
+        first = len(self.words)
+        if self.index is None or len(self.index) > first + KNOWN:
             self.forget()
-        index, known, first = self.index, len(self.index), len(self.words)
+        index, known = self.index, len(self.index)
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         place = np.fromiter((k for d in docs for k in map(index.__getitem__, d)), np.int64, int(sizes.sum()))
         if len(index) > known:
-            fresh = list(map(short, list(index)[known:]))
-            self.met += fresh
-            get = self.number.get
-            found = ((first + shape(w) if (k := get(w)) is None else k) for w in fresh)
+            fresh = list(map(short, islice(index, known, None)))
+            self.others += fresh
+            found = (k if len(w) > LONGEST - 8 and (k := index.get(w, first)) < first else first + shape(w) for w in fresh)  # long words of the head are there by their short form
             self.ids = np.concatenate([self.ids, np.fromiter(found, np.int32, len(fresh))])
         return place, self.ids[place], sizes
 
@@ -188,7 +183,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 8 << 20, 4096):
             for t in utf8(batch.column("text")):
                 held.update(t.lower().split())
-            if len(held) > KNOWN // 2:
+            if len(held) > KNOWN:
                 yield out()
                 held = Counter()
         yield out()
@@ -441,10 +436,10 @@ def encode(rows: DataFrame, head: Head) -> DataFrame:
             common = ids < first
             sums = np.bincount(doc[common], weights=logs[ids[common]], minlength=n)
             met = np.bincount(doc[common], minlength=n)
-            key, times = np.unique(doc[~common] * max(1, len(head.met)) + place[~common], return_counts=True)
-            whose, word = np.divmod(key, max(1, len(head.met)))
+            key, times = np.unique(doc[~common] * len(head.ids) + place[~common], return_counts=True)
+            whose, word = np.divmod(key, max(1, len(head.ids)))
             lists = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
-            rare = lists(np.searchsorted(whose, np.arange(n + 1)), pa.StructArray.from_arrays([pa.array([head.met[k] for k in word.tolist()], pa.binary()), pa.array(times)], ["word", "times"]))
+            rare = lists(np.searchsorted(whose, np.arange(n + 1)), pa.StructArray.from_arrays([pa.array(map(head.word, word.tolist()), pa.binary()), pa.array(times)], ["word", "times"]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(n)), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes + 1), pa.array(met.astype(np.int64)), pa.array(sums), lists(np.concatenate([[0], np.cumsum(sizes)]), pa.array(ids)), rare],
                 ["row", "doc_id", "held_out", "n_tokens", "met", "logs", "ids", "rare"],
