@@ -35,11 +35,11 @@ def milliseconds(value: Column) -> Column:
     return F.when(value < 1e10, value * 1000).otherwise(value).cast("bigint").cast("string")
 
 
-def compact(events: DataFrame) -> DataFrame:
-    """Enriched, scored events as the incident stages carry them."""
+def compact(events: DataFrame, *keep: str) -> DataFrame:
+    """Enriched, scored events as the incident stages carry them, and the columns `keep`."""
     optional = ["service_family", "inferred_service", "inferred_service_family", "component", "framework", "runtime", "library", "exception_type", "error_family", "domain"]
     return events.select(
-        "event_id", F.unix_millis("event_ts").cast("string").alias("event_time"), "event_ts", F.upper("severity").alias("severity"), F.coalesce(F.nullif(F.trim("service"), F.lit("")), F.lit("unknown")).alias("service"),
+        *keep, "event_id", F.unix_millis("event_ts").cast("string").alias("event_time"), "event_ts", F.upper("severity").alias("severity"), F.coalesce(F.nullif(F.trim("service"), F.lit("")), F.lit("unknown")).alias("service"),
         source_alias(F.col("source"), F.col("attributes")).alias("source"), clean_message(F.col("message")).alias("message"), *[F.nullif(F.col(c), F.lit("")).alias(c) for c in optional],
         "risk_score", F.col("window_count_1m").alias("occurrences_1m"), kept_attributes(F.col("attributes")).alias("attributes"), "correlation_tokens",
     )

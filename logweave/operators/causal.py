@@ -111,6 +111,13 @@ def for_judge(judged: DataFrame, most: int = 20) -> DataFrame:
     return judged.where((F.col("verdict") == "ambiguous") & (n >= 2)).withColumn("kinds", n).orderBy(F.col("score").desc(), F.col("kinds").desc(), "source", "target").limit(most)
 
 
+def asked(judged: DataFrame, judge, most: int = 20) -> DataFrame:
+    """(source, target, confidence) of the pairs that a judge takes for edges: pairs are named "source::target"."""
+    pairs = for_judge(judged, most).withColumn("pair_id", F.concat_ws("::", "source", "target"))
+    said = judge.decide(pairs.select("pair_id", "score", "reasons", "source", "target", "kinds"))
+    return pairs.select("pair_id", "source", "target").join(said.where(F.col("decision") == "edge"), "pair_id").select("source", "target", "confidence")
+
+
 def fuse(score: Column, opinion: Column, reasons: Column) -> Column:
     """Deterministic score and a judge's confidence together: struct of accepted and confidence."""
     hits = F.size(F.array_intersect(reasons, words(*STRONG)))

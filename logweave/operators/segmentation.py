@@ -8,9 +8,10 @@ the line number of its first line, which needs only the last boundary before eac
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave import constants as C
@@ -75,8 +76,10 @@ def strong_header(line):
     return (strip(line) != "") & any_of(strip(line), C.STRONG_HEADERS)
 
 
-def validate(lines: DataFrame, header: str = C.HEADER) -> DataFrame:
-    """One row: the counters and rates of a header pattern over all lines, and whether it is accepted."""
+def validate(lines: DataFrame, header: str = C.HEADER, parser: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row: the counters and rates of a header pattern over all lines, and whether it is accepted.
+
+    parser: a column function from an event to its fields, null where it cannot read it; at least 95 % of the events must then be read."""
     flagged = flag_lines(lines, header)
     line = F.col("line")
     strong = strong_header(line) & ~F.col("is_header")
@@ -97,16 +100,20 @@ def validate(lines: DataFrame, header: str = C.HEADER) -> DataFrame:
             "under_segmentation_rate": part("internal_header_candidates", F.col("header_matches") + F.col("internal_header_candidates")), "zero_loss": F.col("event_lines") == F.col("nonempty_lines"),
         }
     )
-    return both.withColumn("accepted", (F.col("header_matches") > 0) & (F.col("coverage") >= 99) & (F.col("internal_header_candidates") == 0) & F.col("zero_loss"))
+    read = F.lit(0).cast("long") if parser is None else F.count_if(parser(F.col("event")).isNotNull())
+    parsed = assemble(lines, header).agg(F.count(F.lit(1)).alias("parser_attempts"), read.alias("parser_success")) if parser else lines.sparkSession.range(1).select(F.lit(0).cast("long").alias("parser_attempts"), read.alias("parser_success"))
+    both = both.crossJoin(parsed).withColumn("parser_ratio", F.coalesce(F.col("parser_success") * 100.0 / F.nullif("parser_attempts", F.lit(0)), F.lit(100.0)))  # one row
+    return both.withColumn("accepted", (F.col("header_matches") > 0) & (F.col("coverage") >= 99) & (F.col("internal_header_candidates") == 0) & F.col("zero_loss") & (F.col("parser_ratio") >= 95))
 
 
-def samples(lines: DataFrame, header: str = C.HEADER, failed: int = 30, positive: int = 12, chars: int = 700) -> DataFrame:
-    """(kind, nth, file, line_no, line): first distinct unmatched strong headers, and first matches."""
+def samples(lines: DataFrame, header: str = C.HEADER, failed: int = 30, positive: int = 12, internal: int = 10, chars: int = 700) -> DataFrame:
+    """(kind, nth, file, line_no, line): first distinct unmatched strong headers, first matches, and first strong headers inside events."""
     flagged = flag_lines(lines, header).where(~F.col("is_blank"))
     text = F.substring("line", 1, chars)
     missed = flagged.where(strong_header(F.col("line")) & ~F.col("is_header")).groupBy(text.alias("line")).agg(F.min(F.struct("file", "line_no")).alias("at")).select(F.lit("failed").alias("kind"), "at.file", "at.line_no", "line").orderBy("file", "line_no").limit(failed)
     hit = flagged.where("is_header").select(F.lit("positive").alias("kind"), "file", "line_no", text.alias("line")).orderBy("file", "line_no").limit(positive)
-    both = missed.unionByName(hit)
+    inner = flagged.where(strong_header(F.col("line")) & ~F.col("is_header") & ~F.col("starts")).select(F.lit("internal").alias("kind"), "file", "line_no", text.alias("line")).orderBy("file", "line_no").limit(internal)
+    both = missed.unionByName(hit).unionByName(inner)
     return both.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("file", "line_no")))
 
 
@@ -120,14 +127,33 @@ class Segmentation:
     attempts: list[dict] = field(default_factory=list)
 
 
-def settle(lines: DataFrame, candidates: list[str] = (), strict: bool = True, rounds: int = 3) -> Segmentation:
-    """Try candidate patterns in turn (those of a judge, at most `rounds`), then the built-in one; strict refuses one that fails its checks."""
+def settle(
+    lines: DataFrame, candidates: list[str] = (), strict: bool = True, rounds: int = 3, parser: Callable[[Column], Column] | None = None,
+    refine: Callable[[dict, DataFrame], str | None] | None = None, critic: Callable[[list[dict]], str | None] | None = None,
+) -> Segmentation:
+    """The header pattern that passes its checks: candidates in turn, then what `refine` makes of the report and samples of the last one, `rounds` patterns in all; then
+    what `critic` makes of all attempts; then the built-in pattern. strict refuses one that fails its checks."""
     tried: list[dict] = []
-    for origin, pattern in [*(("candidate", c) for c in list(candidates)[:rounds]), ("built-in", C.HEADER)]:
+
+    def fits(origin: str, pattern: str) -> bool:
         safe, why = safety(pattern)
-        report = validate(lines, pattern).first().asDict() if safe else {"accepted": False}
+        report = validate(lines, pattern, parser).first().asDict() if safe else {"accepted": False}
         tried.append({"pattern": pattern, "origin": origin, "reason": why} | report)
-        if report["accepted"]:
+        return report["accepted"]
+
+    waiting = list(candidates)[:rounds]
+    for _ in range(rounds):
+        if not waiting and refine is not None and tried:
+            made = refine(tried[-1], samples(lines, tried[-1]["pattern"] if tried[-1]["reason"] == "ok" else C.HEADER))
+            waiting = [made] if made else []
+        if not waiting:
+            break
+        if fits("candidate" if len(tried) < len(candidates) else "refined", waiting[0]):
+            return Segmentation(waiting[0], True, tried[-1]["origin"], tried)
+        waiting.pop(0)
+    reviewed = critic(tried) if critic is not None and tried else None
+    for origin, pattern in [*([("critic", reviewed)] if reviewed else []), ("built-in", C.HEADER)]:
+        if fits(origin, pattern):
             return Segmentation(pattern, True, origin, tried)
     if strict:
         raise RuntimeError("no header pattern passes its checks; strict=False takes the built-in one unverified")

@@ -18,9 +18,11 @@ CHILDREN = 100
 
 
 class Miner:
-    """One tree: depth levels in all, of which the first is the token count and depth - 2 are leading tokens."""
+    """One tree: depth levels in all, of which the first is the token count and depth - 2 are leading tokens. Once there are `most` clusters, a message opens none
+    where its leaf has one."""
 
-    def __init__(self, similarity: float = 0.5, depth: int = 4, children: int = CHILDREN):
+    def __init__(self, similarity: float = 0.5, depth: int = 4, children: int = CHILDREN, most: int | None = None):
+        self.most, self.size = most, 0
         self.similarity, self.levels, self.children = min(0.95, max(0.10, similarity)), min(10, max(2, depth)) - 2, children
         self.root: dict = {}
 
@@ -41,9 +43,10 @@ class Miner:
             rank = (same / max(1, len(tokens)), sum(a == WILD for a in cluster[0]))
             if rank > best_rank:
                 best, best_rank = cluster, rank
-        if best is None or best_rank[0] < self.similarity and tokens:
+        if best is None or best_rank[0] < self.similarity and tokens and (self.most is None or self.size < self.most):
             best = [list(tokens), 0]
             clusters.append(best)
+            self.size += 1
         best[0] = [a if a == b else WILD for a, b in zip(best[0], tokens, strict=True)]
         best[1] += times
         return best

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from logweave.functions import compact, context, parsing, scoring, signal
 from logweave.operators import causal, correlate, segmentation, templates, triage, windows
+from logweave.plans.judge import Judge
 from logweave.session import Scratch
 from logweave.sources import text
+from logweave.sources.store import ValueCache
 
 
 @dataclass
@@ -30,23 +33,34 @@ class Settings:
     lenient_timestamps: bool = False
     tumbling: bool = False
     strict: bool = True
+    incident_events: int = 6
+    judged_pairs: int = 20
 
 
 STAGES = ("lines", "events", "canonical", "enriched", "signal", "scored", "actionable", "windowed", "states", "members", "incidents", "edges", "roles", "triage", "rca")
 
 
 class Engine:
-    """Stages by name; each is a DataFrame that is built when asked for. What two stages share is written to the shared folder once."""
+    """Stages by name; each is a DataFrame that is built when asked for. What two stages share is written to the shared folder once.
 
-    def __init__(self, spark: SparkSession, lines: DataFrame, settings: Settings | None = None, ingest: Column | None = None, header: str | None = None):
+    judge, edge_judge: decide ambiguous pairs of events and of incidents (`logweave.plans.judge`); without them the scores decide. cache: a `ValueCache` that keeps the
+    header which a sample of lines settled on. tune: proposes a mining policy from a preview (see `templates.tune`).
+    """
+
+    def __init__(
+        self, spark: SparkSession, lines: DataFrame, settings: Settings | None = None, ingest: Column | None = None, header: str | None = None,
+        judge: Judge | None = None, edge_judge: Judge | None = None, cache: ValueCache | None = None, tune=None,
+    ):
         self.spark, self.lines, self.settings, self.ingest, self.header = spark, lines, settings or Settings(), ingest, header
+        self.judge, self.edge_judge, self.cache, self.tune = judge, edge_judge, cache, tune
+        self.tuned = {"calls": 0, "cache_hit": False}
         self.scratch = Scratch(spark, "engine")
         self._made: dict[str, DataFrame] = {"lines": lines}
         self.pairs: DataFrame | None = None
 
     @classmethod
-    def of_path(cls, spark: SparkSession, path: str, settings: Settings | None = None, ingest: Column | None = None) -> Engine:
-        return cls(spark, text.read_lines(spark, path), settings, ingest)
+    def of_path(cls, spark: SparkSession, path: str, settings: Settings | None = None, ingest: Column | None = None, **others) -> Engine:
+        return cls(spark, text.read_lines(spark, path), settings, ingest, **others)
 
     def stage(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -54,12 +68,57 @@ class Engine:
         return self._made[name]
 
     def debug(self, name: str, n: int = 20) -> DataFrame:
-        """The first rows of a stage."""
-        return self.stage(name).limit(n)
+        """The first rows of a stage: in order of file and line, time and id, or id, as far as it has them."""
+        rows = self.stage(name)
+        order = [c for c in ("file", "line_no", "start_ts", "event_ts", "incident_id", "event_id", "source", "target") if c in rows.columns]
+        return (rows.orderBy(*order) if order else rows).limit(n)
+
+    def counters(self) -> DataFrame:
+        """One row: how many rows each stage passed on, the fullest window and its states, and what was coarsened or tuned."""
+        windowed, states, members = self.stage("windowed"), self.stage("states"), self.stage("members")
+        count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+        parts = [
+            count(self.stage("events"), "raw_blocks"), count(self.stage("canonical"), "parsed"),
+            self.stage("scored").agg(F.count(F.lit(1)).alias("signaled"), F.count_if(~F.col("is_actionable")).alias("filtered_out"), F.count_if("is_actionable").alias("actionable")),
+            windowed.groupBy("window_start").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("windows_finalized"), F.coalesce(F.max("n"), F.lit(0)).alias("max_active_window_events")),
+            count(self.stage("incidents"), "persisted_incidents"),
+            states.groupBy("window_start").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_active_incident_states")),
+            states.agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("stream_aggregated_events")), count(members, "stream_represented_events"),
+            windowed.agg(F.count_if(F.col("state_key") == "__overflow__").alias("stream_coarsened_events")),
+        ]
+        row = parts[0]
+        for part in parts[1:]:
+            row = row.crossJoin(part)  # a row each
+        return row.withColumns({"drain_tuning_calls": F.lit(self.tuned["calls"]), "drain_tuning_cache_hit": F.lit(self.tuned["cache_hit"])})
+
+    def summary(self) -> DataFrame:
+        """One row: what the incidents stand for."""
+        actionable = self.stage("actionable").agg(F.count(F.lit(1)).alias("actionable_events"))
+        found = self.stage("incidents").agg(F.count(F.lit(1)).alias("incident_candidates"), F.count_if(F.col("event_count") > 1).alias("groups_with_multiple_events"), F.coalesce(F.max("event_count"), F.lit(0)).alias("max_incident_event_count"))
+        return actionable.crossJoin(found).withColumn("events_collapsed_into_incidents", F.greatest(F.lit(0), F.col("actionable_events") - F.col("incident_candidates")))  # a row each
 
     def _events(self) -> DataFrame:
-        header = self.header or segmentation.settle(self.lines, strict=self.settings.strict).header
-        return segmentation.assemble(self.lines, header)
+        return segmentation.assemble(self.lines, self.header or self._settled())
+
+    def _settled(self) -> str:
+        if self.cache is None:
+            return segmentation.settle(self.lines, strict=self.settings.strict).header
+        key = {"header of": text.content_fingerprint(text.prefix(self.lines), {"strict": self.settings.strict})}
+        return self.cache.get(key) or self.cache.put(key, segmentation.settle(self.lines, strict=self.settings.strict).header)
+
+    def _policy(self, events: DataFrame) -> dict:
+        """Similarity and depth of mining: the settings', or what `tune` proposes; a tuned policy is kept in the cache."""
+        if self.tune is None:
+            return {"similarity": self.settings.similarity, "depth": self.settings.depth}
+        key = {"policy of": text.content_fingerprint(text.prefix(self.lines), {})}
+        known = self.cache.get(key) if self.cache else None
+        self.tuned = {"calls": 0 if known else 1, "cache_hit": known is not None}
+        if known:
+            return json.loads(known)
+        policy = templates.tune(events, self.tune)
+        if self.cache:
+            self.cache.put(key, json.dumps(policy))
+        return policy
 
     def _canonical(self) -> DataFrame:
         return self.scratch.keep(parsing.parse(self.stage("events"), ingest=self.ingest, lenient=self.settings.lenient_timestamps), "canonical")
@@ -68,7 +127,8 @@ class Engine:
         return context.enrich(self.stage("canonical"))
 
     def _signal(self) -> DataFrame:
-        mined = templates.mine(self.stage("enriched"), similarity=self.settings.similarity, depth=self.settings.depth)
+        events = self.stage("enriched")
+        mined = templates.mine(events, **self._policy(events))
         counted = windows.trailing_count(mined, "template_id", "event_ts", self.settings.count_seconds)
         return counted.withColumn("entropy", F.round(signal.entropy(F.col("message")), 2)).withColumn("confidence", F.round("confidence", 2))
 
@@ -97,12 +157,13 @@ class Engine:
         reps = windows.representatives(self.stage("windowed"), by, most=self.settings.representatives)
         sized = reps.join(self.stage("states").select(*by, "event_count"), by)
         events = self.scratch.keep(sized.withColumn("weight", F.when(F.col("rep") == 1, F.col("event_count") - (F.least(F.col("event_count"), F.lit(self.settings.representatives)) - 1)).otherwise(F.lit(1))).drop("event_count"), "reps")
-        found, self.pairs = correlate.incident_members(events, "window_start", self.settings.window_seconds, scratch=self.scratch)
+        found, self.pairs = correlate.incident_members(events, "window_start", self.settings.window_seconds, self.judge, self.scratch)
         return self.scratch.keep(correlate.attribute_services(events.join(found, "event_id")), "members")
 
     def _incidents(self) -> DataFrame:
         members = self.stage("members")
-        return self.scratch.keep(correlate.rollup(members, self.pairs, weight="weight"), "incidents")
+        rows = correlate.rollup(members, self.pairs, weight="weight").join(correlate.explicit_trace(members), "incident").join(correlate.representative_events(members, self.settings.incident_events), "incident", "left")
+        return self.scratch.keep(rows, "incidents")
 
     def _recent(self) -> DataFrame:
         return self.stage("incidents").orderBy(F.col("start_ts").desc(), F.col("incident_id").desc()).limit(self.settings.graph_incidents)
@@ -112,7 +173,11 @@ class Engine:
 
     def _edges(self) -> DataFrame:
         scored = causal.edge_scores(causal.ordered_pairs(self.stage("nodes"), self.settings.edge_seconds), self.settings.edge_seconds)
-        return self.scratch.keep(causal.edges(causal.judged_edges(scored)), "edges")
+        judged = causal.judged_edges(scored)
+        if self.edge_judge is None:
+            return self.scratch.keep(causal.edges(judged), "edges")
+        judged = self.scratch.keep(judged, "judged")
+        return self.scratch.keep(causal.edges(judged, causal.asked(judged, self.edge_judge, self.settings.judged_pairs)), "edges")
 
     def _roles(self) -> DataFrame:
         return causal.roles(self.stage("nodes"), self.stage("edges"))

@@ -17,17 +17,29 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
 
 
 class IncidentStore:
-    """Batches of incidents are appended as they come; readers see the latest row of each id. `compact` rewrites the store to those."""
+    """Batches of incidents are appended as they come; readers see the latest row of each id. One writer at a time.
+
+    The store is a folder of versions; the newest complete one counts. `compact` writes the latest rows as the next version, which counts from the moment its success
+    marker is there, and only then drops the versions before it: whatever breaks off in between, one whole version is left.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._fs = Files(spark, self.path)
+
+    def versions(self) -> list[int]:
+        """Complete versions, in order."""
+        return sorted(int(n[2:]) for n in self._fs.names() if n.startswith("v=") and self._fs.exists(f"{n}/_SUCCESS"))
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/v={version}"
 
     def upsert(self, incidents: DataFrame, batch: int | None = None) -> None:
         number = time.time_ns() if batch is None else batch
-        incidents.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(self.path)
+        incidents.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(self._folder(max(self.versions(), default=0)))
 
     def _rows(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(self._folder(max(self.versions(), default=0)))
 
     def load_all(self, limit: int | None = None) -> DataFrame:
         rows = latest(self._rows(), "incident_id", "batch").orderBy("start_ts", "incident_id")
@@ -41,17 +53,51 @@ class IncidentStore:
         return self._rows().select("incident_id").distinct().count()
 
     def clear(self) -> None:
-        self._fs(lambda fs, where: fs.delete(where, True))
+        self._fs.delete("")
 
     def compact(self) -> None:
-        rows, aside = latest(self._rows(), "incident_id", "batch"), f"{self.path}.new"
-        rows.write.mode("overwrite").parquet(aside)
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs(lambda fs, where: (fs.delete(where, True), fs.rename(hadoop(aside), where)))
+        old = self.versions()
+        latest(self._rows(), "incident_id", "batch").write.mode("overwrite").parquet(self._folder(max(old) + 1))
+        for version in old:
+            self._fs.delete(f"v={version}")
+
+
+class Files:
+    """A folder in any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._path, self._root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, folder
+        self._system = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._path(f"{self._root}/{name}" if name else self._root)
+
+    def exists(self, name: str) -> bool:
+        return self._system.exists(self._at(name))
+
+    def names(self) -> list[str]:
+        return [f.getPath().getName() for f in self._system.listStatus(self._at(""))] if self.exists("") else []
+
+    def delete(self, name: str) -> None:
+        self._system.delete(self._at(name), True)
+
+
+class ValueCache:
+    """Small texts by a key that JSON can express (settled headers, mining policies, a judge's answers), each a file of one row; none older than `ttl` seconds counts."""
+
+    def __init__(self, spark: SparkSession, folder: str, ttl: float = 7 * 86400):
+        self.spark, self.folder, self.ttl = spark, folder.rstrip("/"), ttl
+
+    def get(self, key: dict) -> str | None:
+        name = config_key(key)
+        if not Files(self.spark, self.folder).exists(f"{name}/_SUCCESS"):
+            return None
+        row = self.spark.read.schema("value string, at double").parquet(f"{self.folder}/{name}").first()
+        return row["value"] if row and time.time() - row["at"] <= self.ttl else None
 
-    def _fs(self, act) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        act(where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where)
+    def put(self, key: dict, value: str) -> str:
+        self.spark.createDataFrame([(value, time.time())], "value string, at double").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{config_key(key)}")
+        return value
 
 
 class ResultCache:

@@ -42,11 +42,27 @@ def prefix(rows: DataFrame, n: int = 250, *order: str) -> DataFrame:
     return rows.orderBy(*(order or ("file", "line_no"))).limit(n)
 
 
-def file_fingerprint(spark: SparkSession, path: str) -> str:
-    """SHA-256 of names, sizes and contents' ends of the files under a path; moving a file or touching it changes nothing."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length"), F.sha2(F.substring("content", 1, 1 << 20), 256).alias("head"), F.sha2(F.expr("right(content, 1048576)"), 256).alias("tail"))
-    parts = files.select(F.sha2(F.concat_ws("|", *files.columns), 256).alias("h")).groupBy().agg(F.sort_array(F.collect_list("h")).alias("hs")).first()["hs"]
-    return hashlib.sha256("|".join(parts).encode()).hexdigest()
+def file_fingerprint(spark: SparkSession, path: str, ends: int = 1 << 20) -> str:
+    """SHA-256 of names, sizes and contents' ends of the files under a path; moving a file or touching it changes nothing.
+
+    Only `ends` bytes at the beginning and at the end of a file are read, at their places, whatever its size; they are hashed in the JVM.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, listed = [], system.listFiles(where, True)
+    while listed.hasNext():
+        status = listed.next()
+        name, size = status.getPath().getName(), status.getLen()
+        if name.startswith((".", "_")):
+            continue
+        stream, digests = system.open(status.getPath()), []
+        for at in (0, max(0, size - ends)):
+            stream.seek(at)
+            digests.append(jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream.readNBytes(min(ends, size))))
+        stream.close()
+        found.append(hashlib.sha256(f"{name}|{size}|{'|'.join(digests)}".encode()).hexdigest())
+    return hashlib.sha256("|".join(sorted(found)).encode()).hexdigest()
 
 
 def config_key(config: dict) -> str:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,9 +22,21 @@ from logweave.sources.store import IncidentStore
 
 
 def read_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """(file, line_no, event): every line is an event; line_no is a number of its own, not the place in the file."""
+    """(file, line_no, event): every line is an event. line_no is the place of its split in the file plus its place in the split: it rises along the file, no two
+    lines of a file share it, equal lines included, and a repeated batch gives it again."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.xxhash64("value").alias("line_no"), F.col("value").alias("event"))
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("line_no"), F.col("value").alias("event"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = None, 0  # a split's lines come one after the other, in one task
+        for batch in batches:
+            numbers = []
+            for here in zip(batch.column("file").to_pylist(), batch.column("line_no").to_pylist(), strict=True):
+                at, n = here, n + 1 if here == at else 0
+                numbers.append(here[1] + n)
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(numbers, pa.int64()), batch.column("event")], ["file", "line_no", "event"])
+
+    return rows.mapInArrow(run, "file string, line_no long, event string")
 
 
 def canonical(lines: DataFrame, late: str = "5 minutes", lenient: bool = False) -> DataFrame:
@@ -37,14 +51,15 @@ def _stateful(rows: DataFrame, key: str, output: str, state: str, f, timeout=Gro
 def mine(events: DataFrame, similarity: float = 0.5, depth: int = 4, most: int = 100_000) -> DataFrame:
     """(event_id, event_ts, severity, message, template, template_id, cluster_size, confidence): templates at arrival, one tree for each token count.
 
-    A token count's state is its clusters; beyond `most` clusters the tree takes wildcards for new leading tokens.
+    A token count's state is its clusters, none of which is forgotten; once there are `most`, a message that is like none joins the nearest of its leaf.
     """
     rows = events.select("event_id", "event_ts", "severity", "message", signal.prepared(F.col("message"), F.col("attributes")).alias("text")).withColumn("n", F.size(F.filter(F.split("text", " "), lambda t: t != "")))
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        miner = Miner(similarity, depth)
+        miner = Miner(similarity, depth, most=most)
         for tokens, size in json.loads(state.get[0]) if state.exists else []:
             miner.leaf(tokens).append([tokens, size])
+            miner.size += 1
         clusters: list[list] = []
         for pdf in frames:
             pdf = pdf.sort_values(["event_ts", "event_id"])
@@ -55,7 +70,7 @@ def mine(events: DataFrame, similarity: float = 0.5, depth: int = 4, most: int =
             node = stack.pop()
             clusters += node.get(None, [])
             stack += [v for k, v in node.items() if k is not None]
-        state.update((json.dumps(clusters[:most]),))
+        state.update((json.dumps(clusters),))
 
     mined = _stateful(rows, "n", "event_id string, event_ts timestamp, severity string, message string, template string, cluster_size long", "clusters string", run)
     mined = mined.withColumn("template", signal.unprotect(F.col("template")))
@@ -71,17 +86,17 @@ def trailing_count(rows: DataFrame, key: str = "template_id", seconds: int = 60)
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get[0]) if state.exists else []
+        held = np.array(state.get[0] if state.exists else [], np.int64)  # in order
         span = seconds * 1_000_000
         for pdf in frames:
             pdf = pdf.sort_values(["event_ts", "event_id"])
-            counts = []
-            for t in (pdf["event_ts"].astype("int64") // (1000 if pdf["event_ts"].dtype == "datetime64[ns]" else 1)).tolist():
-                held.append(t)
-                counts.append(sum(t - span <= h <= t for h in held))
-            newest = max(held)
-            held = [h for h in held if h >= newest - span]
+            new = (pdf["event_ts"].astype("int64") // (1000 if pdf["event_ts"].dtype == "datetime64[ns]" else 1)).to_numpy()
+            before = np.searchsorted(held, new, "right") - np.searchsorted(held, new - span, "left")
+            counts = before + np.arange(1, len(new) + 1) - np.searchsorted(new, new - span, "left")
+            held = np.sort(np.concatenate([held, new]), kind="stable")
+            held = held[np.searchsorted(held, held[-1] - span, "left") :]
             yield pd.DataFrame({key: name[0], "event_id": pdf["event_id"], "event_ts": pdf["event_ts"], "window_count_1m": counts})
+        held = held.tolist()
         state.update((held,))
         state.setTimeoutTimestamp(max(max(held, default=0) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 

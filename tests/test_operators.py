@@ -183,3 +183,94 @@ def test_smoke_story(spark):
     roles = {tuple(r["service_families"]): r["graph_role"] for r in engine.stage("incidents").join(engine.stage("roles"), "incident_id").collect()}
     assert roles == {("database",): "upstream_root_candidate", ("payment",): "downstream_symptom"}
     assert engine.stage("rca").count() == 1
+
+
+def test_judges_reach_incidents_and_edges(spark, tmp_path):
+    from logweave.plans.judge import FunctionJudge, cached
+
+    answers = []
+
+    def ask(rows):
+        answers.append([r["pair_id"] for r in rows])
+        return '```json\n{"decisions": [' + ", ".join(f'{{"pair_id": "{r["pair_id"]}", "decision": "merge", "confidence": 0.9}}' for r in rows if r["l_event_id"] == "a") + "]}\n```"
+
+    df = spark.createDataFrame([("a", at(0), "payment", "other", "payment"), ("b", at(10), "payment", "retry", "x"), ("c", at(20), "payment", "timeout2", "y")], "event_id string, event_ts timestamp, service_family string, error_family string, domain string").withColumn("window_start", F.lit(0))
+    alone = {r["event_id"]: r["incident"] for r in correlate.incident_members(df)[0].collect()}
+    assert len(set(alone.values())) == 3
+    expert = lambda rows: "[" + ", ".join(f'{{"pair_id": "{r["pair_id"]}", "decision": "separate"}}' for r in rows) + "]"
+    judge = FunctionJudge(cached(ask, store.ValueCache(spark, str(tmp_path / "answers")), "test"), size=2, expert=expert, escalate=0.3)
+    joined = {r["event_id"]: r["incident"] for r in correlate.incident_members(df, judge=judge)[0].collect()}
+    assert len(set(joined.values())) == 1 and judge.stats == {"calls": 2, "pairs": 3, "unreadable": 0, "expert_calls": 1, "expert_decisions": 1}
+    correlate.incident_members(df, judge=judge)[0].count()
+    assert len(answers) == 2  # the second time the answers are known
+
+    nodes = causal.nodes(spark.createDataFrame([incident("L", "search", "connection", 80, 0, 60), incident("R", "user", "retry", 50, 20, 40)], SCHEMA))
+    judged = causal.judged_edges(causal.edge_scores(causal.ordered_pairs(nodes)))
+    assert causal.edges(judged).count() == 0
+    agree = FunctionJudge(lambda rows: "[" + ", ".join(f'{{"pair_id": "{r["pair_id"]}", "decision": "edge", "confidence": 0.95}}' for r in rows) + "]")
+    edge = causal.edges(judged, causal.asked(judged, agree)).collect()
+    assert [(e["source"], e["target"], e["validation_source"]) for e in edge] == [("L", "R", "judge")]
+
+
+def test_representatives_of_an_incident(spark):
+    random.seed(9)
+    rows = [(f"e{k:02d}", at(random.randrange(300)), random.randrange(100), random.choice(["timeout", "retry", "other"]), k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "event_id string, event_ts timestamp, risk_score int, error_family string, incident int")
+    got = {}
+    for r in correlate.select_representatives(df).orderBy("rep").collect():
+        got.setdefault(r["incident"], []).append(r["event_id"])
+    for which in (0, 1):
+        own = sorted((t, e, s, f) for e, t, s, f, i in rows if i == which)
+        want = [own[0][1], own[-1][1], min(own, key=lambda r: (-r[2], r[0], r[1]))[1]]
+        want += [next(r[1] for r in own if r[3] == f) for f in sorted({r[3] for r in own}, key=lambda f: next(r[:2] for r in own if r[3] == f))]
+        want += [r[1] for r in sorted(own, key=lambda r: (-r[2], r[1]))]
+        assert got[which] == list(dict.fromkeys(want))[:6]
+
+
+def test_store_survives_a_broken_compaction(spark, tmp_path):
+    held = store.IncidentStore(spark, str(tmp_path / "s"))
+    make = lambda v: spark.createDataFrame([("i", v, at(0)), ("j", v, at(1))], "incident_id string, v int, start_ts timestamp")
+    held.upsert(make(1), 1)
+    held.upsert(make(2), 2)
+    (tmp_path / "s" / "v=1").mkdir()  # a compaction that broke off: no success marker
+    assert held.versions() == [0] and [r["v"] for r in held.load_all().collect()] == [2, 2]
+    held.compact()
+    assert held.versions() == [1] and held.count() == 2 and held._rows().count() == 2
+    held.upsert(make(3), 3)
+    assert [r["v"] for r in held.load_recent(1).collect()] == [3]
+    held.clear()
+    assert held.versions() == []
+
+
+def test_header_checks_by_a_parser_and_rounds(spark):
+    df = lines(spark, [f"2026-09-16 15:03:{k:02d} [ERROR] x" for k in range(20)])
+    reads = lambda event: F.when(event.contains("ERROR"), event)
+    report = segmentation.validate(df, parser=reads).first()
+    assert (report["parser_attempts"], report["parser_success"], report["accepted"]) == (20, 20, True)
+    assert not segmentation.validate(df, parser=lambda event: F.when(event.contains("FATAL"), event)).first()["accepted"]
+    asked = []
+
+    def refine(report, found):
+        asked.append({r["kind"] for r in found.collect()})
+        return r"^\d{4}-\d{2}-\d{2} "
+
+    settled = segmentation.settle(df, [r"^nothing"], refine=refine)
+    assert (settled.origin, settled.verified, len(settled.attempts)) == ("refined", True, 2) and asked == [{"failed", "internal"}]
+    assert segmentation.settle(df, [r"^nothing"], rounds=1, critic=lambda tried: r"^2026").origin == "critic"
+
+
+def test_streamed_lines_that_are_equal(spark, tmp_path):
+    from logweave.streaming import stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("same\nsame\n\nsame\n")
+    query = stream.read_lines(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("equal_lines").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.table("equal_lines").orderBy("line_no").collect()
+    assert [(r["event"], r["line_no"]) for r in rows] == [("same", 0), ("same", 1), ("", 2), ("same", 3)]
+
+
+def test_a_full_miner_forgets_nothing():
+    miner = templates.Miner(similarity=0.9, most=2)
+    found = [miner.add(t.split()) for t in ("a b c d", "a b x y", "a b p q", "a b c d", "z b c d")]
+    assert miner.size == 3 and found[0] is found[3] and [c[1] for c in miner.leaf(["a", "b", "c", "d"])] == [3, 1]
