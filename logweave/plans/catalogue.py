@@ -220,10 +220,21 @@ def parse_plain(spark, sf_dir):
     return _parsed(spark, sf_dir, "plain_text", parsing.parse_plain)
 
 
-@query(f"""WITH {RENDERED} SELECT substr(sha1(file || '|1|' || event), 1, 13) AS event_id, event AS raw,
- CASE r.event_id % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'kv' WHEN 2 THEN 'syslog' WHEN 3 THEN 'structured_text' WHEN 4 THEN 'structured_text' ELSE 'plain_text' END AS source, false AS parser_fallback FROM rendered r""")
+@query(f"""WITH {RENDERED}, k AS (SELECT r.*, event_type, user_id, r.event_id % 6 AS kind, event_type = 'error' AS bad, (['EMERGENCY','ALERT','CRITICAL','ERROR','WARNING','NOTICE','INFO','DEBUG'])[(user_id % 192) % 8 + 1] AS priority FROM rendered r JOIN events USING (event_id))
+SELECT substr(sha1(file || '|1|' || event), 1, 13) AS event_id, event AS raw, CASE kind WHEN 0 THEN 'json' WHEN 1 THEN 'kv' WHEN 2 THEN 'syslog' WHEN 3 THEN 'structured_text' WHEN 4 THEN 'structured_text' ELSE 'plain_text' END AS source, false AS parser_fallback,
+ CASE kind WHEN 0 THEN CASE WHEN bad THEN 'ERROR' ELSE 'INFO' END WHEN 1 THEN upper(event_type) WHEN 2 THEN CASE WHEN priority = 'INFO' AND bad THEN 'ERROR' ELSE priority END WHEN 3 THEN CASE WHEN bad THEN 'ERROR' ELSE 'WARN' END
+   WHEN 4 THEN CASE WHEN bad THEN 'ERROR' WHEN event_type = 'view' THEN 'WARNING' ELSE 'INFO' END ELSE CASE WHEN bad THEN 'ERROR' ELSE 'INFO' END END AS severity,
+ CASE kind WHEN 0 THEN event_type || ' done' WHEN 1 THEN event_type || ' slow' WHEN 2 THEN 'order-service: ' || event_type || ' took long' WHEN 3 THEN 'payment-api: ' || event_type || ' in PaymentService'
+   WHEN 4 THEN 'GET /api/' || event_type || '/1 HTTP/1.1 (HTTP ' || CASE WHEN bad THEN '502' WHEN event_type = 'view' THEN '404' ELSE '200' END || ')' ELSE 'step ' || CAST(user_id AS VARCHAR) || ' completed' END AS message,
+ kind IN (0, 2, 3) AS event_ts_parsed, CASE WHEN kind IN (0, 2, 3) THEN CAST(floor(epoch(ts)) AS BIGINT) END AS at,
+ CASE kind WHEN 2 THEN 'web' || CAST(user_id % 5 AS VARCHAR) WHEN 4 THEN '10.0.' || CAST(user_id % 9 AS VARCHAR) || '.7' END AS host, CASE kind WHEN 0 THEN 'user-api' WHEN 2 THEN 'order-service' END AS service,
+ CASE kind WHEN 0 THEN '{{"service":"user-api","user_id":"' || CAST(user_id AS VARCHAR) || '"}}' WHEN 1 THEN '{{"port":"' || CAST(8000 + user_id AS VARCHAR) || '","user_id":"' || CAST(user_id AS VARCHAR) || '"}}'
+   WHEN 2 THEN '{{"syslog_app_name":"order-service","syslog_priority":"' || CAST(user_id % 192 AS VARCHAR) || '"}}' WHEN 4 THEN '{{"http_status_code":"' || CASE WHEN bad THEN '502' WHEN event_type = 'view' THEN '404' ELSE '200' END || '","response_size_bytes":"' || CAST(100 + user_id AS VARCHAR) || '"}}' ELSE '{{}}' END AS attributes
+FROM k""")
 def canonical_events(spark, sf_dir):
-    return parsing.parse(rendered(spark, sf_dir).drop("event_id", "ts")).select("event_id", "raw", "source", "parser_fallback")
+    rows = parsing.parse(rendered(spark, sf_dir).drop("event_id", "ts"))
+    at = F.when(F.col("event_ts_parsed"), F.unix_seconds("event_ts")).alias("at")
+    return rows.select("event_id", "raw", "source", "parser_fallback", "severity", "message", "event_ts_parsed", at, "host", "service", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes")))).alias("attributes"))
 
 
 @query("""SELECT count(*) AS events, count(*) FILTER (WHERE e LIKE '{%' AND NOT json_valid(e)) AS json_fallbacks FROM (SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS e FROM documents) WHERE e <> ''""")
@@ -702,7 +713,15 @@ def triage_ranked(spark, sf_dir):
     return triage.ranked(incidents(spark, sf_dir)).select("incident_id", "max_risk_score", "event_count")
 
 
-@query()
+# The texts of eighteen incidents stay far below the budget of tokens, so the budget never ends the choice here.
+@query(f"""WITH RECURSIVE {INCIDENTS}, pool AS (SELECT incident_id, risk, event_count, service_family, errors, s FROM inodes), pick AS (
+  SELECT 0 AS nth, CAST(NULL AS VARCHAR) AS incident_id, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS families, CAST([] AS VARCHAR[]) AS met, CAST([] AS BIGINT[]) AS times
+  UNION ALL
+  SELECT nth + 1, best.i, list_append(ids, best.i), list_append(families, best.f), list_distinct(list_concat(met, best.e)), list_append(times, best.t) FROM (
+    SELECT nth, ids, families, met, times, max(struct_pack(w := risk / 20.0::DOUBLE + (2.2::DOUBLE * CAST(NOT list_contains(families, service_family) AS INTEGER) + 1.8::DOUBLE * len(list_filter(errors, lambda x: NOT list_contains(met, x))) + 0.8::DOUBLE * CAST(NOT list_contains(times, s) AS INTEGER))
+      + least(2.0::DOUBLE, event_count / 100.0::DOUBLE), r := risk, n := event_count, i := p.incident_id, f := service_family, e := errors, t := s)) AS best
+    FROM pick CROSS JOIN pool p WHERE nth < {triage.TOP_K} AND NOT list_contains(ids, p.incident_id) GROUP BY nth, ids, families, met, times))
+SELECT pick.nth, pick.incident_id, risk AS max_risk_score, event_count FROM pick JOIN pool USING (incident_id)""")
 def triage_greedy(spark, sf_dir):
     return triage.triage(triage.compact_incidents(incidents(spark, sf_dir))).select("nth", "incident_id", "max_risk_score", "event_count")
 
@@ -733,7 +752,11 @@ def load_recent(spark, sf_dir):
     return held.load_recent(50).select("incident_id", "start_ts")
 
 
-@query()
+@query(f"""WITH {INCIDENTS}, c AS (SELECT *, CASE WHEN graph_role = 'upstream_root_candidate' THEN 0 ELSE 1 END AS f FROM eroles WHERE in_degree + out_degree > 0), t AS (SELECT * FROM c ORDER BY f, root_cause_score DESC, incident_id LIMIT 3),
+ parts AS (SELECT incident_id, 0 AS kind, 0 AS n, 0 AS side FROM t WHERE f = (SELECT min(f) FROM t) UNION ALL SELECT unnest([source, target]), 1, n, unnest([0, 1]) FROM (SELECT source, target, row_number() OVER (ORDER BY score DESC, source, target) AS n FROM eedges) WHERE n <= 5
+   UNION ALL (SELECT incident_id, 3, 0, 0 FROM inodes ORDER BY risk DESC, incident_id LIMIT 3)),
+ best AS (SELECT incident_id, min(struct_pack(kind := kind, n := n, side := side)) AS p FROM parts GROUP BY incident_id)
+SELECT incident_id, p.kind AS kind FROM best WHERE p.kind < 3 OR (SELECT min(kind) FROM parts) = 3 ORDER BY p, incident_id LIMIT 8""")
 def rca_anchors(spark, sf_dir):
     g = Graph(spark, sf_dir)
     return triage.anchors(g.incidents, causal.root_candidates(g.roles), g.edges).select("incident_id", "priority.kind")
