@@ -226,14 +226,14 @@ SELECT substr(sha1(file || '|1|' || event), 1, 13) AS event_id, event AS raw, CA
    WHEN 4 THEN CASE WHEN bad THEN 'ERROR' WHEN event_type = 'view' THEN 'WARNING' ELSE 'INFO' END ELSE CASE WHEN bad THEN 'ERROR' ELSE 'INFO' END END AS severity,
  CASE kind WHEN 0 THEN event_type || ' done' WHEN 1 THEN event_type || ' slow' WHEN 2 THEN 'order-service: ' || event_type || ' took long' WHEN 3 THEN 'payment-api: ' || event_type || ' in PaymentService'
    WHEN 4 THEN 'GET /api/' || event_type || '/1 HTTP/1.1 (HTTP ' || CASE WHEN bad THEN '502' WHEN event_type = 'view' THEN '404' ELSE '200' END || ')' ELSE 'step ' || CAST(user_id AS VARCHAR) || ' completed' END AS message,
- kind IN (0, 2, 3) AS event_ts_parsed, CASE WHEN kind IN (0, 2, 3) THEN CAST(floor(epoch(ts)) AS BIGINT) END AS at,
+ kind IN (0, 2, 3) AS event_ts_parsed, CASE WHEN kind IN (0, 2, 3) THEN CAST(floor(epoch(ts)) AS BIGINT) ELSE -1 END AS at,
  CASE kind WHEN 2 THEN 'web' || CAST(user_id % 5 AS VARCHAR) WHEN 4 THEN '10.0.' || CAST(user_id % 9 AS VARCHAR) || '.7' END AS host, CASE kind WHEN 0 THEN 'user-api' WHEN 2 THEN 'order-service' END AS service,
  CASE kind WHEN 0 THEN '{{"service":"user-api","user_id":"' || CAST(user_id AS VARCHAR) || '"}}' WHEN 1 THEN '{{"port":"' || CAST(8000 + user_id AS VARCHAR) || '","user_id":"' || CAST(user_id AS VARCHAR) || '"}}'
    WHEN 2 THEN '{{"syslog_app_name":"order-service","syslog_priority":"' || CAST(user_id % 192 AS VARCHAR) || '"}}' WHEN 4 THEN '{{"http_status_code":"' || CASE WHEN bad THEN '502' WHEN event_type = 'view' THEN '404' ELSE '200' END || '","response_size_bytes":"' || CAST(100 + user_id AS VARCHAR) || '"}}' ELSE '{{}}' END AS attributes
 FROM k""")
 def canonical_events(spark, sf_dir):
     rows = parsing.parse(rendered(spark, sf_dir).drop("event_id", "ts"))
-    at = F.when(F.col("event_ts_parsed"), F.unix_seconds("event_ts")).alias("at")
+    at = F.when(F.col("event_ts_parsed"), F.unix_seconds("event_ts")).otherwise(-1).alias("at")
     return rows.select("event_id", "raw", "source", "parser_fallback", "severity", "message", "event_ts_parsed", at, "host", "service", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes")))).alias("attributes"))
 
 
