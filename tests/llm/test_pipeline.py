@@ -54,3 +54,27 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(15)
+    extra = "fp string, _row string, _text string, n_words long, score double, spans string, ids string, _id long, _cut string, bucket int, root long"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    items = [(1, sentence(rng, 12)), (None, None)]
+    plain = [sentence(rng, 30) for _ in range(4)]
+    rows = [(None, plain[0]), (None, plain[0]), (7, plain[1]), (7, plain[2]), (7, plain[1]), (8, f"x {items[0][1]} y"), (9, None), (None, None), (10, f'token = "{SECRET}"'), (11, plain[3])]
+    docs = [(i, t, None, None, None, *(["clash"] * 3), 1, 0.5, "clash", "clash", 2, "clash", 3, 4) for i, t in rows]
+    write(spark, tmp_path, "documents", docs, schema)
+    write(spark, tmp_path, "labels", [(1, 1, 0)], "doc_id long, quality int, toxic int")
+    write(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    table, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, str(tmp_path))
+        assert table.columns == [f.split()[0] for f in schema.split(", ")] and all(r["fp"] == "clash" and r["root"] == 4 for r in table.collect())
+        kept.append(sorted((str(r["doc_id"]), r["text"]) for r in table.collect() if r["text"] is not None))
+    one = lambda *rows: sorted((str(i), t) for i, t in rows)
+    assert kept[0] == one(*[r for r in rows if r[1] is not None])
+    assert kept[1] == one((None, plain[0]), (7, plain[1]), (7, plain[2]), rows[5], rows[8], rows[9])
+    assert kept[2] == one((None, plain[0]), (7, plain[1]), (7, plain[2]), rows[8], rows[9])
+    assert kept[3] == one((None, plain[0]), (7, plain[1]), (7, plain[2]), (10, 'token = "[SECRET]"'), rows[9])
+    assert table.where("text is null").count() == 1
