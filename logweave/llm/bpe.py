@@ -33,7 +33,7 @@ WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}
 
 NO_RANK = np.iinfo(np.int64).max
 LONG = 256
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -38,6 +38,7 @@ from logweave.session import Scratch
 PIECE = 1 << 18
 COMMON = 100_000
 HOT = 64
+SIEVE = 23
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -169,59 +170,95 @@ def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool = True) -> DataFrame:
-    """(doc_id, fp, set): fp is a hash of the set of shingles; one row for each row of docs. Without `whole`, sets are left out."""
+def shingle_prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, fp): fp is a hash of the set of shingles; one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            sets = [shingles(t, width) for t in utf8(batch.column("text"))]
-            prints = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            columns = [batch.column("doc_id"), pa.array(prints)]
-            if whole:
+        for batch in slices(batches, "text", 4 << 20):
+            prints = np.fromiter((print_of(shingles(t, width)) for t in utf8(batch.column("text"))), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+
+def print_of(shingle_set: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingle_set.tobytes())).view(np.int64))
+
+
+def sets_of(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """(fp, set) of the texts whose fp is among `wanted` (fp), once for each fp. Sets are made anew in a pass over the texts, which costs less than to keep and move them all:
+    only those whose hash is in a sieve of 2^SIEVE bits leave the tasks."""
+    slot = F.pmod(F.xxhash64("fp"), F.lit(1 << SIEVE))
+    marks = np.zeros(1 << SIEVE, bool)
+    marks[wanted.select(slot.alias("slot")).distinct().toArrow().column(0).to_numpy()] = True  # at most 2^SIEVE numbers
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, met = np.unpackbits(shared.value).view(bool), set()
+        for batch in slices(batches, "text", 4 << 20):
+            fps, sets = [], []
+            for t in utf8(batch.column("text")):
+                s = shingles(t, width)
+                fp = print_of(s)
+                if bits[slot_of(fp)] and fp not in met:
+                    if len(met) < PIECE:
+                        met.add(fp)
+                    fps.append(fp)
+                    sets.append(s)
+            if fps:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "set"][: len(columns)])
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["fp", "set"])
+
+    found = texts.mapInArrow(run, "fp long, set array<long>")
+    return found.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set"))
+
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fp long" + (", set array<long>" if whole else ""))
+def slot_of(fp: int) -> int:
+    """What `sets_of` makes of a fingerprint in SQL: its XXH64 with seed 42, modulo the size of the sieve."""
+    return xxhash.xxh64_intdigest(fp.to_bytes(8, "little", signed=True), 42) & ((1 << SIEVE) - 1)
 
 
-def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
-    """(shingle, fp, n): the first shingles of each set in the order `common` last, then by hash, of which two sets of at least `similarity` share one."""
-    shared = sets.sparkSession.sparkContext.broadcast(np.sort(common))
+def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray, some: bool = False) -> DataFrame:
+    """(shingle, fp, n): the first shingles of each set in the order `common` last, then by hash, of which two sets of at least `similarity` share one.
+    some: of a sixteenth of the sets only."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.sort(common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, met = shared.value, set()
-        for batch in batches:
+        for batch in slices(batches, "text", 4 << 20):
             taken, parts = [], []
-            for fp, s in zip(batch.column("fp").to_pylist(), batch.column("set"), strict=True):
-                if fp in met:  # a copy: its entries are there
+            for t in utf8(batch.column("text")):
+                s = shingles(t, width)
+                fp = print_of(s)
+                if fp in met or (some and slot_of(fp) % 16):  # a copy: its entries are there
                     continue
                 if len(met) < PIECE:
                     met.add(fp)
-                s = s.values.to_numpy()
-                part = s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+                size = len(s)
+                s = s.view(np.int64)
+                n = min(size, size - math.ceil(similarity * size - 1e-9) + 1)
                 if len(last):
                     at = np.searchsorted(last, s)
                     late = last[np.minimum(at, len(last) - 1)] == s
-                    part = np.concatenate([s[~late], s[late]])[: len(part)]
-                if len(s):
-                    taken.append((fp, len(s), len(part)))
-                    parts.append(part)
+                    s = np.concatenate([s[~late], s[late]])
+                if size:
+                    taken.append((fp, size, n))
+                    parts.append(s[:n])
             if taken:
                 fps, sizes, n = (np.array(x) for x in zip(*taken, strict=True))
-                columns = [np.concatenate(parts), np.repeat(fps, n), np.repeat(sizes, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shingle", "fp", "n"])
+                columns = [pa.array(np.concatenate(parts), pa.int64()), pa.array(np.repeat(fps, n), pa.int64()), pa.array(np.repeat(sizes, n).astype(np.int32), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "fp", "n"])
 
-    return sets.select("fp", "set").mapInArrow(run, "shingle long, fp long, n long")
+    return texts.mapInArrow(run, "shingle long, fp long, n int").dropDuplicates(["shingle", "fp"])
 
 
-def common_shingles(sets: DataFrame, similarity: float) -> np.ndarray:
+def common_shingles(texts: DataFrame, width: int, similarity: float) -> np.ndarray:
     """Shingles that stand in many sets, counted on a sixteenth of them. They only set the order of shingles, so any choice gives the same pairs."""
-    some = prefixes(sets.where("pmod(xxhash64(fp), 16) = 0"), similarity, np.zeros(0, np.int64)).groupBy("shingle").agg(F.approx_count_distinct("fp").alias("times"))
-    return some.where("times >= 8").orderBy(F.col("times").desc(), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy()
+    counted = prefixes(texts, width, similarity, np.zeros(0, np.int64), some=True).groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    return counted.where("times >= 8").orderBy(F.col("times").desc(), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy()
 
 
-def similar_links(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def similar_links(texts: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(src, dst): all pairs of fingerprints of sets with a Jaccard similarity of at least `similarity`, but for pairs in the same component already.
 
     Prefix filter: in any fixed order of all shingles, two such sets share one of their first n - ceil(similarity * n) + 1. Pairs meet at shared
@@ -229,8 +266,8 @@ def similar_links(sets: DataFrame, similarity: float, scratch: Scratch) -> DataF
     against one that it meets most in its size band first; then only pairs whose components still differ are made, so that a large group of near copies is no square.
     """
     share = similarity / (1 + similarity)
-    met = prefixes(sets, similarity, common_shingles(sets, similarity)).select("*", F.expr("min(fp) over (partition by shingle)").alias("lo"), F.expr("max(fp) over (partition by shingle)").alias("hi"))
-    live = scratch.keep(met.where("lo != hi").select("shingle", "fp", "n").dropDuplicates(["shingle", "fp"]), "live")
+    met = prefixes(texts, width, similarity, common_shingles(texts, width, similarity)).select("*", F.expr("min(fp) over (partition by shingle)").alias("lo"), F.expr("max(fp) over (partition by shingle)").alias("hi"))
+    live = scratch.keep(met.where("lo != hi").select("shingle", "fp", "n"), "live")
 
     def likely(rows: DataFrame) -> DataFrame:
         """Pairs that can be alike: what is shared lies in both prefixes, or behind the prefix that ends first."""
@@ -240,7 +277,7 @@ def similar_links(sets: DataFrame, similarity: float, scratch: Scratch) -> DataF
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), name)
         ends = pairs.select(F.col("src").alias("fp")).unionByName(pairs.select(F.col("dst").alias("fp"))).distinct()
-        needed = scratch.keep(sets.select("fp", "set").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set")), "needed")
+        needed = scratch.keep(sets_of(texts, width, scratch.keep(ends, "ends")), "needed")
         both = pairs.join(needed.select(F.col("fp").alias("src"), F.col("set").alias("a")), "src").join(needed.select(F.col("fp").alias("dst"), F.col("set").alias("b")), "dst")
         both = both.withColumn("inside", F.size(F.array_intersect("a", "b")))
         return scratch.keep(both.where(F.col("inside") >= similarity * (F.size("a") + F.size("b") - F.col("inside")) - 1e-9).select("src", "dst"), "links")
@@ -264,7 +301,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     All such pairs are found (see `similar_links`). Texts without words are alike. All columns are kept.
     """
-    scratch = Scratch(docs.sparkSession, "similar-drop")
-    sets = scratch.keep(shingle_sets(docs, id_col, text_col, width), "sets")
-    found = scratch.keep(rooted(sets, similar_links(sets, similarity, scratch), scratch), "rooted")
-    return one_of_each(docs, found, lambda rows, key: shingle_sets(rows, key, text_col, width, whole=False), scratch, id_col, text_col)
+    scratch, work = Scratch(docs.sparkSession, "similar-drop"), Scratch(docs.sparkSession, "similar-work")
+    prints = scratch.keep(shingle_prints(docs, id_col, text_col, width), "prints")
+    links = scratch.keep(similar_links(docs.select(F.col(f"`{text_col}`").alias("text")), width, similarity, work), "links")
+    work.drop()
+    found = scratch.keep(rooted(prints, links, scratch), "rooted")
+    return one_of_each(docs, found, lambda rows, key: shingle_prints(rows, key, text_col, width), scratch, id_col, text_col)

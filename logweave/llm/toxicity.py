@@ -41,7 +41,7 @@ SAMPLE = 3_000
 SAMPLE_BYTES = 12 << 20
 BUCKETS = 18
 STEP = 64
-KNOWN = 400_000
+KNOWN = 150_000
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 NOTHING = "\0"
 

@@ -48,6 +48,12 @@ def near_copies(seed):
     return texts + ODD
 
 
+def test_slots_are_those_of_sql(spark):
+    values = [0, 1, -1, 1 << 62, -(1 << 63), 123456789]
+    rows = spark.createDataFrame([(v,) for v in values], "fp long").selectExpr("fp", f"pmod(xxhash64(fp), {1 << simhash.SIEVE}) as slot").collect()
+    assert {r["fp"]: r["slot"] for r in rows} == {v: simhash.slot_of(v) for v in values}
+
+
 def test_stage_against_brute_force_jaccard(spark, monkeypatch):
     texts = near_copies(5)
     want = brute_kept(texts)
@@ -55,7 +61,7 @@ def test_stage_against_brute_force_jaccard(spark, monkeypatch):
     kept = corpus_pipeline.clean_duplicates(spark, documents(spark, texts), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == documents(spark, []).columns
     # The order of shingles changes no result.
-    monkeypatch.setattr(simhash, "common_shingles", lambda sets, similarity: simhash.prefixes(sets, 0.0, simhash.np.zeros(0, simhash.np.int64)).where("pmod(shingle, 3) = 0").select("shingle").distinct().toArrow().column(0).to_numpy())
+    monkeypatch.setattr(simhash, "common_shingles", lambda texts, width, similarity: simhash.prefixes(texts, width, 0.0, simhash.np.zeros(0, simhash.np.int64)).where("pmod(shingle, 3) = 0").select("shingle").distinct().toArrow().column(0).to_numpy())
     assert sorted(r["doc_id"] for r in simhash.drop_similar(documents(spark, texts)).collect()) == want
 
 
