@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names of months and levels in the patterns below.
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 LEVELS = "INFO|ERROR|WARN|WARNING|DEBUG|TRACE|FATAL|CRITICAL"
 
@@ -56,7 +57,6 @@ NUMERIC_LEVELS = {"10": "TRACE", "20": "DEBUG", "30": "INFO", "40": "WARNING", "
 
 # Context inference.
 SERVICE_KEYS = ("service", "service_name", "app", "application", "syslog_app_name")
-SUFFIXES = ("-service", "-api", "-worker", "-client")
 CLASS_NAME = r"\b([A-Z][A-Za-z0-9]+(?:Service|Controller|Client|Worker))\b"
 API_PATH = r"(?i)/api/([a-z][a-z0-9_-]{1,40})\b"
 EXCEPTION_NAME = r"\b([A-Za-z][A-Za-z0-9_]*(?:Exception|Error))\b"
@@ -85,6 +85,11 @@ ALWAYS_ACTIONABLE = ("ERROR", "CRITICAL", "ALERT", "EMERGENCY")
 KEPT_ATTRIBUTES = ("service", "service_name", "app", "application", "host", "hostname", "trace_id", "span_id", "request_id", "correlation_id", "http_status_code", "response_size_bytes", "syslog_app_name")
 SECRET = r"(?i)(password|passwd|token|secret|api[_-]?key)=([^\s,;&]+)"
 
+MESSAGE_PREFIXES = (
+    r"(?i)^\s*(?:stdout|stderr)\s+F\s+",
+    r"(?i)^\s*(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|CRITICAL|ALERT|FATAL|EMERGENCY)\s*[:\-]?\s*",
+)
+
 # Causal graph.
 DEPENDENCIES = (
     ("database", "payment"), ("database", "order"), ("database", "gateway"), ("database", "checkout"), ("postgres", "payment"), ("postgres", "order"), ("redis", "payment"), ("redis", "order"),

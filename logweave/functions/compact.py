@@ -16,8 +16,8 @@ def redact(message: Column) -> Column:
 
 def clean_message(message: Column, limit: int = MESSAGE_CHARS) -> Column:
     text = F.regexp_replace(F.translate(message, "\0\r", "  "), "\n", " | ")
-    text = F.regexp_replace(text, r"(?i)^\s*(?:stdout|stderr)\s+F\s+", "")
-    text = F.regexp_replace(text, r"(?i)^\s*(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|CRITICAL|ALERT|FATAL|EMERGENCY)\s*[:\-]?\s*", "")
+    for prefix in C.MESSAGE_PREFIXES:
+        text = F.regexp_replace(text, prefix, "")
     return F.substring(F.trim(F.regexp_replace(redact(text), r"\s+", " ")), 1, limit)
 
 

@@ -9,6 +9,8 @@ from logweave import constants as C
 from logweave.functions.context import graph_family
 
 EDGE_S, LEAST = 300, 0.35
+
+# Names of reasons by what they are evidence of.
 CANDIDATE = ("explicit_dependency_direction", "known_dependency_direction", "strong_error_propagation", "temporal_precedence", "tight_temporal_precedence", "timeout_to_retry", "http_failure_to_retry", "cross_domain_dependency", "inferred_topology")
 DEPENDENCY = ("explicit_dependency_direction", "known_dependency_direction", "inferred_dependency_direction", "cross_domain_dependency", "inferred_topology")
 PROPAGATION = ("strong_error_propagation", "timeout_to_retry", "http_failure_to_retry", "application_error_to_retry")
