@@ -7,6 +7,7 @@ windows are wide where events are sparse. All queries run over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -644,15 +645,30 @@ def incidents(spark, sf_dir) -> DataFrame:
 
 
 class Graph:
-    """Nodes and edges of the incidents, written once for the queries that read them several times."""
+    """Nodes and edges of the incidents, each written once when a query first asks for it."""
 
     def __init__(self, spark, sf_dir):
-        scratch = Scratch(spark, "graph")
-        self.incidents = scratch.keep(incidents(spark, sf_dir), "incidents")
-        self.nodes = scratch.keep(causal.nodes(self.incidents), "nodes")
-        self.judged = scratch.keep(causal.judged_edges(causal.edge_scores(causal.ordered_pairs(self.nodes, EDGE_S), EDGE_S)), "judged")
-        self.edges = scratch.keep(causal.edges(self.judged), "edges")
-        self.roles = scratch.keep(causal.roles(self.nodes, self.edges), "roles")
+        self.spark, self.sf_dir, self.scratch = spark, sf_dir, Scratch(spark, "graph")
+
+    @cached_property
+    def incidents(self) -> DataFrame:
+        return self.scratch.keep(incidents(self.spark, self.sf_dir), "incidents")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self.scratch.keep(causal.nodes(self.incidents), "nodes")
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        return self.scratch.keep(causal.judged_edges(causal.edge_scores(causal.ordered_pairs(self.nodes, EDGE_S), EDGE_S)), "judged")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self.scratch.keep(causal.edges(self.judged), "edges")
+
+    @cached_property
+    def roles(self) -> DataFrame:
+        return causal.roles(self.nodes, self.edges)
 
 
 @query(f"WITH {INCIDENTS} SELECT source, target, CAST(d AS BIGINT) AS delta_ms FROM opairs")

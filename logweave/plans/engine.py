@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from logweave.operators import causal, correlate, segmentation, templates, triag
 from logweave.plans.judge import Judge
 from logweave.session import Scratch
 from logweave.sources import text
-from logweave.sources.store import ValueCache
+from logweave.sources.store import ResultCache, ValueCache
 
 
 @dataclass
@@ -73,6 +73,12 @@ class Engine:
         order = [c for c in ("file", "line_no", "start_ts", "event_ts", "incident_id", "event_id", "source", "target") if c in rows.columns]
         return (rows.orderBy(*order) if order else rows).limit(n)
 
+    def replayed(self, name: str, results: ResultCache, fingerprint: str) -> DataFrame:
+        """A stage from the cache, if it was made before from the input of this fingerprint (`text.file_fingerprint`) and these settings; else made, and kept there."""
+        key = asdict(self.settings) | {"stage": name, "header": self.header}
+        found = results.get(fingerprint, key)
+        return results.put(fingerprint, key, self.stage(name)) if found is None else found
+
     def counters(self) -> DataFrame:
         """One row: how many rows each stage passed on, the fullest window and its states, and what was coarsened or tuned."""
         windowed, states, members = self.stage("windowed"), self.stage("states"), self.stage("members")

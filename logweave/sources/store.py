@@ -101,7 +101,7 @@ class ValueCache:
 
 
 class ResultCache:
-    """Results by input fingerprint and configuration, for `ttl` seconds; at most `most` entries, the oldest go."""
+    """Results by input fingerprint and configuration, for `ttl` seconds after they were last asked for; at most `most` entries, those that were not asked for the longest go."""
 
     def __init__(self, spark: SparkSession, folder: str, ttl: float = 7 * 86400, most: int = 128):
         self.spark, self.folder, self.ttl, self.most = spark, folder.rstrip("/"), ttl, most
@@ -118,7 +118,11 @@ class ResultCache:
     def get(self, fingerprint: str, config: dict) -> DataFrame | None:
         name = self.path(fingerprint, config).rsplit("/", 1)[1]
         fresh = [p for at, p in self._entries() if p.endswith(name) and time.time() - at <= self.ttl]
-        return self.spark.read.parquet(fresh[0]) if fresh else None
+        if not fresh:
+            return None
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh[0])
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).setTimes(where, int(time.time() * 1000), -1)
+        return self.spark.read.parquet(fresh[0])
 
     def put(self, fingerprint: str, config: dict, rows: DataFrame) -> DataFrame:
         rows.write.mode("overwrite").parquet(self.path(fingerprint, config))

@@ -274,3 +274,18 @@ def test_a_full_miner_forgets_nothing():
     miner = templates.Miner(similarity=0.9, most=2)
     found = [miner.add(t.split()) for t in ("a b c d", "a b x y", "a b p q", "a b c d", "z b c d")]
     assert miner.size == 3 and found[0] is found[3] and [c[1] for c in miner.leaf(["a", "b", "c", "d"])] == [3, 1]
+
+
+def test_engine_replays_counts_and_keeps_its_header(spark, tmp_path):
+    rows = [f"2026-09-16 15:00:{k:02d} [ERROR] payment-api: timeout {k}" for k in range(6)] + ["2026-09-16 15:00:30 [INFO] inventory-api: health check 200"]
+    cache, results = store.ValueCache(spark, str(tmp_path / "values")), store.ResultCache(spark, str(tmp_path / "results"))
+    engine = Engine(spark, lines(spark, rows), Settings(), cache=cache)
+    counted = engine.counters().first()
+    assert (counted["raw_blocks"], counted["parsed"], counted["signaled"], counted["actionable"], counted["filtered_out"], counted["windows_finalized"], counted["stream_aggregated_events"]) == (7, 7, 7, 6, 1, 1, 6)
+    assert engine.summary().first()["incident_candidates"] == counted["persisted_incidents"] >= 1
+    held = engine.stage("incidents").first()
+    assert 1 <= len(held["events"]) <= 6 and held["events"][0]["severity"] == "ERROR" and held["explicit_trace"] == 0.0 and 0 <= held["semantic_score"] <= 1
+    first = engine.replayed("incidents", results, "f" * 64)
+    again = Engine(spark, lines(spark, ["nothing like it"]), Settings(), cache=cache).replayed("incidents", results, "f" * 64)
+    assert [r["incident_id"] for r in again.collect()] == [r["incident_id"] for r in first.collect()]
+    assert Engine(spark, lines(spark, rows), Settings(), cache=cache)._settled() == engine._settled()
