@@ -39,6 +39,7 @@ PIECE = 1 << 18
 COMMON = 100_000
 HOT = 64
 SIEVE = 23
+MET = 1 << 16
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -174,7 +175,7 @@ def shingle_prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
     """(doc_id, fp): fp is a hash of the set of shingles; one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             prints = np.fromiter((print_of(shingles(t, width)) for t in utf8(batch.column("text"))), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
 
@@ -195,13 +196,13 @@ def sets_of(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, met = np.unpackbits(shared.value).view(bool), set()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             fps, sets = [], []
             for t in utf8(batch.column("text")):
                 s = shingles(t, width)
                 fp = print_of(s)
                 if bits[slot_of(fp)] and fp not in met:
-                    if len(met) < PIECE:
+                    if len(met) < MET:
                         met.add(fp)
                     fps.append(fp)
                     sets.append(s)
@@ -225,14 +226,14 @@ def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, met = shared.value, set()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             taken, parts = [], []
             for t in utf8(batch.column("text")):
                 s = shingles(t, width)
                 fp = print_of(s)
                 if fp in met or (some and slot_of(fp) % 16):  # a copy: its entries are there
                     continue
-                if len(met) < PIECE:
+                if len(met) < MET:
                     met.add(fp)
                 size = len(s)
                 s = s.view(np.int64)
