@@ -5,7 +5,7 @@ words, joined by one space, repeats counted. A feature's bucket is the CRC-32 of
 
 Dictionary: every block of texts (BLOCK bytes, one text at least) counts its distinct feature strings. The strings are dealt, packed and compressed, into shards of a
 size that a task can hold, where the counts of equal strings meet; so each string of the whole table is hashed once, and its count goes to its
-bucket. A shard depends on all words of a string, so a frequent word spreads over all of them, and a string that stands everywhere is one entry a block.
+bucket. A shard depends on a string's first two words, so a frequent word spreads over all of them, and a string that stands everywhere is one entry a block.
 
 Gains: floor(1000 * ln((t + 1) * (S + buckets) / ((s + 1) * (T + buckets)))), from the bucket's count s of S in all documents and t of T in the target.
 They are joined to each document's features through the distinct strings of its block. The weight is the sum over all features. The score adds Gumbel noise that is fixed by
@@ -20,20 +20,22 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import Numbers, slices, utf8
+from logweave.llm.shared import slices, utf8
 from logweave.session import Scratch
 
 BUCKETS = 10_000
-BLOCK, PIECE = 6 << 20, 4 << 20
-FINER = 8
+BLOCK, PIECE = 12 << 20, 4 << 20
+FINER = 2
 LONGEST = 3
 
 #: Every byte as it counts in words: A-Z in lower case, separators as a space.
@@ -56,7 +58,7 @@ class Block:
     """The words of some texts as numbers, and their runs."""
 
     def __init__(self, texts: list[bytes]):
-        numbers, found, sizes = Numbers(), [], np.zeros(len(texts), np.int64)
+        numbers, found, sizes = defaultdict(count().__next__), [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             for piece in pieces(text.translate(LETTERS)):
                 ids = np.fromiter(map(numbers.__getitem__, piece.split()), np.int64)
@@ -64,7 +66,7 @@ class Block:
                 found.append(ids)
         self.ids, self.sizes = np.concatenate([np.zeros(0, np.int64), *found]), sizes
         self.owner = np.repeat(np.arange(len(texts)), sizes)
-        self.words = pa.array(numbers, pa.binary())
+        self.words = list(numbers)
 
     def runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(key, text) of every run of so many words: equal runs have equal keys."""
@@ -89,53 +91,123 @@ class Block:
                 keys = self.pairs[keys]
         return [keys, *out[::-1]]
 
-    def strings(self, numbers: list[np.ndarray]) -> pa.Array:
-        parts = [self.words.take(pa.array(n)) for n in numbers]
-        return parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
+    def heads(self, keys: np.ndarray) -> np.ndarray:
+        """The keys of the first two words of runs of three."""
+        base = max(1, len(self.words))
+        return self.pairs[keys // base] if base >= 1 << 21 and len(keys) else keys // base
 
 
-def bucket_of(strings: pa.Array, buckets: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, strings.to_pylist()), np.int64, len(strings)) % buckets
+class Hashes:
+    """CRC-32 of words, and of words joined by a space: the CRC of a whole follows from those of its parts and their lengths, so the bytes of a word are read once."""
 
+    #: What a CRC becomes when so many zero bytes follow: by number of bytes (up to LONG), place and value of a byte of the CRC.
+    LONG = 255
 
-def pack(strings: pa.Array, counts: np.ndarray) -> bytes:
-    """Strings and their counts as bytes."""
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([strings, pa.array(counts.astype(np.int64))], ["s", "n"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    def __init__(self, words: list[bytes]):
+        one = np.array([zlib.crc32(bytes([v])) for v in range(256)], np.uint32) ^ np.uint32(zlib.crc32(b"\0"))  # linear in the byte
+        after = lambda c: (c >> np.uint32(8)) ^ one[c & np.uint32(255)]
+        table = [np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]]
+        for _ in range(self.LONG):
+            table.append(after(table[-1]))
+        self.table = np.stack(table)
+        self.words = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        space = np.full(len(words), zlib.crc32(b" "), np.uint32)
+        self.spaced = self.shifted(space, self.sizes - 1) ^ self.words
 
+    def shifted(self, crc: np.ndarray, size: np.ndarray) -> np.ndarray:
+        n = np.minimum(size, self.LONG)
+        out = self.table[n, 0, crc & 255] ^ self.table[n, 1, crc >> 8 & 255] ^ self.table[n, 2, crc >> 16 & 255] ^ self.table[n, 3, crc >> 24]
+        more = size > self.LONG
+        if more.any():
+            out[more] = self.shifted(out[more], size[more] - self.LONG)
+        return out
 
-def unpack(packed: bytes) -> pa.Table:
-    return pa.ipc.open_stream(packed).read_all()
+    def of(self, numbers: list[np.ndarray]) -> np.ndarray:
+        """The CRC of strings, given as the numbers of their words."""
+        crc = self.words[numbers[0]]
+        for n in numbers[1:]:
+            crc = self.shifted(crc, self.sizes[n]) ^ self.spaced[n]
+        return crc
 
 
-def dictionary(texts: DataFrame, parts: int) -> DataFrame:
-    """(shard, packed): the distinct features of each block of texts (column text) with their counts, cut into parts * FINER shards."""
-    shards = parts * FINER
+def packed(words: list[bytes], columns: list[np.ndarray]) -> tuple[bytes, bytes, list[int]]:
+    """Words, and columns of small numbers, as compressed bytes."""
+    numbers = np.concatenate(columns).astype(np.uint32)
+    return zstandard.compress(b" ".join(words), 3), zstandard.compress(numbers.tobytes(), 3), [len(c) for c in columns]
+
+
+def unpacked(words: bytes, numbers: bytes, sizes: list[int]) -> tuple[list[bytes], list[np.ndarray]]:
+    flat = np.frombuffer(zstandard.decompress(numbers), np.uint32).astype(np.int64)
+    return zstandard.decompress(words).split(b" "), np.split(flat, np.cumsum(sizes)[:-1])
+
+
+def by_shard(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(shard, its places), ascending both."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-2)) if len(shard) else np.zeros(1, np.int64)
+    return [(int(shard[order[i]]), order[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def dictionary(texts: DataFrame, shards: int) -> DataFrame:
+    """(shard, words, numbers, sizes): the distinct features of each block of texts (column text) with their counts.
+
+    A run of three words goes with its first two. A shard of a block holds its different words once, single words with counts, pairs as two words with counts, and
+    triples as a pair and a word with counts; firsts of pairs and pairs of triples ascend and are kept as differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BLOCK):
             block = Block(utf8(batch.column("text")))
             if not len(block.ids):
                 continue
-            hashes = np.fromiter((zlib.adler32(w) * 0x9E3779B1 ^ len(w) for w in block.words.to_pylist()), np.uint64, len(block.words))
-            for length in range(1, LONGEST + 1):
-                keys, counts = np.unique(block.runs(length)[0], return_counts=True)
-                numbers = block.numbers(keys, length)
-                mixed = np.zeros(len(keys), np.uint64)
-                for n in numbers:
-                    mixed = (mixed ^ hashes[n]) * np.uint64(0x9E3779B97F4A7C15)
-                    mixed ^= mixed >> np.uint64(29)
-                shard = (mixed % np.uint64(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                strings, counts, shard = block.strings([n[order] for n in numbers]), counts[order], shard[order]
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=shards + 1))
-                names, packed = shard[cuts[:-1]], [pack(strings.slice(a, b - a), counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(packed, pa.binary())], ["shard", "packed"])
-
-    return texts.select("text").mapInArrow(run, "shard int, packed binary")
+            hashes = Hashes(block.words)
+            found = [np.unique(block.runs(k)[0], return_counts=True) for k in range(1, LONGEST + 1)]
+            one, (a, b), (_, _, third) = (block.numbers(keys, k + 1) for k, (keys, _) in enumerate(found))
+            pair_of = np.searchsorted(found[1][0], block.heads(found[2][0]))
+            deal = lambda crc: (crc * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % shards
+            pair_shard = deal(hashes.of([a, b]).astype(np.uint64))
+            parts = [dict(by_shard(x)) for x in (deal(hashes.words.astype(np.uint64)[one[0]]), pair_shard, pair_shard[pair_of])]
+            none, place, rank = np.zeros(0, np.int64), np.zeros(len(block.words), np.int64), np.zeros(len(found[1][0]), np.int64)
+            rows = []
+            for shard in sorted(set().union(*parts)):
+                singles, pairs, triples = (x.get(shard, none) for x in parts)
+                ids = [one[0][singles], a[pairs], b[pairs], third[triples]]
+                seen = np.unique(np.concatenate(ids))
+                place[seen] = np.arange(len(seen))
+                rank[pairs] = np.arange(len(pairs))
+                ids = [place[x] for x in ids]
+                columns = [ids[0], found[0][1][singles], np.diff(ids[1], prepend=0), ids[2], found[1][1][pairs], np.diff(rank[pair_of[triples]], prepend=0), ids[3], found[2][1][triples]]
+                rows.append((shard, *packed([block.words[i] for i in seen.tolist()], columns)))
+            shard, words, numbers, sizes = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(words, pa.binary()), pa.array(numbers, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], ["shard", "words", "numbers", "sizes"])
+
+    return texts.select("text").mapInArrow(run, "shard int, words binary, numbers binary, sizes array<int>")
+
+
+class Shard:
+    """Merges the parts of a shard: equal strings meet, each is hashed once, and its count goes to its bucket."""
+
+    def __init__(self) -> None:
+        self.numbers, self.rows = defaultdict(count().__next__), ([], [], [])
+
+    def add(self, words: bytes, numbers: bytes, sizes: list[int]) -> None:
+        own, (one, one_n, first, second, pair_n, pair, third, triple_n) = unpacked(words, numbers, sizes)
+        ids = np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own))
+        a, b, at = ids[np.cumsum(first)], ids[second], np.cumsum(pair)
+        for rows, columns in zip(self.rows, ((ids[one], one_n), (a, b, pair_n), (a[at], b[at], ids[third], triple_n)), strict=True):
+            rows.append(columns)
+
+    def close(self, total: np.ndarray) -> None:
+        hashes, base = Hashes(list(self.numbers)), max(1, len(self.numbers))
+        for rows in self.rows:
+            *words, n = (np.concatenate(c) for c in zip(*rows, strict=True))
+            rows.clear()
+            order = np.lexsort(words[::-1]) if base >= 1 << 21 else np.argsort(sum(w * base ** (len(words) - 1 - k) for k, w in enumerate(words)))
+            words = [w[order] for w in words]
+            cuts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([w[1:] != w[:-1] for w in words])])) if len(n) else np.zeros(0, np.int64)
+            if len(cuts):
+                crc = hashes.of([w[cuts] for w in words])
+                np.add.at(total, crc.astype(np.int64) % len(total), np.add.reduceat(n[order], cuts))
 
 
 def totals(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -144,25 +216,19 @@ def totals(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a partition come by shard; one shard is held at a time."""
-        total, held, at = np.zeros(buckets, np.int64), [], None
-
-        def close() -> None:
-            merged = pa.concat_tables(held).group_by("s", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
-            for part in merged.to_batches(1 << 18):
-                np.add.at(total, bucket_of(part.column("s"), buckets), part.column("n_sum").to_numpy())
-            held.clear()
-
+        total, held, at = np.zeros(buckets, np.int64), Shard(), None
         for batch in batches:
-            for shard, packed in zip(batch.column("shard").to_pylist(), batch.column("packed"), strict=True):
-                if shard != at and held:
-                    close()
-                at = shard
-                held.append(unpack(packed.as_buffer()))
-        if held:
-            close()
+            for row in batch.to_pylist():
+                if row["shard"] != at and at is not None:
+                    held.close(total)
+                    held = Shard()
+                at = row["shard"]
+                held.add(row["words"], row["numbers"], row["sizes"])
+        if at is not None:
+            held.close(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(total)], ["bucket", "n"])
 
-    dealt = dictionary(texts, parts).repartition(parts, "shard").sortWithinPartitions("shard")
+    dealt = dictionary(texts, parts * FINER).repartition(parts, "shard").sortWithinPartitions("shard")
     summed = dealt.mapInArrow(merge, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for r in summed.collect():  # a row for each bucket
@@ -184,13 +250,13 @@ def weigh(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: s
         gain, buckets = shared.value.astype(np.float64), len(shared.value)
         for batch in slices(batches, "text", BLOCK):
             block = Block(utf8(batch.column("text")))
-            number, weight = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            hashes, number, weight = Hashes(block.words), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for length in range(1, LONGEST + 1):
                 keys, owner = block.runs(length)
                 if not len(keys):
                     continue
                 different, which = np.unique(keys, return_inverse=True)
-                worth = np.concatenate([gain[bucket_of(block.strings([n[a : a + (1 << 18)] for n in block.numbers(different, length)]), buckets)] for a in range(0, len(different), 1 << 18)])
+                worth = gain[hashes.of(block.numbers(different, length)).astype(np.int64) % buckets]
                 number += np.bincount(owner, minlength=batch.num_rows)
                 weight += np.bincount(owner, weights=worth[which], minlength=batch.num_rows)  # whole numbers: exact
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(block.sizes), pa.array(number), pa.array(weight.astype(np.int64))], ["doc_id", "n_words", "n_features", "weight"])

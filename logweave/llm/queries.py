@@ -152,10 +152,8 @@ kinds AS (
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
 ), faults AS (
-  SELECT conv_id, turn, role, text, i, left(role, 1) AS r, NOT regexp_matches(text, '[^ 	-
-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
-         NOT regexp_matches(text, '[.!?][ 	-
-]*\z') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS r, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
   FROM placed
 ), flags AS (
   SELECT *, blank OR seen AS must, CASE WHEN blank OR seen OR NOT cut THEN 0 ELSE 1 END AS short FROM faults
@@ -203,8 +201,7 @@ def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = r"""
 WITH docs AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '<none>') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '<none>') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), windows AS (
   SELECT r, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3)
 ), repeated AS (
@@ -212,15 +209,11 @@ WITH docs AS (
 ), raw AS (
   SELECT r, host, text, unnest(string_split(text, chr(10))) AS l FROM docs
 ), full_lines AS (
-  SELECT r, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '[^ 	-
-]') GROUP BY r
+  SELECT r, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r
 ), lines AS (
-  SELECT r, host, text, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[ 	-
-]+', ' ', 'g')) AS l,
-         len(regexp_extract_all(l, '[^ 	-
-]+')) AS n
-  FROM raw WHERE regexp_matches(l, '[^ 	-
-]')
+  SELECT r, host, text, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l,
+         len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
+  FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
 ), common AS (
   SELECT host, l FROM (SELECT host, l, count(DISTINCT text) AS n FROM lines GROUP BY host, l) JOIN (SELECT host, count(DISTINCT text) AS d FROM docs GROUP BY host) USING (host) WHERE n > 20 AND n > 0.01::DOUBLE * d
 ), gone AS (
