@@ -12,8 +12,8 @@ content; the least density on the path from the body to it is the threshold, and
 content too, by its own largest sum.
 
 Two rules stand beside the density. What a page itself names as no article text is cut before: by element (nav, footer, aside, the page's header, controls), by role, by
-hidden or aria-hidden, or by a class or id whose words say so (menu, sidebar, cookie notice, advert, comments; `article-header` or `no-ad` do not). A form is cut too, unless it is
-the page: it has paragraphs or an article, and more than half of the text. And short blocks are not lost: where the chosen subtree lies in an <article> or <main>
+hidden or aria-hidden, or by a class or id whose words say so (menu, sidebar, cookie notice, advert, comments; `article-header`, `no-ad` or `has-sidebar` do not). What is only named so, but for readers' comments, and a form
+are no boilerplate where they are the page: with paragraphs or an article, and more than half of the text. And short blocks are not lost: where the chosen subtree lies in an <article> or <main>
 element, all of that is content, and so are headings and paragraphs beside the path to the subtree of which less than half is links.
 
 Blocks are in page order, joined by an empty line; white space inside a block is one space. Tables, lists and headings are blocks;
@@ -53,14 +53,18 @@ TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROPPED = frozenset("nav footer aside button head dialog menu input fieldset".split()) | RAW
 CONTROLS = frozenset("label legend output meter progress datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-# Words of classes and ids. A name goes if one of the first begins or ends it, or if all its words are marks or places; a kept word keeps it.
+# Words of classes and ids. A name goes if one of the first begins or ends it, or if all its words are marks or places. Words of state say nothing about what is inside.
 STRONG = frozenset(
     "sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar advert adverts advertisement advertising adbox sponsor sponsored cookie cookies consent gdpr popup modal newsletter subscribe subscription sharing commentlist comments disqus responses replies pagination pager toolbar".split()
 )
 WEAK = frozenset("ad ads adv promo promotion side header notice notices notification banner alert overlay signup login share social related recommended widget comment reply skip hidden".split())
 PLACES = frozenset("site page left right top bottom box block list area section wrapper wrap container bar item items link links global primary secondary inner outer text message icons buttons panel form unit slot".split())
-KEPT = frozenset("article main no not non without".split())
-REMARKS = frozenset("comment comments commentlist disqus responses replies reply".split())
+KEPT = frozenset("article main".split())
+STATES = frozenset("no not non without has have with open opened opens active enabled layout".split())
+MANY = frozenset("comments commentlist disqus responses replies".split())
+REMARKS = MANY | frozenset("comment reply".split())
+ABOUT = frozenset("article main body content meta author thread post entry user reader readers respond count header footer".split())
+SOFT, REMARK = 1, 2
 
 COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>", re.S)
 OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -72,10 +76,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "up", "block", "kids", "off", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "picked")
+    __slots__ = ("name", "up", "block", "kids", "off", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "picked", "soft")
 
-    def __init__(self, name: str, up: Node | None, off: bool = False):
-        self.name, self.up, self.off = name, up, off
+    def __init__(self, name: str, up: Node | None, kind: int = 0):
+        self.name, self.up, self.off, self.soft = name, up, kind == REMARK, kind == SOFT
         self.block: Node | None = self if name in BLOCK or up is None else up.block  # the nearest block, itself included
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -84,34 +88,38 @@ class Node:
         self.picked = False
 
 
-def named(value: str, remarks: bool) -> bool:
-    """Whether a class or id attribute names something that is no article text; with `remarks`, only readers' comments are looked for."""
+def named(value: str, remarks: bool) -> int:
+    """What a class or id attribute names: REMARK for readers' comments, SOFT for something else that is no article text, 0 for neither; with `remarks`, only comments are looked for."""
+    found = 0
     for name in value.lower().split():
         words = [w for w in PARTS.split(name) if w]
-        if not words or not KEPT.isdisjoint(words):
+        if not words or not STATES.isdisjoint(words):
             continue
-        if remarks:
-            if REMARKS.issuperset(words):
-                return True
-        elif words[0] in STRONG or words[-1] in STRONG or (all(w in WEAK or w in PLACES for w in words) and not WEAK.isdisjoint(words)):
-            return True
-    return False
+        ends = {words[0], words[-1]}
+        others = [w for w in words if w not in REMARKS]
+        if not ends.isdisjoint(MANY) or (len(others) < len(words) and all(w in PLACES or w in ABOUT for w in others)):
+            return REMARK
+        if remarks or (not KEPT.isdisjoint(words) and ends.isdisjoint(STRONG)):
+            continue
+        if not ends.isdisjoint(STRONG) or (all(w in WEAK or w in PLACES for w in words) and not WEAK.isdisjoint(words)):
+            found = SOFT
+    return found
 
 
-def boilerplate(name: str, attributes: dict[str, str], node: Node, in_form: bool) -> bool:
-    """Whether an opening tag begins something that is never article text."""
+def boilerplate(name: str, attributes: dict[str, str], node: Node, in_form: bool) -> int:
+    """REMARK if an opening tag begins something that is never article text, SOFT if it only is named so, else 0."""
     if name in DROPPED or (in_form and name in CONTROLS):
-        return True
+        return REMARK
     if name == "header":  # an article's own header may hold its headings
         while node is not None and node.name not in ("article", "main"):
             node = node.up
-        return node is None
+        return 0 if node is not None else REMARK
     if not attributes or name in ("html", "body"):
-        return False
+        return 0
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").strip().lower() in ROLES:
-        return True
+        return REMARK
     remarks = name in ("article", "main")
-    return any(named(attributes[k], remarks) for k in ("class", "id") if k in attributes)
+    return max((named(attributes[k], remarks) for k in ("class", "id") if k in attributes), default=0)
 
 
 def tag_at(page: str, at: int) -> tuple[dict[str, str], int]:
@@ -234,24 +242,26 @@ def parse(page: str) -> Node:
     return tree.root
 
 
-def cut_forms(body: Node) -> None:
-    """Mark forms off, but for one that is the page: with paragraphs or an article, and more than half of the characters."""
-    forms, size, prose = [], {}, set()
+def cut_named(body: Node) -> None:
+    """Mark off forms and what is only named as boilerplate, but for those that are the page: with paragraphs or an article, and more than half of the characters (links' do not count for names)."""
+    doubtful, size, plain, prose = [], {}, {}, set()
     order, stack = [], [body]
     while stack:
         node = stack.pop()
         order.append(node)
-        if node.name == "form":
-            forms.append(node)
+        if node.name == "form" or node.soft:
+            doubtful.append(node)
         stack.extend(k for k in node.kids if isinstance(k, Node) and not k.off)
-    if not forms:
+    if not doubtful:
         return
     for node in reversed(order):
         size[id(node)] = sum(len(k.strip()) if isinstance(k, str) else size.get(id(k), 0) for k in node.kids)
+        plain[id(node)] = 0 if node.name == "a" else sum(len(k.strip()) if isinstance(k, str) else plain.get(id(k), 0) for k in node.kids)
         if node.name in ("p", "article", "main") or any(id(k) in prose for k in node.kids):
             prose.add(id(node))
-    for node in forms:
-        node.off = id(node) not in prose or 2 * size[id(node)] <= size[id(body)]
+    for node in doubtful:
+        count = plain if node.soft else size
+        node.off = id(node) not in prose or 2 * count[id(node)] <= count[id(body)]
 
 
 def measure(body: Node) -> list[Node]:
@@ -337,7 +347,7 @@ def blocks(body: Node) -> list[str]:
     held: list[str] = []
 
     def cut() -> None:
-        text = SPACE.sub(" ", html.unescape("".join(held))).strip()
+        text = SPACE.sub(" ", "".join(held)).strip()
         if text:
             out.append(text)
         held.clear()
@@ -349,7 +359,7 @@ def blocks(body: Node) -> list[str]:
             cut()
         elif isinstance(item, str):
             if taken and not headings:
-                held.append(item)
+                held.append(html.unescape(item))
         elif not item.off:
             taken |= item.picked
             if item.name == "header":
@@ -370,7 +380,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     body = next((k for k in root.kids if isinstance(k, Node) and k.name == "body"), root)
-    cut_forms(body)
+    cut_named(body)
     measure(body)
     choose(body)
     return "\n\n".join(blocks(body))
