@@ -48,21 +48,25 @@ SHAPES = (
     r"(?<=://)[^\s/:@\"'<>]++:[^\s/@\"'<>]{3,}+(?=@)",
     r"(?<![A-Za-z0-9+/=_-])(?!(?<=:)//[^\s/:@\"'<>]++:[^\s/@\"'<>]{3,}+@)[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])",
 )
-# A value after a name: what stands before the value is matched too, and then taken off; a look behind would be tried at every character.
-ASSIGNED = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]key|auth_key|credential|bearer)\s{0,3}[=:]{1,2}>?\s{0,3}[\"'`]?"
-PATTERN = ASSIGNED + r"[^\s\"'`,;<>(){}\[\]|]{6,}+|" + "|".join(SHAPES)
+# A value after a name (also a quoted one, as keys of JSON are, or a tag) or after the scheme of an authorisation: what stands before the value is matched too, and then taken off; a look behind
+# would be tried at every character. A value in quotes goes up to the closing quote of its line.
+NAMED = r"(?i:token|secret|password|passphrase|passwd|pwd|api[_-]?key|access[_-]key|auth_key|private[_-]key|credential|authorization|auth|bearer)"
+SCHEME = r"(?i:bearer|basic|token)\s{1,3}"
+ASSIGNED = rf"(?:{NAMED}(?:[\"'`]?\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}|>)[\"'`]?(?:{SCHEME})?|\b(?i:bearer|basic)\s{{1,3}}(?=[A-Za-z0-9._~+/-]{{16}}))"
+VALUE = r"(?:(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')|(?<=`)[^`\r\n]{6,}+(?=`)|[^\s\"'`,;<>(){}\[\]|]{6,}+)"
+PATTERN = ASSIGNED + VALUE + "|" + "|".join(SHAPES)
 
 # Words that candidates and their surroundings are held against.
 DICTIONARY = tuple(
     "the and for you your this that with from have not are was will can one all new more about has use api key token secret password user name test example sample demo dummy fake placeholder change here insert value default config client server service account access auth data file path index list item page home main class function method string number public private static final void return import module version release build debug error message request response handler manager factory controller component container element button header footer image color style width height content text title html http https www com org net local host port base encode decode hash digest commit branch merge master develop production staging".split()
 )
-NAMES = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|credential|bearer|auth|private)"
+NAMES = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|passwd|pwd|api[_-]?key|access[_-]?key|credential|bearer|auth|private|basic\s)"
 EXAMPLES = r"(?i)(?:example|sample|dummy|fake|placeholder|changeme|change_me|your[_ -]|xxxx|test|insert|replace|todo|redacted|<|\$\{|\{\{)"
 DIGESTS = r"(?i)(?:sha-?\d*|md5|crc|checksum|digest|commit|revision|etag|integrity|uuid|guid|hash|fingerprint|version|build|trace|span|request)[\s_-]{0,3}(?:id)?\W{0,4}$"
 
 
 # Strings of which every match of PATTERN has one, in lower case and as they are; other matches are logins in URLs, or have 32 signs in a row.
-PARTS = ("private key", "glpat-", "xox", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "access-key", "auth_key", "credential", "bearer")
+PARTS = ("private key", "glpat-", "xox", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "token", "secret", "password", "passphrase", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "access-key", "private_key", "private-key", "auth", "credential", "bearer", "basic")
 EXACT = ("AKIA", "ASIA", "AGPA", "AIDA", "eyJ")
 LONG = r"[A-Za-z0-9+/_-]{32}"
 
@@ -108,7 +112,7 @@ def spots(parts: Column) -> Column:
     return F.aggregate(firsts, F.struct(F.lit(0).alias("at"), empty.alias("out")), chunk)["out"]
 
 
-FEATURES = ("size", "digits", "uppers", "signs", "distinct", "turns", "vowels", "repeats", "covered", "path_test", "path_config", "name_before", "example_near", "digest_before", "assigned", "shape")
+FEATURES = ("size", "digits", "uppers", "signs", "distinct", "turns", "vowels", "repeats", "covered", "path_test", "path_config", "name_before", "example_near", "digest_before", "assigned", "shape", "spaces", "quoted")
 
 
 WORDS = "(?i)(?:" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")"
@@ -134,14 +138,16 @@ def features(path: Column, before: Column, c: Column, after: Column) -> list[Col
         "name_before": flag(F.right(before, F.lit(30)).rlike(NAMES)),
         "example_near": flag(F.concat(before, F.lit(" "), c, F.lit(" "), F.left(after, F.lit(20))).rlike(EXAMPLES)),
         "digest_before": flag(F.right(before, F.lit(30)).rlike(DIGESTS)),
-        "assigned": flag(F.right(before, F.lit(6)).rlike("[=:]\\s*[\"'`]?$")),
+        "assigned": flag(F.right(before, F.lit(16)).rlike(rf"(?:[=:>]\s*[\"'`]?(?:{SCHEME})?|(?i:bearer|basic)\s+)$")),
         "shape": flag(c.rlike("^(?:" + "|".join(SHAPES[:9]) + ")")),
+        "spaces": share(r"\s"),
+        "quoted": flag(F.right(before, F.lit(1)).isin('"', "'", "`")),
     }
     return [F.coalesce(made[k], F.lit(0.0)).alias(k) for k in FEATURES]
 
 
 def labelled_findings(spark: SparkSession, number: int = FINDINGS, first: int = 0) -> DataFrame:
-    """`number` labelled findings by rule: (path, before, candidate, after, label); half of them are credentials. `first`: where to begin;
+    """`number` labelled findings by rule: (path, before, candidate, after, label); half of them are credentials, also behind the scheme of an authorisation, behind keys of JSON, and as phrases in quotes. `first`: where to begin;
     findings of other beginnings are others."""
     i = F.col("id")
     pick = lambda k, *choices: F.get(F.array(*[F.lit(x) for x in choices]), F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(choices))).cast("int"))
@@ -149,9 +155,13 @@ def labelled_findings(spark: SparkSession, number: int = FINDINGS, first: int =
     cut = lambda c, k, low, high: F.left(c, F.pmod(F.xxhash64(i, F.lit(k)), F.lit(high - low + 1)).cast("int") + low)
     base = lambda k: F.regexp_replace(F.base64(F.unhex(F.concat(hexed(k), hexed(k + 1)))), "[+/=\\s]", "")
     word = lambda k: pick(k, *DICTIONARY)
-    kind = F.pmod(i, F.lit(16))
+    kind = F.pmod(i, F.lit(18))
+    secret = (kind < 8) | (kind == 16)
     prose = pick(1, "set ", "the line ", "with ", "for this ", "or else ", "and then ", "value ", "export ", "")
-    named = F.concat(prose, pick(2, "token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "client_secret", "pwd", "bearer"), pick(3, " = ", "=", ": ", ":"), pick(4, '"', "'", ""))
+    named = F.concat(prose, pick(2, "token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "client_secret", "pwd", "bearer", "passphrase"), pick(3, " = ", "=", ": ", ":", '": ', '":'), pick(4, '"', "'", ""))
+    header = F.concat(prose, pick(66, "Authorization: Bearer ", "authorization: Basic ", "Authorization: token ", '"Authorization": "Bearer ', "-H 'Authorization: Bearer ", "Bearer "))
+    gap = pick(67, " ", " ", ", ", ";", "-")
+    called = lambda k: F.concat(pick(k, "copper", "violet", "harbor", "maple", "thunder", "pencil", "marble", "walnut", "orbit", "saddle", "Canyon", "Lantern"), F.when(F.pmod(F.xxhash64(i, F.lit(k + 1)), F.lit(2)) == 0, F.pmod(F.xxhash64(i, F.lit(k + 2)), F.lit(100)).cast("string")).otherwise(F.lit("")))
     plain = F.concat(prose, pick(5, "see ", "in ", "commit ", "sha256: ", "md5 = ", "checksum: ", "id: ", "file ", "build-", "etag: ", "revision ", "/static/js/"))
     candidate = (
         F.when(kind == 0, cut(hexed(10), 11, 32, 64))
@@ -169,12 +179,16 @@ def labelled_findings(spark: SparkSession, number: int = FINDINGS, first: int =
         .when(kind == 12, F.regexp_replace(F.left(hexed(46), F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
         .when(kind == 13, F.concat_ws("/", word(47), word(48), word(49), word(50), word(51), word(52), word(53)))
         .when(kind == 14, F.concat_ws("-", word(54), word(55), word(56), word(57), word(58), word(59)))
+        .when(kind == 16, F.concat(called(70), gap, called(73), gap, called(76), pick(79, "!", "7", "#4", "X9", "22")))
+        .when(kind == 17, F.concat_ws(" ", pick(80, "the", "this", "your", "a"), word(81), pick(82, "is", "of", "and", "for"), word(83), word(84), pick(85, "here", "", "below", "page")))
         .otherwise(F.repeat(pick(60, "-", "=", "_", "a", "ab", "abc", "x0"), 20))
     )
-    before = F.when((kind < 8) & ~kind.isin(2, 3), named).when(kind.isin(2, 3), pick(61, "key ", "use ", "token=", "", "= ")).when(kind.isin(11), named).when(kind.isin(9, 10, 14), F.when(F.pmod(F.xxhash64(i, F.lit(62)), F.lit(3)) == 0, named).otherwise(plain)).otherwise(plain)
-    path = F.when(kind < 8, pick(63, "config/app.yml", "src/main.py", ".env", "page.html", "deploy/prod.ini", "", "lib/util.go")).otherwise(pick(64, "tests/test_app.py", "docs/readme.md", "src/main.py", "page.html", "package-lock.json", "", "lib/util.go", "examples/demo.js"))
+    headed = kind.isin(0, 1, 5, 7) & (F.pmod(F.xxhash64(i, F.lit(68)), F.lit(4)) == 0)
+    quoted = F.concat(F.regexp_replace(named, "[\"']$", ""), F.lit('"'))
+    before = F.when(kind.isin(16, 17), quoted).when(headed, header).when((kind < 8) & ~kind.isin(2, 3), named).when(kind.isin(2, 3), pick(61, "key ", "use ", "token=", "", "= ")).when(kind.isin(11), named).when(kind.isin(9, 10, 14), F.when(F.pmod(F.xxhash64(i, F.lit(62)), F.lit(3)) == 0, named).otherwise(plain)).otherwise(plain)
+    path = F.when(secret, pick(63, "config/app.yml", "src/main.py", ".env", "page.html", "deploy/prod.ini", "", "lib/util.go")).otherwise(pick(64, "tests/test_app.py", "docs/readme.md", "src/main.py", "page.html", "package-lock.json", "", "lib/util.go", "examples/demo.js"))
     after = pick(65, '" and more text', "\n", "' // keep", " in the log", ",", '"', "")
-    return spark.range(first, first + number).select(path.alias("path"), before.alias("before"), candidate.alias("candidate"), after.alias("after"), (kind < 8).cast("double").alias("label"))
+    return spark.range(first, first + number).select(path.alias("path"), before.alias("before"), candidate.alias("candidate"), after.alias("after"), secret.cast("double").alias("label"))
 
 
 class Forest:
