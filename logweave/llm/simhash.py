@@ -140,17 +140,19 @@ def one_of_each(docs: DataFrame, found: DataFrame, prints_of: Callable[[DataFram
     stay = scratch.keep(found.groupBy("root").agg(first).select("m.doc_id", "m.fp"), "stay")
     rows = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
     named = scratch.keep(rows.join(stay.where("doc_id is not null").select("doc_id").distinct(), "doc_id").withColumnRenamed("doc_id", "_key"), "named")
-    # One plan at every size: rows go to their id's partition once, whether or not the ids would fit a broadcast today.
-    kept = docs.join(named.hint("shuffle_hash"), F.col(f"`{id_col}`").cast("long") == F.col("_key")).drop("_key")
-    out = kept.where("_times = 1").select(own)
+    # One plan at every size: rows go to their id's partition once, whether or not the ids would fit a broadcast today. A row's own columns stay apart under numbers.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"))
+    whole = [F.col(f"_row.c{i}").alias(c) for i, c in enumerate(own)]
+    kept = packed.join(named.hint("shuffle_hash"), F.col("_id") == F.col("_key")).drop("_key")
+    out = kept.where("_times = 1").select(whole)
     if named.where("_times > 1").isEmpty() and stay.where("doc_id is null").isEmpty():
         return out
-    shared = kept.where("_times > 1").select(own).unionByName(docs.where(F.col(f"`{id_col}`").cast("long").isNull()))
-    shared = scratch.keep(shared.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.monotonically_increasing_id().alias("_at")), "shared")
+    shared = kept.where("_times > 1").select("_row", "_id").unionByName(packed.where("_id is null"))
+    shared = scratch.keep(shared.select("_row", "_id", F.col(f"_row.c{own.index(text_col)}").alias("_text"), F.monotonically_increasing_id().alias("_at")), "shared")
     made = prints_of(shared.select("_at", F.col("_text").alias(text_col)), "_at").select(F.col("doc_id").alias("_at"), "fp")
     marked = shared.join(made, "_at").join(stay.withColumnRenamed("fp", "_fp"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("fp") == F.col("_fp")))
     chosen = marked.groupBy("_id", "fp").agg(F.min_by("_row", F.struct(F.xxhash64("_text"), "_at")).alias("_row"))
-    return out.unionByName(chosen.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(own)]))
+    return out.unionByName(chosen.select(whole))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:

@@ -355,15 +355,18 @@ def tag(docs: DataFrame, field: Field, text_col: str = "text", carry: tuple[str,
             owner = np.searchsorted(ends, high, side="right")
             for d in np.unique(owner).tolist():
                 picked = set((high[owner == d] - (ends[d] - sizes[d])).tolist())
-                before = -2
-                for k, m in enumerate(TOKEN.finditer(texts[d].lower())):
+                before, low = -2, texts[d].lower()
+                # Some characters are several in lower case; offsets are those of the text as it is.
+                place = None if len(low) == len(texts[d]) else np.repeat(np.arange(len(texts[d])), [len(c.lower()) for c in texts[d]])
+                for k, m in enumerate(TOKEN.finditer(low)):
                     if k in picked:
                         chance = float(marginal[ends[d] - sizes[d] + k])
+                        start, end = m.span() if place is None else (int(place[m.start()]), int(place[m.end() - 1]) + 1)
                         if before == k - 1:
-                            spans[d][-1]["end"] = m.end()
+                            spans[d][-1]["end"] = end
                             spans[d][-1]["chance"] = max(chance, spans[d][-1]["chance"])
                         else:
-                            spans[d].append({"start": m.start(), "end": m.end(), "chance": chance})
+                            spans[d].append({"start": start, "end": end, "chance": chance})
                         before = k
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in carry], pa.array(sizes), pa.array(evidence), pa.array(field.score(evidence, sizes)), pa.array(spans, kind)],
