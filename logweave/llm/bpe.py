@@ -225,7 +225,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for batch in slices(batches, "_text", 4 << 20, 2048):
+        for batch in slices(batches, "_text", 4 << 20, 2048, lean=True):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             ids, bounds = c.encode(texts)
             cells = [*[batch.column(f"c{i}") for i in range(len(own))], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
@@ -256,7 +256,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for batch in slices(batches, "text", 4 << 20, 2048):
+        for batch in slices(batches, "text", 4 << 20, 2048, lean=True):
             ids, bounds = c.encode([t or "" for t in batch.column("text").to_pylist()])
             parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(

@@ -209,7 +209,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     schema = ", ".join([f"`{n}` {chosen.schema[c].dataType.simpleString()}" for n, c in (("doc_id", "_id"), *((c, c) for c in carry))] + ["n_words long", PART])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 12 << 20, 8192):
+        for batch in slices(batches, "_text", 6 << 20, 4096, lean=True):
             texts = [words(t) for t in utf8(batch.column("_text"))]
             found = searched(texts, shared.value) if shared.value else {}
             cells = [batch.column("_id"), *[batch.column(c) for c in carry], pa.array(map(len, texts), pa.int64()), *columns([found.get(k) for k in range(len(texts))])]
@@ -227,7 +227,7 @@ def find_by_blocks(chosen: DataFrame, stream: Iterator[Block], carry: tuple[str,
         shared = chosen.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "_text", 12 << 20, 8192):
+            for batch in slices(batches, "_text", 6 << 20, 4096, lean=True):
                 found = searched([words(t) for t in utf8(batch.column("_text"))], shared.value)
                 which = sorted(found)
                 yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(which, pa.int64())), *columns([found[k] for k in which])], ["_key", *PARTS])
@@ -243,7 +243,7 @@ def find_by_blocks(chosen: DataFrame, stream: Iterator[Block], carry: tuple[str,
     schema = ", ".join([f"`{n}` {joined.schema[c].dataType.simpleString()}" for n, c in (("doc_id", "_id"), *((c, c) for c in carry))] + ["n_words long", PART])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 12 << 20, 8192):
+        for batch in slices(batches, "_text", 6 << 20, 4096, lean=True):
             sizes = [len(words(t)) for t in utf8(batch.column("_text"))]
             made: list[Found | None] = []
             for several in batch.column("_parts").to_pylist():

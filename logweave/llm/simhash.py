@@ -177,7 +177,7 @@ def shingle_prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
     """(doc_id, fp): fp is a hash of the set of shingles; one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 2 << 20, lean=True):
             prints = np.fromiter((print_of(shingles(t, width)) for t in utf8(batch.column("text"))), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
 
@@ -198,7 +198,7 @@ def sets_of(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, met = np.unpackbits(shared.value).view(bool), set()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 2 << 20, lean=True):
             fps, sets = [], []
             for t in utf8(batch.column("text")):
                 s = shingles(t, width)
@@ -228,7 +228,7 @@ def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, met = shared.value, set()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 2 << 20, lean=True):
             taken, parts = [], []
             for t in utf8(batch.column("text")):
                 s = shingles(t, width)

@@ -346,7 +346,7 @@ def tag(docs: DataFrame, field: Field, text_col: str = "text", carry: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        for batch in slices(batches, "_text", 3 << 20, 2048):
+        for batch in slices(batches, "_text", 3 << 20, 2048, lean=True):
             texts = batch.column("_text").to_pylist()
             evidence, sizes, marginal = field.evidence([tokens(t) for t in texts])
             spans: list[list[dict]] = [[] for _ in texts]
