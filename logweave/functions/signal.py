@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logweave import constants as C
+from logweave.functions.parsing import let
 
 #: The characters that Unicode counts as white space.
 SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -41,9 +42,13 @@ def mask(message: Column) -> Column:
 
 
 def prepared(message: Column, attributes: Column | None = None) -> Column:
-    """What template mining gets."""
+    """What template mining gets. Texts without a protected word, or without anything that masks look for, are not searched word by word; each step looks at a value that was made once."""
     text = clean(F.coalesce(message, F.lit("")))
-    return mask(protect(text if attributes is None else hide_attributes(text, attributes)))
+    if attributes is not None:
+        text = hide_attributes(text, attributes)
+    words = r"(?i)\b(?:" + "|".join(C.PROTECTED) + r")\b"
+    guarded = let(text, lambda t: F.when(t.rlike(words), protect(t)).otherwise(t))
+    return let(guarded, lambda t: F.when(t.rlike(r"[0-9/]|(?:\b[0-9a-fA-F]{8}-)"), mask(t)).otherwise(t))
 
 
 def template_id(template: Column) -> Column:

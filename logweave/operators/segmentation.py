@@ -106,7 +106,7 @@ def validate(lines: DataFrame, header: str = C.HEADER, parser: Callable[[Column]
     return both.withColumn("accepted", (F.col("header_matches") > 0) & (F.col("coverage") >= 99) & (F.col("internal_header_candidates") == 0) & F.col("zero_loss") & (F.col("parser_ratio") >= 95))
 
 
-def samples(lines: DataFrame, header: str = C.HEADER, failed: int = 30, positive: int = 12, internal: int = 10, chars: int = 700) -> DataFrame:
+def samples(lines: DataFrame, header: str = C.HEADER, failed: int = 30, positive: int = 12, internal: int = 30, chars: int = 700) -> DataFrame:
     """(kind, nth, file, line_no, line): first distinct unmatched strong headers, first matches, and first strong headers inside events."""
     flagged = flag_lines(lines, header).where(~F.col("is_blank"))
     text = F.substring("line", 1, chars)

@@ -2,72 +2,115 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.session import Scratch
+
 
 def trailing_count(rows: DataFrame, key: str = "template_id", ts: str = "event_ts", seconds: int = 60, order: str | None = None, out: str = "window_count_1m", bucket: int | None = None) -> DataFrame:
     """Rows of the same key in the `seconds` before each row and at its time, itself included.
 
-    Keys are dealt by time as well: a row goes to its bucket of time and, as a witness, to the next one, so a key with a third
-    of all rows is spread over its buckets. With `order`, rows of the same time that come later are not counted.
+    Rows are counted by key and time first; the counts, not the rows, are dealt by time as well: a time goes to its bucket and, as a witness, to the next one, so a key with a third
+    of all rows is spread over its buckets. The sums go back to the rows by key and time. With `order`, rows of the same time that come later are not counted.
     """
     size = max(bucket or 0, seconds)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    base = rows.withColumn("_at", at).withColumn("_b", F.floor(F.col("_at") / (size * 1_000_000)))
-    mine = base.withColumn("_own", F.lit(True))
-    witness = base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
-    window = Window.partitionBy(key, "_b").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    both = mine.unionByName(witness).withColumn(out, F.count(F.lit(1)).over(window))
+    rows = rows.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_key", F.struct(F.col(key).alias("k")))  # a struct is null for no key
+    times = rows.groupBy("_key", "_at").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.col("_at") / (size * 1_000_000)))
+    both = times.withColumn("_own", F.lit(True)).unionByName(times.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
+    window = Window.partitionBy("_key", "_b").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    sums = both.withColumn("_sum", F.sum("_n").over(window)).where("_own").select("_key", "_at", "_n", "_sum")
+    joined = rows.join(sums, ["_key", "_at"])
     if order:
-        peers = Window.partitionBy(key, "_b", "_at")
-        both = both.withColumn(out, F.col(out) - F.count(F.lit(1)).over(peers) + F.row_number().over(peers.orderBy(order)))
-    return both.where("_own").drop("_own", "_b", "_at")
+        nth = F.row_number().over(Window.partitionBy("_key", "_at").orderBy(order))
+        joined = joined.withColumn("_sum", F.col("_sum") - F.col("_n") + nth)
+    return joined.withColumn(out, F.col("_sum")).drop("_key", "_at", "_n", "_sum")
 
 
-def anchored_windows(rows: DataFrame, source: str = "source", ts: str = "event_ts", order: str = "event_id", seconds: int = 300, most: int = 20_000) -> DataFrame:
+def anchored_windows(rows: DataFrame, source: str = "source", ts: str = "event_ts", order: str = "event_id", seconds: int = 300, most: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
     """rows with window_start: a window opens at the first row, takes rows up to `seconds` later (inclusive) and at most `most` of them, and the next one
     opens at the row after.
 
-    Only times and their numbers of rows are folded, not rows: rows are counted by time, a time's rows are in at most two windows (the open one until it is full, then one that begins at this
-    time), and this table goes back to the rows by their time. A row more than `seconds` after the row before it opens a window whatever came before; so the times between such
-    pauses, which show in a table of occupied time spans, are folded on their own. Such a group is as long as a source never pauses for `seconds`.
+    A source's rows are numbered by time; the row that opens the window after one that opens at row r is the first one more than `seconds` later, or row r + most. Which rows open windows
+    is found by doubling this function (`opened`), so nothing is folded in order and no source is a group. Rows of one time are one entry: they are in at most two windows (the open one until it
+    is full, then those that begin at this time), and the table of times goes back to the rows by their time.
     """
-    step = seconds * 1_000_000
-    base = rows.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
-    counts = base.groupBy(source, "_at").agg(F.count(F.lit(1)).alias("_n")).withColumn("_span", F.floor(F.col("_at") / step))
-    spans = counts.groupBy(source, "_span").agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
-    ordered = Window.partitionBy(source).orderBy("_span")
-    gap = F.when(F.col("_low") - F.lag("_high").over(ordered) > step, F.col("_low"))
-    spans = spans.withColumn("_group", F.coalesce(F.last(gap, ignorenulls=True).over(ordered), F.lit(-(1 << 62)))).select(F.col(source).alias("_source"), F.col("_span").alias("_place"), "_group")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        starts, first, start, held = [], [], None, 0
-        for t, n in zip(pdf["_at"].tolist(), pdf["_n"].tolist(), strict=True):
-            if start is None or t > start + step or held >= most:
-                start, held = t, 0
-            fits = min(n, most - held)
-            starts.append(start)
-            first.append(fits)
-            held += fits
-            if n > fits:
-                start, held = t, (n - fits - 1) % most + 1
-        return pdf[[source, "_at", "_n"]].assign(_start=starts, _first=first)
-
-    kind = base.schema[source].dataType.simpleString()
-    grouped = counts.join(spans, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_span") == F.col("_place"))).drop("_source", "_place")
-    folded = grouped.groupBy(source, "_group").applyInPandas(fold, f"`{source}` {kind}, _at long, _n long, _start long, _first long")
-    folded = folded.select(F.col(source).alias("_source"), F.col("_at").alias("_time"), "_n", "_start", "_first")
-    joined = base.join(folded, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_time")))
+    scratch = scratch or Scratch(rows.sparkSession, "windows")
+    base = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    folded = time_windows(base.groupBy("_s", "_at").agg(F.count(F.lit(1)).alias("_n")), seconds * 1_000_000, most, scratch)
+    joined = base.join(folded, ["_s", "_at"])
     # Only where a window fills up within a time do its rows have to be ordered; all others are spread.
     joined = joined.withColumn("_salt", F.when(F.col("_first") == F.col("_n"), F.pmod(F.xxhash64(order), F.lit(256))).otherwise(F.lit(-1)))
-    rank = F.row_number().over(Window.partitionBy(source, "_at", "_salt").orderBy(order))
+    rank = F.row_number().over(Window.partitionBy("_s", "_at", "_salt").orderBy(order))
     start = F.when((F.col("_salt") == -1) & (rank > F.col("_first")), F.col("_at")).otherwise(F.col("_start"))
     return joined.withColumn("window_start", F.timestamp_micros(start)).select(*rows.columns, "window_start")
 
 
+def time_windows(counts: DataFrame, step: int, most: int, scratch: Scratch) -> DataFrame:
+    """counts (_s, _at, _n) with _start, the time of the window that the first of the _n rows are in, and _first, how many they are; the others' windows begin at _at itself."""
+    groups = scratch.keep(numbered(scratch.keep(counts, "times"), step), "numbered")
+    starts = opened(groups, most, scratch)
+    marks = starts.join(groups.select("_s", "_at", F.col("_row").alias("_group")), ["_s", "_at"]).groupBy("_s", "_at").agg(F.max((F.col("_row") == F.col("_group")).cast("int")).alias("_begins"), F.min(F.when(F.col("_row") > F.col("_group"), F.col("_row") - F.col("_group"))).alias("_inner"))
+    marked = scratch.keep(groups.select("_s", "_b", "_at", "_n").join(marks, ["_s", "_at"], "left"), "marked")
+    opens = F.when(F.col("_begins").isNotNull(), F.col("_at"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each span of time: the last window that begins in an earlier one.
+    spans = marked.groupBy("_s", "_b").agg(F.max(opens).alias("_last")).select("_s", "_b", F.max("_last").over(earlier(Window.partitionBy("_s").orderBy("_b"))).alias("_carry"))
+    here = F.max(opens).over(earlier(Window.partitionBy("_s", "_b").orderBy("_at")))
+    found = marked.withColumn("_here", here).join(spans, ["_s", "_b"])
+    return found.select("_s", "_at", "_n", F.when(F.col("_begins") == 1, F.col("_at")).otherwise(F.coalesce("_here", "_carry")).alias("_start"), F.coalesce("_inner", "_n").alias("_first"))
+
+
+def numbered(counts: DataFrame, step: int) -> DataFrame:
+    """counts (_s, _at, _n) with _b (span of time), _row (number of the first row, from 0), _reach (number of the first row more than `step` later) and _reset (whether the row before is that far
+    away). Sums run inside spans of `step`, and over one row for each span."""
+    rows = counts.withColumn("_b", F.floor(F.col("_at") / step))
+    w = Window.partitionBy("_s").orderBy("_b")
+    spans = rows.groupBy("_s", "_b").agg(F.sum("_n").alias("_all"), F.max("_at").alias("_high"))
+    spans = spans.select("_s", "_b", (F.sum("_all").over(w) - F.col("_all")).alias("_before"), "_all", F.lag("_high").over(w).alias("_prior"))
+    # Times a step on stand among the times of the next span, and count what is before them there.
+    asks = rows.select("_s", (F.col("_b") + 1).alias("_b"), (F.col("_at") + step).alias("_at"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_ask"))
+    both = rows.select("_s", "_b", "_at", "_n", F.lit(0).alias("_ask")).unionByName(asks)
+    w = Window.partitionBy("_s", "_b").orderBy("_at", "_ask")
+    both = both.withColumns({"_sum": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_prev": F.max(F.when(F.col("_ask") == 0, F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    far = both.where("_ask = 1").select("_s", (F.col("_at") - step).alias("_at"), F.col("_sum").alias("_inside"))
+    own = both.where("_ask = 0").join(spans, ["_s", "_b"]).join(far, ["_s", "_at"])
+    before = F.coalesce("_prev", "_prior")
+    return own.select("_s", "_b", "_at", "_n", (F.col("_before") + F.col("_sum") - F.col("_n")).alias("_row"), (F.col("_before") + F.col("_all") + F.col("_inside")).alias("_reach"), (before.isNull() | (F.col("_at") - before > step)).alias("_reset"))
+
+
+def opened(groups: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """(_s, _row, _at) of the rows that open windows.
+
+    A row after a pause opens one whatever came before. From these, jumps over 1, 2, 4, ... windows mark the others: as many rounds as the longest run without a pause has
+    binary digits in its number of windows. Rows inside a time can open windows only near times that fill one, so only these are listed one by one.
+    """
+    dense = groups.where(F.col("_reach") - F.col("_row") > most).select("_s", F.explode(F.array(F.col("_b"), F.col("_b") + 1)).alias("_b")).distinct().withColumn("_dense", F.lit(True))
+    listed = groups.join(dense, ["_s", "_b"], "left")
+    rows = F.when(F.col("_dense") & (F.col("_n") > 1), F.sequence(F.col("_row"), F.col("_row") + F.col("_n") - 1)).otherwise(F.array("_row"))
+    nodes = scratch.keep(listed.select("_s", "_at", "_reset", "_reach", F.col("_row").alias("_group"), F.explode(rows).alias("_row")), "nodes")
+    ends = nodes.where(~F.col("_reset") | (F.col("_row") > F.col("_group"))).select("_s", F.col("_row").alias("_to"), F.col("_at").alias("_to_at"))
+    jumps = scratch.keep(nodes.select("_s", "_row", F.least("_reach", F.col("_row") + most).alias("_to")).join(ends, ["_s", "_to"]), "jumps")
+    found = groups.where("_reset").select("_s", "_row", "_at")
+    while True:  # each round goes four times as far
+        twice = doubled(jumps)
+        once = jumped(found, jumps)
+        new = scratch.keep(once.unionByName(jumped(found, twice)).unionByName(jumped(once, twice)), "new")
+        if new.isEmpty():
+            return found
+        found, jumps = found.unionByName(new), scratch.keep(doubled(twice), "jumps")
+
+
+def jumped(found: DataFrame, jumps: DataFrame) -> DataFrame:
+    return found.join(jumps, ["_s", "_row"]).select("_s", F.col("_to").alias("_row"), F.col("_to_at").alias("_at"))
+
+
+def doubled(jumps: DataFrame) -> DataFrame:
+    """Two jumps as one; what ends before the second is gone."""
+    after = jumps.select("_s", F.col("_row").alias("_to"), F.col("_to").alias("_next"), F.col("_to_at").alias("_next_at"))
+    return jumps.select("_s", "_row", "_to").join(after, ["_s", "_to"]).select("_s", "_row", F.col("_next").alias("_to"), F.col("_next_at").alias("_to_at"))
+
+
 def tumbling_windows(rows: DataFrame, ts: str = "event_ts", seconds: int = 300) -> DataFrame:
     """The scale mode: window_start by the clock, a narrow operation."""
     return rows.withColumn("window_start", F.timestamp_seconds(F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds) * seconds))

@@ -444,6 +444,20 @@ def anchored_windows(spark, sf_dir):
     return made.groupBy("template_id", F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
 
 
+FULL = 7
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, e AS (SELECT template_id, event_ts, row_number() OVER (PARTITION BY template_id ORDER BY event_ts, event_id) AS r FROM signal),
+ n AS (SELECT template_id, r, event_ts, least(r + {FULL}, c + 1) AS next FROM (
+   SELECT a.template_id, a.r, a.event_ts, count(b.r) AS c FROM e a JOIN e b ON b.template_id = a.template_id AND b.event_ts <= a.event_ts + INTERVAL {WINDOW_S} SECOND GROUP BY a.template_id, a.r, a.event_ts)),
+ w AS (SELECT template_id, r, event_ts, next FROM n WHERE r = 1 UNION ALL SELECT n.template_id, n.r, n.event_ts, n.next FROM w JOIN n ON n.template_id = w.template_id AND n.r = w.next)
+ SELECT template_id, event_ts AS window_start, CAST(sum(least(next, last + 1) - r) AS BIGINT) AS n FROM w JOIN (SELECT template_id, max(r) AS last FROM e GROUP BY template_id) USING (template_id) GROUP BY template_id, event_ts""")
+def anchored_windows_full(spark, sf_dir):
+    """Windows that fill up before their time is over."""
+    made = windows.anchored_windows(signals(spark, sf_dir), "template_id", "event_ts", "event_id", WINDOW_S, FULL)
+    return made.groupBy("template_id", F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {SIGNAL} SELECT template_id, make_timestamp(CAST(floor(epoch(event_ts) / {WINDOW_S}) * {WINDOW_S} * 1000000 AS BIGINT)) AS window_start, count(*) AS n FROM signal GROUP BY 1, 2")
 def tumbling_windows(spark, sf_dir):
     return windows.tumbling_windows(signals(spark, sf_dir), "event_ts", WINDOW_S).groupBy("template_id", F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.count(F.lit(1)).alias("n"))

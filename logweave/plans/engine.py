@@ -130,11 +130,11 @@ class Engine:
         return self.scratch.keep(parsing.parse(self.stage("events"), ingest=self.ingest, lenient=self.settings.lenient_timestamps), "canonical")
 
     def _enriched(self) -> DataFrame:
-        return context.enrich(self.stage("canonical"))
+        return self.scratch.keep(context.enrich(self.stage("canonical")), "enriched")
 
     def _signal(self) -> DataFrame:
         events = self.stage("enriched")
-        mined = templates.mine(events, **self._policy(events))
+        mined = self.scratch.keep(templates.mine(events, **self._policy(events), scratch=self.scratch), "mined")
         counted = windows.trailing_count(mined, "template_id", "event_ts", self.settings.count_seconds)
         return counted.withColumn("entropy", F.round(signal.entropy(F.col("message")), 2)).withColumn("confidence", F.round("confidence", 2))
 
@@ -149,7 +149,7 @@ class Engine:
         if self.settings.tumbling:
             made = windows.tumbling_windows(rows, "event_ts", self.settings.window_seconds)
         else:
-            made = windows.anchored_windows(rows, "stream", "event_ts", "event_id", self.settings.window_seconds, self.settings.window_events)
+            made = windows.anchored_windows(rows, "stream", "event_ts", "event_id", self.settings.window_seconds, self.settings.window_events, self.scratch)
         keyed = windows.state_keys(made.drop("stream"))
         keys = [f"k_{k}" for k in windows.KEY]
         return self.scratch.keep(windows.overflow(keyed, keys, most=self.settings.states), "windowed")

@@ -81,17 +81,50 @@ def test_trailing_count_against_brute_force(spark):
     assert got == {i: sum(t == u and 0 <= (s - x).total_seconds() <= 60 for _, u, x in rows) for i, t, s in rows}
 
 
+def folded(rows, most, seconds=300):
+    """(id, source, time) -> window starts, by a fold over the rows of each source."""
+    out, state = {}, {}
+    for i, s, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        start, held = state.get(s, (None, 0))
+        if start is None or t > start + dt.timedelta(seconds=seconds) or held >= most:
+            start, held = t, 0
+        state[s] = start, held + 1
+        out[i] = start
+    return out
+
+
+ROWS = "event_id long, source string, event_ts timestamp"
+
+
 @pytest.mark.parametrize("span", [40, 5000, 90_000])
 def test_anchored_windows_against_fold(spark, span):
     random.seed(4)
-    rows = [(k, "s", at(random.randrange(span))) for k in range(200)]
-    got = {r["event_id"]: r["window_start"] for r in windows.anchored_windows(spark.createDataFrame(rows, "event_id long, source string, event_ts timestamp"), most=5).collect()}
-    start, held = None, 0
-    for i, _, t in sorted(rows, key=lambda r: (r[2], r[0])):
-        if start is None or t > start + dt.timedelta(seconds=300) or held >= 5:
-            start, held = t, 0
-        held += 1
-        assert got[i] == start
+    rows = [(k, random.choice(["s", "s", "t", None]), at(random.randrange(span))) for k in range(200)]
+    for most in (1, 5, 1000):
+        got = {r["event_id"]: r["window_start"] for r in windows.anchored_windows(spark.createDataFrame(rows, ROWS), most=most).collect()}
+        assert got == folded(rows, most)
+
+
+def test_anchored_windows_at_size(spark):
+    """A source that never pauses, with bursts: no group of it is folded, and no plan holds Python."""
+    random.seed(8)
+    times = [random.choice([random.randrange(400_000), 5000 + random.randrange(40), 77]) for _ in range(100_000)]
+    rows = [(k, "s", at(t)) for k, t in enumerate(times)]
+    df = spark.createDataFrame(rows, ROWS)
+    for most in (1, 5, 20_000):
+        made = windows.anchored_windows(df, most=most)
+        assert "Python" not in made._jdf.queryExecution().toString() and "Pandas" not in made._jdf.queryExecution().toString()
+        want = folded(rows, most)
+        assert all(want[r["event_id"]] == r["window_start"] for r in made.collect())
+    assert windows.anchored_windows(df.limit(0)).count() == 0
+
+
+def test_trailing_count_in_order_and_without_key(spark):
+    random.seed(5)
+    rows = [(k, random.choice(["a", None]), at(random.randrange(90))) for k in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, template_id string, event_ts timestamp")
+    got = {r["event_id"]: r["window_count_1m"] for r in windows.trailing_count(df, order="event_id").collect()}
+    assert got == {i: sum(t == u and 0 <= (s - x).total_seconds() <= 60 and (x < s or j <= i) for j, u, x in rows) for i, t, s in rows}
 
 
 def test_overflow_cap(spark):
