@@ -113,29 +113,60 @@ def anchors(incidents: DataFrame, roots: DataFrame, graph_edges: DataFrame, sele
 
 INSTRUCTIONS = (
     "distinguish_root_cause_from_symptoms", "use_event_ids_as_evidence", "do_not_treat_risk_as_ground_truth", "do_not_claim_causality_without_temporal_and_dependency_evidence", "no_edges_means_no_confirmed_root_cause",
-    "prefer_upstream_nodes_with_downstream_effects", "report_evidence_diversity",
+    "prefer_upstream_nodes_with_downstream_effects", "do_not_override_numeric_graph_confidence", "report_evidence_diversity",
 )
+# Names in the document.
+CONFIDENCE_SOURCE, POLICY = "causal_graph.authoritative_confidence", "root_first_plus_top_causal_edges_then_triage_support"
+EVENT_FIELDS = ("event_id", "event_time", "event_ts", "severity", "service", "service_family", "component", "exception_type", "error_family", "message", "risk_score", "occurrences_1m")
+
+
+def rca_incident(compacted: DataFrame) -> Column:
+    """A compacted incident as the document has it: counts as an object, at most four names of a kind, three ids, and its riskiest event."""
+    counts = lambda c: F.map_from_entries(F.transform(c, lambda e: F.struct(e["key"], e["n"]))).alias(c)
+    head = lambda c, n: F.slice(c, 1, n).alias(c)
+    event = F.col("representative_event")
+    have = [f.name for f in compacted.schema["representative_event"].dataType.fields if f.name in EVENT_FIELDS]
+    events = F.when(event.isNull(), F.array()).otherwise(F.array(F.struct(*[event[f].alias("event_time" if f == "event_ts" else f) for f in have])))
+    return F.struct(
+        "incident_id", "time_range", head("services", 4), head("service_families", 4), "event_count", "max_risk_score", counts("error_family_counts"), counts("severity_counts"),
+        head("topology_dependencies", 4), head("topology_upstreams", 4), head("topology_downstreams", 4), head("evidence_ids", 3), "evidence_count", events.alias("events"),
+    )
+
 
+def rca_payload(anchor_rows: DataFrame, compacted: DataFrame, graph_edges: DataFrame, roots: DataFrame, graph_summary: DataFrame, scores: DataFrame | None = None, answer: DataFrame | None = None) -> DataFrame:
+    """One row with one JSON document: instructions, triage, the graph with the best edges at the anchors, and the anchors' incidents in the anchors' order.
 
-def rca_payload(anchor_rows: DataFrame, compacted: DataFrame, graph_edges: DataFrame, roots: DataFrame, graph_summary: DataFrame) -> DataFrame:
-    """One row with one JSON document: instructions, graph with the best edges at the anchors, and the anchors' incidents."""
+    scores: (incident_id, root_cause_score) of all nodes; the five best stand for the graph, the anchors among them are given. answer: (incident_id, risk_score, reason, overall_priority) of a triage judge; without it the document's triage is null."""
     top = graph_edges.orderBy(F.col("score").desc(), "source", "target").limit(5)
     ids = anchor_rows.select("incident_id")
     near = top.join(ids.withColumnRenamed("incident_id", "source"), "source", "left_semi").unionByName(top.join(ids.withColumnRenamed("incident_id", "target"), "target", "left_semi")).dropDuplicates(["edge_id"])
-    d = dimensions(F.col("evidence"), rca=True)
-    edge = F.struct(F.round("score", 3).alias("score"), "source", "target", "validation_source", F.slice("evidence", 1, 6).alias("evidence"), d.alias("evidence_dimensions"), F.size(d).alias("independent_evidence_count"))
-    gathered = near.agg(F.sort_array(F.collect_list(edge), asc=False).alias("edges"))
-    incidents = compacted.join(ids, "incident_id", "left_semi").agg(F.sort_array(F.collect_list(F.to_json(F.struct(*compacted.columns)))).alias("incidents"))  # at most 8
+    reasons = F.slice("evidence", 1, 6)
+    d = dimensions(reasons, rca=True)
+    said = F.col("judge_confidence") if "judge_confidence" in graph_edges.columns else F.lit(None).cast("double")
+    edge = F.struct("source", "target", F.round("score", 3).alias("score"), "validation_source", said.alias("judge_confidence"), reasons.alias("evidence"), d.alias("evidence_dimensions"), F.size(d).alias("independent_evidence_count"))
+    ordered = lambda entries: F.transform(F.array_sort(F.collect_list(entries)), lambda e: e["v"])
+    gathered = near.agg(ordered(F.struct((-F.col("score")).alias("s"), "source", "target", edge.alias("v"))).alias("edges"))
+    incidents = compacted.join(anchor_rows, "incident_id").agg(ordered(F.struct("priority", "incident_id", F.to_json(rca_incident(compacted)).alias("v"))).alias("incidents"))  # at most 8
     root_ids = roots.agg(F.sort_array(F.collect_list("incident_id")).alias("roots"))  # at most 3
-    anchor_ids = anchor_rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "incident_id"))), lambda a: a["incident_id"]).alias("anchors"))
-    one = graph_summary.crossJoin(gathered).crossJoin(incidents).crossJoin(root_ids).crossJoin(anchor_ids)  # a row each
+    anchor_ids = anchor_rows.agg(ordered(F.struct("priority", F.col("incident_id").alias("v"))).alias("anchors"))
+    best = roots if scores is None else scores.orderBy(F.col("root_cause_score").desc(), "incident_id").limit(5)
+    view = best.join(ids, "incident_id", "left_semi").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("incident_id", F.round("root_cause_score", 3).alias("s"))))).alias("scores"))
+    one = graph_summary.crossJoin(gathered).crossJoin(incidents).crossJoin(root_ids).crossJoin(anchor_ids).crossJoin(view)  # a row each
+    said = F.lit(None).cast("variant")
+    if answer is not None:
+        items = answer.join(ids, "incident_id", "left_semi").orderBy("incident_id").limit(4)
+        chosen = items.agg(F.array_sort(F.collect_list(F.struct("incident_id", "risk_score", F.substring(F.coalesce("reason", F.lit("")), 1, 180).alias("reason")))).alias("picked"), F.substring(F.coalesce(F.max("overall_priority"), F.lit("")), 1, 220).alias("priority"))
+        one, said = one.crossJoin(chosen), F.parse_json(F.to_json(F.struct(F.col("picked").alias("selected_incidents"), F.col("priority").alias("overall_priority"))))  # a row
     document = F.struct(
-        F.lit("root_cause_analysis").alias("task"), F.struct(*[F.lit(True).alias(k) for k in INSTRUCTIONS]).alias("instructions"),
-        F.struct(F.col("roots").alias("root_cause_candidates"), "graph_confidence", F.col("graph_confidence").alias("authoritative_confidence"), "edge_count", "root_cause_status", "edges").alias("causal_graph"),
-        F.col("incidents").alias("incident_candidates"), F.struct(F.col("anchors").alias("anchor_incidents"), F.col("roots").alias("root_candidates"), F.lit("roots, best edges, triage").alias("selection_policy")).alias("context_selection"),
-        F.struct(F.size("anchors").alias("max_incidents"), F.size("edges").alias("max_graph_edges"), F.lit(5000).alias("target_estimated_input_tokens"), F.lit(1).alias("max_events_per_incident"), F.lit(220).alias("message_max_chars")).alias("context_budget"),
+        F.lit("root_cause_analysis").alias("task"), F.struct(*[F.lit(True).alias(k) for k in INSTRUCTIONS], F.lit(CONFIDENCE_SOURCE).alias("numeric_confidence_source")).alias("instructions"), said.alias("triage"),
+        F.struct(F.slice("roots", 1, 3).alias("root_cause_candidates"), F.col("scores").alias("root_cause_scores"), "graph_confidence", F.col("graph_confidence").alias("authoritative_confidence"), "edge_count", "root_cause_status", "edges").alias("causal_graph"),
+        F.transform("incidents", F.parse_json).alias("incident_candidates"), F.struct(F.col("anchors").alias("anchor_incidents"), F.slice("roots", 1, 3).alias("root_candidates"), F.lit(POLICY).alias("selection_policy")).alias("context_selection"),
+        F.struct(
+            F.size("incidents").alias("max_incidents"), F.size("edges").alias("max_graph_edges"), F.lit(4).alias("max_triage_items"), F.lit(5000).alias("target_estimated_input_tokens"), F.lit(1).alias("max_events_per_incident"),
+            F.lit(220).alias("message_max_chars"), F.lit(False).alias("raw_log_blocks_included"), F.lit(False).alias("duplicate_graph_node_payload"),
+        ).alias("context_budget"),
     )
-    return one.select(F.to_json(document).alias("payload")).withColumn("estimated_tokens", tokens_of(F.col("payload")))
+    return one.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("payload")).withColumn("estimated_tokens", tokens_of(F.col("payload")))
 
 
 def sections(report: str) -> list[tuple[str, str]]:

@@ -197,7 +197,7 @@ class Engine:
     def _rca(self) -> DataFrame:
         roots = causal.root_candidates(self.stage("roles"))
         anchors = triage.anchors(self.stage("recent"), roots, self.stage("edges"), self.stage("triage"))
-        return triage.rca_payload(anchors, self.stage("compacted"), self.stage("edges"), roots, causal.summary(self.stage("nodes"), self.stage("edges")))
+        return triage.rca_payload(anchors, self.stage("compacted"), self.stage("edges"), roots, causal.summary(self.stage("nodes"), self.stage("edges")), self.stage("roles"))
 
 
 def compact_events(engine: Engine) -> DataFrame:
