@@ -117,6 +117,48 @@ def samples(lines: DataFrame, header: str = C.HEADER, failed: int = 30, positive
     return both.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("file", "line_no")))
 
 
+DIGITS, LETTERS = "9", "A"  # in a shape: a run of digits, a run of letters
+
+
+def shape(text: Column) -> Column:
+    """A text with each run of digits as 9 and each run of letters as A."""
+    return F.regexp_replace(F.regexp_replace(text, r"\p{L}+", LETTERS), r"\d+", DIGITS)
+
+
+def pattern_of(shapes: list[str]) -> str:
+    """A header pattern that takes lines that begin with one of the shapes."""
+    one = lambda s: "".join({DIGITS: r"\d+", LETTERS: r"[A-Za-z]+", " ": r"\s+"}.get(c) or re.escape(c) for c in s)
+    return "^(?:" + "|".join(map(one, shapes)) + ")"
+
+
+def induce(lines: DataFrame, words: int = 4, most: int = 6, share: float = 0.02, stands: float = 0.9) -> list[str]:
+    """Header patterns from the shapes of lines, best first; for formats that the built-in one does not know and without a model.
+
+    A line that begins without white space has a shape for each number of its first words, up to `words`. A shape may open an event if it holds a time: at least three runs of digits, or an epoch of ten digits or more. Of the
+    shapes that begin alike, the longest counts that still holds `stands` of the lines of the shortest. The first candidate takes all shapes with a `share` of such lines (`most` at most), the second
+    the most frequent one alone. Shapes are counted in partial sums; only those with a share come to the driver.
+    """
+    head = F.regexp_replace(F.substring("line", 1, 200), r"\s+", " ")
+    flat = lines.where(~F.col("line").rlike(r"^\s") & (strip(F.col("line")) != "")).select(head.alias("h"), F.filter(F.split(head, " "), lambda w: w != "").alias("w"))
+    starts = flat.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("w"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", 1, n), " ").alias("p")))).alias("s"))
+    timed = F.col("s.p").rlike(r"(?:\d+\D+){2}\d+|\d{10}")
+    counted = starts.where(timed).groupBy(F.col("s.n").alias("n"), shape(F.col("s.p")).alias("shape")).agg(F.count(F.lit(1)).alias("k"))
+    total = starts.where(timed).agg(F.max("s.n")).first()[0]
+    if total is None:
+        return []
+    all_timed = flat.where(F.array_join(F.slice("w", 1, words), " ").rlike(r"(?:\d+\D+){2}\d+|\d{10}")).count()
+    frequent = sorted(((r["n"], r["shape"], r["k"]) for r in counted.where(F.col("k") >= share * all_timed).collect()), key=lambda r: (r[0], -r[2], r[1]))  # words / share at most
+    best: dict[str, tuple[str, int, int]] = {}  # by the shortest shape: (longest that stands, its lines, lines of the shortest)
+    for _, text, k in frequent:
+        root = next((r for r in best if text.startswith(r)), None)
+        if root is None:
+            best[text] = (text, k, k)
+        elif k >= stands * best[root][2]:
+            best[root] = (text, k, best[root][2])
+    chosen = [s for s, _, _ in sorted(best.values(), key=lambda v: (-v[1], v[0]))][:most]
+    return list(dict.fromkeys([pattern_of(chosen), pattern_of(chosen[:1])])) if chosen else []
+
+
 @dataclass
 class Segmentation:
     """What the controller settled on."""
@@ -129,10 +171,11 @@ class Segmentation:
 
 def settle(
     lines: DataFrame, candidates: list[str] = (), strict: bool = True, rounds: int = 3, parser: Callable[[Column], Column] | None = None,
-    refine: Callable[[dict, DataFrame], str | None] | None = None, critic: Callable[[list[dict]], str | None] | None = None,
+    refine: Callable[[dict, DataFrame], str | None] | None = None, critic: Callable[[list[dict]], str | None] | None = None, discover: bool = True,
 ) -> Segmentation:
     """The header pattern that passes its checks: candidates in turn, then what `refine` makes of the report and samples of the last one, `rounds` patterns in all; then
-    what `critic` makes of all attempts; then the built-in pattern. strict refuses one that fails its checks."""
+    what `critic` makes of all attempts; then the built-in pattern. strict refuses one that fails its checks. discover: lines of which the built-in pattern takes none get
+    the candidates of `induce`."""
     tried: list[dict] = []
 
     def fits(origin: str, pattern: str) -> bool:
@@ -142,6 +185,8 @@ def settle(
         return report["accepted"]
 
     waiting = list(candidates)[:rounds]
+    if discover and not waiting and not lines.where(F.col("line").rlike(C.HEADER)).limit(1).count():
+        waiting = candidates = induce(lines)[:rounds]
     for _ in range(rounds):
         if not waiting and refine is not None and tried:
             made = refine(tried[-1], samples(lines, tried[-1]["pattern"] if tried[-1]["reason"] == "ok" else C.HEADER))
