@@ -92,23 +92,15 @@ def opened(groups: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     ends = nodes.where(~F.col("_reset") | (F.col("_row") > F.col("_group"))).select("_s", F.col("_row").alias("_to"), F.col("_at").alias("_to_at"))
     jumps = scratch.keep(nodes.select("_s", "_row", F.least("_reach", F.col("_row") + most).alias("_to")).join(ends, ["_s", "_to"]), "jumps")
     found = groups.where("_reset").select("_s", "_row", "_at")
-    while True:  # each round goes four times as far
-        twice = doubled(jumps)
-        once = jumped(found, jumps)
-        new = scratch.keep(once.unionByName(jumped(found, twice)).unionByName(jumped(once, twice)), "new")
+    while True:  # what the jumps reach, and jumps twice as far, are one table
+        after = jumps.select("_s", F.col("_row").alias("_to"), F.col("_to").alias("_next"), F.col("_to_at").alias("_next_at"))
+        twice = jumps.select("_s", "_row", "_to").join(after, ["_s", "_to"]).select("_s", "_row", F.col("_next").alias("_to"), F.col("_next_at").alias("_to_at"))
+        reached = found.join(jumps, ["_s", "_row"]).select("_s", F.lit(None).cast("long").alias("_row"), "_to", "_to_at")
+        both = scratch.keep(twice.unionByName(reached), "jumps")
+        new, jumps = both.where("_row is null").select("_s", F.col("_to").alias("_row"), F.col("_to_at").alias("_at")), both.where("_row is not null")
         if new.isEmpty():
             return found
-        found, jumps = found.unionByName(new), scratch.keep(doubled(twice), "jumps")
-
-
-def jumped(found: DataFrame, jumps: DataFrame) -> DataFrame:
-    return found.join(jumps, ["_s", "_row"]).select("_s", F.col("_to").alias("_row"), F.col("_to_at").alias("_at"))
-
-
-def doubled(jumps: DataFrame) -> DataFrame:
-    """Two jumps as one; what ends before the second is gone."""
-    after = jumps.select("_s", F.col("_row").alias("_to"), F.col("_to").alias("_next"), F.col("_to_at").alias("_next_at"))
-    return jumps.select("_s", "_row", "_to").join(after, ["_s", "_to"]).select("_s", "_row", F.col("_next").alias("_to"), F.col("_next_at").alias("_to_at"))
+        found = found.unionByName(new)
 
 
 def tumbling_windows(rows: DataFrame, ts: str = "event_ts", seconds: int = 300) -> DataFrame:
