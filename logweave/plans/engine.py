@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import compact, context, parsing, scoring, signal
@@ -56,6 +57,7 @@ class Engine:
         self.tuned = {"calls": 0, "cache_hit": False}
         self.scratch = Scratch(spark, "engine")
         self._made: dict[str, DataFrame] = {"lines": lines}
+        self._seen: dict[str, Observation] = {}
         self.pairs: DataFrame | None = None
 
     @classmethod
@@ -79,23 +81,21 @@ class Engine:
         found = results.get(fingerprint, key)
         return results.put(fingerprint, key, self.stage(name)) if found is None else found
 
+    def _kept(self, rows: DataFrame, name: str, **counts: Column) -> DataFrame:
+        """Write a stage; what is counted is observed in the pass that writes it."""
+        self._seen[name] = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+        return self.scratch.keep(rows.observe(self._seen[name], *[c.alias(k) for k, c in counts.items()]), name)
+
     def counters(self) -> DataFrame:
-        """One row: how many rows each stage passed on, the fullest window and its states, and what was coarsened or tuned."""
-        windowed, states, members = self.stage("windowed"), self.stage("states"), self.stage("members")
-        count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
-        parts = [
-            count(self.stage("events"), "raw_blocks"), count(self.stage("canonical"), "parsed"),
-            self.stage("scored").agg(F.count(F.lit(1)).alias("signaled"), F.count_if(~F.col("is_actionable")).alias("filtered_out"), F.count_if("is_actionable").alias("actionable")),
-            windowed.groupBy("window_start").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("windows_finalized"), F.coalesce(F.max("n"), F.lit(0)).alias("max_active_window_events")),
-            count(self.stage("incidents"), "persisted_incidents"),
-            states.groupBy("window_start").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_active_incident_states")),
-            states.agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("stream_aggregated_events")), count(members, "stream_represented_events"),
-            windowed.agg(F.count_if(F.col("state_key") == "__overflow__").alias("stream_coarsened_events")),
-        ]
-        row = parts[0]
-        for part in parts[1:]:
-            row = row.crossJoin(part)  # a row each
-        return row.withColumns({"drain_tuning_calls": F.lit(self.tuned["calls"]), "drain_tuning_cache_hit": F.lit(self.tuned["cache_hit"])})
+        """One row: how many rows each stage passed on, the fullest window and its states, and what was coarsened or tuned.
+
+        Rows are counted while the stages are written. Only what is counted by window takes a job of its own, over the table of states."""
+        for name in ("canonical", "scored", "windowed", "states", "members", "incidents"):
+            self.stage(name)
+        seen = {k: v for observed in self._seen.values() for k, v in observed.get.items()}
+        by_window = self.stage("states").groupBy("window_start").agg(F.sum("event_count").alias("n"), F.count(F.lit(1)).alias("k"))
+        rest = by_window.agg(F.count(F.lit(1)).alias("windows_finalized"), F.coalesce(F.max("n"), F.lit(0)).alias("max_active_window_events"), F.coalesce(F.max("k"), F.lit(0)).alias("max_active_incident_states"), F.coalesce(F.sum("n"), F.lit(0)).alias("stream_aggregated_events"))
+        return rest.withColumns({k: F.lit(v or 0).cast("long") for k, v in seen.items()}).withColumns({"drain_tuning_calls": F.lit(self.tuned["calls"]), "drain_tuning_cache_hit": F.lit(self.tuned["cache_hit"])})
 
     def summary(self) -> DataFrame:
         """One row: what the incidents stand for."""
@@ -127,7 +127,9 @@ class Engine:
         return policy
 
     def _canonical(self) -> DataFrame:
-        return self.scratch.keep(parsing.parse(self.stage("events"), ingest=self.ingest, lenient=self.settings.lenient_timestamps), "canonical")
+        self._seen["events"] = Observation(f"events-{uuid.uuid4().hex[:8]}")
+        events = self.stage("events").observe(self._seen["events"], F.count(F.lit(1)).alias("raw_blocks"))
+        return self._kept(parsing.parse(events, ingest=self.ingest, lenient=self.settings.lenient_timestamps), "canonical", parsed=F.count(F.lit(1)))
 
     def _enriched(self) -> DataFrame:
         return self.scratch.keep(context.enrich(self.stage("canonical")), "enriched")
@@ -139,7 +141,8 @@ class Engine:
         return counted.withColumn("entropy", F.round(signal.entropy(F.col("message")), 2)).withColumn("confidence", F.round("confidence", 2))
 
     def _scored(self) -> DataFrame:
-        return self.scratch.keep(scoring.score(self.stage("signal"), self.settings.threshold), "scored")
+        rows = scoring.score(self.stage("signal"), self.settings.threshold)
+        return self._kept(rows, "scored", signaled=F.count(F.lit(1)), filtered_out=F.count_if(~F.col("is_actionable")), actionable=F.count_if("is_actionable"))
 
     def _actionable(self) -> DataFrame:
         return scoring.actionable(self.stage("scored"))
@@ -152,10 +155,10 @@ class Engine:
             made = windows.anchored_windows(rows, "stream", "event_ts", "event_id", self.settings.window_seconds, self.settings.window_events, self.scratch)
         keyed = windows.state_keys(made.drop("stream"))
         keys = [f"k_{k}" for k in windows.KEY]
-        return self.scratch.keep(windows.overflow(keyed, keys, most=self.settings.states), "windowed")
+        return self._kept(windows.overflow(keyed, keys, most=self.settings.states), "windowed", stream_coarsened_events=F.count_if(F.col("state_key") == "__overflow__"))
 
     def _states(self) -> DataFrame:
-        return windows.states(self.stage("windowed"), ["window_start", "state_key"])
+        return self.scratch.keep(windows.states(self.stage("windowed"), ["window_start", "state_key"]), "states")
 
     def _members(self) -> DataFrame:
         """Representatives of all states with their incident; weight is the number of events that the row stands for."""
@@ -164,12 +167,12 @@ class Engine:
         sized = reps.join(self.stage("states").select(*by, "event_count"), by)
         events = self.scratch.keep(sized.withColumn("weight", F.when(F.col("rep") == 1, F.col("event_count") - (F.least(F.col("event_count"), F.lit(self.settings.representatives)) - 1)).otherwise(F.lit(1))).drop("event_count"), "reps")
         found, self.pairs = correlate.incident_members(events, "window_start", self.settings.window_seconds, self.judge, self.scratch)
-        return self.scratch.keep(correlate.attribute_services(events.join(found, "event_id")), "members")
+        return self._kept(correlate.attribute_services(events.join(found, "event_id")), "members", stream_represented_events=F.count(F.lit(1)))
 
     def _incidents(self) -> DataFrame:
         members = self.stage("members")
         rows = correlate.rollup(members, self.pairs, weight="weight").join(correlate.explicit_trace(members), "incident").join(correlate.representative_events(members, self.settings.incident_events), "incident", "left")
-        return self.scratch.keep(rows, "incidents")
+        return self._kept(rows, "incidents", persisted_incidents=F.count(F.lit(1)))
 
     def _recent(self) -> DataFrame:
         return self.stage("incidents").orderBy(F.col("start_ts").desc(), F.col("incident_id").desc()).limit(self.settings.graph_incidents)
