@@ -30,8 +30,6 @@ SEGMENT, FAN = 256, 8  # FAN: bits
 NEVER = 1 << 50
 STATES = "tsua"  # nothing yet, system, user, assistant
 REROLE, DELETE, INSERT, UNFINISHED = 1, 2, 5, 5
-CELL = "struct<cost:bigint,audit:string>"
-PATH = "struct<cost:bigint,audit:string,path:string>"
 #: Fixed value: roles that may follow one another, by their initials.
 LEGAL = ("su", "ua", "au")
 
@@ -91,14 +89,9 @@ def segments(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return found.withColumn("o", F.shiftleft(F.col("part").cast("long"), 32) + F.col("piece"))
 
 
-def cell(cost: Column, audit: Column) -> Column:
-    """A cost and an audit; what can't be is always the same."""
-    never = cost >= NEVER
-    return F.struct(F.when(never, F.lit(NEVER)).otherwise(cost).cast("long").alias("cost"), F.when(never, F.lit("")).otherwise(audit).alias("audit"))
-
-
 def then(x: Column, cost: Column | int, letter: Column | str) -> Column:
-    return cell(x["cost"] + cost, F.concat(x["audit"], F.lit(letter) if isinstance(letter, str) else letter))
+    """A cell after one more edit; a cost never goes beyond NEVER."""
+    return F.struct(F.least(F.lit(NEVER), x["cost"] + cost).cast("long").alias("cost"), F.concat(x["audit"], F.lit(letter) if isinstance(letter, str) else letter).alias("audit"))
 
 
 def bound(value: Column, body) -> Column:
@@ -118,19 +111,19 @@ def inserted(x: Column) -> Column:
 
 def turned(x: Column, turn: Column) -> Column:
     """The four cells after a turn (with its copies, which all go)."""
-    extra = F.when(turn["truncated"], F.lit(UNFINISHED)).otherwise(F.lit(0))
-    more = turn["n"].cast("int") - 1
-    stays = ~turn["must"]
+    facts = F.struct(
+        F.when(turn["must"], F.lit(NEVER)).otherwise(F.when(turn["truncated"], F.lit(UNFINISHED)).otherwise(F.lit(0))).cast("long").alias("stay"),
+        (turn["initial"] == "s").alias("s"), (turn["initial"] == "u").alias("u"), (turn["initial"] == "a").alias("a"), (turn["n"] - 1).cast("int").alias("more"),
+    )
 
-    def step(y: Column) -> Column:
-        before = F.least(y["t"], y["s"], y["a"])
-        may = lambda x, name: then(x, F.when(stays, F.when(turn["initial"] == name, F.lit(0)).otherwise(F.lit(REROLE)) + extra).otherwise(F.lit(NEVER)), F.when(turn["initial"] == name, F.lit("K")).otherwise(F.lit("R")))
-        system = then(y["t"], F.when(stays & (turn["initial"] == "s"), extra).otherwise(F.lit(NEVER)), "K")
-        gone = {s: then(y[s], DELETE, "D") for s in STATES}
-        new = {"t": gone["t"], "s": F.least(gone["s"], system), "u": F.least(gone["u"], may(before, "u")), "a": F.least(gone["a"], may(y["u"], "a"))}
-        return F.struct(*[then(new[s], DELETE * more, F.repeat(F.lit("D"), more)).alias(s) for s in STATES])
+    def step(y: Column, before: Column, f: Column) -> Column:
+        may = lambda x, name: then(x, f["stay"] + F.when(f[name], F.lit(0)).otherwise(F.lit(REROLE)), F.when(f[name], F.lit("K")).otherwise(F.lit("R")))
+        system = then(y["t"], f["stay"] + F.when(f["s"], F.lit(0)).otherwise(F.lit(NEVER)), "K")
+        gone = lambda s: then(y[s], DELETE, "D")
+        new = F.struct(gone("t").alias("t"), F.least(gone("s"), system).alias("s"), F.least(gone("u"), may(before, "u")).alias("u"), F.least(gone("a"), may(y["u"], "a")).alias("a"))
+        return bound(new, lambda z: F.when(f["more"] == 0, z).otherwise(F.struct(*[then(z[s], DELETE * f["more"], F.repeat(F.lit("D"), f["more"])).alias(s) for s in STATES])))
 
-    return bound(inserted(x), step)
+    return bound(inserted(x), lambda y: bound(F.struct(y.alias("y"), F.least(y["t"], y["s"], y["a"]).alias("b"), facts.alias("f")), lambda w: step(w["y"], w["b"], w["f"])))
 
 
 def table_of(turns: Column) -> Column:
@@ -156,9 +149,7 @@ def joined(tables: Column) -> Column:
             ways = []
             for k, s in enumerate(STATES):
                 y = m[k][STATES[j]]
-                cost = x[s]["cost"] + y["cost"]
-                c = cell(cost, F.concat(x[s]["audit"], y["audit"]))
-                ways.append(F.struct(c["cost"].alias("cost"), c["audit"].alias("audit"), F.when(cost >= NEVER, F.lit("")).otherwise(F.concat(x[s]["path"], F.lit(str(j)))).alias("path")))
+                ways.append(F.struct(F.least(F.lit(NEVER), x[s]["cost"] + y["cost"]).cast("long").alias("cost"), F.concat(x[s]["audit"], y["audit"]).alias("audit"), F.concat(x[s]["path"], F.lit(str(j))).alias("path")))
             return F.least(*ways)
 
         return F.struct(*[to(j).alias(s) for j, s in enumerate(STATES)])
