@@ -78,29 +78,31 @@ def mine(events: DataFrame, similarity: float = 0.5, depth: int = 4, most: int =
 
 
 def trailing_count(rows: DataFrame, key: str = "template_id", seconds: int = 60) -> DataFrame:
-    """(key, event_id, event_ts, window_count_1m): rows of the key in the `seconds` before, of those that have arrived. State keeps the times of that span; a
-    key without rows for `seconds` of event time after the watermark is dropped."""
+    """(key, event_id, event_ts, window_count_1m): rows of the key in the `seconds` before, of those that have arrived. State keeps the different times of that span with their
+    numbers of rows, so at times of whole seconds at most `seconds` + 1 of them, however many rows a key has; a key without rows for `seconds` of event time after the watermark is dropped."""
     schema = f"{key} string, event_id string, event_ts timestamp, window_count_1m long"
 
     def run(name, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = np.array(state.get[0] if state.exists else [], np.int64)  # in order
+        times, counts = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [])))  # times in order, and how many rows each has
         span = seconds * 1_000_000
         for pdf in frames:
             pdf = pdf.sort_values(["event_ts", "event_id"])
             new = (pdf["event_ts"].astype("int64") // (1000 if pdf["event_ts"].dtype == "datetime64[ns]" else 1)).to_numpy()
-            before = np.searchsorted(held, new, "right") - np.searchsorted(held, new - span, "left")
-            counts = before + np.arange(1, len(new) + 1) - np.searchsorted(new, new - span, "left")
-            held = np.sort(np.concatenate([held, new]), kind="stable")
-            held = held[np.searchsorted(held, held[-1] - span, "left") :]
-            yield pd.DataFrame({key: name[0], "event_id": pdf["event_id"], "event_ts": pdf["event_ts"], "window_count_1m": counts})
-        held = held.tolist()
-        state.update((held,))
-        state.setTimeoutTimestamp(max(max(held, default=0) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return _stateful(rows.select(key, "event_id", "event_ts"), key, schema, "held array<long>", run, GroupStateTimeout.EventTimeTimeout)
+            sums = np.concatenate([[0], np.cumsum(counts)])
+            before = sums[np.searchsorted(times, new, "right")] - sums[np.searchsorted(times, new - span, "left")]
+            found = before + np.arange(1, len(new) + 1) - np.searchsorted(new, new - span, "left")
+            merged, place = np.unique(np.concatenate([times, new]), return_inverse=True)
+            counts = np.bincount(place, weights=np.concatenate([counts, np.ones(len(new))]), minlength=len(merged)).astype(np.int64)
+            keep = np.searchsorted(merged, merged[-1] - span, "left")
+            times, counts = merged[keep:], counts[keep:]
+            yield pd.DataFrame({key: name[0], "event_id": pdf["event_id"], "event_ts": pdf["event_ts"], "window_count_1m": found})
+        state.update((times.tolist(), counts.tolist()))
+        state.setTimeoutTimestamp(max((int(times[-1]) if len(times) else 0) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return _stateful(rows.select(key, "event_id", "event_ts"), key, schema, "times array<long>, counts array<long>", run, GroupStateTimeout.EventTimeTimeout)
 
 
 def anchored_windows(rows: DataFrame, key: str = "source", seconds: int = 300, most: int = 20_000) -> DataFrame:
