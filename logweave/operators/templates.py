@@ -202,11 +202,39 @@ def preview(events: DataFrame, most: int = 500, top: int = 12, **options) -> Dat
     return sized.crossJoin(total).select("template", "size", (F.col("size") / F.col("_all")).alias("share"), (wild / words).alias("wildcard_ratio")).orderBy(F.col("size").desc(), "template").limit(top)
 
 
+def grid(events: DataFrame, most: int = 2000, similarities: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8), depths: tuple[int, ...] = (2, 3, 4, 5, 6)) -> DataFrame:
+    """(similarity, depth, templates, cost) for each setting, mined from the first `most` messages, all settings in one pass.
+
+    cost: the words that templates and messages take when each template is written once and each message as its wildcards' values. Too coarse templates pay with values, too fine ones with templates."""
+    first = events.orderBy("event_ts", "event_id").limit(most).select(prepared(F.col("message"), F.col("attributes") if "attributes" in events.columns else None).alias("text"), F.struct("event_ts", "event_id").alias("at"))
+    ordered = first.withColumn("n", F.row_number().over(Window.orderBy("at"))).drop("at")  # `most` rows
+    settings = F.array(*[F.struct(F.lit(s).alias("similarity"), F.lit(d).alias("depth")) for s in similarities for d in depths])
+    each = ordered.select("text", "n", F.explode(settings).alias("s")).select("text", "n", "s.similarity", "s.depth")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        miner = Miner(float(pdf["similarity"].iloc[0]), int(pdf["depth"].iloc[0]))
+        clusters = {id(c): c for c in (miner.add([t for t in text.split(" ") if t]) for text in pdf["text"])}.values()
+        cost = sum(len(tokens) + size * sum(t == WILD for t in tokens) for tokens, size in clusters)
+        return pdf[["similarity", "depth"]].head(1).assign(templates=len(clusters), cost=cost)
+
+    return each.groupBy("similarity", "depth").applyInPandas(run, "similarity double, depth int, templates long, cost long")
+
+
+def search(events: DataFrame, **options) -> dict:
+    """The setting of the least cost in the grid; the default one among equals, then the smaller similarity and depth."""
+    rows = grid(events, **options).collect()  # a row for each setting
+    best = min(rows, key=lambda r: (r["cost"], (r["similarity"], r["depth"]) != (0.5, 4), r["similarity"], r["depth"]), default=None)
+    return {"similarity": best["similarity"], "depth": best["depth"]} if best else {"similarity": 0.5, "depth": 4}
+
+
 def tune(events: DataFrame, propose=None, rounds: int = 3, least: int = 50) -> dict:
-    """Similarity and depth for these messages: defaults, unless there are `least` messages and a judge proposes others from the preview."""
+    """Similarity and depth for these messages: defaults, unless there are `least` messages and a judge proposes others from the preview, or `propose` is "search"."""
     policy = {"similarity": 0.5, "depth": 4}
     if propose is None or events.limit(least).count() < least:
         return policy
+    if propose == "search":
+        return search(events)
     for _ in range(rounds):
         wanted = propose(policy, [r.asDict() for r in preview(events, **policy).collect()])
         if not wanted:

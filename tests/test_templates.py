@@ -65,3 +65,18 @@ def test_guards_change_nothing(spark):
     df = spark.createDataFrame([(r,) for r in rows], "message string")
     plain = signal.mask(signal.protect(signal.clean(F.col("message"))))
     assert all(a == b for a, b in df.select(signal.prepared(F.col("message")), plain).collect())
+
+
+def test_search_beats_the_defaults(spark):
+    rng = random.Random(9)
+    kinds = ["alpha {} beta {} gamma {} delta", "alpha {} beta {} omega {} sigma", "job {} {} {} {} done"]
+    rows = [(f"e{k:04d}", T0 + dt.timedelta(seconds=k), rng.choice(kinds).format(*["".join(rng.choice("bcdfgh") for _ in range(5)) for _ in range(4)]), {}) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    costs = {(r["similarity"], r["depth"]): r["cost"] for r in templates.grid(df).collect()}
+    policy = templates.search(df)
+    assert policy == templates.search(df.orderBy(F.rand(1))) == templates.tune(df, "search")
+    assert costs[policy["similarity"], policy["depth"]] == min(costs.values()) < costs[0.5, 4]
+    one = templates.Miner(0.5, 4)
+    found = {id(c): c for c in (one.add(m.split()) for _, _, m, _ in rows)}.values()
+    assert costs[0.5, 4] == sum(len(t) + n * t.count("<*>") for t, n in found)
+    assert templates.search(df.limit(0)) == {"similarity": 0.5, "depth": 4}
