@@ -18,6 +18,7 @@ from logweave.operators import causal, correlate, segmentation, templates, triag
 from logweave.plans.engine import Engine, Settings
 from logweave.session import Scratch
 from logweave.sources import store, text
+from logweave.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,11 +58,11 @@ SIGNAL = f"""signal AS (
   FROM events)"""
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signals(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), n.cast("int"))
     kind = F.col("event_type")
     family = pick(FAMILIES, F.col("user_id") % 8)
-    return table(spark, sf_dir, "events").select(
+    return (table(spark, sf_dir, "events") if events is None else events).select(
         "event_id", F.col("ts").alias("event_ts"), kind.alias("template_id"), "user_id",
         F.when(kind == "error", "ERROR").when(kind == "signup", "WARNING").when(kind == "purchase", "NOTICE").otherwise("INFO").alias("severity"),
         family.alias("service_family"), pick(ERRORS, F.col("event_id") % 5).alias("error_family"),
@@ -424,6 +425,22 @@ def drain_templates(spark, sf_dir):
     return templates.mine(rows, attributes=None).groupBy("template_id", "template").agg(F.count(F.lit(1)).alias("n"), F.max("cluster_size").alias("cluster_size"))
 
 
+@query()
+def drain_policy_search(spark, sf_dir):
+    """What each setting of a grid costs on the first messages."""
+    return templates.grid(rendered(spark, sf_dir).select("event_id", F.col("ts").alias("event_ts"), F.col("event").alias("message")))
+
+
+@query("SELECT CAST(user_id % 10 AS VARCHAR) AS file, event_id * 2 AS line_no, CAST(2 AS BIGINT) AS line_count, TRUE AS first_line_is_header FROM events")
+def headers_induced(spark, sf_dir):
+    """Lines in a format that the built-in header does not know: their events by the header that is induced from them."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 10).cast("string").alias("file"), "event_id", "event_type", F.date_format("ts", "yyyy.MM.dd-HH.mm.ss").alias("at"))
+    both = F.array(F.struct(F.lit(0).alias("k"), F.concat("at", F.lit(" lvl="), "event_type", F.lit(" begins")).alias("line")), F.struct(F.lit(1).alias("k"), F.concat(F.lit("detail of "), "event_type").alias("line")))
+    lines = events.select("file", "event_id", F.explode(both).alias("e")).select("file", (F.col("event_id") * 2 + F.col("e.k")).alias("line_no"), "e.line")
+    found = segmentation.assemble(lines, segmentation.settle(lines).header)
+    return found.select("file", "line_no", "line_count", "first_line_is_header")
+
+
 @query()
 def drain_policy_preview(spark, sf_dir):
     rows = rendered(spark, sf_dir).select("event_id", F.col("ts").alias("event_ts"), F.col("event").alias("message"))
@@ -458,6 +475,25 @@ def anchored_windows_full(spark, sf_dir):
     return made.groupBy("template_id", F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH RECURSIVE {SIGNAL}, e AS (SELECT event_id, event_ts, template_id FROM signal), w AS (
+  SELECT template_id, min(event_ts) AS s FROM e GROUP BY template_id UNION ALL
+  SELECT w.template_id, (SELECT min(event_ts) FROM e WHERE e.template_id = w.template_id AND e.event_ts > w.s + INTERVAL {WINDOW_S} SECOND) FROM w WHERE (SELECT min(event_ts) FROM e WHERE e.template_id = w.template_id AND e.event_ts > w.s + INTERVAL {WINDOW_S} SECOND) IS NOT NULL)
+ SELECT template_id, s AS window_start, count(*) AS n FROM e JOIN w USING (template_id) WHERE event_ts >= s AND event_ts <= s + INTERVAL {WINDOW_S} SECOND AND s + INTERVAL {WINDOW_S} SECOND < (SELECT date_trunc('millisecond', max(event_ts)) FROM e) GROUP BY template_id, s""")
+def streamed_windows(spark, sf_dir):
+    """The table as a stream up to its present end: windows with bounded states that the watermark has closed."""
+    where = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(where).schema).parquet(where[:-1] + "[t]")  # a pattern may be one file
+    none = F.lit(None).cast("string")
+    rows = signals(spark, sf_dir, events).withColumn("event_ts", F.col("event_ts").cast("timestamp")).withColumns({"inferred_service_family": none, "exception_type": none, "template": F.col("template_id"), "risk_score": F.lit(50)})
+    closed = stateful.state_windows(rows.withWatermark("event_ts", "0 seconds"), F.col("template_id"), WINDOW_S, 1 << 40)
+    scratch = Scratch(spark, "streamed")
+    out, at = scratch.path("windows"), scratch.path("checkpoint")
+    spark.createDataFrame([], stateful.REPRESENTATIVE).write.parquet(f"{out}/part=none")  # there may be no window
+    closed.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/part={n}")).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(stateful.REPRESENTATIVE).parquet(out).where("rep = 1")
+    return found.groupBy(F.col("stream").alias("template_id"), F.timestamp_micros("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.sum("event_count").alias("n"))
+
+
 @query(f"WITH {SIGNAL} SELECT template_id, make_timestamp(CAST(floor(epoch(event_ts) / {WINDOW_S}) * {WINDOW_S} * 1000000 AS BIGINT)) AS window_start, count(*) AS n FROM signal GROUP BY 1, 2")
 def tumbling_windows(spark, sf_dir):
     return windows.tumbling_windows(signals(spark, sf_dir), "event_ts", WINDOW_S).groupBy("template_id", F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.count(F.lit(1)).alias("n"))

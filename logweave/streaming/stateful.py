@@ -130,7 +130,7 @@ class Windows(StatefulProcessor):
             us = pdf["us"].tolist()
             latest = max(latest, *us)
             self.pending.appendList(list(zip(us, pdf["event_id"].tolist(), pdf["risk_score"].tolist(), pdf["state_key"].tolist(), pdf["payload"].tolist(), strict=True)))
-        self.handle.registerTimer(latest // 1000 + 1)
+        self.handle.registerTimer(max(0, latest // 1000 - 1))  # before the last row: the watermark may never pass that
         yield pd.DataFrame([], columns=NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -139,6 +139,8 @@ class Windows(StatefulProcessor):
         now, later = sorted(r for r in waiting if r[0] <= passed), [r for r in waiting if r[0] > passed]
         if now:
             self.pending.put(later) if later else self.pending.clear()
+        if later:
+            self.handle.registerTimer(max(r[0] for r in later) // 1000 + 1)
         start, held, keys, coarsened = self.window.get() if self.window.exists() else (None, 0, 0, 0)
         states = {r[0][0]: [r[1][0], json.loads(r[1][1])] for r in self.kept.iterator()} if now or start is not None else {}
         out, touched = [], set()
