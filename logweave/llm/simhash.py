@@ -223,7 +223,7 @@ def slot_of(fp: int) -> int:
 
 def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray, some: bool = False) -> DataFrame:
     """(shingle, fp, n): the first shingles of each set in the order `common` last, then by hash, of which two sets of at least `similarity` share one.
-    some: of a sixteenth of the sets only."""
+    some: whole sets, of a sixteenth of them only; copies may come more than once."""
     shared = texts.sparkSession.sparkContext.broadcast(np.sort(common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray
                     met.add(fp)
                 size = len(s)
                 s = s.view(np.int64)
-                n = min(size, size - math.ceil(similarity * size - 1e-9) + 1)
+                n = size if some else min(size, size - math.ceil(similarity * size - 1e-9) + 1)
                 if len(last):
                     at = np.searchsorted(last, s)
                     late = last[np.minimum(at, len(last) - 1)] == s
@@ -252,11 +252,13 @@ def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray
                 columns = [pa.array(np.concatenate(parts), pa.int64()), pa.array(np.repeat(fps, n), pa.int64()), pa.array(np.repeat(sizes, n).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["shingle", "fp", "n"])
 
-    return texts.mapInArrow(run, "shingle long, fp long, n int").dropDuplicates(["shingle", "fp"])
+    found = texts.mapInArrow(run, "shingle long, fp long, n int")
+    return found if some else found.dropDuplicates(["shingle", "fp"])
 
 
 def common_shingles(texts: DataFrame, width: int, similarity: float) -> np.ndarray:
-    """Shingles that stand in many sets, counted on a sixteenth of them. They only set the order of shingles, so any choice gives the same pairs."""
+    """Shingles that stand in many sets, counted on a sixteenth of them, whole: what comes first in a set when its common shingles go last must not be common as well. They only set the
+    order of shingles, so any choice gives the same pairs."""
     counted = prefixes(texts, width, similarity, np.zeros(0, np.int64), some=True).groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
     return counted.where("times >= 8").orderBy(F.col("times").desc(), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy()
 
