@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from logweave.operators import windows
+from logweave.operators import correlate, windows
 
 START = dt.datetime(2024, 1, 1)
 
@@ -23,3 +23,35 @@ def test_trailing_count_reads_a_window_once(spark, bucket):
     made = windows.trailing_count(df, bucket=bucket)
     assert "RangeFrame" not in plan(made)
     assert {r["event_id"]: r["window_count_1m"] for r in made.collect()} == {i: sum(t == u and 0 <= (s - x).total_seconds() <= 60 for _, u, x in rows) for i, t, s in rows}
+
+
+def near_events(spark, count: int = 120):
+    random.seed(11)
+    pick = lambda *values: random.choice(values)
+    rows = [
+        (k % 117, START + dt.timedelta(seconds=random.randrange(1500)), pick("w", "v"), pick(None, "", "t1", "t2", "t3", "t4"), pick(None, None, "r1"), pick("database", "redis", None), pick(None, "Pool"), pick("timeout", "retry"), pick([], ["a", "b"], [f"x{k}", "a"], [f"y{k}"]))
+        for k in range(count)
+    ]
+    names = "event_id long, event_ts timestamp, window_start string, trace_id string, request_id string, service_family string, component string, error_family string, correlation_tokens array<string>"
+    return spark.createDataFrame(rows, names)
+
+
+def test_pairs_that_can_score_and_the_others_are_all_pairs(spark):
+    rows = correlate.prepare(near_events(spark))
+    every = correlate.pair_scores(correlate.band_pairs(rows)).select("l_event_id", "r_event_id", "score", "reasons").collect()
+    near = correlate.pair_scores(correlate.reach_pairs(rows)).select("l_event_id", "r_event_id", "score", "reasons").collect()
+    far = [(*r, 0.0, []) for r in correlate.far_pairs(rows).collect()]
+    assert sorted(map(tuple, near + far)) == sorted(map(tuple, every)) and any(r["score"] > 0 and "shared_trace_id" in r["reasons"] for r in near)
+    assert far and len(near) < len(every)
+    assert correlate.count_pairs(rows).first()["n"] == len(every)
+
+
+def test_incidents_keep_their_highest_overlap_without_all_pairs(spark):
+    rows = near_events(spark, 117)
+    found, scored = correlate.incident_members(rows)
+    incident = {r["event_id"]: r["incident"] for r in found.collect()}
+    best = lambda pairs: {i: max(o for l, r, o in pairs if incident[l] == incident[r] == i) for i in {incident[l] for l, r, _ in pairs if incident[l] == incident[r]}}  # noqa: E731, E741
+    every = correlate.pair_scores(correlate.band_pairs(correlate.prepare(rows))).select("l_event_id", "r_event_id", "overlap").collect()
+    got, want = best(list(scored.select("l_event_id", "r_event_id", "overlap").collect())), best(list(every))
+    assert {i: o for i, o in got.items() if o} == {i: o for i, o in want.items() if o} and any(want.values())
+    assert scored.count() < len(every)
