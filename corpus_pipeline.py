@@ -22,8 +22,8 @@ def clean_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose sets of five-word shingles are alike by 0.8 or more (Jaccard), the document with the smallest id."""
-    return simhash.drop_similar(docs, width=5, similarity=0.8)
+    """Of each component of texts whose SimHashes differ in at most two bits, or whose sets of five-word shingles are alike by 0.8 or more (Jaccard), the document with the smallest id."""
+    return simhash.drop_similar(docs, width=5, similarity=0.8, distance=2)
 
 
 def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,6 +184,27 @@ def shingle_prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def both_prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, fp, sim): `shingle_prints` with each text's SimHash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20, lean=True):
+            made = [(print_of(shingles(t, width)), fingerprint(t)) for t in utf8(batch.column("text"))]
+            fps, sims = (np.array([m[0] for m in made], np.int64), np.array([m[1] for m in made], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array(sims)], ["doc_id", "fp", "sim"])
+
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fp long, sim long")
+
+
+def simhash_links(prints: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """(src, dst): set fingerprints `fp` of texts whose SimHashes `sim` are in one component, each linked to the least of them."""
+    sims = scratch.keep(prints.select("fp", "sim").distinct(), "sims")
+    labels = connected_components(links(sims.select(F.col("sim").alias("fp")).distinct(), distance), scratch)
+    named = scratch.keep(sims.join(labels.withColumnRenamed("node", "sim"), "sim", "left").select("fp", F.coalesce("root", "sim").alias("root")).distinct(), "sim-rooted")
+    least = named.groupBy("root").agg(F.min("fp").alias("dst"))
+    return scratch.keep(named.join(least, "root").where("fp != dst").select(F.col("fp").alias("src"), "dst").distinct(), "sim-links")
+
+
 def print_of(shingle_set: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingle_set.tobytes())).view(np.int64))
 
@@ -263,12 +284,13 @@ def common_shingles(texts: DataFrame, width: int, similarity: float) -> np.ndarr
     return counted.where("times >= 8").orderBy(F.col("times").desc(), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy()
 
 
-def similar_links(texts: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+def similar_links(texts: DataFrame, width: int, similarity: float, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
     """(src, dst): all pairs of fingerprints of sets with a Jaccard similarity of at least `similarity`, but for pairs in the same component already.
 
     Prefix filter: in any fixed order of all shingles, two such sets share one of their first n - ceil(similarity * n) + 1. Pairs meet at shared
     prefix shingles, pass bounds from their sizes and the number of those, and are verified by their whole sets. Each set is verified
     against one that it meets most in its size band first; then only pairs whose components still differ are made, so that a large group of near copies is no square.
+    known: links that are found already; they are among the result.
     """
     share = similarity / (1 + similarity)
     met = prefixes(texts, width, similarity, common_shingles(texts, width, similarity)).select("*", F.expr("min(fp) over (partition by shingle)").alias("lo"), F.expr("max(fp) over (partition by shingle)").alias("hi"))
@@ -294,6 +316,8 @@ def similar_links(texts: DataFrame, width: int, similarity: float, scratch: Scra
     star = star.select("shingle", "src", "n", F.col("c.fp").alias("dst"), F.col("c.n").alias("m")).where("src != dst").distinct()
     star = likely(star).groupBy("src").agg(F.max(F.struct("times", "dst")).alias("c")).select("src", F.col("c.dst").alias("dst"))
     near = verified(star, "star")
+    if known is not None:
+        near = near.unionByName(known)
     roots = connected_components(near, scratch)
     live = scratch.keep(live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "live-rooted")
     one = live.select("shingle", F.col("fp").alias("src"), "n", "root")
@@ -301,14 +325,17 @@ def similar_links(texts: DataFrame, width: int, similarity: float, scratch: Scra
     return near.unionByName(verified(likely(one.join(two, "shingle").where("root < far")), "cross"))
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, distance: int | None = None) -> DataFrame:
     """The rows of docs of which one stays for each component of texts whose shingle sets have a Jaccard similarity of at least `similarity`.
 
-    All such pairs are found (see `similar_links`). Texts without words are alike. All columns are kept.
+    All such pairs are found (see `similar_links`). distance: texts whose SimHashes (three words) differ in at most that many bits are linked as well, by the segment tables
+    of `links`, and what they link is not met again. Texts without words are alike. All columns are kept.
     """
     scratch, work = Scratch(docs.sparkSession, "similar-drop"), Scratch(docs.sparkSession, "similar-work")
-    prints = scratch.keep(shingle_prints(docs, id_col, text_col, width), "prints")
-    links = scratch.keep(similar_links(docs.select(F.col(f"`{text_col}`").alias("text")), width, similarity, work), "links")
+    prints = scratch.keep((shingle_prints if distance is None else both_prints)(docs, id_col, text_col, width), "prints")
+    known = None if distance is None else simhash_links(prints, distance, work)
+    found = similar_links(docs.select(F.col(f"`{text_col}`").alias("text")), width, similarity, work, known)
+    edges = scratch.keep(found, "links")
     work.drop()
-    found = scratch.keep(rooted(prints, links, scratch), "rooted")
+    found = scratch.keep(rooted(prints, edges, scratch), "rooted")
     return one_of_each(docs, found, lambda rows, key: shingle_prints(rows, key, text_col, width), scratch, id_col, text_col)

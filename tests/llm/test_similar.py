@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from llm_helpers import ODD, documents
+import corpus_pipeline
 from logweave.llm import simhash
 
 
@@ -83,3 +84,26 @@ def test_repeated_ids_keep_a_row_of_each_component(spark):
         assert Counter((r["doc_id"], r["text"]) for r in drop(documents(spark, texts, ids)).collect()) == want
         assert Counter((r["doc_id"], r["text"]) for r in drop(documents(spark, texts[:2], [7, 7])).collect()) == Counter([(7, texts[0]), (7, texts[1])])
         assert Counter((r["doc_id"], r["text"]) for r in drop(documents(spark, texts[:4], [None, None, None, 9])).collect()) == Counter([(None, texts[0]), (None, texts[1]), (9, texts[3])])
+
+
+def test_simhash_links_and_alike_sets_are_one_component(spark):
+    """Each text but the first is linked to the one before: by SimHash alone (the same three-word shingles by majority), or by its set."""
+    base = " ".join(f"w{k}" for k in range(40))
+    twice = " ".join([base] * 3 + ["odd"])  # repeats: a set of other shingles, counts of much the same
+    texts = [base + " end", "nothing of it is here at all", "a b a b a b a b a b a b a b a b", "a b a b a b a b a b a b a b a b a", twice]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    near = {(i, j) for i in range(5) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    root = list(range(5))
+    for i, j in sorted(near | {(i, j) for i in range(5) for j in range(i) if len(brute_kept([texts[j], texts[i]])) == 1}):
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    kept = sorted(r["doc_id"] for r in simhash.drop_similar(documents(spark, texts), distance=2).collect())
+    assert kept == sorted(set(root))
+    alone = [documents(spark, ["x y z", "X  y z"]), documents(spark, [None, ""])]
+    assert all(simhash.drop_similar(docs, distance=2).count() == 1 for docs in alone)
+
+
+def test_the_pipeline_takes_simhash(spark, monkeypatch):
+    seen, own = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda reps, distance=2, hot=simhash.HOT: seen.append(distance) or own(reps, distance, hot))
+    corpus_pipeline.clean_duplicates(spark, documents(spark, ["a b c d e f", "a b c d e f", "g h"]), "").count()
+    assert seen == [2]
