@@ -55,3 +55,29 @@ def test_incidents_keep_their_highest_overlap_without_all_pairs(spark):
     got, want = best(list(scored.select("l_event_id", "r_event_id", "overlap").collect())), best(list(every))
     assert {i: o for i, o in got.items() if o} == {i: o for i, o in want.items() if o} and any(want.values())
     assert scored.count() < len(every)
+
+
+def test_bursts_of_alike_events_are_scored_once(spark):
+    """40 alike events of one time are one point: as pairs they are 780, and 1600 with those of another time."""
+    pick = [("database", "timeout", ["a"]), ("database", "timeout", ["a"]), ("redis", "timeout", ["a"]), (None, "retry", [])]
+    rows = [(f"e{t}-{c}-{k}", START + dt.timedelta(seconds=40 * t), "w", *pick[(t + c) % 4]) for t in range(4) for c in range(2) for k in range(20)]
+    rows += [("twice", START, "w", "search", "timeout", ["a"]), ("twice", START, "w", "search", "timeout", ["a"]), (None, START, "w", "search", "timeout", ["a"])]
+    names = "event_id string, event_ts timestamp, window_start string, service_family string, error_family string, correlation_tokens array<string>"
+    events = spark.createDataFrame(rows, names)
+    found, scored = correlate.incident_members(events, seconds=7200)
+    assert scored.count() < 60
+    incident = {r["event_id"]: r["incident"] for r in found.collect()}
+    every = correlate.verdicts(correlate.pair_scores(correlate.band_pairs(correlate.prepare(events), 7200), 7200)).collect()
+    root = {e: e for e in incident}
+    for _ in root:
+        for r in every:
+            if r["verdict"] == "merge":
+                root[r["l_event_id"]] = root[r["r_event_id"]] = min(root[r["l_event_id"]], root[r["r_event_id"]])
+        if all(root[r["l_event_id"]] == root[r["r_event_id"]] for r in every if r["verdict"] == "merge"):
+            break
+    groups = lambda of: {frozenset(e for e in of if of[e] == i) for i in set(of.values())}
+    assert groups(incident) == groups(root) and 1 < len(groups(root)) < len(root)
+    for i in set(incident.values()):
+        got = [(r["score"], r["times"]) for r in scored.collect() if r["score"] > 0 and incident[r["l_event_id"]] == incident[r["r_event_id"]] == i]
+        want = [(r["score"], 1) for r in every if r["score"] > 0 and incident[r["l_event_id"]] == incident[r["r_event_id"]] == i]
+        assert (sum(n for _, n in got), round(sum(s * n for s, n in got), 6)) == (sum(n for _, n in want), round(sum(s * n for s, n in want), 6))
