@@ -81,3 +81,55 @@ def test_bursts_of_alike_events_are_scored_once(spark):
         got = [(r["score"], r["times"]) for r in scored.collect() if r["score"] > 0 and incident[r["l_event_id"]] == incident[r["r_event_id"]] == i]
         want = [(r["score"], 1) for r in every if r["score"] > 0 and incident[r["l_event_id"]] == incident[r["r_event_id"]] == i]
         assert (sum(n for _, n in got), round(sum(s * n for s, n in got), 6)) == (sum(n for _, n in want), round(sum(s * n for s, n in want), 6))
+
+
+class Kept:
+    """A state of a processor, without a store."""
+
+    def __init__(self):
+        self.of = {}
+        self.exists = self.of.__len__
+        self.containsKey, self.getValue, self.updateValue, self.removeKey = self.of.__contains__, self.of.get, self.of.__setitem__, self.of.pop
+        self.keys, self.iterator, self.clear = lambda: list(self.of), lambda: list(self.of.items()), self.of.clear
+        self.get, self.update = lambda: self.of[0], lambda value: self.of.__setitem__(0, value)
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+        self.registerTimer = self.timers.append
+
+    def getMapState(self, name, *schema):
+        return self.states.setdefault(name, Kept())
+
+    getValueState = getMapState
+
+
+class Watermark:
+    def __init__(self, us):
+        self.getCurrentWatermarkInMs = lambda: us // 1000
+
+
+def test_waiting_rows_are_no_single_value_of_the_store():
+    """A list is one value, which the store reads again with each row that is added."""
+    import pandas as pd
+
+    from logweave.streaming import stateful
+
+    random.seed(3)
+    step, rows = 60_000_000, [(random.randrange(100) * 7_000_000 + 1, f"e{k}", k % 5, f"s{k % 3}", "p") for k in range(9000)]
+    handle, made = Handle(), stateful.Windows(60, 1 << 40, 100, 3)
+    made.init(handle)
+    frame = lambda part: pd.DataFrame(part, columns=["us", "event_id", "risk_score", "state_key", "payload"])
+    list(made.handleInputRows(("a",), iter([frame(rows[:4000]), frame(rows[4000:])]), None))
+    sizes = [len(value[0]) for value in handle.states["packs"].of.values()]
+    assert len(sizes) > 5 and max(sizes) < 40 * stateful.PACK
+    parts = [list(made.handleExpiredTimer(("a",), Watermark(at), None)) for at in (200_000_000, 10**12)]
+    got = pd.concat([f for part in parts for f in part])
+    want, start = {}, None
+    for us, *_ in sorted(rows):
+        if start is None or us > start + step:
+            start = us
+        want[start] = want.get(start, 0) + 1
+    first = got[got["rep"] == 1]
+    assert first.groupby("window_start")["event_count"].sum().to_dict() == want and not handle.states["packs"].of
