@@ -133,3 +133,31 @@ def test_waiting_rows_are_no_single_value_of_the_store():
         want[start] = want.get(start, 0) + 1
     first = got[got["rep"] == 1]
     assert first.groupby("window_start")["event_count"].sum().to_dict() == want and not handle.states["packs"].of
+
+
+@pytest.mark.parametrize("chunk", [3, 16, 1 << 16])
+def test_windows_are_followed_by_chunks_of_rows(spark, tmp_path, chunk, monkeypatch):
+    """Rounds go with the number of chunks, not of windows."""
+    from logweave.session import Scratch
+
+    random.seed(5)
+    counts = [(s, t, random.randint(1, 9)) for s in "ab" for t in sorted(random.sample(range(0, 600), 60))]
+    scratch, kept = Scratch(spark, "chunks"), []
+    keep = scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, name="t": kept.append(name) or keep(df, name))
+    made = {(r["_s"], r["_at"]): (r["_start"], r["_first"]) for r in windows.time_windows(spark.createDataFrame(counts, "_s string, _at long, _n long"), 30, 7, scratch, chunk).collect()}
+    start = held = source = None
+    for s, at, n in sorted(counts):
+        if s != source:
+            source, start = s, None
+        own, first = (None, 0), None
+        for k in range(n):
+            if start is None or at > start + 30 or held >= 7:
+                if k and first is None:
+                    first = k
+                start, held = at, 0
+            held += 1
+            if not k:
+                own = start
+        assert made[s, at] == (own, first or n)
+    assert chunk < 1 << 16 or kept.count("jumps") == 1
