@@ -243,7 +243,7 @@ def slot_of(fp: int) -> int:
 
 
 def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray, some: bool = False) -> DataFrame:
-    """(shingle, fp, n): the first shingles of each set in the order `common` last, then by hash, of which two sets of at least `similarity` share one.
+    """(shingle, fp, n, pos): the first shingles of each set in the order `common` last, then by hash, of which two sets of at least `similarity` share one; pos: how many of the set come before.
     some: whole sets, of a sixteenth of them only; copies may come more than once."""
     shared = texts.sparkSession.sparkContext.broadcast(np.sort(common))
 
@@ -271,9 +271,10 @@ def prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray
             if taken:
                 fps, sizes, n = (np.array(x) for x in zip(*taken, strict=True))
                 columns = [pa.array(np.concatenate(parts), pa.int64()), pa.array(np.repeat(fps, n), pa.int64()), pa.array(np.repeat(sizes, n).astype(np.int32), pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["shingle", "fp", "n"])
+                columns.append(pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n]), pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "fp", "n", "pos"])
 
-    found = texts.mapInArrow(run, "shingle long, fp long, n int")
+    found = texts.mapInArrow(run, "shingle long, fp long, n int, pos int")
     return found if some else found.dropDuplicates(["shingle", "fp"])
 
 
@@ -289,12 +290,19 @@ def similar_links(texts: DataFrame, width: int, similarity: float, scratch: Scra
 
     Prefix filter: in any fixed order of all shingles, two such sets share one of their first n - ceil(similarity * n) + 1. Pairs meet at shared
     prefix shingles, pass bounds from their sizes and the number of those, and are verified by their whole sets. Each set is verified
-    against one that it meets most in its size band first; then only pairs whose components still differ are made, so that a large group of near copies is no square.
+    against those that it meets most in its size band first, one of them with the fewest shingles of its own: such a one is in the middle of a group of near copies. Then only pairs whose components still differ are made,
+    so that a large group of near copies is no square.
+
+    What two sets share before a shingle that both prefixes have stands in both prefixes, so it is live there (in more than one prefix): they share at most the fewer of their live shingles before it, itself, and the fewer
+    of all after it. A set in which too many are not live before a shingle is too far from all sets of its size there, so that most members of a group that are like none of the others go before pairs are made.
     known: links that are found already; they are among the result.
     """
     share = similarity / (1 + similarity)
     met = prefixes(texts, width, similarity, common_shingles(texts, width, similarity)).select("*", F.expr("min(fp) over (partition by shingle)").alias("lo"), F.expr("max(fp) over (partition by shingle)").alias("hi"))
-    live = scratch.keep(met.where("lo != hi").select("shingle", "fp", "n"), "live")
+    # ahead: live shingles before this one; rest: all after it; own: those of the prefix that are not live.
+    own = f"n - ceil({similarity!r}D * n - 1e-9) + 1 - count(*) over (partition by fp)"
+    live = met.where("lo != hi").selectExpr("shingle", "fp", "n", "row_number() over (partition by fp order by pos) - 1 as ahead", "n - pos - 1 as rest", f"{own} as own")
+    live = scratch.keep(live, "live")
 
     def likely(rows: DataFrame) -> DataFrame:
         """Pairs that can be alike: what is shared lies in both prefixes, or behind the prefix that ends first."""
@@ -312,17 +320,27 @@ def similar_links(texts: DataFrame, width: int, similarity: float, scratch: Scra
     # Bands of sizes that may be alike, and the same shifted by half a band, so that members beside a bound share one of the two.
     step = math.log(1 / similarity) if similarity < 1 else 1e-9
     bands = live.withColumn("band", F.explode(F.array(F.floor(F.log("n") / step) * 2, F.floor(F.log("n") / step + 0.5) * 2 + 1)))
-    star = bands.select("shingle", F.col("fp").alias("src"), "n", F.expr("min(struct(fp, n)) over (partition by shingle, band)").alias("c"))
-    star = star.select("shingle", "src", "n", F.col("c.fp").alias("dst"), F.col("c.n").alias("m")).where("src != dst").distinct()
-    star = likely(star).groupBy("src").agg(F.max(F.struct("times", "dst")).alias("c")).select("src", F.col("c.dst").alias("dst"))
-    near = verified(star, "star")
+
+    def star(first: str) -> DataFrame:
+        """(src, dst): each set with the one that it meets most among the least of each shingle and band, in the order of these columns."""
+        found = bands.select("shingle", F.col("fp").alias("src"), "n", F.expr(f"min(struct({first})) over (partition by shingle, band)").alias("c"))
+        found = found.select("shingle", "src", "n", F.col("c.fp").alias("dst"), F.col("c.n").alias("m")).where("src != dst").distinct()
+        return likely(found).groupBy("src").agg(F.max(F.struct("times", "dst")).alias("c")).select("src", F.col("c.dst").alias("dst"))
+
+    near = verified(star("fp, n").unionByName(star("own, fp, n")), "star")
     if known is not None:
         near = near.unionByName(known)
     roots = connected_components(near, scratch)
-    live = scratch.keep(live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "live-rooted")
-    one = live.select("shingle", F.col("fp").alias("src"), "n", "root")
-    two = live.select("shingle", F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("root").alias("far"))
-    return near.unionByName(verified(likely(one.join(two, "shingle").where("root < far")), "cross"))
+    live = live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # most: the size of the largest set that one with so many shared shingles at most can be like; only rows whose shingle a set up to that size has as well can meet.
+    live = live.withColumn("most", F.expr(f"(ahead + 1 + rest + 1e-6) / {share!r}D - n")).where(f"most >= {similarity!r}D * n - 1e-6")
+    live = live.withColumn("least", F.expr("min(n) over (partition by shingle)")).where("least <= most")
+    live = live.withColumns({"lo": F.expr("min(root) over (partition by shingle)"), "hi": F.expr("max(root) over (partition by shingle)")}).where("lo != hi").drop("least", "lo", "hi", "own")
+    live = scratch.keep(live, "live-rooted")
+    one = live.select("shingle", F.col("fp").alias("src"), "n", "root", "ahead", "rest", "most")
+    two = live.select("shingle", F.col("fp").alias("dst"), F.col("n").alias("m"), F.col("root").alias("far"), F.col("ahead").alias("ahead_"), F.col("rest").alias("rest_"), F.col("most").alias("most_"))
+    bound = f"least(ahead, ahead_) + 1 + least(rest, rest_) >= {share!r}D * (n + m) - 1e-6"
+    return near.unionByName(verified(likely(one.join(two, "shingle").where(f"root < far and m <= most and n <= most_ and {bound}")), "cross"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, distance: int | None = None) -> DataFrame:

@@ -107,3 +107,29 @@ def test_the_pipeline_takes_simhash(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda reps, distance=2, hot=simhash.HOT: seen.append(distance) or own(reps, distance, hot))
     corpus_pipeline.clean_duplicates(spark, documents(spark, ["a b c d e f", "a b c d e f", "g h"]), "").count()
     assert seen == [2]
+
+
+def test_a_large_group_of_near_copies_is_no_square(spark, monkeypatch):
+    """Copies of one text with few or many words changed: most are like the middle of the group, or like nothing; only few pairs are met beside those."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), k % 9):
+            words[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    made, keep = {}, simhash.Scratch.keep
+
+    def kept_too(self, df, name="t"):
+        out = keep(self, df, name)
+        made[name] = [tuple(r) for r in out.collect()] if name in ("cross", "live-rooted") else None
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "keep", kept_too)
+    kept = simhash.drop_similar(documents(spark, texts))
+    want = brute_kept(texts)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want and 50 < len(want) < 350
+    groups = Counter(r[0] for r in made["live-rooted"])
+    assert len(made["cross"]) < 2 * len(texts) and sum(n * n for n in groups.values()) < 20 * len(texts)
