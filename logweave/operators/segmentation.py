@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from logweave import constants as C
 from logweave.functions.parsing import any_of, strip
+from logweave.session import Scratch
 
 STRETCH = 100_000
 
@@ -47,9 +48,11 @@ def top_level_alternatives(pattern: str) -> int:
     return 1 + bare.split("(")[0].count("|")
 
 
-def flag_lines(lines: DataFrame, header: str = C.HEADER) -> DataFrame:
-    """lines with is_blank, is_header, prev_blank, starts (opens an event) and event_line, the number of the first line of its event."""
+def flag_lines(lines: DataFrame, header: str = C.HEADER, scratch: Scratch | None = None) -> DataFrame:
+    """lines with is_blank, is_header, prev_blank, starts (opens an event) and event_line, the number of the first line of its event. scratch: each line is matched once and what is known of it written, instead of anew for each part."""
+    kept = scratch.keep if scratch else lambda rows, name: rows
     rows = lines.withColumns({"is_blank": strip(F.col("line")) == "", "is_header": F.col("line").rlike(header), "_stretch": F.floor(F.col("line_no") / STRETCH)})
+    rows = kept(rows, "matched")
     inside = Window.partitionBy("file", "_stretch").orderBy("line_no")
     rows = rows.withColumn("_prev", F.lag("is_blank").over(inside))
     ends = rows.groupBy("file", "_stretch").agg(F.max_by("is_blank", "line_no").alias("_last"), F.max(F.when(~F.col("is_blank") & F.col("is_header"), F.col("line_no"))).alias("_h"), F.count(F.lit(1)).alias("_n"))
@@ -59,14 +62,15 @@ def flag_lines(lines: DataFrame, header: str = C.HEADER) -> DataFrame:
     rows = rows.withColumn("prev_blank", F.coalesce("_prev", "_carry", F.lit(True)))
     rows = rows.withColumn("starts", ~F.col("is_blank") & (F.col("is_header") | F.col("prev_blank")))
     opened = rows.withColumn("_open", F.last(F.when(F.col("starts"), F.col("line_no")), ignorenulls=True).over(inside))
-    last = rows.groupBy("file", "_stretch").agg(F.max(F.when(F.col("starts"), F.col("line_no"))).alias("_last_open"))
+    opened = kept(opened, "opened")
+    last = (opened if scratch else rows).groupBy("file", "_stretch").agg(F.max(F.when(F.col("starts"), F.col("line_no"))).alias("_last_open"))
     carried = last.select("file", "_stretch", F.last("_last_open", ignorenulls=True).over(Window.partitionBy("file").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("_from"))
     return opened.join(carried, ["file", "_stretch"]).withColumn("event_line", F.coalesce("_open", "_from")).drop("_stretch", "_prev", "_carry", "_open", "_from")
 
 
-def assemble(lines: DataFrame, header: str = C.HEADER) -> DataFrame:
-    """(file, line_no, event, line_count, first_line_is_header, source): events with their lines trimmed and joined by " | "; blank lines only separate."""
-    flagged = flag_lines(lines, header).where(~F.col("is_blank"))
+def assemble(lines: DataFrame, header: str = C.HEADER, flagged: DataFrame | None = None) -> DataFrame:
+    """(file, line_no, event, line_count, first_line_is_header, source): events with their lines trimmed and joined by " | "; blank lines only separate. flagged: `flag_lines` of them, if made before."""
+    flagged = (flag_lines(lines, header) if flagged is None else flagged).where(~F.col("is_blank"))
     parts = F.array_sort(F.collect_list(F.struct("line_no", strip(F.col("line")).alias("line"))))
     events = flagged.groupBy("file", F.col("event_line").alias("line_no")).agg(F.array_join(F.transform(parts, lambda p: p["line"]), " | ").alias("event"), F.count(F.lit(1)).alias("line_count"), F.min_by("is_header", "line_no").alias("first_line_is_header"))
     return events.withColumn("source", F.when(F.col("first_line_is_header"), "regex").otherwise("orphan"))
@@ -76,11 +80,11 @@ def strong_header(line):
     return (strip(line) != "") & any_of(strip(line), C.STRONG_HEADERS)
 
 
-def validate(lines: DataFrame, header: str = C.HEADER, parser: Callable[[Column], Column] | None = None) -> DataFrame:
+def validate(lines: DataFrame, header: str = C.HEADER, parser: Callable[[Column], Column] | None = None, flagged: DataFrame | None = None) -> DataFrame:
     """One row: the counters and rates of a header pattern over all lines, and whether it is accepted.
 
-    parser: a column function from an event to its fields, null where it cannot read it; at least 95 % of the events must then be read."""
-    flagged = flag_lines(lines, header)
+    parser: a column function from an event to its fields, null where it cannot read it; at least 95 % of the events must then be read. flagged: `flag_lines` of the lines, if made before."""
+    flagged = flag_lines(lines, header) if flagged is None else flagged
     line = F.col("line")
     strong = strong_header(line) & ~F.col("is_header")
     flat = strong & ~line.rlike(r"^\s")
@@ -101,7 +105,7 @@ def validate(lines: DataFrame, header: str = C.HEADER, parser: Callable[[Column]
         }
     )
     read = F.lit(0).cast("long") if parser is None else F.count_if(parser(F.col("event")).isNotNull())
-    parsed = assemble(lines, header).agg(F.count(F.lit(1)).alias("parser_attempts"), read.alias("parser_success")) if parser else lines.sparkSession.range(1).select(F.lit(0).cast("long").alias("parser_attempts"), read.alias("parser_success"))
+    parsed = assemble(lines, header, flagged).agg(F.count(F.lit(1)).alias("parser_attempts"), read.alias("parser_success")) if parser else lines.sparkSession.range(1).select(F.lit(0).cast("long").alias("parser_attempts"), read.alias("parser_success"))
     both = both.crossJoin(parsed).withColumn("parser_ratio", F.coalesce(F.col("parser_success") * 100.0 / F.nullif("parser_attempts", F.lit(0)), F.lit(100.0)))  # one row
     return both.withColumn("accepted", (F.col("header_matches") > 0) & (F.col("coverage") >= 99) & (F.col("internal_header_candidates") == 0) & F.col("zero_loss") & (F.col("parser_ratio") >= 95))
 
@@ -167,20 +171,24 @@ class Segmentation:
     verified: bool
     origin: str
     attempts: list[dict] = field(default_factory=list)
+    flagged: DataFrame | None = None  # the lines as flagged by this header, where they were written
 
 
 def settle(
     lines: DataFrame, candidates: list[str] = (), strict: bool = True, rounds: int = 3, parser: Callable[[Column], Column] | None = None,
-    refine: Callable[[dict, DataFrame], str | None] | None = None, critic: Callable[[list[dict]], str | None] | None = None, discover: bool = True,
+    refine: Callable[[dict, DataFrame], str | None] | None = None, critic: Callable[[list[dict]], str | None] | None = None, discover: bool = True, scratch: Scratch | None = None,
 ) -> Segmentation:
     """The header pattern that passes its checks: candidates in turn, then what `refine` makes of the report and samples of the last one, `rounds` patterns in all; then
     what `critic` makes of all attempts; then the built-in pattern. strict refuses one that fails its checks. discover: lines of which the built-in pattern takes none get
-    the candidates of `induce`."""
+    the candidates of `induce`. scratch: flagged lines are written there once for each pattern, for its checks and for `assemble`."""
     tried: list[dict] = []
+    flagged: dict[str, DataFrame] = {}
 
     def fits(origin: str, pattern: str) -> bool:
         safe, why = safety(pattern)
-        report = validate(lines, pattern, parser).first().asDict() if safe else {"accepted": False}
+        if safe and scratch and pattern not in flagged:
+            flagged[pattern] = flag_lines(lines, pattern, scratch)
+        report = validate(lines, pattern, parser, flagged.get(pattern)).first().asDict() if safe else {"accepted": False}
         tried.append({"pattern": pattern, "origin": origin, "reason": why} | report)
         return report["accepted"]
 
@@ -194,12 +202,12 @@ def settle(
         if not waiting:
             break
         if fits("candidate" if len(tried) < len(candidates) else "refined", waiting[0]):
-            return Segmentation(waiting[0], True, tried[-1]["origin"], tried)
+            return Segmentation(waiting[0], True, tried[-1]["origin"], tried, flagged.get(waiting[0]))
         waiting.pop(0)
     reviewed = critic(tried) if critic is not None and tried else None
     for origin, pattern in [*([("critic", reviewed)] if reviewed else []), ("built-in", C.HEADER)]:
         if fits(origin, pattern):
-            return Segmentation(pattern, True, origin, tried)
+            return Segmentation(pattern, True, origin, tried, flagged.get(pattern))
     if strict:
         raise RuntimeError("no header pattern passes its checks; strict=False takes the built-in one unverified")
-    return Segmentation(C.HEADER, False, "built-in", tried)
+    return Segmentation(C.HEADER, False, "built-in", tried, flagged.get(C.HEADER))

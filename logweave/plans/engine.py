@@ -104,11 +104,12 @@ class Engine:
         return actionable.crossJoin(found).withColumn("events_collapsed_into_incidents", F.greatest(F.lit(0), F.col("actionable_events") - F.col("incident_candidates")))  # a row each
 
     def _events(self) -> DataFrame:
-        return segmentation.assemble(self.lines, self.header or self._settled())
+        if self.header or self.cache is not None:
+            return segmentation.assemble(self.lines, self.header or self._settled())
+        found = segmentation.settle(self.lines, strict=self.settings.strict, scratch=self.scratch)
+        return segmentation.assemble(self.lines, found.header, found.flagged)
 
     def _settled(self) -> str:
-        if self.cache is None:
-            return segmentation.settle(self.lines, strict=self.settings.strict).header
         key = {"header of": text.content_fingerprint(text.prefix(self.lines), {"strict": self.settings.strict})}
         return self.cache.get(key) or self.cache.put(key, segmentation.settle(self.lines, strict=self.settings.strict).header)
 

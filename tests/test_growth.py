@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from logweave.operators import correlate, windows
+from logweave.operators import correlate, segmentation, windows
+from logweave.plans.engine import Engine, Settings
 
 START = dt.datetime(2024, 1, 1)
 
@@ -161,3 +162,13 @@ def test_windows_are_followed_by_chunks_of_rows(spark, tmp_path, chunk, monkeypa
                 own = start
         assert made[s, at] == (own, first or n)
     assert chunk < 1 << 16 or kept.count("jumps") == 1
+
+
+def test_the_engine_matches_each_line_once(spark):
+    """Checks of the header and events come from lines that were matched and written once."""
+    rows = [("a", k, line) for k, line in enumerate(["2026-09-16 15:00:00 [ERROR] pay: one", "  at two", "", "three", "2026-09-16 15:00:01 [INFO] pay: four"])]
+    rows += [("b", 250_000, "late"), ("b", 99_999, "2026-09-16 15:00:02 [INFO] pay: five"), ("b", 100_000, "  six")]
+    df = spark.createDataFrame(rows, "file string, line_no long, line string")
+    made = Engine(spark, df, Settings(strict=False)).stage("events")
+    assert "RLIKE" not in plan(made)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, segmentation.assemble(df).collect()))
