@@ -4,8 +4,10 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.operators import correlate, segmentation, windows
+from logweave.plans import catalogue
 from logweave.plans.engine import Engine, Settings
 
 START = dt.datetime(2024, 1, 1)
@@ -84,6 +86,51 @@ def test_bursts_of_alike_events_are_scored_once(spark):
         assert (sum(n for _, n in got), round(sum(s * n for s, n in got), 6)) == (sum(n for _, n in want), round(sum(s * n for s, n in want), 6))
 
 
+def odd_events(spark, count: int = 400):
+    """Many events of few times and kinds, with null and repeated ids, null times and windows, and ids that some share."""
+    random.seed(5)
+    pick = lambda *values: random.choice(values)
+    rows = [
+        (pick(None, f"e{k % 180}", f"e{k}", f"e{k}", f"e{k}"), pick(None, *[START + dt.timedelta(seconds=37 * random.randrange(40)) for _ in range(9)]), pick("w", "w", "v", None), pick(None, None, "", "t1", "t2"), pick(None, None, "r1", ""), pick("database", "redis"), pick(None, "Pool"), pick("timeout", "retry"), pick([], ["a", "b"]))
+        for k in range(count)
+    ]
+    names = "event_id string, event_ts timestamp, window_start string, trace_id string, request_id string, service_family string, component string, error_family string, correlation_tokens array<string>"
+    return correlate.prepare(spark.createDataFrame(rows, names))
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_blocks_make_every_pair_once(spark, monkeypatch, block):
+    monkeypatch.setattr(correlate, "BLOCK", block)
+    monkeypatch.setattr(correlate, "PART", block)
+    monkeypatch.setattr(correlate, "MET", 4 * block)
+    rows = odd_events(spark)
+    got = correlate.every_pair(rows, 300).collect()
+    want = correlate.band_pairs(rows, 300).selectExpr("l_event_id", "r_event_id", "r_us - l_us").collect()
+    order = lambda found: sorted(map(str, map(tuple, found)))
+    assert order(got) == order(want) and len(got) > 1000
+    far = correlate.far_pairs(rows, 300).collect()
+    met = correlate.pair_scores(correlate.band_pairs(rows, 300), 300).where("r_us - l_us > 120000000 and score = 0").select("l_event_id", "r_event_id").collect()
+    assert order(far) == order(met) and len(far) > 100
+
+
+def test_pairs_of_a_hot_bucket_are_many_tasks(spark, monkeypatch):
+    """All 300 events are of one bucket: as its pairs, they were one task's."""
+    monkeypatch.setattr(correlate, "BLOCK", 16)
+    monkeypatch.setattr(correlate, "PART", 16)
+    rows = spark.range(300).selectExpr("id AS event_id", "id * 1000000 AS us", "0 AS win")
+    made = correlate.every_pair(rows, 7200).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 300 * 299 / 2 and max(r["count"] for r in made) < 300 * 299 / 4
+
+
+def test_files_of_every_pair_are_small(spark, tmp_path):
+    """30 copies of 200 times make 17 991 000 pairs: in order of blocks they take less than half a byte each."""
+    events = spark.range(6000).select(F.col("id").alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") % 200 * 17 + F.col("id") % 200 % 7).cast("timestamp_ntz").alias("ts"), F.lit(3).cast("long").alias("user_id"), F.lit("error").alias("event_type"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    catalogue.band_join_pairs(spark, str(tmp_path)).write.parquet(str(tmp_path / "pairs"))
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 6000 * 5999 // 2 and size < 17_991_000 / 2
+
+
 class Kept:
     """A state of a processor, without a store."""
 
