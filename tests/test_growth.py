@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logweave.operators import correlate, segmentation, windows
 from logweave.plans import catalogue
 from logweave.plans.engine import Engine, Settings
+from logweave.session import Scratch
 
 START = dt.datetime(2024, 1, 1)
 
@@ -122,6 +123,26 @@ def test_pairs_of_a_hot_bucket_are_many_tasks(spark, monkeypatch):
     assert sum(r["count"] for r in made) == 300 * 299 / 2 and max(r["count"] for r in made) < 300 * 299 / 4
 
 
+@pytest.mark.parametrize("members", [128, 2])
+def test_alike_events_are_scored_once_and_make_every_pair(spark, monkeypatch, members):
+    monkeypatch.setattr(correlate, "MEMBERS", members)
+    rows = odd_events(spark)
+    got = correlate.scored_pairs(rows, Scratch(spark, "test"), 300).collect()
+    want = correlate.verdicts(correlate.pair_scores(correlate.reach_pairs(rows, 300), 300)).select("l_event_id", "r_event_id", "score", F.array_join("reasons", ","), "verdict").collect()
+    order = lambda found: sorted(map(str, map(tuple, found)))
+    assert order(got) == order(want) and len(got) > 500
+
+
+def test_pair_scores_scores_kinds_not_pairs(spark, tmp_path, monkeypatch):
+    """30 copies of 40 times are one kind: 30 times 30 pairs score alike."""
+    events = spark.range(1200).select((F.col("id") * 77 + 1).alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") % 40 * 17).cast("timestamp_ntz").alias("ts"), F.lit(3).cast("long").alias("user_id"), F.lit("error").alias("event_type"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    scored, score = [], correlate.pair_scores
+    monkeypatch.setattr(correlate, "pair_scores", lambda pairs, *a: scored.append(pairs.count()) or score(pairs, *a))
+    assert catalogue.pair_scores(spark, str(tmp_path)).count() == 1200 * 1199 // 2
+    assert 0 < sum(scored) < 40 * 40
+
+
 def test_files_of_every_pair_are_small(spark, tmp_path):
     """30 copies of 200 times make 17 991 000 pairs: in order of blocks they take less than half a byte each."""
     events = spark.range(6000).select(F.col("id").alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") % 200 * 17 + F.col("id") % 200 % 7).cast("timestamp_ntz").alias("ts"), F.lit(3).cast("long").alias("user_id"), F.lit("error").alias("event_type"))
