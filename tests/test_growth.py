@@ -143,6 +143,25 @@ def test_pair_scores_scores_kinds_not_pairs(spark, tmp_path, monkeypatch):
     assert 0 < sum(scored) < 40 * 40
 
 
+def test_pair_stats_are_folded_where_pairs_are_made(spark, monkeypatch):
+    """No pair is written but those that link; the figures are those of all pairs inside an incident."""
+    events = near_events(spark)
+    events = events.unionByName(events.withColumn("event_id", F.col("event_id") + 1000)).unionByName(events.where("event_id < 60").withColumn("event_id", F.col("event_id") + 2000))
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t": kept.extend(df.columns) or keep(self, df, name))
+    found, stats = correlate.incident_stats(events)
+    got = {r["incident"]: (round(r["pairwise_max"], 6), round(r["pairwise_mean"], 6)) for r in stats.collect()}
+    assert kept and "score" not in kept and "reasons" not in kept
+    incident = {r["event_id"]: r["incident"] for r in found.collect()}
+    want = {}
+    for r in correlate.pair_scores(correlate.band_pairs(correlate.prepare(events))).where("score > 0").collect():
+        if incident[r["l_event_id"]] == incident[r["r_event_id"]]:
+            want.setdefault(incident[r["l_event_id"]], []).append(r["score"])
+    assert got == {i: (round(max(of), 6), round(sum(of) / len(of), 6)) for i, of in want.items()} and len(got) > 1
+    members = correlate.incident_members(events)[0]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, members.collect()))
+
+
 def test_files_of_every_pair_are_small(spark, tmp_path):
     """30 copies of 200 times make 17 991 000 pairs: in order of blocks they take less than half a byte each."""
     events = spark.range(6000).select(F.col("id").alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") % 200 * 17 + F.col("id") % 200 % 7).cast("timestamp_ntz").alias("ts"), F.lit(3).cast("long").alias("user_id"), F.lit("error").alias("event_type"))
